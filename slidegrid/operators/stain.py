@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from slidegrid.functions import color
 from slidegrid.operators.ordered import group_quantiles
@@ -113,7 +113,7 @@ def drop_transparent(px: DataFrame, by: list[str], beta: float = 0.15, io: float
     return spread_join(px, kept, by, salt_on=["r", "g", "b"]).where((F.col("__dense") < min_px) | dense).drop("__dense")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _plane(rr: pd.Series, rg: pd.Series, rb: pd.Series, gg: pd.Series, gb: pd.Series, bb: pd.Series) -> pd.Series:
     """Two leading eigenvectors (second largest, largest) of 3 by 3 covariances, one row per tile."""
     m = np.stack([rr, rg, rb, rg, gg, gb, rb, gb, bb], axis=1).reshape(-1, 3, 3).astype(float)
