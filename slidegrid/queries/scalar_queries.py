@@ -139,20 +139,33 @@ def variant_classes(spark, d):
     return rounded(cohort.classify_records(variants(spark, d), "sample"), "vaf")
 
 
-@query("nested_variant_classes", "PR10 TG4", f"""WITH o AS (SELECT o_orderkey AS sample FROM orders), {CLASSIFIED_CTE}
-SELECT o.sample, CAST(coalesce(n_variants, 0) AS INTEGER) AS n_variants, CAST(coalesce(n_activating, 0) AS INTEGER) AS n_activating,
- CASE WHEN n_activating > 0 THEN 'MUT' ELSE 'WT' END AS status, CASE WHEN n_variants > 0 THEN 'MUT_any' ELSE 'WT_any' END AS status_any,
- coalesce({ALIAS_SQL('hit_pc')}, any_pc) AS hotspot FROM o LEFT JOIN classified c ON o.sample = c.sample""")
+_CHANGE_LIST_SQL = "[" + ", ".join(f"'{c}'" for c in _CHANGES) + "]"
+
+
+@query("nested_variant_classes", "PR10", f"""WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN
+  list_transform(range(0, p_size % 4), lambda i: ({_CHANGE_LIST_SQL})[(p_partkey + i * 5) % 12 + 1]) END AS pcs FROM part),
+h AS (SELECT p_partkey, pcs, list_filter(pcs, lambda c: c IN {HOTSPOT_SET}) AS hits FROM v)
+SELECT p_partkey, CAST(len(pcs) AS INTEGER) AS n_variants, CAST(len(hits) AS INTEGER) AS n_activating,
+ CASE WHEN pcs IS NOT NULL THEN CASE WHEN len(hits) > 0 THEN 'MUT' ELSE 'WT' END END AS status,
+ CASE WHEN pcs IS NOT NULL THEN CASE WHEN len(pcs) > 0 THEN 'MUT_any' ELSE 'WT_any' END END AS status_any,
+ coalesce({ALIAS_SQL('hits[1]')}, pcs[1]) AS hotspot, coalesce(hits[1], pcs[1]) AS protein_change_raw FROM h""")
 def nested_variant_classes(spark, d):
-    """The array form, on samples whose records fit one row by construction (an order has few lines)."""
-    rows = variants(spark, d).groupBy("sample").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "proteinChange", "tumorAltCount", "tumorRefCount"))).alias("variants")
+    """The array form, for sources that already hold nested records."""
+    changes = F.array(*[F.lit(c) for c in _CHANGES])
+    made = F.when(
+        F.col("p_partkey") % 7 > 0,
+        F.transform(
+            F.slice(F.sequence(F.lit(0), F.lit(4)), F.lit(1), F.col("p_size") % 4),
+            lambda i: F.struct(
+                F.get(changes, ((F.col("p_partkey") + i * 5) % 12).cast("int")).alias("proteinChange"),
+                i.alias("tumorAltCount"), F.lit(3).alias("tumorRefCount"),
+            ),
+        ),
     )
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample"))
-    typed = orders.join(rows, "sample", "left").withColumn(
-        "variants", F.coalesce("variants", F.slice(F.array(F.lit(None).cast(rows.schema["variants"].dataType.elementType)), 1, 0))
+    typed = table(spark, d, "part").select("p_partkey", "p_size", made.alias("variants"))
+    return st.classify_variants(typed).select(
+        "p_partkey", "n_variants", "n_activating", "status", "status_any", "hotspot", "protein_change_raw"
     )
-    return st.classify_variants(typed).select("sample", "n_variants", "n_activating", "status", "status_any", "hotspot")
 
 
 _STAGES = ["STAGE IV", "Stage IIIA", "stage 2", "Stage II", "STAGE I", "T3 unknown", "Stage IIIB", "  stage iv "]
