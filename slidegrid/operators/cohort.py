@@ -181,8 +181,10 @@ def cap_at_quantile(df: DataFrame, col: str, q: float = 0.98, out: str = "capped
 
 
 def correlation(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
+    """Pearson correlation of complete pairs; NULL when one side does not vary."""
     live = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return live.groupBy(*by).agg(F.corr(a, b).alias("r"), F.count("*").alias("n"))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return live.groupBy(*by).agg(r.alias("r"), F.count("*").alias("n"))
 
 
 def histogram(df: DataFrame, col: str, edges: DataFrame, by: list[str] = ()) -> DataFrame:

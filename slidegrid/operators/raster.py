@@ -258,7 +258,7 @@ def compare_rasters(a: DataFrame, b: DataFrame, by: list[str], min_ncc: float =
         F.count("*").alias("n"),
         F.stddev_pop("va").alias("__sa"),
         F.stddev_pop("vb").alias("__sb"),
-        F.corr("va", "vb").alias("ncc"),
+        F.try_divide(F.covar_pop("va", "vb"), F.stddev_pop("va") * F.stddev_pop("vb")).alias("ncc"),
         F.avg(F.abs(F.col("va") - F.col("vb"))).alias("mad"),
         F.avg(F.col("va") - F.col("vb")).alias("mean_diff"),
     )

@@ -1 +1,173 @@
+"""Rasters and pixel rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slidegrid.operators import quality, raster, stain
+from slidegrid.queries.grid_queries import MASK_CTE, mask, raster_values
+from slidegrid.queries.registry import query, rounded
+from slidegrid.queries.scalar_queries import LAB_CTES, PIXELS_CTE, pixels
+from slidegrid.session import table
+
+
+@query("otsu_threshold", "AG25", """WITH v AS (SELECT event_type AS g, least("value", 255.0) AS x FROM events), b AS (SELECT g, CAST(least(255, floor(x * 256 / 255.0)) AS INTEGER) AS bin, count(*) AS n FROM v GROUP BY 1, 2),
+w AS (SELECT g, bin, sum(n) OVER u / CAST(sum(n) OVER (PARTITION BY g) AS DOUBLE) AS o, sum(n * bin) OVER u / CAST(sum(n) OVER (PARTITION BY g) AS DOUBLE) AS m, sum(n * bin) OVER (PARTITION BY g) / CAST(sum(n) OVER (PARTITION BY g) AS DOUBLE) AS t FROM b WINDOW u AS (PARTITION BY g ORDER BY bin)),
+k AS (SELECT g, arg_min(bin, (-((t * o - m) * (t * o - m) / greatest(o * (1.0 - o), 1e-9)), bin)) AS ob FROM w GROUP BY g),
+f AS (SELECT v.g, max(ob) AS ob, avg(CAST(x < ob AS INTEGER)) AS fr, floor(avg(x)) AS mean FROM v JOIN k ON v.g = k.g GROUP BY v.g), p AS (SELECT g, CAST(CASE WHEN fr > 0.9 THEN mean ELSE ob END AS INTEGER) AS threshold, fr > 0.9 AS degenerate FROM f)
+SELECT v.g AS event_type, max(threshold) AS threshold, bool_or(degenerate) AS degenerate, round(avg(CAST(x < threshold AS INTEGER)), 6) AS fraction FROM v JOIN p ON v.g = p.g GROUP BY v.g""")
+def otsu_threshold(spark, d):
+    return rounded(raster.otsu(table(spark, d, "events"), ["event_type"], F.least("value", F.lit(255.0))), "fraction")
+
+
+@query("mask_fraction", "AG31", f"WITH {MASK_CTE} SELECT slide, round(avg(CAST(val > 25 AS INTEGER)), 6) AS fraction, count(*) AS n FROM mask GROUP BY slide")
+def mask_fraction(spark, d):
+    return rounded(raster.mask_fraction(mask(spark, d), ["slide"]), "fraction")
+
+
+def grey_grid(spark, d):
+    return raster_values(spark, d).select("slide", F.col("mx").alias("x"), F.col("my").alias("y"), F.floor("val").cast("int").alias("v"))
+
+
+_GRID = f"""{MASK_CTE}, g AS (SELECT slide, mx AS x, my AS y, CAST(floor(val) AS INTEGER) AS v FROM mask),
+off AS (SELECT CAST(a AS INTEGER) AS dx, CAST(b AS INTEGER) AS dy FROM (SELECT unnest(range(-1, 2)) AS a), (SELECT unnest(range(-1, 2)) AS b))"""
+_R101 = lambda p: f"CASE WHEN {p} < 0 THEN -({p}) WHEN {p} > 63 THEN 126 - ({p}) ELSE {p} END"
+_NEAR = f"nb AS (SELECT g.slide, g.x, g.y, dx, dy, n.v FROM g, off JOIN g n ON n.slide = g.slide AND n.x = {_R101('g.x + dx')} AND n.y = {_R101('g.y + dy')})"
+
+
+@query("stencil_mean", "WN8", f"WITH {_GRID}, {_NEAR} SELECT slide, x, y, round(avg(v), 6) AS v FROM nb GROUP BY 1, 2, 3")
+def stencil_mean(spark, d):
+    return rounded(raster.stencil(grey_grid(spark, d), "mean"), "v")
+
+
+@query("stencil_gaussian", "WN8", f"WITH {_GRID}, {_NEAR} SELECT slide, x, y, round(sum(v * power(2, 2 - abs(dx) - abs(dy))) / 16, 6) AS v FROM nb GROUP BY 1, 2, 3")
+def stencil_gaussian(spark, d):
+    return rounded(raster.stencil(grey_grid(spark, d), "weighted", weights=raster.GAUSSIAN_3), "v")
+
+
+@query("stencil_median", "WN8", f"WITH {_GRID}, {_NEAR} SELECT slide, x, y, CAST(quantile_disc(v, 0.5) AS INTEGER) AS v FROM nb GROUP BY 1, 2, 3")
+def stencil_median(spark, d):
+    return raster.stencil(grey_grid(spark, d), "median")
+
+
+@query("focus_scores", "AG24 WN8", f"WITH {_GRID}, {_NEAR}, l AS (SELECT slide, x, y, sum(CASE WHEN dx = 0 AND dy = 0 THEN -4 * v WHEN abs(dx) + abs(dy) = 1 THEN v ELSE 0 END) AS e FROM nb GROUP BY 1, 2, 3) SELECT slide, round(var_pop(e), 4) AS focus_score FROM l GROUP BY slide")
+def focus_scores(spark, d):
+    return raster.focus_scores(grey_grid(spark, d), ["slide"]).withColumn("focus_score", F.round("focus_score", 4))
+
+
+_CROSS = lambda src, f: f"SELECT a.slide, a.x, a.y, {f}(n.v) AS v FROM {src} a, off JOIN {src} n ON n.slide = a.slide AND n.x = a.x + dx AND n.y = a.y + dy WHERE abs(dx) + abs(dy) <= 1 GROUP BY 1, 2, 3"
+
+
+@query("morphology_open", "WN8", f"WITH {_GRID}, e AS ({_CROSS('g', 'min')}) {_CROSS('e', 'max')}")
+def morphology_open(spark, d):
+    return raster.open_(grey_grid(spark, d))
+
+
+@query("morphology_close", "WN8", f"WITH {_GRID}, e AS ({_CROSS('g', 'max')}) {_CROSS('e', 'min')}")
+def morphology_close(spark, d):
+    return raster.close_(grey_grid(spark, d))
+
+
+@query("denoised_raster", "WN8")
+def denoised_raster(spark, d):
+    """Blur, median and opening in a row; the three steps have their own SQL checks."""
+    return raster.denoise(grey_grid(spark, d))
+
+
+@query("large_objects", "WN9", f"""WITH RECURSIVE {MASK_CTE}, p AS (SELECT slide, mx AS x, my AS y, slide * 4096 + my * 64 + mx AS id FROM mask WHERE val > 60),
+e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.slide = b.slide AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+r(id, root) AS (SELECT id, id FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE e.b > r.root), m AS (SELECT id, min(root) AS root FROM r GROUP BY id), s AS (SELECT root, count(*) AS area FROM m GROUP BY root HAVING count(*) > 5)
+SELECT p.slide, x, y, area FROM p JOIN m ON m.id = p.id JOIN s ON s.root = m.root""")
+def large_objects(spark, d):
+    m = mask(spark, d, 60.0).select("slide", F.col("mx").alias("x"), F.col("my").alias("y"), "v")
+    return raster.remove_small(m, 5)
+
+
+@query("raster_comparison", "JN14 SL5", """WITH a AS (SELECT event_id // 64 AS tile, event_id % 64 AS x, "value" AS va, CASE WHEN event_id // 64 % 6 = 0 THEN (event_id * 7919 % 997) / 3.0 WHEN event_id // 64 % 6 = 2 THEN 5.0 ELSE "value" + event_id % 3 END AS vb FROM events),
+s AS (SELECT tile, count(*) AS n, stddev_pop(vb) < 1e-6 AS fb, corr(va, vb) AS c, avg(abs(va - vb)) AS mad, avg(va - vb) AS md FROM a WHERE tile % 2 = 0 GROUP BY tile)
+SELECT 0 AS slide, tile, n, round(CASE WHEN NOT fb THEN c END, 6) AS ncc, round(mad, 6) AS mad, round(md, 6) AS mean_diff, CASE WHEN fb THEN false ELSE c >= 0.85 END AS ok FROM s""")
+def raster_comparison(spark, d):
+    k = F.col("event_id")
+    base = table(spark, d, "events").select(
+        F.lit(0).alias("slide"), F.floor(k / 64).alias("tile"), (k % 64).alias("x"), F.lit(0).alias("y"), "event_id", F.col("value").alias("v")
+    )
+    t = F.col("tile") % 6
+    other = base.withColumn("v", F.when(t == 0, k * 7919 % 997 / 3.0).when(t == 2, F.lit(5.0)).otherwise(F.col("v") + k % 3))
+    return rounded(raster.compare_rasters(base, other, ["slide", "tile"], every=2), "ncc", "mad", "mean_diff")
+
+
+@query("area_resampling", "JN18", f"""WITH {MASK_CTE} SELECT slide, CAST(mx // 4 AS INTEGER) AS gx, CAST(my // 4 AS INTEGER) AS gy, round(avg(val), 6) AS v FROM mask GROUP BY 1, 2, 3""")
+def area_resampling(spark, d):
+    g = raster_values(spark, d).select("slide", F.col("mx").alias("gx"), F.col("my").alias("gy"), F.array("val").alias("v"))
+    return raster.resample(g, raster.area_weights(64, 16), ["slide"]).select("slide", "gx", "gy", F.round(F.get("v", F.lit(0)), 6).alias("v"))
+
+
+@query("linear_resampling", "JN18", f"""WITH {MASK_CTE}, j AS (SELECT CAST(unnest(range(0, 96)) AS INTEGER) AS j), a AS (SELECT j, greatest(0.0, (j + 0.5) * 64 / 96.0 - 0.5) AS spot FROM j),
+w AS (SELECT j, CAST(floor(spot) AS INTEGER) AS i, 1 - (spot - floor(spot)) AS w FROM a UNION ALL SELECT j, CAST(least(63, floor(spot) + 1) AS INTEGER), spot - floor(spot) FROM a WHERE spot > floor(spot))
+SELECT slide, wx.j AS gx, wy.j AS gy, round(sum(val * wx.w * wy.w), 5) AS v FROM mask JOIN w wx ON wx.i = mx JOIN w wy ON wy.i = my GROUP BY 1, 2, 3""")
+def linear_resampling(spark, d):
+    g = raster_values(spark, d).select("slide", F.col("mx").alias("gx"), F.col("my").alias("gy"), F.array("val").alias("v"))
+    return raster.resample(g, raster.bilinear_weights(64, 96), ["slide"]).select("slide", "gx", "gy", F.round(F.get("v", F.lit(0)), 5).alias("v"))
+
+
+# ---- colour normalisation over pixel rows ---------------------------------------------------------
+
+
+def _digest(df, cols):
+    return df.groupBy("tile").agg(F.count("*").alias("n"), *[F.sum(c).cast("long").alias(c) for c in cols])
+
+
+_SCALED = lambda c: f"CASE WHEN h{c} > l{c} THEN floor(least(greatest(({c} - l{c}) / (h{c} - l{c}) * 255.0, 0), 255)) ELSE {c} END"
+
+
+@query("percentile_scaling", "AG26", f"""WITH {PIXELS_CTE}, q AS (SELECT tile, quantile_cont(r, 0.01) AS lr, quantile_cont(r, 0.99) AS hr, quantile_cont(g, 0.01) AS lg, quantile_cont(g, 0.99) AS hg, quantile_cont(b, 0.01) AS lb, quantile_cont(b, 0.99) AS hb FROM px GROUP BY tile)
+SELECT px.tile, count(*) AS n, CAST(sum({_SCALED('r')}) AS BIGINT) AS r2, CAST(sum({_SCALED('g')}) AS BIGINT) AS g2, CAST(sum({_SCALED('b')}) AS BIGINT) AS b2 FROM px JOIN q ON px.tile = q.tile GROUP BY px.tile""")
+def percentile_scaling(spark, d):
+    return _digest(stain.percentile_scale(pixels(spark, d), ["tile"]), ["r2", "g2", "b2"])
+
+
+_MEANED = lambda c, t: f"CASE WHEN m{c} > 0 THEN floor(least(greatest({c} * ({t} * 255.0 / m{c}), 0), 255)) ELSE {c} END"
+
+
+@query("mean_scaling", "AG28", f"""WITH {PIXELS_CTE}, q AS (SELECT tile, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb FROM px GROUP BY tile)
+SELECT px.tile, count(*) AS n, CAST(sum({_MEANED('r', '0.45::DOUBLE')}) AS BIGINT) AS r2, CAST(sum({_MEANED('g', '0.35::DOUBLE')}) AS BIGINT) AS g2, CAST(sum({_MEANED('b', '0.45::DOUBLE')}) AS BIGINT) AS b2 FROM px JOIN q ON px.tile = q.tile GROUP BY px.tile""")
+def mean_scaling(spark, d):
+    return _digest(stain.mean_scale(pixels(spark, d), ["tile"]), ["r2", "g2", "b2"])
+
+
+_MOVED = lambda c, m, s: f"floor(least(greatest(CASE WHEN s{c} > 0 THEN ({c}v - m{c}) / s{c} * {s} + {m} ELSE {c}v END, 0), 255))"
+
+
+@query("colour_transfer", "AG27", f"""WITH {PIXELS_CTE}, {LAB_CTES}, v AS (SELECT tile, round(l8) AS lv, round(a8) AS av, round(b8) AS bv FROM lab),
+q AS (SELECT tile, avg(lv) AS ml, stddev_pop(lv) AS sl, avg(av) AS ma, stddev_pop(av) AS sa, avg(bv) AS mb, stddev_pop(bv) AS sb FROM v GROUP BY tile)
+SELECT v.tile, count(*) AS n, round(avg({_MOVED('l', 127.5, 63.75)}), 1) AS lab_l, round(avg({_MOVED('a', 128.0, 50.0)}), 1) AS lab_a, round(avg({_MOVED('b', 128.0, 50.0)}), 1) AS lab_b FROM v JOIN q ON v.tile = q.tile GROUP BY v.tile""")
+def colour_transfer(spark, d):
+    out = stain.colour_transfer(pixels(spark, d), ["tile"])
+    return out.groupBy("tile").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 1).alias(c) for c in ("lab_l", "lab_a", "lab_b")])
+
+
+@query("stain_scaling", "AG29 PR22")
+def stain_scaling(spark, d):
+    return _digest(stain.stain_percentile(pixels(spark, d), ["tile"]), ["r2", "g2", "b2"])
+
+
+@query("stain_vectors", "AG30")
+def stain_vectors(spark, d):
+    out = stain.stain_vectors(pixels(spark, d), ["tile"])
+    return out.select("tile", *[F.round(c, 6).alias(c) for c in ("h1", "h2", "h3", "e1", "e2", "e3", "max_h", "max_e")])
+
+
+@query("stain_normalisation", "AG30 SNK6")
+def stain_normalisation(spark, d):
+    out = stain.separate_stains(pixels(spark, d), ["tile"], components=True)
+    return _digest(out, ["r2", "g2", "b2", "h_r", "h_g", "h_b", "e_r", "e_g", "e_b"])
+
+
+@query("full_tile_quality", "FL2 AG24 AG25")
+def full_tile_quality(spark, d):
+    """All tile rules together on the rasters as grey tiles with a colour cast."""
+    v = F.least(F.col("v") * 3, F.lit(255))
+    px = grey_grid(spark, d).withColumns({"r": v, "g": F.greatest(v - 40, F.lit(0)), "b": F.least(v + 20, F.lit(255))})
+    return quality.tile_qc(px.drop("v"), ["slide"]).select(
+        "slide", "n", "is_valid", F.array_join("reasons", "; ").alias("reasons"), F.round("tissue_percentage", 4).alias("tissue_percentage"), F.round("focus_score", 4).alias("focus_score")
+    )
