@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from slidegrid.functions import color
 from slidegrid.operators.ordered import group_quantiles
 from slidegrid.operators.skew import spread_join
+from slidegrid.session import cut_lineage
 
 # Reference stain matrix (rows r, g, b; columns haematoxylin, eosin) and top concentrations.
 HE_REFERENCE = [[0.5626, 0.2159], [0.7201, 0.8012], [0.4062, 0.5581]]
@@ -88,15 +89,24 @@ def colour_counts(px: DataFrame, by: list[str]) -> DataFrame:
     return px.groupBy(*by, "r", "g", "b").agg(F.count("*").alias("n"))
 
 
+def _two_channel_quantiles(counted: DataFrame, by: list[str], first: str, second: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles of two columns of counted colours in one pass: (by, <column>_<name>...)."""
+    long = counted.select(
+        *by, "n", F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(c).alias("v")) for c in (first, second)])).alias("p")
+    ).select(*by, "p.ch", "p.v", F.col("n").alias("w"))
+    q = group_quantiles(long, [*by, "ch"], "v", probs, weight="w")
+    return q.groupBy(*by).agg(
+        *[F.max(F.when(F.col("ch") == c, F.col(k))).alias(f"{c}_{k}") for c in (first, second) for k in probs]
+    )
+
+
 def stain_percentile(px: DataFrame, by: list[str], low: float = 1.0, high: float = 99.0) -> DataFrame:
     """Unmix into stains, stretch haematoxylin and eosin to their percentile range, mix back."""
     counted = colour_counts(px, by)
     h, e, d = color.unmix(F.col("r"), F.col("g"), F.col("b"))
     stained = counted.withColumns({"h": h, "e": e})
     probs = {"lo": low / 100, "hi": high / 100}
-    qh = group_quantiles(stained, by, "h", {f"h_{k}": p for k, p in probs.items()}, weight="n").drop("n")
-    qe = group_quantiles(stained, by, "e", {f"e_{k}": p for k, p in probs.items()}, weight="n").drop("n")
-    joined = spread_join(px, qh.join(qe, by), by, salt_on=["r", "g", "b"])
+    joined = spread_join(px, _two_channel_quantiles(stained, by, "h", "e", probs), by, salt_on=["r", "g", "b"])
 
     def stretched(x: Column, s: str) -> Column:
         lo, hi = F.col(f"{s}_lo"), F.col(f"{s}_hi")
@@ -132,33 +142,28 @@ def stain_vectors(
     per tile. Angles and concentrations are exact quantiles over counted colours. Tiles with too few
     dense pixels are left out.
     """
-    counted = colour_counts(px, by)
     od = [color.optical_density(F.col(c), io) for c in "rgb"]
-    work = counted.withColumns({f"d{i}": od[i] for i in range(3)})
-    dense = F.least("d0", "d1", "d2") >= beta
+    work = cut_lineage(colour_counts(px, by).withColumns({f"d{i}": od[i] for i in range(3)}))
+    dense = work.where(F.least("d0", "d1", "d2") >= beta)
     pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
-    weighted = work.where(dense).withColumn("w", F.col("n").cast("double"))
-    means = weighted.groupBy(*by).agg(
-        F.sum("n").alias("n_dense"), *[(F.sum(F.col("w") * F.col(f"d{i}")) / F.sum("w")).alias(f"m{i}") for i in range(3)]
-    ).where(F.col("n_dense") >= min_px)
-    centred = spread_join(weighted, means, by, salt_on=["r", "g", "b"])
-    cov = centred.groupBy(*by).agg(
-        *[
-            (
-                F.sum(F.col("w") * (F.col(f"d{i}") - F.col(f"m{i}")) * (F.col(f"d{j}") - F.col(f"m{j}")))
-                / (F.max("n_dense") - 1)
-            ).alias(f"c{i}{j}")
-            for i, j in pairs
-        ]
-    )
-    axes = cov.select(*by, _plane(*[F.col(f"c{i}{j}") for i, j in pairs]).alias("axes")).where(F.col("axes").isNotNull())
+    w = F.col("n").cast("double")
+    moments = dense.groupBy(*by).agg(
+        F.sum(w).alias("__n"),
+        *[F.sum(w * F.col(f"d{i}")).alias(f"__s{i}") for i in range(3)],
+        *[F.sum(w * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"__x{i}{j}") for i, j in pairs],
+    ).where(F.col("__n") >= min_px)
+    cov = [
+        (F.col(f"__x{i}{j}") - F.col(f"__s{i}") * F.col(f"__s{j}") / F.col("__n")) / (F.col("__n") - 1) for i, j in pairs
+    ]
+    axes = moments.select(*by, _plane(*cov).alias("axes")).where(F.col("axes").isNotNull())
+    axes = cut_lineage(axes)
 
     def along(k: int) -> Column:
         return sum((F.col(f"d{i}") * F.get("axes", F.lit(3 * k + i)) for i in range(3)), F.lit(0.0))
 
-    turned = spread_join(weighted, axes, by, salt_on=["r", "g", "b"]).withColumn("phi", F.atan2(along(1), along(0)))
+    turned = spread_join(dense, axes, by, salt_on=["r", "g", "b"]).select(*by, "n", F.atan2(along(1), along(0)).alias("phi"))
     angles = group_quantiles(
-        turned, by, "phi", {"phi_lo": alpha / 100, "phi_hi": 1 - alpha / 100}, weight="n"
+        turned.withColumnRenamed("n", "w"), by, "phi", {"phi_lo": alpha / 100, "phi_hi": 1 - alpha / 100}, weight="w"
     ).drop("n")
     both = angles.join(axes, by)
 
@@ -166,18 +171,19 @@ def stain_vectors(
         return F.get("axes", F.lit(i)) * F.cos(phi) + F.get("axes", F.lit(3 + i)) * F.sin(phi)
 
     low_first = vector("phi_lo", 0) > vector("phi_hi", 0)
-    vectors = both.select(
-        *by,
-        *[F.when(low_first, vector("phi_lo", i)).otherwise(vector("phi_hi", i)).alias(f"h{i + 1}") for i in range(3)],
-        *[F.when(low_first, vector("phi_hi", i)).otherwise(vector("phi_lo", i)).alias(f"e{i + 1}") for i in range(3)],
+    vectors = cut_lineage(
+        both.select(
+            *by,
+            *[F.when(low_first, vector("phi_lo", i)).otherwise(vector("phi_hi", i)).alias(f"h{i + 1}") for i in range(3)],
+            *[F.when(low_first, vector("phi_hi", i)).otherwise(vector("phi_lo", i)).alias(f"e{i + 1}") for i in range(3)],
+        )
     )
     amounts = spread_join(work, vectors, by, salt_on=["r", "g", "b"]).withColumns(_concentrations(["d0", "d1", "d2"]))
-    c1 = group_quantiles(amounts, by, "conc_h", {"max_h": 0.99}, weight="n").drop("n")
-    c2 = group_quantiles(amounts, by, "conc_e", {"max_e": 0.99}, weight="n").drop("n")
+    tops = _two_channel_quantiles(amounts, by, "conc_h", "conc_e", {"top": 0.99})
     floor = F.lit(1e-6)
-    return vectors.join(c1, by).join(c2, by).withColumns(
-        {"max_h": F.greatest("max_h", floor), "max_e": F.greatest("max_e", floor)}
-    )
+    return vectors.join(tops, by).withColumns(
+        {"max_h": F.greatest("conc_h_top", floor), "max_e": F.greatest("conc_e_top", floor)}
+    ).drop("conc_h_top", "conc_e_top")
 
 
 def _concentrations(density: list[str]) -> dict[str, Column]:
