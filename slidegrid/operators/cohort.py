@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slidegrid.functions import scalars, status as st
@@ -71,26 +73,48 @@ def assemble_slides(
     burden: DataFrame,
     clinical: DataFrame,
 ) -> DataFrame:
-    """One wide row per slide: every side is reduced to one row per key before it is joined.
+    """One wide row per slide. All per-sample sources are stacked and grouped in a single shuffle, with
+    map-side combine, instead of being joined one after another.
 
     ``profiled`` lists the samples that have a variant file. A profiled sample without records is a
     known wild-type; a sample outside it keeps NULL.
     """
-    known = profiled.select("sample", F.lit(True).alias("__known")).distinct()
-    first_value = lambda df, out: df.groupBy("sample").agg(F.min_by("value", "pos").alias(out))
-    sides = known
-    for side in (classify_records(variants, "sample"), first_value(expression, "expression"), first_value(cna, "cna"), burden):
-        sides = sides.join(side, "sample", "full_outer")
-    wide = spread_join(slides, sides, ["sample"], "left")
-    wide = spread_join(wide, clinical, ["patient"], "left", salt_on=["slide"])
-    seen = F.col("__known") | F.col("n_variants").isNotNull()
-    counts = {c: F.when(seen, F.coalesce(F.col(c), F.lit(0))) for c in ("n_variants", "n_activating")}
-    return wide.withColumns(counts).withColumns(
-        {
-            "status": F.when(F.col("n_activating") > 0, "MUT").when(F.col("n_activating") == 0, "WT"),
-            "status_any": F.when(F.col("n_variants") > 0, "MUT_any").when(F.col("n_variants") == 0, "WT_any"),
-        }
-    ).drop("__known")
+    record = F.struct("proteinChange", "tumorAltCount", "tumorRefCount")
+    hit = F.col("__rec").isNotNull() & st.is_activating(F.col("__rec.proteinChange"))
+    rows = [
+        profiled.select("sample", F.lit(True).alias("__known")),
+        variants.select("sample", record.alias("__rec"), F.col("pos").alias("__vpos")),
+        expression.select("sample", F.col("value").alias("__expr"), F.col("pos").alias("__epos")),
+        cna.select("sample", F.col("value").alias("__cna"), F.col("pos").alias("__cpos")),
+        burden.select("sample", "total_mutation_count"),
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    has = F.col("__rec").isNotNull()
+    sides = stacked.groupBy("sample").agg(
+        F.max("__known").alias("__known"),
+        F.count_if(has).alias("n_variants"),
+        F.count_if(hit).alias("n_activating"),
+        F.min_by("__rec", F.when(has, F.col("__vpos"))).alias("__any"),
+        F.min_by("__rec", F.when(hit, F.col("__vpos"))).alias("__hit"),
+        F.min_by("__expr", "__epos").alias("expression"),
+        F.min_by("__cna", "__cpos").alias("cna"),
+        F.max("total_mutation_count").alias("total_mutation_count"),
+    )
+    seen = F.col("__known") | (F.col("n_variants") > 0)
+    facts = sides.select(
+        "sample",
+        *[F.when(seen, F.col(c)).alias(c) for c in ("n_variants", "n_activating")],
+        F.when(seen, F.when(F.col("n_activating") > 0, "MUT").otherwise("WT")).alias("status"),
+        F.when(seen, F.when(F.col("n_variants") > 0, "MUT_any").otherwise("WT_any")).alias("status_any"),
+        F.coalesce(st.canonical_hotspot(F.col("__hit.proteinChange")), F.col("__any.proteinChange")).alias("hotspot"),
+        F.col("__hit.tumorAltCount").alias("alt_count"),
+        F.col("__hit.tumorRefCount").alias("ref_count"),
+        st.vaf(F.col("__hit.tumorAltCount"), F.col("__hit.tumorRefCount")).alias("vaf"),
+        "expression", "cna", "total_mutation_count",
+    )
+    return spread_join(
+        spread_join(slides, facts, ["sample"], "left", salt_on=["slide"]), clinical, ["patient"], "left", salt_on=["slide"]
+    )
 
 
 def per_sample(slides: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from slidegrid.functions.barcode import patient_or_stem
 from slidegrid.functions.hashing import hash_bucket, seeded_key, uniform_int
 from slidegrid.operators.ordered import BUCKET, dense_positions, running_totals, split_points, value_bucket
-from slidegrid.operators.skew import spread_join
+from slidegrid.operators.skew import copies_join, spread_join
 
 
 def ensemble_mean(preds: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def confusion(df: DataFrame, threshold: float | Column | DataFrame = 0.5, by: li
     """
     by = list(by)
     if isinstance(threshold, DataFrame):
-        df = spread_join(df, threshold, by) if by else df.join(F.broadcast(threshold))
+        df = copies_join(df, threshold, by) if by else df.join(F.broadcast(threshold))
         cut = F.col("threshold")
     else:
         cut = threshold if isinstance(threshold, Column) else F.lit(threshold)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.functions.scalars import clip
-from slidegrid.operators.skew import spread_join
+from slidegrid.operators.skew import copies_join
 
 TOP_LEVEL = 17
 
@@ -112,7 +112,7 @@ def coverage(cells: DataFrame, mask: DataFrame, method: str = "cell") -> DataFra
     placed = cells_in_mask(cells)
     if method == "cell":
         geometry = cells.select("slide", "step", "scale").distinct()
-        on = spread_join(mask.where("v > 0"), geometry, ["slide"], salt_on=["mx", "my"])
+        on = copies_join(mask.where("v > 0"), geometry, ["slide"], salt_on=["mx", "my"])
         inside = on.select("slide", _owner(F.col("mx")).alias("tx"), _owner(F.col("my")).alias("ty"))
         counts = inside.groupBy("slide", "tx", "ty").agg(F.count("*").alias("hits"))
         joined = placed.join(counts, ["slide", "tx", "ty"], "left")

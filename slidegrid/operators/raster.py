@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.functions import color
-from slidegrid.operators.skew import spread_join
+from slidegrid.operators.skew import copies_join, spread_join
 from slidegrid.session import cut_lineage
 
 
@@ -43,7 +43,7 @@ def otsu(df: DataFrame, by: list[str], value: Column, bins: int = 256, strict_ab
     sigma = gap * gap / F.greatest(F.col("omega") * (F.lit(1.0) - F.col("omega")), F.lit(1e-9))
     best = spread.groupBy(*by).agg(F.min_by("bin", F.struct(-sigma, F.col("bin"))).alias("otsu_bin"))
     valued = df.withColumn("__v", value)
-    graded = spread_join(valued, best, by) if by else valued.join(F.broadcast(best))
+    graded = copies_join(valued, best, by) if by else valued.join(F.broadcast(best))
     shares = graded.groupBy(*by).agg(
         F.max("otsu_bin").alias("otsu_bin"),
         F.avg((F.col("__v") < F.col("otsu_bin")).cast("double")).alias("__f"),
@@ -51,7 +51,7 @@ def otsu(df: DataFrame, by: list[str], value: Column, bins: int = 256, strict_ab
     )
     strict = F.col("__f") > strict_above
     picked = shares.select(*by, F.when(strict, F.col("__mean")).otherwise(F.col("otsu_bin")).cast("int").alias("threshold"), strict.alias("degenerate"))
-    final = spread_join(valued, picked, by) if by else valued.join(F.broadcast(picked))
+    final = copies_join(valued, picked, by) if by else valued.join(F.broadcast(picked))
     return final.groupBy(*by).agg(
         F.max("threshold").alias("threshold"),
         F.max("degenerate").alias("degenerate"),
@@ -203,9 +203,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = cut_lineage(both)
     labels = nodes.select("id", F.col("id").alias("label"))
     while True:
-        near = spread_join(
-            both, labels.withColumnRenamed("id", "b"), ["b"], salt_on=["a"]
-        ).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("__near"))
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("__near"))
         hooked = labels.join(near, "id", "left").select(
             "id", F.col("label").alias("__old"), F.least("label", F.coalesce("__near", F.col("label"))).alias("__mid")
         )

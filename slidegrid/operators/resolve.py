@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.operators.ordered import dense_positions, index_bucket
 from slidegrid.operators.skew import spread_join
+from slidegrid.session import cut_lineage
 
 TIERS = ["name", "stem", "sample", "patient", "prefix"]
 
@@ -56,7 +57,10 @@ def resolve_tokens(tokens: DataFrame, index: DataFrame, barcode_prefix: str = "T
             )
         ).alias("k"),
     ).select("file_name", "k.tier", "k.key").where(F.nullif(F.col("key"), F.lit("")).isNotNull())
-    hits = spread_join(offered, asked, ["tier", "key"], salt_on=["file_name"]).select("token", "pos", "tier", "file_name")
+    # Read three times below, so it is kept: its size is that of the matches.
+    hits = cut_lineage(
+        spread_join(offered, asked, ["tier", "key"], salt_on=["file_name"]).select("token", "pos", "tier", "file_name")
+    )
     best = hits.groupBy("token").agg(F.min("tier").alias("tier"))
     matches = (
         spread_join(hits, best, ["token", "tier"], salt_on=["file_name"])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from slidegrid.functions import color
 from slidegrid.operators.ordered import group_quantiles
-from slidegrid.operators.skew import spread_join
+from slidegrid.operators.skew import copies_join
 from slidegrid.session import cut_lineage
 
 # Reference stain matrix (rows r, g, b; columns haematoxylin, eosin) and top concentrations.
@@ -37,7 +37,7 @@ def percentile_scale(px: DataFrame, by: list[str], low: float = 1.0, high: float
     wide = q.groupBy(*by).agg(
         *[F.max(F.when(F.col("ch") == c, F.col(s))).alias(f"__{s}_{c}") for c in "rgb" for s in ("lo", "hi")]
     )
-    joined = spread_join(px, wide, by)
+    joined = copies_join(px, wide, by)
     scaled = {}
     for c in "rgb":
         lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
@@ -60,7 +60,7 @@ def colour_transfer(px: DataFrame, by: list[str]) -> DataFrame:
         "a": (LAB_TARGET_AB_MEAN, LAB_TARGET_AB_STD),
         "b": (LAB_TARGET_AB_MEAN, LAB_TARGET_AB_STD),
     }
-    joined = spread_join(work, stats, by, salt_on=["r", "g", "b"])
+    joined = copies_join(work, stats, by, salt_on=["r", "g", "b"])
     moved = {}
     for c, (mean, std) in goals.items():
         v, m, s = F.col(f"__{c}"), F.col(f"__m_{c}"), F.col(f"__s_{c}")
@@ -75,7 +75,7 @@ def colour_transfer(px: DataFrame, by: list[str]) -> DataFrame:
 def mean_scale(px: DataFrame, by: list[str], target: dict[str, float] = CHANNEL_TARGETS) -> DataFrame:
     """Scale every channel so that its tile mean meets the target; a black channel passes through."""
     means = px.groupBy(*by).agg(*[F.avg(c).alias(f"__m_{c}") for c in "rgb"])
-    joined = spread_join(px, means, by, salt_on=["r", "g", "b"])
+    joined = copies_join(px, means, by, salt_on=["r", "g", "b"])
     scaled = {
         f"{c}2": _byte(
             F.when(F.col(f"__m_{c}") > 0, F.col(c) * (F.lit(target[c] * 255.0) / F.col(f"__m_{c}"))).otherwise(F.col(c))
@@ -106,7 +106,7 @@ def stain_percentile(px: DataFrame, by: list[str], low: float = 1.0, high: float
     h, e, d = color.unmix(F.col("r"), F.col("g"), F.col("b"))
     stained = counted.withColumns({"h": h, "e": e})
     probs = {"lo": low / 100, "hi": high / 100}
-    joined = spread_join(px, _two_channel_quantiles(stained, by, "h", "e", probs), by, salt_on=["r", "g", "b"])
+    joined = copies_join(px, _two_channel_quantiles(stained, by, "h", "e", probs), by, salt_on=["r", "g", "b"])
 
     def stretched(x: Column, s: str) -> Column:
         lo, hi = F.col(f"{s}_lo"), F.col(f"{s}_hi")
@@ -120,7 +120,7 @@ def drop_transparent(px: DataFrame, by: list[str], beta: float = 0.15, io: float
     """Pixels whose every density channel reaches ``beta``; a tile with fewer than ``min_px`` is kept whole."""
     dense = F.least(*[color.optical_density(F.col(c), io) for c in "rgb"]) >= beta
     kept = px.groupBy(*by).agg(F.count_if(dense).alias("__dense"))
-    return spread_join(px, kept, by, salt_on=["r", "g", "b"]).where((F.col("__dense") < min_px) | dense).drop("__dense")
+    return copies_join(px, kept, by, salt_on=["r", "g", "b"]).where((F.col("__dense") < min_px) | dense).drop("__dense")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -161,7 +161,7 @@ def stain_vectors(
     def along(k: int) -> Column:
         return sum((F.col(f"d{i}") * F.get("axes", F.lit(3 * k + i)) for i in range(3)), F.lit(0.0))
 
-    turned = spread_join(dense, axes, by, salt_on=["r", "g", "b"]).select(*by, "n", F.atan2(along(1), along(0)).alias("phi"))
+    turned = copies_join(dense, axes, by, salt_on=["r", "g", "b"]).select(*by, "n", F.atan2(along(1), along(0)).alias("phi"))
     angles = group_quantiles(
         turned.withColumnRenamed("n", "w"), by, "phi", {"phi_lo": alpha / 100, "phi_hi": 1 - alpha / 100}, weight="w"
     ).drop("n")
@@ -178,7 +178,7 @@ def stain_vectors(
             *[F.when(low_first, vector("phi_hi", i)).otherwise(vector("phi_lo", i)).alias(f"e{i + 1}") for i in range(3)],
         )
     )
-    amounts = spread_join(work, vectors, by, salt_on=["r", "g", "b"]).withColumns(_concentrations(["d0", "d1", "d2"]))
+    amounts = copies_join(work, vectors, by, salt_on=["r", "g", "b"]).withColumns(_concentrations(["d0", "d1", "d2"]))
     tops = _two_channel_quantiles(amounts, by, "conc_h", "conc_e", {"top": 0.99})
     floor = F.lit(1e-6)
     return vectors.join(tops, by).withColumns(
@@ -214,7 +214,7 @@ def separate_stains(
     Tiles without a usable stain plane keep their colours.
     """
     vectors = stain_vectors(px, by, io, alpha, beta)
-    joined = spread_join(px, vectors, by, "left", salt_on=["r", "g", "b"]).withColumns(
+    joined = copies_join(px, vectors, by, "left", salt_on=["r", "g", "b"]).withColumns(
         {f"d{i}": color.optical_density(F.col(c), io) for i, c in enumerate("rgb")}
     ).withColumns(_concentrations(["d0", "d1", "d2"]))
     known = F.col("conc_h").isNotNull()

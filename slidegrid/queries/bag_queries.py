@@ -205,7 +205,7 @@ SELECT slide, tile_idx, round(sum(exp(z - top) * v[1]) / sum(exp(z - top)), 6) A
  1.0::DOUBLE AS weight_sum FROM m GROUP BY 1, 2""")
 def bag_attention(spark, d):
     eye = np.eye(64)
-    out = attention.bag_attention(bag_rows(spark, d), eye, eye, eye, block=8)
+    out = attention.bag_attention(bag_rows(spark, d), eye, eye, eye, block=64)
     return out.select(
         "slide", "tile_idx", *[r6(F.get("out", F.lit(i - 1))).alias(f"o{i}") for i in (1, 2, 64)], r6("weight_sum").alias("weight_sum")
     )

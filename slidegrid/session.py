@@ -35,6 +35,11 @@ def salt_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.slidegrid.salts", "8"))
 
 
+def hot_rows(spark: SparkSession) -> int:
+    """From how many rows on a join key counts as hot."""
+    return int(spark.conf.get("spark.slidegrid.hotRows", "1000000"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of an iterative result.
 

@@ -38,12 +38,40 @@ def folder_of(path: Column) -> Column:
 
 
 def file_inventory(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, name, folder, length, modificationTime) of every file below ``root``; contents stay unread."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root).select("path", "length", "modificationTime")
-    return files.withColumns({"name": F.regexp_extract("path", r"([^/]+)$", 1), "folder": folder_of(F.col("path"))})
+    """(path, name, folder, length, modificationTime) of every file below ``root``; contents stay unread.
+
+    Spark's own file sources leave out empty files, which matter here (an interrupted download), so the
+    listing runs as tasks over the first-level folders.
+    """
+    import fnmatch
+
+    from pyarrow import fs
+
+    where = root if "://" in root else "file://" + root
+    system, base = fs.FileSystem.from_uri(where)
+    top = system.get_file_info(fs.FileSelector(base, recursive=False))
+    todo = [(i.path, i.type == fs.FileType.Directory) for i in top]
+
+    def run(batches):
+        import pandas as pd
+
+        reach, _ = fs.FileSystem.from_uri(where)
+        for pdf in batches:
+            for path, is_dir in zip(pdf["path"], pdf["is_dir"]):
+                found = reach.get_file_info(fs.FileSelector(path, recursive=True) if is_dir else [path])
+                files = [f for f in found if f.type == fs.FileType.File and (glob is None or fnmatch.fnmatch(f.base_name, glob))]
+                yield pd.DataFrame(
+                    {
+                        "path": [f.path for f in files],
+                        "length": [f.size for f in files],
+                        "modificationTime": pd.to_datetime([f.mtime_ns for f in files], unit="ns", utc=True),
+                    }
+                )
+
+    pieces = max(1, min(len(todo), 4 * spark.sparkContext.defaultParallelism))
+    starts = spark.createDataFrame(todo, "path string, is_dir boolean").repartition(pieces)
+    listed = starts.mapInPandas(run, "path string, length long, modificationTime timestamp")
+    return listed.withColumns({"name": F.regexp_extract("path", r"([^/]+)$", 1), "folder": folder_of(F.col("path"))})
 
 
 def file_digests(spark: SparkSession, root: str, glob: str | None = None, limit: int = 2_000_000_000) -> DataFrame:
@@ -65,7 +93,7 @@ def read_entity_json(spark: SparkSession, root: str, kind: str, gene: str, schem
     """
     schema = schema or KIND_SCHEMAS[kind]
     pattern = KINDS[kind].format(gene=gene)
-    texts = spark.read.option("wholetext", True).text(f"{root}/{folders}/{pattern}").select(
+    texts = spark.read.text(f"{root}/{folders}/{pattern}", wholetext=True).select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")
     )
     body = F.trim("text")
@@ -167,7 +195,7 @@ def read_concatenated_json(spark: SparkSession, path: str, schema: str, key: str
 
     A file is one text row here, so it must fit Spark's 2 GB row limit; many such files spread over tasks.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     marked = F.regexp_replace("value", r"(?m)^\}\s*\{", "}\u0001{")
     objects = text.select(F.posexplode(F.split(marked, "\u0001")).alias("pos", "json"))
     parsed = objects.select("pos", F.from_json("json", schema).alias("o")).select("pos", "o.*")
