@@ -60,11 +60,13 @@ def file_inventory(spark: SparkSession, root: str, glob: str | None = None) -> D
             for path, is_dir in zip(pdf["path"], pdf["is_dir"]):
                 found = reach.get_file_info(fs.FileSelector(path, recursive=True) if is_dir else [path])
                 files = [f for f in found if f.type == fs.FileType.File and (glob is None or fnmatch.fnmatch(f.base_name, glob))]
+                if not files:
+                    continue
                 yield pd.DataFrame(
                     {
-                        "path": [f.path for f in files],
+                        "path": pd.Series([f.path for f in files], dtype="object"),
                         "length": [f.size for f in files],
-                        "modificationTime": pd.to_datetime([f.mtime_ns for f in files], unit="ns", utc=True),
+                        "modificationTime": pd.to_datetime([(f.mtime_ns or 0) // 1000 for f in files], unit="us", utc=True),
                     }
                 )
 

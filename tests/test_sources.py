@@ -78,7 +78,7 @@ def test_token_folder_and_slide_index(spark, tmp_path):
     for n in ("b.svs", "a.SVS", "c.txt"):
         (folder / n).write_text("")
     assert [r["token"] for r in readers.read_tokens(spark, str(folder), is_folder=True).orderBy("pos").collect()] == ["a.SVS", "b.svs"]
-    (tmp_path / "index.tsv").write_text("uuid\tFile_Name\tcases.0.submitter_id\nu1\tx.svs\tTCGA-AA-0001\nu2\ty.svs\t1234\n\t\t\n")
+    (tmp_path / "index.tsv").write_text("file_id\tFile_Name\tcases.0.submitter_id\nu1\tx.svs\tTCGA-AA-0001\nu2\ty.svs\t1234\n\t\t\n")
     got = {r["file_name"]: (r["file_id"], r["patient"], r["sample"]) for r in readers.read_slide_index(spark, str(tmp_path / "index.tsv")).collect()}
     assert got == {"x.svs": ("u1", "TCGA-AA-0001", "TCGA-AA-0001-01"), "y.svs": ("u2", None, None)}
 
