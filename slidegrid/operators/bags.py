@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from slidegrid.operators.ordered import BUCKET, index_bucket, running_totals, top_n
+from slidegrid.operators.ordered import first_by_index, top_n
 from slidegrid.session import cut_lineage
 
 HIDDEN, HEAD = 128, (128, 64)
@@ -63,11 +63,7 @@ def load_bags(embeddings: DataFrame, labels: DataFrame, max_tiles: int | None =
     missing = labels.join(embeddings.select("slide").distinct(), "slide", "left_anti")
     wanted = embeddings.join(labels.select("slide").distinct(), "slide", "left_semi")
     if max_tiles is not None:
-        numbered = running_totals(
-            wanted.select("slide", "tile_idx").withColumn(BUCKET, index_bucket(F.col("tile_idx"), 4096)),
-            ["slide"], ["tile_idx"], {"__rank": F.lit(1)},
-        ).where(F.col("__rank") <= max_tiles)
-        wanted = wanted.join(numbered.select("slide", "tile_idx"), ["slide", "tile_idx"], "left_semi")
+        wanted = first_by_index(wanted, ["slide"], "tile_idx", max_tiles)
     return wanted, missing
 
 
@@ -239,8 +235,8 @@ def ensemble_gradients(bags: DataFrame, targets: DataFrame, models: list[BagMode
     """Summed loss and gradient per model over its training slides.
 
     ``targets`` has (model, slide, label, pos_weight). Slides are dealt into ``chunks`` groups per
-    model; what reaches the driver is one gradient per chunk and model, its size set by the network
-    alone and not by the data.
+    model and summed in two steps; one gradient per model reaches the driver, its size set by the
+    network alone and not by the data.
     """
     names = sorted(models[0].w)
     shared = bags.sparkSession.sparkContext.broadcast(models)
@@ -264,12 +260,21 @@ def ensemble_gradients(bags: DataFrame, targets: DataFrame, models: list[BagMode
         for i, (loss, n, flat) in sums.items():
             yield pd.DataFrame({"model": [i], "loss": [loss], "n": [n], "grad": [flat.tolist()]})
 
-    parts = per_slide.repartition(chunks, "model", "chunk").mapInPandas(run, "model int, loss double, n long, grad array<double>")
-    out: dict[int, tuple[float, int, np.ndarray]] = {}
-    for row in parts.toLocalIterator():
-        loss, n, flat = out.get(row["model"], (0.0, 0, np.zeros(len(row["grad"]))))
-        out[row["model"]] = (loss + row["loss"], n + row["n"], flat + np.asarray(row["grad"]))
-    return out
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                held = sums.setdefault(int(row.model), [0.0, 0, 0.0])
+                held[0] += row.loss
+                held[1] += row.n
+                held[2] = held[2] + np.asarray(row.grad)
+        for i, (loss, n, flat) in sums.items():
+            yield pd.DataFrame({"model": [i], "loss": [loss], "n": [n], "grad": [flat.tolist()]})
+
+    schema = "model int, loss double, n long, grad array<double>"
+    parts = per_slide.repartition(chunks, "model", "chunk").mapInPandas(run, schema)
+    whole = parts.repartition("model").mapInPandas(add_up, schema)
+    return {r["model"]: (r["loss"], r["n"], np.asarray(r["grad"])) for r in whole.toLocalIterator()}
 
 
 def train_ensemble(
@@ -327,12 +332,14 @@ def models_from_frame(df: DataFrame) -> list[BagModel]:
 
 def train_manifest(models: DataFrame, folds: DataFrame, epochs: int, lr: float) -> DataFrame:
     """One nested record of a training run."""
-    sizes = folds.agg(F.countDistinct("unit").alias("n_units"), F.max("repeat").alias("__r"), F.max("fold").alias("__f"))
+    sizes = folds.agg(
+        F.struct(F.countDistinct("unit").alias("units"), F.max("repeat").alias("r"), F.max("fold").alias("f"))
+    ).scalar()
     return models.agg(
         F.count("*").alias("n_models"),
         F.avg("val_auc").alias("mean_val_auc"),
         F.sort_array(F.collect_list(F.struct("repeat", "fold", "n_extreme", "val_auc"))).alias("models"),
-    ).join(F.broadcast(sizes)).select(
-        "n_models", "n_units", (F.col("__r") + 1).alias("repeats"), (F.col("__f") + 1).alias("splits"),
+    ).withColumn("__s", sizes).select(
+        "n_models", F.col("__s.units").alias("n_units"), (F.col("__s.r") + 1).alias("repeats"), (F.col("__s.f") + 1).alias("splits"),
         F.lit(epochs).alias("epochs"), F.lit(lr).alias("lr"), "mean_val_auc", "models",
     )

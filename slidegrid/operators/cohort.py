@@ -199,9 +199,9 @@ def group_stats(df: DataFrame, by: list[str], col: str, splits: list[float] | No
 
 
 def cap_at_quantile(df: DataFrame, col: str, q: float = 0.98, out: str = "capped") -> DataFrame:
-    """Clip ``col`` from above at its q-quantile. The quantile is one row, hence broadcast."""
-    cap = group_quantiles(df, [], col, {"__cap": q}).select("__cap")
-    return df.join(F.broadcast(cap)).withColumn(out, F.least(F.col(col).cast("double"), F.col("__cap"))).drop("__cap")
+    """Clip ``col`` from above at its q-quantile, a scalar subquery."""
+    cap = group_quantiles(df, [], col, {"__cap": q}).select("__cap").scalar()
+    return df.withColumn(out, F.when(F.col(col).isNotNull(), F.least(F.col(col).cast("double"), cap)))
 
 
 def correlation(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
@@ -214,11 +214,10 @@ def correlation(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
 def histogram(df: DataFrame, col: str, edges: DataFrame, by: list[str] = ()) -> DataFrame:
     """Counts per bin, last bin closed on the right; ``edges`` is one row with an array ``edges``.
 
-    The bin is found from the sorted edges with a binary-search-free count of edges at or below the
-    value, which stays in generated code for the usual dozen or two of bins.
+    The bin of a value is the number of edges at or below it; reports use a dozen or two of bins.
     """
     v = F.col(col).cast("double")
-    tagged = df.where(F.col(col).isNotNull()).join(F.broadcast(edges))
+    tagged = df.where(F.col(col).isNotNull()).withColumn("edges", edges.select("edges").scalar())
     n = F.size("edges") - 1
     passed = F.aggregate("edges", F.lit(0), lambda acc, e: acc + F.when(e <= v, 1).otherwise(0))
     bin_no = F.when(v == F.element_at("edges", -1), n).otherwise(passed)

@@ -185,7 +185,7 @@ def confusion(df: DataFrame, threshold: float | Column | DataFrame = 0.5, by: li
     """
     by = list(by)
     if isinstance(threshold, DataFrame):
-        df = copies_join(df, threshold, by) if by else df.join(F.broadcast(threshold))
+        df = copies_join(df, threshold, by) if by else df.withColumn("threshold", threshold.select("threshold").scalar())
         cut = F.col("threshold")
     else:
         cut = threshold if isinstance(threshold, Column) else F.lit(threshold)
@@ -216,10 +216,9 @@ def resample_weights(units: DataFrame, key: str, n_repeats: int, seed: int = 0)
     """
     hashed = units.withColumn("__h", F.md5(F.col(key).cast("string")))
     numbered = dense_positions(hashed, [], ["__h", key], hash_bucket(F.col("__h")), "__idx").drop("__h")
-    size = units.agg(F.count("*").alias("__n"))
+    size = units.agg(F.count("*").alias("__n")).scalar()
     draws = (
-        numbered.select("__idx")
-        .join(F.broadcast(size))
+        numbered.select("__idx", size.alias("__n"))
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
         .select("rep", uniform_int(seeded_key(seed, "rep", "__idx"), F.col("__n")).alias("__idx"))
         .groupBy("rep", "__idx")
@@ -281,12 +280,12 @@ def metrics_record(units: DataFrame, key: str, target: float = 0.92, n_repeats:
     table = score_table(units, [], splits=splits)
     point = threshold_from(table, [], target)
     at_point = confusion(units, point.select("threshold"))
-    half = confusion(units, 0.5).select(F.col("accuracy").alias("accuracy_at_half"))
+    half = confusion(units, 0.5).select("accuracy")
     record = (
         ranking_metrics(table)
-        .join(F.broadcast(point.select("threshold")))
-        .join(F.broadcast(at_point))
-        .join(F.broadcast(half))
+        .withColumns({"threshold": point.select("threshold").scalar(), "accuracy_at_half": half.scalar()})
+        .withColumn("__at", at_point.select(F.struct(*at_point.columns)).scalar())
+        .select("n_pos", "n_neg", "auc", "average_precision", "threshold", "accuracy_at_half", "__at.*")
         .select(
             (F.col("n_pos") + F.col("n_neg")).alias("n_units"), "n_pos", "n_neg", F.lit(eval_mode).alias("eval_mode"),
             F.struct("auc", "average_precision").alias("ranking"),
@@ -301,5 +300,5 @@ def metrics_record(units: DataFrame, key: str, target: float = 0.92, n_repeats:
         boot = bootstrap_ci(units, key, n_repeats, seed, target).agg(
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.struct("median", "lower", "upper"))))).alias("bootstrap")
         )
-        record = record.join(F.broadcast(boot))
+        record = record.withColumn("bootstrap", boot.scalar())
     return record

@@ -19,6 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.functions.hashing import hash_bucket, seeded_key, spread
+from slidegrid.operators.skew import copies_join
 from slidegrid.session import prefix_buckets, salt_count
 
 BUCKET = "__bucket"
@@ -110,12 +111,29 @@ def read_positions(df: DataFrame, out: str = "pos") -> DataFrame:
 
 def sample_cap(df: DataFrame, by: list[str], key: list[str], n: int, seed: int = 0, digits: int = 2) -> DataFrame:
     """At most ``n`` rows per group, chosen uniformly without replacement by a seeded hash."""
-    hashed = df.withColumn("__h", seeded_key(seed, *by, *key)).withColumn(BUCKET, hash_bucket(F.col("__h"), digits))
-    return (
-        running_totals(hashed, by, ["__h", *key], {"__rank": F.lit(1)})
-        .where(F.col("__rank") <= n)
-        .drop("__h", BUCKET, "__rank")
+    place = F.struct(seeded_key(seed, *by, *key).alias("h"), *key)
+    narrow = df.select(*by, *key, place.alias("__h")).withColumn(BUCKET, hash_bucket(F.col("__h.h"), digits))
+    return _up_to(df.withColumn("__h", place), narrow, by, "__h", n).drop("__h")
+
+
+def first_by_index(df: DataFrame, by: list[str], index: str, n: int, block: int = 4096) -> DataFrame:
+    """The first ``n`` rows of each group by a unique whole-number index."""
+    narrow = df.select(*by, index).withColumn(BUCKET, index_bucket(F.col(index), block))
+    return _up_to(df, narrow, by, index, n)
+
+
+def _up_to(df: DataFrame, narrow: DataFrame, by: list[str], place: str, n: int) -> DataFrame:
+    """Rows at or before the n-th place of their group.
+
+    Places are ranked on the key columns alone; what meets the full rows is one cut-off per group, so
+    wide columns (pixels, embeddings) take part in no sort.
+    """
+    cut = (
+        running_totals(narrow, by, [place], {"__rank": F.lit(1)}).where(F.col("__rank") == n).select(*by, F.col(place).alias("__cut"))
     )
+    return copies_join(df, cut, by, "left", salt_on=[place]).where(
+        F.col("__cut").isNull() | (F.col(place) <= F.col("__cut"))
+    ).drop("__cut")
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, salt_on: list[str], rank: str = "rank") -> DataFrame:

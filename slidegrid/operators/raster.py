@@ -43,7 +43,7 @@ def otsu(df: DataFrame, by: list[str], value: Column, bins: int = 256, strict_ab
     sigma = gap * gap / F.greatest(F.col("omega") * (F.lit(1.0) - F.col("omega")), F.lit(1e-9))
     best = spread.groupBy(*by).agg(F.min_by("bin", F.struct(-sigma, F.col("bin"))).alias("otsu_bin"))
     valued = df.withColumn("__v", value)
-    graded = copies_join(valued, best, by) if by else valued.join(F.broadcast(best))
+    graded = copies_join(valued, best, by) if by else valued.withColumn("otsu_bin", best.scalar())
     shares = graded.groupBy(*by).agg(
         F.max("otsu_bin").alias("otsu_bin"),
         F.avg((F.col("__v") < F.col("otsu_bin")).cast("double")).alias("__f"),
@@ -51,7 +51,9 @@ def otsu(df: DataFrame, by: list[str], value: Column, bins: int = 256, strict_ab
     )
     strict = F.col("__f") > strict_above
     picked = shares.select(*by, F.when(strict, F.col("__mean")).otherwise(F.col("otsu_bin")).cast("int").alias("threshold"), strict.alias("degenerate"))
-    final = copies_join(valued, picked, by) if by else valued.join(F.broadcast(picked))
+    final = copies_join(valued, picked, by) if by else valued.withColumns(
+        {c: picked.select(c).scalar() for c in ("threshold", "degenerate")}
+    )
     return final.groupBy(*by).agg(
         F.max("threshold").alias("threshold"),
         F.max("degenerate").alias("degenerate"),

@@ -101,13 +101,8 @@ def range_slice(df: DataFrame, pos: str, spec: str | None = None, **kw: int) ->
     first, last = parse_range(spec, **kw)
     if last is not None and last < first:
         last = first
-    total = df.agg(F.count("*").alias("__total"))
-    upper = F.col("__total") if last is None else F.least(F.lit(last), F.col("__total"))
-    return (
-        df.join(F.broadcast(total))
-        .where((F.col(pos) + 1 >= F.lit(first)) & (F.col(pos) + 1 <= upper))
-        .drop("__total")
-    )
+    rank = F.col(pos) + 1
+    return df.where((rank >= first) if last is None else rank.between(first, last))
 
 
 def first_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
