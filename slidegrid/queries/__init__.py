@@ -9,4 +9,5 @@ from slidegrid.queries import (  # noqa: F401
     join_queries,
     raster_queries,
     scalar_queries,
+    source_queries,
 )
