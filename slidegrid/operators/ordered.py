@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.functions.hashing import hash_bucket, seeded_key, spread
 from slidegrid.operators.skew import copies_join
-from slidegrid.session import prefix_buckets, salt_count
+from slidegrid.session import cut_lineage, prefix_buckets, salt_count
 
 BUCKET = "__bucket"
 
@@ -125,12 +125,21 @@ def first_by_index(df: DataFrame, by: list[str], index: str, n: int, block: int
 def _up_to(df: DataFrame, narrow: DataFrame, by: list[str], place: str, n: int) -> DataFrame:
     """Rows at or before the n-th place of their group.
 
-    Places are ranked on the key columns alone; what meets the full rows is one cut-off per group, so
-    wide columns (pixels, embeddings) take part in no sort.
+    Bucket sizes tell in which bucket of a group the n-th place lies, and only that bucket is ranked, on
+    the key columns alone. What meets the full rows is one cut-off per group, so wide columns (pixels,
+    embeddings) take part in no sort.
     """
-    cut = (
-        running_totals(narrow, by, [place], {"__rank": F.lit(1)}).where(F.col("__rank") == n).select(*by, F.col(place).alias("__cut"))
+    sizes = narrow.groupBy(*by, BUCKET).agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    edge = (
+        sizes.withColumn("__o", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+        .where((F.col("__o") < n) & (F.col("__o") + F.col("__c") >= n))
+        .select(*by, BUCKET, "__o")
     )
+    inside = narrow.join(edge, [*by, BUCKET]).withColumn(
+        "__rank", F.row_number().over(Window.partitionBy(*by).orderBy(place))
+    )
+    cut = inside.where(F.col("__o") + F.col("__rank") == n).select(*by, F.col(place).alias("__cut"))
     return copies_join(df, cut, by, "left", salt_on=[place]).where(
         F.col("__cut").isNull() | (F.col(place) <= F.col("__cut"))
     ).drop("__cut")
@@ -170,15 +179,82 @@ def group_quantiles(
     bounded: bool = False,
     splits: list[float] | None = None,
     weight: str | None = None,
+    accuracy: int = 2000,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group.
+    """Exact linearly interpolated quantiles per group: (by..., n, one column per entry of ``probs``).
 
-    Values are counted first (map-side combined), so equal values cost one row. ``bounded`` says the
-    column has few distinct values per group (8-bit channels, bins), which needs no buckets.
+    By default a mergeable summary first brackets each quantile, then rows below the bracket are counted
+    and only rows inside it are ordered: two scans and almost no shuffle. ``bounded`` (few distinct
+    values, as 8-bit channels), ``weight`` or ``splits`` choose counting of distinct values instead,
+    which orders all of them in buckets.
     """
     live = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
-    n_of = F.sum(weight) if weight else F.count("*")
-    counts = live.groupBy(*by, col).agg(n_of.alias("__n"))
+    if bounded or weight or splits is not None:
+        return _counted_quantiles(live, by, col, probs, bounded, splits, weight)
+    return _bracketed_quantiles(live.select(*by, F.col(col).cast("double").alias("__v")), by, probs, accuracy)
+
+
+def _interpolated(wide: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
+    low, high, t = ({k: F.col(f"__{part}_{k}") for k in probs} for part in ("lo", "hi", "t"))
+    return wide.select(*by, "n", *[(low[k] + (high[k] - low[k]) * t[k]).alias(k) for k in probs])
+
+
+def _bracketed_quantiles(live: DataFrame, by: list[str], probs: dict[str, float], accuracy: int) -> DataFrame:
+    """Quantiles through brackets [p - 2/accuracy, p + 2/accuracy] of an approximate summary.
+
+    The summary is off by at most n / accuracy ranks, half the bracket's margin; a group of up to
+    4 * accuracy rows is bracketed whole. The summary is checkpointed, so that both scans use the same
+    brackets even when a task is retried. A bracket that misses its rank stops the job.
+    """
+    margin = 2.0 / accuracy
+    points = [x for p in probs.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    summary = live.groupBy(*by).agg(F.percentile_approx("__v", points, accuracy).alias("__q"), F.count("*").alias("__n"))
+    whole = F.col("__n") <= 4 * accuracy
+    edges = {}
+    for i, p in enumerate(probs.values()):
+        edges[f"__a{i}"] = F.when(whole | F.lit(p - margin <= 0), F.lit(float("-inf"))).otherwise(F.get("__q", F.lit(2 * i)))
+        edges[f"__z{i}"] = F.when(whole | F.lit(p + margin >= 1), F.lit(float("inf"))).otherwise(F.get("__q", F.lit(2 * i + 1)))
+    brackets = cut_lineage(summary.withColumns(edges).drop("__q"))
+    if by:
+        seen = copies_join(live, brackets, by, salt_on=["__v"])
+    else:
+        one = brackets.select(F.struct(*brackets.columns)).scalar()
+        seen = live.withColumn("__k", one).select("__v", "__k.*")
+    v = F.col("__v")
+    below = seen.groupBy(*by).agg(
+        F.max("__n").alias("n"), *[F.count_if(v < F.col(f"__a{i}")).alias(f"__b{i}") for i in range(len(probs))]
+    )
+    which = F.array_compact(F.array(*[F.when(v.between(F.col(f"__a{i}"), F.col(f"__z{i}")), F.lit(i)) for i in range(len(probs))]))
+    inside = seen.select(*by, "__v", which.alias("__w")).where(F.size("__w") > 0).select(*by, "__v", F.explode("__w").alias("__i"))
+    counts = inside.groupBy(*by, "__i", "__v").agg(F.count("*").alias("__c"))
+    upto = Window.partitionBy(*by, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("__cum", F.sum("__c").over(upto))
+    if by:
+        ranked = ranked.join(below, by)
+    else:
+        ranked = ranked.withColumn("__k", below.select(F.struct(*below.columns)).scalar()).select("__i", "__v", "__c", "__cum", "__k.*")
+    aggs = []
+    for i, (name, p) in enumerate(probs.items()):
+        spot = F.lit(float(p)) * (F.col("n") - 1)
+        upper = F.col("__cum") + F.col(f"__b{i}")
+
+        def at(position: Column, i: int = i, upper: Column = upper) -> Column:
+            return F.max(F.when((F.col("__i") == i) & (upper - F.col("__c") <= position) & (position < upper), v))
+
+        aggs += [at(F.floor(spot)).alias(f"__lo_{name}"), at(F.ceil(spot)).alias(f"__hi_{name}"), F.max(spot - F.floor(spot)).alias(f"__t_{name}")]
+    wide = ranked.groupBy(*by).agg(*aggs, F.max("n").alias("n"))
+    hit = {
+        c: F.coalesce(F.col(c), F.raise_error(F.lit("a quantile bracket missed its rank; pass splits to order all values")).cast("double"))
+        for name in probs
+        for c in (f"__lo_{name}", f"__hi_{name}")
+    }
+    return _interpolated(wide.withColumns(hit), by, probs)
+
+
+def _counted_quantiles(
+    live: DataFrame, by: list[str], col: str, probs: dict[str, float], bounded: bool, splits: list[float] | None, weight: str | None
+) -> DataFrame:
+    counts = live.groupBy(*by, col).agg((F.sum(weight) if weight else F.count("*")).alias("__n"))
     if bounded:
         upto = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
         ranked = counts.withColumns(
@@ -202,14 +278,4 @@ def group_quantiles(
             at(F.ceil(spot)).alias(f"__hi_{name}"),
             F.max(spot - F.floor(spot)).alias(f"__t_{name}"),
         ]
-    wide = ranked.groupBy(*by).agg(*aggs, F.max(total).alias("n"))
-    return wide.select(
-        *by,
-        "n",
-        *[
-            (
-                F.col(f"__lo_{k}") + (F.col(f"__hi_{k}") - F.col(f"__lo_{k}")) * F.col(f"__t_{k}")
-            ).alias(k)
-            for k in probs
-        ],
-    )
+    return _interpolated(ranked.groupBy(*by).agg(*aggs, F.max(total).alias("n")), by, probs)

@@ -1,7 +1,7 @@
 """Colour and stain normalisation of pixel rows (by, r, g, b).
 
-Statistics per tile come from counts of distinct colours or 8-bit values, which shrink the pixels on
-the map side; the pixels themselves are only scanned again to apply a handful of numbers per tile.
+Statistics per tile are aggregates with map-side combine, counts of 8-bit values or exact quantiles; the
+pixels themselves are only scanned again to apply a handful of numbers per tile.
 """
 
 from __future__ import annotations
@@ -85,16 +85,12 @@ def mean_scale(px: DataFrame, by: list[str], target: dict[str, float] = CHANNEL_
     return joined.withColumns(scaled).select(*px.columns, "r2", "g2", "b2")
 
 
-def colour_counts(px: DataFrame, by: list[str]) -> DataFrame:
-    return px.groupBy(*by, "r", "g", "b").agg(F.count("*").alias("n"))
-
-
-def _two_channel_quantiles(counted: DataFrame, by: list[str], first: str, second: str, probs: dict[str, float]) -> DataFrame:
-    """Quantiles of two columns of counted colours in one pass: (by, <column>_<name>...)."""
-    long = counted.select(
-        *by, "n", F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(c).alias("v")) for c in (first, second)])).alias("p")
-    ).select(*by, "p.ch", "p.v", F.col("n").alias("w"))
-    q = group_quantiles(long, [*by, "ch"], "v", probs, weight="w")
+def _two_channel_quantiles(px: DataFrame, by: list[str], first: str, second: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles of two columns in one go: (by, <column>_<name>...)."""
+    long = px.select(
+        *by, F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(c).alias("v")) for c in (first, second)])).alias("p")
+    ).select(*by, "p.ch", "p.v")
+    q = group_quantiles(long, [*by, "ch"], "v", probs)
     return q.groupBy(*by).agg(
         *[F.max(F.when(F.col("ch") == c, F.col(k))).alias(f"{c}_{k}") for c in (first, second) for k in probs]
     )
@@ -102,9 +98,8 @@ def _two_channel_quantiles(counted: DataFrame, by: list[str], first: str, second
 
 def stain_percentile(px: DataFrame, by: list[str], low: float = 1.0, high: float = 99.0) -> DataFrame:
     """Unmix into stains, stretch haematoxylin and eosin to their percentile range, mix back."""
-    counted = colour_counts(px, by)
     h, e, d = color.unmix(F.col("r"), F.col("g"), F.col("b"))
-    stained = counted.withColumns({"h": h, "e": e})
+    stained = px.select(*by, h.alias("h"), e.alias("e"))
     probs = {"lo": low / 100, "hi": high / 100}
     joined = copies_join(px, _two_channel_quantiles(stained, by, "h", "e", probs), by, salt_on=["r", "g", "b"])
 
@@ -139,32 +134,24 @@ def stain_vectors(
     """Per tile: haematoxylin and eosin vectors (h1..h3, e1..e3) and 99th percentile concentrations.
 
     Covariances are Spark aggregates; only their 3 by 3 eigenproblem runs in Arrow batches, one row
-    per tile. Angles and concentrations are exact quantiles over counted colours. Tiles with too few
-    dense pixels are left out.
+    per tile. Angles and concentrations are exact quantiles. Pixels are scanned several times but not
+    shuffled: what travels is a few numbers per tile. Tiles with too few dense pixels are left out.
     """
     od = [color.optical_density(F.col(c), io) for c in "rgb"]
-    work = cut_lineage(colour_counts(px, by).withColumns({f"d{i}": od[i] for i in range(3)}))
+    work = px.select(*by, *[od[i].alias(f"d{i}") for i in range(3)])
     dense = work.where(F.least("d0", "d1", "d2") >= beta)
     pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
-    w = F.col("n").cast("double")
     moments = dense.groupBy(*by).agg(
-        F.sum(w).alias("__n"),
-        *[F.sum(w * F.col(f"d{i}")).alias(f"__s{i}") for i in range(3)],
-        *[F.sum(w * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"__x{i}{j}") for i, j in pairs],
+        F.count("*").alias("__n"), *[F.covar_samp(f"d{i}", f"d{j}").alias(f"__c{i}{j}") for i, j in pairs]
     ).where(F.col("__n") >= min_px)
-    cov = [
-        (F.col(f"__x{i}{j}") - F.col(f"__s{i}") * F.col(f"__s{j}") / F.col("__n")) / (F.col("__n") - 1) for i, j in pairs
-    ]
-    axes = moments.select(*by, _plane(*cov).alias("axes")).where(F.col("axes").isNotNull())
+    axes = moments.select(*by, _plane(*[F.col(f"__c{i}{j}") for i, j in pairs]).alias("axes")).where(F.col("axes").isNotNull())
     axes = cut_lineage(axes)
 
     def along(k: int) -> Column:
         return sum((F.col(f"d{i}") * F.get("axes", F.lit(3 * k + i)) for i in range(3)), F.lit(0.0))
 
-    turned = copies_join(dense, axes, by, salt_on=["r", "g", "b"]).select(*by, "n", F.atan2(along(1), along(0)).alias("phi"))
-    angles = group_quantiles(
-        turned.withColumnRenamed("n", "w"), by, "phi", {"phi_lo": alpha / 100, "phi_hi": 1 - alpha / 100}, weight="w"
-    ).drop("n")
+    turned = copies_join(dense, axes, by).select(*by, F.atan2(along(1), along(0)).alias("phi"))
+    angles = group_quantiles(turned, by, "phi", {"phi_lo": alpha / 100, "phi_hi": 1 - alpha / 100}).drop("n")
     both = angles.join(axes, by)
 
     def vector(phi: str, i: int) -> Column:
@@ -178,7 +165,7 @@ def stain_vectors(
             *[F.when(low_first, vector("phi_hi", i)).otherwise(vector("phi_lo", i)).alias(f"e{i + 1}") for i in range(3)],
         )
     )
-    amounts = copies_join(work, vectors, by, salt_on=["r", "g", "b"]).withColumns(_concentrations(["d0", "d1", "d2"]))
+    amounts = copies_join(work, vectors, by).withColumns(_concentrations(["d0", "d1", "d2"]))
     tops = _two_channel_quantiles(amounts, by, "conc_h", "conc_e", {"top": 0.99})
     floor = F.lit(1e-6)
     return vectors.join(tops, by).withColumns(

@@ -39,6 +39,21 @@ def test_quantiles_match_numpy_for_any_bucket_count(hot_frame, buckets):
         assert np.allclose(got.loc[g, ["a", "m", "z"]].astype(float), np.percentile(part["v"], [1, 50, 99]))
 
 
+def test_bracketed_quantiles_are_exact(spark, hot_frame):
+    """Tight brackets (groups larger than 4 * accuracy), ties at the bracket edge, and no group at all."""
+    rng = np.random.default_rng(9)
+    n = 30_000
+    v = np.where(rng.random(n) < 0.35, 2.0, rng.normal(0, 3, n))
+    pdf = pd.DataFrame({"g": np.where(np.arange(n) % 3 == 0, 1, rng.integers(2, 400, n)), "v": v})
+    df = spark.createDataFrame(pdf).repartition(6)
+    probs = {"a": 0.01, "m": 0.5, "z": 0.99, "top": 1.0}
+    got = od.group_quantiles(df, ["g"], "v", probs, accuracy=100).toPandas().set_index("g")
+    for g, part in pdf.groupby("g"):
+        assert np.allclose(got.loc[g, list(probs)].astype(float), np.percentile(part["v"], [1, 50, 99, 100]))
+    one = od.group_quantiles(df, [], "v", probs, accuracy=100).first()
+    assert np.allclose([one[k] for k in probs], np.percentile(v, [1, 50, 99, 100])) and one["n"] == n
+
+
 def test_quantiles_with_weights_and_bounded_domain(spark):
     df = spark.createDataFrame([(1, 0, 3), (1, 10, 1), (1, 20, 1)], "g int, v int, w int")
     got = od.group_quantiles(df, ["g"], "v", {"m": 0.5, "h": 0.75}, bounded=True, weight="w").first()
