@@ -139,7 +139,8 @@ def _up_to(df: DataFrame, narrow: DataFrame, by: list[str], place: str, n: int)
     inside = narrow.join(edge, [*by, BUCKET]).withColumn(
         "__rank", F.row_number().over(Window.partitionBy(*by).orderBy(place))
     )
-    cut = inside.where(F.col("__o") + F.col("__rank") == n).select(*by, F.col(place).alias("__cut"))
+    # One row per group; kept, because capped tables are often read many times (every training epoch).
+    cut = cut_lineage(inside.where(F.col("__o") + F.col("__rank") == n).select(*by, F.col(place).alias("__cut")))
     return copies_join(df, cut, by, "left", salt_on=[place]).where(
         F.col("__cut").isNull() | (F.col(place) <= F.col("__cut"))
     ).drop("__cut")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from slidegrid.operators import bags, cohort, evaluate, folds as fd, grid
 from slidegrid.operators.ordered import sample_cap
+from slidegrid.session import cut_lineage
 
 
 def cohort_report(slides: DataFrame) -> dict[str, DataFrame]:
@@ -45,8 +46,8 @@ def train_and_report(
     """(models, predictions, folds, loss history) of a grouped cross-validation run."""
     tiles, _ = bags.load_bags(embeddings, labels)
     n = bags.shrink_extremes(tiles, n_extreme).first()["n_extreme"]
-    folds = fd.make_folds(labels, splits, repeats)
-    k = folds.agg(F.max("fold") + 1).first()[0]
+    k = fd.fold_count(labels, fd.fold_units(labels), splits)
+    folds = cut_lineage(fd.make_folds(labels, splits, repeats, k=k))
     held = fd.slide_folds(labels, folds)
     train = fd.train_val(held, k).where(~F.col("is_val")).join(labels.select("slide", "label"), "slide")
     dim = tiles.select(F.size("emb")).first()[0]
