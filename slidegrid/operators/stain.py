@@ -131,7 +131,8 @@ def _plane(rr: pd.Series, rg: pd.Series, rb: pd.Series, gg: pd.Series, gb: pd.Se
 def stain_vectors(
     px: DataFrame, by: list[str], io: float = 240.0, alpha: float = 1.0, beta: float = 0.15, min_px: int = 10
 ) -> DataFrame:
-    """Per tile: haematoxylin and eosin vectors (h1..h3, e1..e3) and 99th percentile concentrations.
+    """Per tile: haematoxylin and eosin vectors (h1..h3, e1..e3), the least-squares solver built from them
+    (u0..u2, w0..w2), and 99th percentile concentrations (max_h, max_e).
 
     Covariances are Spark aggregates; only their 3 by 3 eigenproblem runs in Arrow batches, one row
     per tile. Angles and concentrations are exact quantiles. Pixels are scanned several times but not
@@ -163,9 +164,9 @@ def stain_vectors(
             *by,
             *[F.when(low_first, vector("phi_lo", i)).otherwise(vector("phi_hi", i)).alias(f"h{i + 1}") for i in range(3)],
             *[F.when(low_first, vector("phi_hi", i)).otherwise(vector("phi_lo", i)).alias(f"e{i + 1}") for i in range(3)],
-        )
+        ).withColumns(_solver())
     )
-    amounts = copies_join(work, vectors, by).withColumns(_concentrations(["d0", "d1", "d2"]))
+    amounts = copies_join(work, vectors, by).withColumns(_concentrations())
     tops = _two_channel_quantiles(amounts, by, "conc_h", "conc_e", {"top": 0.99})
     floor = F.lit(1e-6)
     return vectors.join(tops, by).withColumns(
@@ -173,16 +174,22 @@ def stain_vectors(
     ).drop("conc_h_top", "conc_e_top")
 
 
-def _concentrations(density: list[str]) -> dict[str, Column]:
-    """Least-squares stain amounts of a pixel: normal equations of a 3 by 2 system, in closed form."""
-    d = [F.col(c) for c in density]
+def _solver() -> dict[str, Column]:
+    """Per tile, the least-squares solution of the 3 by 2 system in closed form: conc_h = sum(u_i d_i), conc_e = sum(w_i d_i)."""
     h, e = [F.col(f"h{i}") for i in (1, 2, 3)], [F.col(f"e{i}") for i in (1, 2, 3)]
     inner = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-    hh, ee, he, hd, ed = inner(h, h), inner(e, e), inner(h, e), inner(h, d), inner(e, d)
+    hh, ee, he = inner(h, h), inner(e, e), inner(h, e)
     det = hh * ee - he * he
+    return {f"u{i}": F.try_divide(ee * h[i] - he * e[i], det) for i in range(3)} | {
+        f"w{i}": F.try_divide(hh * e[i] - he * h[i], det) for i in range(3)
+    }
+
+
+def _concentrations() -> dict[str, Column]:
+    """Stain amounts of a pixel from its densities d0..d2 and the tile's solver."""
     return {
-        "conc_h": F.try_divide(ee * hd - he * ed, det),
-        "conc_e": F.try_divide(hh * ed - he * hd, det),
+        name: F.col(f"{c}0") * F.col("d0") + F.col(f"{c}1") * F.col("d1") + F.col(f"{c}2") * F.col("d2")
+        for name, c in (("conc_h", "u"), ("conc_e", "w"))
     }
 
 
@@ -203,7 +210,7 @@ def separate_stains(
     vectors = stain_vectors(px, by, io, alpha, beta)
     joined = copies_join(px, vectors, by, "left", salt_on=["r", "g", "b"]).withColumns(
         {f"d{i}": color.optical_density(F.col(c), io) for i, c in enumerate("rgb")}
-    ).withColumns(_concentrations(["d0", "d1", "d2"]))
+    ).withColumns(_concentrations())
     known = F.col("conc_h").isNotNull()
     h = F.col("conc_h") / (F.col("max_h") / F.lit(max_c[0]))
     e = F.col("conc_e") / (F.col("max_e") / F.lit(max_c[1]))
