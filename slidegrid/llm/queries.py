@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slidegrid.llm import quality
+from slidegrid.llm import notices, quality, segmentation, simhash
 from slidegrid.queries.registry import Query
 from slidegrid.session import table
 
@@ -69,3 +69,25 @@ def op7_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(table(spark, d, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words"
     )
+
+
+@register("op1_segmentation")
+def op1_segmentation(spark: SparkSession, d: str) -> DataFrame:
+    """Four best segmentations of every text, and whether the best one decodes to the text."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    decoded = segmentation.decode(segmentation.encode(docs, n=4, keep=("doc_id", "text")), out="decoded")
+    return decoded.select(
+        "doc_id", "ids", "scores", "others", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
+@register("op9_simhash")
+def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@register("op10_notices")
+def op10_notices(spark: SparkSession, d: str) -> DataFrame:
+    return notices.scan(table(spark, d, "documents").select("doc_id", "text"))
