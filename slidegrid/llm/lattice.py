@@ -19,6 +19,7 @@ SPACE = "▁"
 #: Stands for a literal U+2581, which must not read as a space: beyond all code points, so it has no piece.
 LITERAL = 0x110000
 GRID = float(1 << 24)
+SLOT_BITS = 18
 _BASE = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,12 +86,12 @@ class PieceIndex:
                     known[h] = number if known[h] < 0 else known[h]
         keys = np.fromiter(known, dtype=np.uint64, count=len(known))
         values = np.fromiter(known.values(), dtype=np.int32, count=len(known))
-        self.shift = np.uint64(64 - 20)
+        self.shift = np.uint64(64 - SLOT_BITS)
         slot = self._slots(keys)
         order = np.argsort(slot, kind="stable")
         slot, keys, values = slot[order], keys[order], values[order]
-        first = np.searchsorted(slot, np.arange(1 << 20))
-        self.count = np.bincount(slot, minlength=1 << 20).astype(np.int8)
+        first = np.searchsorted(slot, np.arange(1 << SLOT_BITS))
+        self.count = np.bincount(slot, minlength=1 << SLOT_BITS).astype(np.int8)
         self.layers = []
         for depth in range(int(self.count.max(initial=0))):
             k, v = np.zeros(1 << 20, dtype=np.uint64), np.full(1 << 20, -2, dtype=np.int32)
@@ -246,13 +247,10 @@ def _log_sum(terms: np.ndarray) -> np.ndarray:
 
 
 def batches_of(strings: list[str], points: int = 1 << 17) -> list[list[str]]:
-    """The strings in their order, cut into batches of about so many code points; a longer string stands alone."""
-    out: list[list[str]] = [[]]
-    room = points
-    for s in strings:
-        if len(s) > room and out[-1]:
-            out.append([])
-            room = points
-        out[-1].append(s)
-        room -= len(s)
-    return out if out[-1] else out[:-1]
+    """The strings in their order, cut where another ``points`` code points are full; a batch exceeds them by one string."""
+    if not strings:
+        return []
+    sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    filled = (np.cumsum(sizes) - sizes) // points
+    cuts = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(strings)]
+    return [strings[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slidegrid.llm import notices, quality, segmentation, simhash
+from slidegrid.llm import attribution, language, likelihood, mixing, neighbours, notices, quality, segmentation, simhash, urls
 from slidegrid.queries.registry import Query
 from slidegrid.session import table
 
@@ -75,11 +75,7 @@ def op7_quality(spark: SparkSession, d: str) -> DataFrame:
 def op1_segmentation(spark: SparkSession, d: str) -> DataFrame:
     """Four best segmentations of every text, and whether the best one decodes to the text."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    decoded = segmentation.decode(segmentation.encode(docs, n=4, keep=("doc_id", "text")), out="decoded")
-    return decoded.select(
-        "doc_id", "ids", "scores", "others", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
-    )
+    return segmentation.encode(docs, n=4, verify=True).withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
 
 
 @register("op9_simhash")
@@ -91,3 +87,56 @@ def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
 @register("op10_notices")
 def op10_notices(spark: SparkSession, d: str) -> DataFrame:
     return notices.scan(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@register("op2_likelihood")
+def op2_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    return likelihood.score(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@register("op3_neighbours")
+def op3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
+@register("op4_language")
+def op4_language(spark: SparkSession, d: str) -> DataFrame:
+    return language.identify(table(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
+@register("op5_token_counts")
+def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of source, language and every line of the text, from one encoding of each document."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    return attribution.count_tokens(docs, fields=("source", "lang", "text"), lines_of=("text",))
+
+
+@register("op6_mixing")
+def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, d, "documents").select("doc_id", "text", "source"))
+
+
+def _rules_case(column: str) -> str:
+    cases = [
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, column)}'"
+        for r in sorted(urls.RULES, key=lambda r: (-len(r.text), r.text))
+    ]
+    return "CASE " + " ".join(cases) + " END"
+
+
+_PARTS_SQL = "(?s)^.*?://([^/?#]*)([^?#]*)"
+URLS_SQL = f"""WITH parts AS (
+  SELECT page_id, coalesce(url, '') AS u,
+    translate(regexp_extract(coalesce(url, ''), '{_PARTS_SQL}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '{_PARTS_SQL}', 2) AS path FROM pages),
+listed AS (SELECT DISTINCT host || path AS k FROM parts WHERE contains(u, 'utm_source=') AND host || path <> '')
+SELECT page_id, host, path, {_rules_case('text')} AS rule,
+  coalesce({_rules_case('verdict')}, CASE WHEN host <> '' AND host || path IN (SELECT k FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts"""
+
+
+@register("op8_urls", URLS_SQL)
+def op8_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Pages judged by the rules; else blocked if their host and path are among those reached with a campaign parameter."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.tracked_keys(pages))

@@ -22,6 +22,7 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -34,7 +35,9 @@ from slidegrid.llm.lattice import LITERAL, SPACE, Lattices, Vocabulary, batches_
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 RUNS = re.compile(r"\n| *[^ \n]+| +")
 #: Characters of text that are segmented together.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
+#: Runs whose N best are remembered by a worker.
+REMEMBERED = 20_000
 
 EDIT = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("drop", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 ENCODED = T.StructType([
@@ -95,6 +98,7 @@ class Segmenter:
         self.index = index_of(vocabulary)
         self.scores = vocabulary.zipf_scores() if scores is None else scores
         self.by_runs = splits_into_runs(vocabulary)
+        self.known: dict[str, list[tuple[float, list[int]]]] = {}
 
     def _numbers(self, piece: int, point: int) -> list[int]:
         """The piece, or the bytes of a code point without one."""
@@ -135,6 +139,13 @@ class Segmenter:
 
     def _choices(self, runs: list[str]) -> list[list[tuple[float, list[int]]]]:
         """For each run its up to n best segmentations by A*: (loss against the best, numbers)."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        fresh = [run for run in runs if run not in self.known]
+        self.known.update(zip(fresh, self._searched(fresh), strict=True))
+        return [self.known[run] for run in runs]
+
+    def _searched(self, runs: list[str]) -> list[list[tuple[float, list[int]]]]:
         out = []
         for some in batches_of(runs):
             lattices = Lattices(self.index, *code_points(some))
@@ -220,26 +231,38 @@ class Segmenter:
         return out
 
 
-def encode(docs: DataFrame, text: str = "text", n: int = 4, path: str = VOCABULARY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+@lru_cache(maxsize=2)
+def segmenter_of(vocabulary: Vocabulary, n: int) -> Segmenter:
+    """One per worker."""
+    return Segmenter(vocabulary, n)
+
+
+def encode(docs: DataFrame, text: str = "text", n: int = 4, path: str = VOCABULARY, keep: tuple[str, ...] = ("doc_id",), verify: bool = False) -> DataFrame:
     """``keep``, then ids (best segmentation), scores (of up to ``n``, best first), others (edits that turn ids into the next ones).
 
+    With ``verify`` a last column round_trip tells whether the ids decode to the text (null for null).
+
     The vocabulary file is read on the driver; its pieces (their number is fixed by the file) go to the tasks.
     """
     vocabulary = read_vocabulary(path)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     narrow = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    schema = T.StructType([*narrow.schema.fields[:-1], *ENCODED.fields])
+    schema = T.StructType([*narrow.schema.fields[:-1], *ENCODED.fields, *([T.StructField("round_trip", T.BooleanType())] if verify else [])])
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(shared.value, n)
+        segmenter = segmenter_of(shared.value, n)
+        table = PieceBytes(shared.value) if verify else None
         for batch in batches:
             for part in _parts(batch):
-                rows = segmenter.encode(part.column(part.num_columns - 1).to_pylist())
+                texts = part.column(part.num_columns - 1).to_pylist()
+                rows = segmenter.encode(texts)
+                same = [None if r is None else table.text(r[0]) == x for r, x in zip(rows, texts, strict=True)] if table else []
                 yield pa.RecordBatch.from_arrays([
                     *part.columns[:-1],
                     _lists([None if r is None else r[0] for r in rows]),
                     pa.array([None if r is None else r[1] for r in rows], type=pa.list_(pa.float64())),
                     pa.array([None if r is None else r[2] for r in rows], type=pa.list_(pa.list_(_EDIT))),
+                    *([pa.array(same, type=pa.bool_())] if verify else []),
                 ], names=schema.names)
 
     return narrow.mapInArrow(encoded, schema)
