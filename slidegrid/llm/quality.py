@@ -46,6 +46,9 @@ RULES = (
 def measured(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] | None = None, prefix: str = "") -> DataFrame:
     """Adds the counts of every text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words.
 
+    The counts are computed once: their projection holds a term that the optimizer must not move (always true), or else a
+    filter on a verdict would be pushed to the scan with all measures written out again for every rule.
+
     ``prefix`` keeps the new names apart from columns that the input has. Columns whose names begin with ``__q_`` are used on
     the way and dropped.
     """
@@ -60,7 +63,7 @@ def measured(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] |
         n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     ).otherwise(F.array().cast("array<bigint>"))
     long_of = {
-        "n_words": n,
+        "n_words": F.when(F.spark_partition_id() >= 0, n),
         "word_chars": F.length(F.regexp_replace(text_of, BLANKS, "")),
         "n_symbols": F.length(F.regexp_replace(text_of, r"[^#*$%&|<>]+", "")),
         "n_lines": F.size(lines),
