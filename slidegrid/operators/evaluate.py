@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from slidegrid.functions.barcode import patient_or_stem
 from slidegrid.functions.hashing import hash_bucket, seeded_key, uniform_int
 from slidegrid.operators.ordered import BUCKET, dense_positions, running_totals, split_points, value_bucket
-from slidegrid.operators.skew import copies_join, spread_join
+from slidegrid.operators.skew import copies_join
 
 
 def ensemble_mean(preds: DataFrame) -> DataFrame:
@@ -69,19 +69,12 @@ def unit_members(preds: DataFrame, unit: str = "patient") -> DataFrame:
     return _with_unit(preds, unit).select("unit", "pos", "slide")
 
 
-def joined_members(preds: DataFrame, unit: str = "patient", at_most: int = 1000) -> DataFrame:
-    """``;``-joined slide names per unit for a report file.
-
-    Units with more than ``at_most`` slides get NULL instead of a very long text; their slides are in
-    ``unit_members``.
-    """
-    members = unit_members(preds, unit)
-    sizes = members.groupBy("unit").agg(F.count("*").alias("n_slides"))
-    short = spread_join(members, sizes.where(F.col("n_slides") <= at_most), ["unit"], "left_semi", salt_on=["slide"])
-    text = short.groupBy("unit").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "slide"))), lambda s: s["slide"].cast("string")), ";").alias("slides")
+def joined_members(preds: DataFrame, unit: str = "patient") -> DataFrame:
+    """``;``-joined names of all slides per unit for a report file, in order of ``pos``."""
+    members = F.array_sort(F.collect_list(F.struct("pos", "slide")))
+    return unit_members(preds, unit).groupBy("unit").agg(
+        F.count("*").alias("n_slides"), F.array_join(F.transform(members, lambda s: s["slide"].cast("string")), ";").alias("slides")
     )
-    return sizes.join(text, "unit", "left")
 
 
 def _with_unit(preds: DataFrame, unit: str) -> DataFrame:

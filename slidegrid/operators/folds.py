@@ -44,7 +44,7 @@ def make_folds(labels: DataFrame, splits: int = 5, repeats: int = 1, unit: str =
     keyed = units.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn(
         "__key", F.md5(F.concat_ws(":", F.col("repeat").cast("string"), F.col("unit").cast("string")))
     )
-    size_rank = F.lpad((F.lit(999_999_999) - F.col("n_slides")).cast("string"), 9, "0")
+    size_rank = F.lpad((F.lit((1 << 63) - 1) - F.col("n_slides")).cast("string"), 19, "0")
     placed = running_totals(
         keyed.withColumn(BUCKET, F.concat(size_rank, hash_bucket(F.col("__key")))),
         ["repeat", "label"],

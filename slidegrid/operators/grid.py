@@ -105,19 +105,24 @@ def cells_in_mask(cells: DataFrame) -> DataFrame:
 def coverage(cells: DataFrame, mask: DataFrame, method: str = "cell") -> DataFrame:
     """Share of mask pixels (slide, mx, my, v) that are set inside each grid cell.
 
-    ``cell`` computes the owning cell of every set pixel and counts (one combined aggregate; zero
-    pixels need not be stored; needs cells of at least one mask pixel). ``integral`` looks up four
-    corners of a summed-area table and takes overlapping cells too. Both agree.
+    ``cell`` computes the owning cell of every set pixel and counts (one combined aggregate); cells finer
+    than a mask pixel look up the one pixel they lie in. ``integral`` looks up four corners of a
+    summed-area table and takes overlapping cells too. Pixels that are not stored count as not set in
+    both, and both agree.
     """
     placed = cells_in_mask(cells)
     if method == "cell":
+        fine = placed.where("step < scale")
+        placed = placed.where("step >= scale")
+        cells = cells.where("step >= scale")
         geometry = cells.select("slide", "step", "scale").distinct()
         on = copies_join(mask.where("v > 0"), geometry, ["slide"], salt_on=["mx", "my"])
         inside = on.select("slide", _owner(F.col("mx")).alias("tx"), _owner(F.col("my")).alias("ty"))
         counts = inside.groupBy("slide", "tx", "ty").agg(F.count("*").alias("hits"))
-        joined = placed.join(counts, ["slide", "tx", "ty"], "left")
+        one = mask.where("v > 0").select("slide", F.col("mx").alias("mx0"), F.col("my").alias("my0"), F.lit(1).cast("long").alias("hits")).distinct()
+        joined = placed.join(counts, ["slide", "tx", "ty"], "left").unionByName(fine.join(one, ["slide", "mx0", "my0"], "left"))
     elif method == "integral":
-        table = integral_image(mask)
+        table = integral_image(_filled(mask, cells))
         corners = placed.select(
             "slide",
             "tile_idx",
@@ -142,6 +147,15 @@ def coverage(cells: DataFrame, mask: DataFrame, method: str = "cell") -> DataFra
     ).drop("hits")
 
 
+def _filled(mask: DataFrame, cells: DataFrame) -> DataFrame:
+    """The mask with a row for every pixel of the slides in ``cells``, 0 where none is stored."""
+    frame = cells.select("slide", "mask_w", "mask_h").distinct()
+    lines = frame.select("slide", "mask_w", F.explode(F.sequence(F.lit(0), F.col("mask_h") - 1)).alias("my"))
+    every = lines.select("slide", F.explode(F.sequence(F.lit(0), F.col("mask_w") - 1)).alias("mx"), "my")
+    stored = mask.select("slide", "mx", "my", "v")
+    return every.join(stored, ["slide", "mx", "my"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+
+
 def _owner(m: Column) -> Column:
     """Grid column (or row) whose mask range holds pixel ``m``; settled exactly by its two neighbours."""
     scale, step = F.col("scale"), F.col("step")

@@ -52,18 +52,24 @@ def overlay(base: DataFrame, fresh: DataFrame, key: str, cols: list[str]) -> Dat
     ).drop(*[f"__{c}" for c in cols], "__seen")
 
 
-def reconcile(remote: DataFrame, local: DataFrame, size_check: bool = True, verify: bool = False, force: bool = False) -> DataFrame:
+def reconcile(
+    remote: DataFrame, local: DataFrame, root: str, size_check: bool = True, verify: bool = False, force: bool = False
+) -> DataFrame:
     """State of each wanted file: remote (file_id, file_name, md5, size) against local (path, length[, md5]).
 
-    A local copy may lie flat as ``<name>`` or nested as ``<id>/<name>``; the flat one is preferred.
+    A local copy lies flat as ``<root>/<name>`` or nested as ``<root>/<id>/<name>``; the flat one is
+    preferred and files elsewhere are no copies. With ``verify`` a copy without a digest, or one whose
+    wanted digest is unknown, is ``not verifiable`` rather than present.
     """
     tail = F.regexp_extract("path", r"([^/]+)$", 1)
-    parent = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    parent = F.regexp_extract("path", r"^(.*?)/*[^/]+$", 1)
+    home = root.rstrip("/")
     carry = ["length", *(["md5"] if verify else [])]
     have = local.select(tail.alias("file_name"), parent.alias("__parent"), *[F.col(c).alias(f"local_{c}") for c in carry])
     names = [f"local_{c}" for c in carry]
-    joined = remote.join(have, "file_name", "left")
-    nested = F.col("__parent") == F.col("file_id")
+    nested = F.col("__parent") == F.concat(F.lit(home + "/"), F.col("file_id"))
+    mine = remote.select("file_id", "file_name").distinct().join(have, "file_name").where((F.col("__parent") == home) | nested)
+    joined = remote.join(mine, ["file_id", "file_name"], "left")
     one = joined.groupBy(*remote.columns).agg(
         F.min_by(F.struct(*names), F.when(nested, 1).otherwise(0)).alias("__l")
     ).select(*remote.columns, *[F.col(f"__l.{n}").alias(n) for n in names])
@@ -75,7 +81,9 @@ def reconcile(remote: DataFrame, local: DataFrame, size_check: bool = True, veri
             known & (length != F.col("size")), "size mismatch"
         )
     if verify:
-        reason = reason.when(F.col("local_md5") != F.col("md5"), "md5 mismatch")
+        reason = reason.when(F.col("local_md5") != F.col("md5"), "md5 mismatch").when(
+            F.col("local_md5").isNull() | F.nullif(F.col("md5"), F.lit("")).isNull(), "not verifiable"
+        )
     return one.withColumn("reason", reason.otherwise("present"))
 
 

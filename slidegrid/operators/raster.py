@@ -86,6 +86,8 @@ def _mirrored(pos: Column, offset: int, last: Column, border: str) -> Column:
         inside = F.when(p < 0, -p).when(p > last, last * 2 - p).otherwise(p)
     elif border == "reflect":
         inside = F.when(p < 0, -p - 1).when(p > last, last * 2 + 1 - p).otherwise(p)
+    elif border == "replicate":
+        inside = F.when(p < 0, F.lit(0)).when(p > last, last).otherwise(p)
     elif border == "clip":
         inside = F.when((p >= 0) & (p <= last), p)
     else:
@@ -97,7 +99,7 @@ def neighbourhood(grid: DataFrame, r: int, border: str = "reflect101", by: list[
     """Adds ``patch``: the (2r+1) squared neighbours of every pixel, row by row.
 
     Two line windows (along x, then along y) instead of an exploded self-join: the raster is shuffled
-    twice at its own size, whatever the kernel. The raster must be dense.
+    twice at its own size, whatever the kernel. The raster must be dense; a line with a hole stops the job.
     """
     by = list(by)
     along = Window.partitionBy(*by, "y").orderBy("x")
@@ -112,7 +114,10 @@ def neighbourhood(grid: DataFrame, r: int, border: str = "reflect101", by: list[
         )
         seen = F.array(*[F.col(f"__n{i}") for i in range(2 * r + 1)])
         picks = [F.get(seen, _mirrored(F.col(pos), d, F.col("__last"), border) + r) for d in span]
-        return named.withColumn(out, F.array(*picks)).drop(*[f"__n{i}" for i in range(2 * r + 1)], "__last")
+        before = F.lag(pos).over(window)
+        hole = F.when(before.isNull(), F.col(pos) != 0).otherwise(F.col(pos) != before + 1)
+        told = F.when(hole, F.raise_error(F.lit("the raster has a hole; fill it first")).cast("boolean")).otherwise(F.lit(True))
+        return named.withColumn(out, F.when(told, F.array(*picks))).drop(*[f"__n{i}" for i in range(2 * r + 1)], "__last")
 
     rows = line(grid, v, "x", along, "__row")
     return line(rows, "__row", "y", down, "__rows").withColumn(
@@ -184,9 +189,9 @@ def close_(grid: DataFrame, r: int = 1, **kw) -> DataFrame:
 
 
 def denoise(grid: DataFrame, r: int = 1, **kw) -> DataFrame:
-    """Gaussian, then median, then opening."""
+    """Gaussian, then median (which repeats the edge, as median filters do), then opening."""
     blurred = stencil(grid, "weighted", 1, weights=GAUSSIAN_3, **kw).withColumn("v", F.round("v").cast("int"))
-    return open_(stencil(blurred, "median", 1, **kw), r, **kw)
+    return open_(stencil(blurred, "median", 1, **{**kw, "border": "replicate"}), r, **kw)
 
 
 def focus_scores(grid: DataFrame, by: list[str]) -> DataFrame:

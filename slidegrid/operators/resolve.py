@@ -26,9 +26,11 @@ def resolve_tokens(tokens: DataFrame, index: DataFrame, barcode_prefix: str = "T
     """
     wanted = tokens.where(F.trim("token") != "").groupBy(F.trim("token").alias("token")).agg(F.min("pos").alias("pos"))
     barcode = F.upper("token").startswith(barcode_prefix.upper())
+    # A token longer than every stem is a prefix of none.
+    longest = index.agg(F.max(F.length(file_stem(F.col("file_name"))))).first()[0] or 0
     lengths = [
         r[0]
-        for r in wanted.where(barcode).select(F.length("token").alias("n")).where("n <= 255").distinct().collect()
+        for r in wanted.where(barcode).select(F.length("token").alias("n")).where(F.col("n") <= longest).distinct().collect()
     ]
     asked = wanted.select(
         "token",

@@ -28,6 +28,11 @@ def _byte(x: Column) -> Column:
     return F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(255.0))).cast("int")
 
 
+def _places(px: DataFrame, by: list[str]) -> list[str]:
+    """What tells pixels of a tile apart: their position where there is one. Equal colours must not share a salt."""
+    return [c for c in px.columns if c not in {*by, "r", "g", "b"}] or ["r", "g", "b"]
+
+
 def percentile_scale(px: DataFrame, by: list[str], low: float = 1.0, high: float = 99.0) -> DataFrame:
     """Stretch each channel's low-to-high percentile range to 0-255; a flat channel passes through."""
     long = px.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(c).alias("v")) for c in "rgb"])).alias("p"))
@@ -37,7 +42,7 @@ def percentile_scale(px: DataFrame, by: list[str], low: float = 1.0, high: float
     wide = q.groupBy(*by).agg(
         *[F.max(F.when(F.col("ch") == c, F.col(s))).alias(f"__{s}_{c}") for c in "rgb" for s in ("lo", "hi")]
     )
-    joined = copies_join(px, wide, by)
+    joined = copies_join(px, wide, by, salt_on=_places(px, by))
     scaled = {}
     for c in "rgb":
         lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
@@ -60,7 +65,7 @@ def colour_transfer(px: DataFrame, by: list[str]) -> DataFrame:
         "a": (LAB_TARGET_AB_MEAN, LAB_TARGET_AB_STD),
         "b": (LAB_TARGET_AB_MEAN, LAB_TARGET_AB_STD),
     }
-    joined = copies_join(work, stats, by, salt_on=["r", "g", "b"])
+    joined = copies_join(work, stats, by, salt_on=_places(px, by))
     moved = {}
     for c, (mean, std) in goals.items():
         v, m, s = F.col(f"__{c}"), F.col(f"__m_{c}"), F.col(f"__s_{c}")
@@ -75,7 +80,7 @@ def colour_transfer(px: DataFrame, by: list[str]) -> DataFrame:
 def mean_scale(px: DataFrame, by: list[str], target: dict[str, float] = CHANNEL_TARGETS) -> DataFrame:
     """Scale every channel so that its tile mean meets the target; a black channel passes through."""
     means = px.groupBy(*by).agg(*[F.avg(c).alias(f"__m_{c}") for c in "rgb"])
-    joined = copies_join(px, means, by, salt_on=["r", "g", "b"])
+    joined = copies_join(px, means, by, salt_on=_places(px, by))
     scaled = {
         f"{c}2": _byte(
             F.when(F.col(f"__m_{c}") > 0, F.col(c) * (F.lit(target[c] * 255.0) / F.col(f"__m_{c}"))).otherwise(F.col(c))
@@ -101,7 +106,7 @@ def stain_percentile(px: DataFrame, by: list[str], low: float = 1.0, high: float
     h, e, d = color.unmix(F.col("r"), F.col("g"), F.col("b"))
     stained = px.select(*by, h.alias("h"), e.alias("e"))
     probs = {"lo": low / 100, "hi": high / 100}
-    joined = copies_join(px, _two_channel_quantiles(stained, by, "h", "e", probs), by, salt_on=["r", "g", "b"])
+    joined = copies_join(px, _two_channel_quantiles(stained, by, "h", "e", probs), by, salt_on=_places(px, by))
 
     def stretched(x: Column, s: str) -> Column:
         lo, hi = F.col(f"{s}_lo"), F.col(f"{s}_hi")
@@ -115,7 +120,7 @@ def drop_transparent(px: DataFrame, by: list[str], beta: float = 0.15, io: float
     """Pixels whose every density channel reaches ``beta``; a tile with fewer than ``min_px`` is kept whole."""
     dense = F.least(*[color.optical_density(F.col(c), io) for c in "rgb"]) >= beta
     kept = px.groupBy(*by).agg(F.count_if(dense).alias("__dense"))
-    return copies_join(px, kept, by, salt_on=["r", "g", "b"]).where((F.col("__dense") < min_px) | dense).drop("__dense")
+    return copies_join(px, kept, by, salt_on=_places(px, by)).where((F.col("__dense") < min_px) | dense).drop("__dense")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -208,7 +213,7 @@ def separate_stains(
     Tiles without a usable stain plane keep their colours.
     """
     vectors = stain_vectors(px, by, io, alpha, beta)
-    joined = copies_join(px, vectors, by, "left", salt_on=["r", "g", "b"]).withColumns(
+    joined = copies_join(px, vectors, by, "left", salt_on=_places(px, by)).withColumns(
         {f"d{i}": color.optical_density(F.col(c), io) for i, c in enumerate("rgb")}
     ).withColumns(_concentrations())
     known = F.col("conc_h").isNotNull()
@@ -222,7 +227,6 @@ def separate_stains(
 
     out = {f"{c}2": painted(i, [(0, h), (1, e)]) for i, c in enumerate("rgb")}
     if components:
-        # Single-stain pictures use the amounts before scaling.
-        out |= {f"h_{c}": painted(i, [(0, F.col("conc_h"))]) for i, c in enumerate("rgb")}
-        out |= {f"e_{c}": painted(i, [(1, F.col("conc_e"))]) for i, c in enumerate("rgb")}
+        out |= {f"h_{c}": painted(i, [(0, h)]) for i, c in enumerate("rgb")}
+        out |= {f"e_{c}": painted(i, [(1, e)]) for i, c in enumerate("rgb")}
     return joined.withColumns(out).select(*px.columns, *out)

@@ -24,12 +24,13 @@ def cohort_report(slides: DataFrame) -> dict[str, DataFrame]:
 
 
 def tile_plan(
-    slides: DataFrame, mask: DataFrame, step: int, min_fraction: float = 0.6, cap: int = 5000, seed: int = 0, block: int = 8
+    slides: DataFrame, mask: DataFrame, step: int, min_fraction: float = 0.6, cap: int | None = None, seed: int = 0, block: int = 8
 ) -> DataFrame:
-    """Grid, tissue filter, seeded cap, block plan: the tiles to read and in which groups."""
+    """Grid, tissue filter, seeded cap where one is given, block plan: the tiles to read and in which groups."""
     cells = grid.tile_grid(slides, step, edges=True).withColumn("step", F.lit(step))
     kept = grid.keep_tissue(grid.coverage(cells, mask), min_fraction)
-    return grid.plan_blocks(sample_cap(kept, ["slide"], ["tile_idx"], cap, seed), step, block)
+    chosen = kept if cap is None else sample_cap(kept, ["slide"], ["tile_idx"], cap, seed)
+    return grid.plan_blocks(chosen, step, block)
 
 
 def score_report(preds: DataFrame, slide_folds: DataFrame, labels: DataFrame, target: float = 0.92, n_repeats: int = 0) -> DataFrame:
@@ -41,10 +42,14 @@ def score_report(preds: DataFrame, slide_folds: DataFrame, labels: DataFrame, ta
 
 def train_and_report(
     embeddings: DataFrame, labels: DataFrame, splits: int = 5, repeats: int = 1, epochs: int = 30, lr: float = 1e-3,
-    n_extreme: int = 100, hidden: int = bags.HIDDEN, head: tuple[int, int] = bags.HEAD,
+    n_extreme: int = 100, hidden: int = bags.HIDDEN, head: tuple[int, int] = bags.HEAD, max_tiles: int = 5000,
 ):
-    """(models, predictions, folds, loss history) of a grouped cross-validation run."""
-    tiles, _ = bags.load_bags(embeddings, labels)
+    """(models, predictions, folds, loss history) of a grouped cross-validation run.
+
+    ``max_tiles`` bounds the tiles of a slide that the models are fitted on; predictions come from all tiles.
+    """
+    tiles, _ = bags.load_bags(embeddings, labels, max_tiles)
+    everything, _ = bags.load_bags(embeddings, labels, None)
     n = bags.shrink_extremes(tiles, n_extreme).first()["n_extreme"]
     k = fd.fold_count(labels, fd.fold_units(labels), splits)
     folds = cut_lineage(fd.make_folds(labels, splits, repeats, k=k))
@@ -55,4 +60,4 @@ def train_and_report(
         bags.BagModel.fresh(r, f, dim, n, fd.model_seed(r, f), hidden, head) for r in range(repeats) for f in range(k)
     ]
     models, history = bags.train_ensemble(tiles, train, fresh, epochs, lr)
-    return models, bags.slide_probabilities(tiles, models), held, history
+    return models, bags.slide_probabilities(everything, models), held, history

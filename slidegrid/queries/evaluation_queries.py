@@ -40,9 +40,9 @@ def patient_aggregation(spark, d):
     return rounded(units(spark, d), "prob")
 
 
-@query("patient_members", "AG16", f"WITH {SCORED_CTE} SELECT user_id AS unit, count(*) AS n_slides, string_agg(CAST(event_id AS VARCHAR), ';' ORDER BY event_id) AS slides FROM scored WHERE \"value\" > 120 GROUP BY user_id")
+@query("patient_members", "AG16", f"WITH {SCORED_CTE} SELECT user_id AS unit, count(*) AS n_slides, string_agg(CAST(event_id AS VARCHAR), ';' ORDER BY event_id) AS slides FROM scored GROUP BY user_id")
 def patient_members(spark, d):
-    preds = scored(spark, d).where("value > 120").select(
+    preds = scored(spark, d).select(
         F.col("user_id").alias("patient"), F.col("event_id").alias("slide"), F.col("event_id").alias("pos"), "label", F.col("score").alias("prob")
     )
     return evaluate.joined_members(preds)
@@ -199,7 +199,7 @@ def resample_weights(spark, d):
     return evaluate.resample_weights(units(spark, d).select("unit"), "unit", 20, 11).select(F.col("rep").cast("long").alias("rep"), "unit", "w")
 
 
-@query("bootstrap_intervals", "AG23 SL6", f"""WITH {_BOOT.format(n=200)}, t AS (SELECT rep AS g, score, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS neg FROM wt JOIN u USING (idx) GROUP BY 1, 2),
+@query("bootstrap_intervals", "AG23 SL6", f"""WITH {_BOOT.format(n=1000)}, t AS (SELECT rep AS g, score, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS neg FROM wt JOIN u USING (idx) GROUP BY 1, 2),
 c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY g) AS p, sum(neg) OVER (PARTITION BY g) AS n FROM t WINDOW w AS (PARTITION BY g ORDER BY score DESC)),
 m AS (SELECT g, {_AUC} AS auc, {_AP} AS average_precision, {_THR} AS threshold, min(tp) FILTER (tp / CAST(p AS DOUBLE) >= 0.92) AS tp0, min(fp) FILTER (tp / CAST(p AS DOUBLE) >= 0.92) AS fp0, max(p) AS p, max(n) AS n FROM c GROUP BY g HAVING max(p) > 0 AND max(n) > 0),
 l AS (SELECT 'auc' AS metric, auc AS v FROM m UNION ALL SELECT 'average_precision', average_precision FROM m UNION ALL SELECT 'threshold', threshold FROM m UNION ALL SELECT 'sensitivity', tp0 / CAST(p AS DOUBLE) FROM m
@@ -207,5 +207,5 @@ l AS (SELECT 'auc' AS metric, auc AS v FROM m UNION ALL SELECT 'average_precisio
 SELECT metric, count(*) AS n_valid, round(quantile_cont(v, 0.5), 5) AS median, round(quantile_cont(v, 0.025), 5) AS lower, round(quantile_cont(v, 0.975), 5) AS upper FROM l WHERE v IS NOT NULL GROUP BY metric""")
 def bootstrap_intervals(spark, d):
     u = units(spark, d).select("unit", (F.col("n_slides") % 3 == 0).cast("int").alias("label"), F.round("prob", 6).alias("score"))
-    out = evaluate.bootstrap_ci(u, "unit", 200, 11)
+    out = evaluate.bootstrap_ci(u, "unit", 1000, 11)
     return out.select("metric", "n_valid", *[F.round(c, 5).alias(c) for c in ("median", "lower", "upper")])

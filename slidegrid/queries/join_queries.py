@@ -116,12 +116,12 @@ def token_unresolved(spark, d):
 @query("token_lists", "SRC6 SO4", """WITH w AS (SELECT 0 AS list_no, item_id AS a, text AS t FROM benchmark UNION ALL SELECT 1, page_id, url FROM pages),
 x AS (SELECT list_no, a, list_filter(regexp_split_to_array(trim(t), '[\\s,;]+'), lambda s: s <> '') AS words FROM w),
 e AS (SELECT list_no, a, unnest(words) AS token, generate_subscripts(words, 1) - 1 AS p FROM x),
-f AS (SELECT token, list_no, a * 100000 + p AS pos, row_number() OVER (PARTITION BY token ORDER BY list_no, a, p) AS rn FROM e)
+f AS (SELECT token, list_no, a * 4294967296 + p AS pos, row_number() OVER (PARTITION BY token ORDER BY list_no, a, p) AS rn FROM e)
 SELECT token, list_no, CAST(pos AS BIGINT) AS pos FROM f WHERE rn = 1""")
 def token_lists(spark, d):
     def words(df, key, text):
         split = df.select(F.col(key).alias("k"), F.posexplode(readers.split_tokens(F.col(text))).alias("p", "token"))
-        return split.select((F.col("k") * 100_000 + F.col("p")).alias("pos"), "token")
+        return split.select((F.col("k") * (1 << 32) + F.col("p")).alias("pos"), "token")
 
     return resolve.ordered_union([words(table(spark, d, "benchmark"), "item_id", "text"), words(table(spark, d, "pages"), "page_id", "url")])
 
@@ -245,7 +245,7 @@ loc AS (SELECT k, CASE WHEN k % 7 = 3 THEN 0 WHEN k % 7 = 4 THEN size - 5 WHEN k
  WHEN length <> size AND size > 0 THEN 'size mismatch' WHEN lmd5 <> md5 THEN 'md5 mismatch' ELSE 'present' END AS reason FROM remote r LEFT JOIN loc l ON r.k = l.k""")
 def file_reconciliation(spark, d):
     remote, local = _files(spark, d)
-    return merge.reconcile(remote, local, verify=True).select("file_name", "reason")
+    return merge.reconcile(remote, local, "/data", verify=True).select("file_name", "reason")
 
 
 def _files(spark, d):
@@ -349,8 +349,8 @@ def missing_patients(spark, d):
     )
 
 
-@query("nested_records", "TG4", """SELECT conv_id, turn, role, word FROM (SELECT conv_id, turn, role, unnest(CASE WHEN len(string_split(text, ' ')) > 3 THEN list_slice(string_split(text, ' '), 1, 2) ELSE [NULL] END) AS word FROM conversations)""")
+@query("nested_records", "TG4", """SELECT conv_id, turn, role, word FROM (SELECT conv_id, turn, role, unnest(CASE WHEN len(string_split(text, ' ')) > 3 THEN string_split(text, ' ') ELSE [NULL] END) AS word FROM conversations)""")
 def nested_records(spark, d):
     words = F.split("text", " ")
-    nested = F.when(F.size(words) > 3, F.transform(F.slice(words, 1, 2), lambda w: F.struct(w.alias("word"))))
+    nested = F.when(F.size(words) > 3, F.transform(words, lambda w: F.struct(w.alias("word"))))
     return cohort.explode_variants(table(spark, d, "conversations").select("conv_id", "turn", "role", nested.alias("variants")))

@@ -221,13 +221,13 @@ def gene_fallback(spark, d):
     return table(spark, d, "events").select("event_id", scalars.gene_symbol(nested, flat, gid).alias("gene"))
 
 
-@query("attribute_first", "PR16 WN2", """WITH e AS (SELECT conv_id, turn, role, substr(text, 1, 20) AS v FROM conversations),
+@query("attribute_first", "PR16 WN2", """WITH e AS (SELECT conv_id, turn, role, text AS v FROM conversations),
 f AS (SELECT conv_id, arg_min(v, turn) FILTER (role = 'user') AS u, arg_min(v, turn) FILTER (role = 'assistant') AS a,
  arg_min(v, turn) FILTER (role = 'system') AS s FROM e GROUP BY conv_id)
 SELECT conv_id, u AS opening, coalesce(s, a) AS guidance FROM f""")
 def attribute_first(spark, d):
     eav = table(spark, d, "conversations").select(
-        "conv_id", "turn", F.col("role").alias("attribute"), F.substring("text", 1, 20).alias("value")
+        "conv_id", "turn", F.col("role").alias("attribute"), F.col("text").alias("value")
     )
     return cohort.attribute_first(eav, ["conv_id"], ["turn"], {"opening": ["user"], "guidance": ["system", "assistant"]})
 

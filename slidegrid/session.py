@@ -44,8 +44,8 @@ def hot_rows(spark: SparkSession) -> int:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of an iterative result.
 
-    The folder comes from the cluster's ``spark.checkpoint.dir``; only where that is unset (a local
-    test) a temporary folder is chosen.
+    The folder comes from the cluster's ``spark.checkpoint.dir``; only where that is unset and the
+    master is local (a test) a temporary folder is chosen.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -56,6 +56,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 

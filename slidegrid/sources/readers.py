@@ -76,14 +76,29 @@ def file_inventory(spark: SparkSession, root: str, glob: str | None = None) -> D
     return listed.withColumns({"name": F.regexp_extract("path", r"([^/]+)$", 1), "folder": folder_of(F.col("path"))})
 
 
-def file_digests(spark: SparkSession, root: str, glob: str | None = None, limit: int = 2_000_000_000) -> DataFrame:
-    """(path, length, md5). Files above the row limit of Spark get NULL: they cannot be verified here."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    small = reader.load(root).where(F.col("length") <= limit).select("path", "length", F.md5("content").alias("md5"))
-    large = reader.load(root).where(F.col("length") > limit).select("path", "length", F.lit(None).cast("string").alias("md5"))
-    return small.unionByName(large)
+def file_digests(spark: SparkSession, root: str, glob: str | None = None, chunk: int = 8 << 20) -> DataFrame:
+    """(path, length, md5) of every file below ``root``; tasks read files of any size in chunks."""
+    import hashlib
+
+    from pyarrow import fs
+
+    where = root if "://" in root else "file://" + root
+
+    def run(batches):
+        reach, _ = fs.FileSystem.from_uri(where)
+        for pdf in batches:
+            sums = []
+            for path in pdf["path"]:
+                digest = hashlib.md5(usedforsecurity=False)
+                with reach.open_input_stream(path) as stream:
+                    while part := stream.read(chunk):
+                        digest.update(part)
+                sums.append(digest.hexdigest())
+            yield pdf.assign(md5=sums)
+
+    files = file_inventory(spark, root, glob).select("path", "length")
+    dealt = files.repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    return dealt.mapInPandas(run, "path string, length long, md5 string")
 
 
 def read_entity_json(spark: SparkSession, root: str, kind: str, gene: str, schema: str | None = None, folders: str = "TCGA*"):
@@ -187,19 +202,45 @@ def read_tokens(spark: SparkSession, path: str, is_folder: bool = False) -> Data
             column = rows.columns[header.index(known)]
             tokens = rows.select(F.trim(F.col(f"`{column}`")).alias("token")).where(F.col("token") != "")
             return read_positions(tokens)
-    lines = read_positions(spark.read.text(path), "__line")
-    words = lines.select("__line", F.posexplode(split_tokens(F.col("value"))).alias("__w", "token"))
-    return words.select((F.col("__line") * 100_000 + F.col("__w")).alias("pos"), "token")
+    words = spark.read.text(path).select(F.explode(split_tokens(F.col("value"))).alias("token"))
+    return read_positions(words).select("pos", "token")
 
 
-def read_concatenated_json(spark: SparkSession, path: str, schema: str, key: str, order: str | None = None) -> DataFrame:
+def split_objects(text: str) -> list[str]:
+    """JSON values written one after another, on one line or many; what follows a broken value is left out."""
+    import json
+
+    decoder, found, at = json.JSONDecoder(), [], 0
+    while True:
+        while at < len(text) and (text[at].isspace() or text[at] == "\ufeff"):
+            at += 1
+        if at == len(text):
+            return found
+        try:
+            _, stop = decoder.raw_decode(text, at)
+        except ValueError:
+            return found
+        found.append(text[at:stop])
+        at = stop
+
+
+def read_concatenated_json(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Objects written one after another without an enclosing array, one row per ``key``.
 
-    A file is one text row here, so it must fit Spark's 2 GB row limit; many such files spread over tasks.
+    Of several objects with one key the first counts, in the order of (path, place in the file). A file
+    is one text row here, so it must fit Spark's 2 GB row limit; many such files spread over tasks.
     """
-    text = spark.read.text(path, wholetext=True)
-    marked = F.regexp_replace("value", r"(?m)^\}\s*\{", "}\u0001{")
-    objects = text.select(F.posexplode(F.split(marked, "\u0001")).alias("pos", "json"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for name, value in zip(pdf["path"], pdf["value"]):
+                parts = split_objects(value)
+                yield pd.DataFrame({"path": name, "place": range(len(parts)), "json": pd.Series(parts, dtype="object")})
+
+    objects = text.mapInPandas(run, "path string, place long, json string").select(F.struct("path", "place").alias("pos"), "json")
     parsed = objects.select("pos", F.from_json("json", schema).alias("o")).select("pos", "o.*")
     flat = parsed.select("pos", "data.*") if "data" in parsed.columns else parsed
     rest = [c for c in flat.columns if c != key]

@@ -57,12 +57,13 @@ def write_tiles(tiles: DataFrame, path: str, mode: str = "overwrite", files_per_
     tiles.repartition("slide", piece).sortWithinPartitions("slide", "tile_idx").write.mode(mode).partitionBy("slide").parquet(path)
 
 
-def write_patches(patches: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Raw and normalised pixels of a patch side by side under one id."""
+def write_patches(patches: DataFrame, path: str, mode: str = "overwrite", files_per_slide: int = 8) -> None:
+    """Raw and normalised pixels of a patch side by side under one id, a few files per slide."""
     need = {"slide", "patch_id", "raw", "normalized"}
     if not need <= set(patches.columns):
         raise ValueError(f"missing columns {sorted(need - set(patches.columns))}")
-    patches.write.mode(mode).partitionBy("slide").parquet(path)
+    piece = F.pmod(F.xxhash64("patch_id"), F.lit(files_per_slide))
+    patches.repartition("slide", piece).write.mode(mode).partitionBy("slide").parquet(path)
 
 
 def write_record(record: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -117,9 +117,12 @@ def test_merge_and_reconcile(spark):
     got = {r["patient"]: (r["in_a"], r["in_b"], r["a_v"], r["b_w"]) for r in merge.merge_tables({"a": a, "b": b}, "patient", {"a": ["v"], "b": ["w"]}).collect()}
     assert got == {"p": (True, False, 1, None), "q": (True, True, 3, "x"), "r": (False, True, None, "y")}
     remote = spark.createDataFrame([("1", "a.svs", "m", 10), ("2", "b.svs", "m", 10), ("3", "c.svs", "m", 10)], "file_id string, file_name string, md5 string, size long")
-    local = spark.createDataFrame([("/d/1/a.svs", 4), ("/d/a.svs", 10), ("/d/2/b.svs", 4)], "path string, length long")
-    assert {r["file_name"]: r["reason"] for r in merge.reconcile(remote, local).collect()} == {"a.svs": "present", "b.svs": "partial", "c.svs": "missing"}
-    assert {r["reason"] for r in merge.reconcile(remote, local, force=True).collect()} == {"forced"}
+    local = spark.createDataFrame([("/d/1/a.svs", 4), ("/d/a.svs", 10), ("/d/2/b.svs", 4), ("/d/other/b.svs", 10), ("/d/other/c.svs", 10)], "path string, length long")
+    assert {r["file_name"]: r["reason"] for r in merge.reconcile(remote, local, "/d").collect()} == {"a.svs": "present", "b.svs": "partial", "c.svs": "missing"}
+    assert {r["reason"] for r in merge.reconcile(remote, local, "/d/", force=True).collect()} == {"forced"}
+    unread = local.withColumn("md5", F.when(F.col("length") == 10, "m").cast("string"))
+    assert merge.reconcile(remote, unread.where("path = '/d/a.svs'"), "/d", verify=True).where("file_id = '1'").first()["reason"] == "present"
+    assert merge.reconcile(remote, unread.where("path = '/d/a.svs'").withColumn("md5", F.lit(None).cast("string")), "/d", verify=True).where("file_id = '1'").first()["reason"] == "not verifiable"
 
 
 def test_reports_fill_zeros(spark):

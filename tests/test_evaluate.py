@@ -66,8 +66,8 @@ def test_units_take_first_label_and_flag_conflicts(spark):
     )
     got = {r["unit"]: (r["label"], round(r["prob"], 6), r["n_slides"], r["label_conflict"]) for r in ev.aggregate_units(preds).collect()}
     assert got == {"TCGA-AA-0001": (1, 0.4, 2, True), "other": (0, 0.1, 1, False)}
-    text = {r["unit"]: r["slides"] for r in ev.joined_members(preds, at_most=1).collect()}
-    assert text == {"TCGA-AA-0001": None, "other": "other.svs"}
+    many = spark.range(1500).selectExpr("concat('TCGA-AA-0001-', id) AS slide", "1 AS label", "0.5D AS prob", "CAST(id AS INT) AS pos")
+    assert ev.joined_members(many).first()["slides"] == ";".join(f"TCGA-AA-0001-{i}" for i in range(1500))
     assert {r["slides"] for r in ev.joined_members(preds).collect()} == {"TCGA-AA-0001-01Z;TCGA-AA-0001-11A", "other.svs"}
 
 

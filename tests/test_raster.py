@@ -90,7 +90,7 @@ def test_components_of_a_long_snake(spark):
     assert len(got) == img.sum() and set(got["area"]) == {img.sum()}
 
 
-@pytest.mark.parametrize("step,scale", [(7, 2.0), (5, 1.7), (9, 3.1)])
+@pytest.mark.parametrize("step,scale", [(7, 2.0), (5, 1.7), (9, 3.1), (1, 2.5), (2, 3.0)])
 def test_coverage_methods_agree_with_slices(spark, step, scale):
     rng = np.random.default_rng(7)
     mask = (rng.random((20, 24)) < 0.4).astype(int)
@@ -99,7 +99,7 @@ def test_coverage_methods_agree_with_slices(spark, step, scale):
     cells = grid.tile_grid(slides, step, edges=True).withColumns(
         {"step": F.lit(step), "scale": F.lit(scale), "mask_w": F.lit(24), "mask_h": F.lit(20)}
     )
-    m = long(spark, mask, x="mx", y="my")
+    m = long(spark, mask, x="mx", y="my").where("v > 0")  # pixels that are not stored are not set
     one = grid.coverage(cells, m).toPandas().set_index(["tx", "ty"])["fraction"]
     two = grid.coverage(cells, m, "integral").toPandas().set_index(["tx", "ty"])["fraction"]
     assert len(one) == -(-w0 // step) * -(-h0 // step)
@@ -248,3 +248,18 @@ def test_compare_rasters_flat_rules(spark):
     b.loc[b["tile"] == 2, "v"] = [1, 2, 3]
     got = {r["tile"]: r["ok"] for r in raster.compare_rasters(spark.createDataFrame(a), spark.createDataFrame(b), ["slide", "tile"]).collect()}
     assert got == {0: True, 1: True, 2: False}
+
+
+def test_a_hole_stops_a_stencil(spark):
+    img = np.arange(20).reshape(4, 5)
+    whole = long(spark, img)
+    assert raster.stencil(whole, "median").count() == 20
+    with pytest.raises(Exception, match="hole"):
+        raster.stencil(whole.where("NOT (x = 2 AND y = 1)"), "median").collect()
+
+
+def test_median_of_denoising_repeats_the_edge(spark):
+    img = np.random.default_rng(3).integers(0, 255, (6, 7))
+    got = raster.stencil(long(spark, img), "median", 1, border="replicate").toPandas().pivot(index="y", columns="x", values="v").to_numpy()
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(img, 1, mode="edge"), (3, 3))
+    assert np.allclose(got, np.median(windows, axis=(2, 3)))

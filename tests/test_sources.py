@@ -53,7 +53,7 @@ def test_inventory_digests_and_study(spark, tmp_path):
     assert got["a.svs"] == ("id1", 3) and got["b.svs.partial"][1] == 0
     digests = {r["length"]: r["md5"] for r in readers.file_digests(spark, str(tmp_path)).collect()}
     assert digests[3] == "900150983cd24fb0d6963f7d28e17f72"
-    assert readers.file_digests(spark, str(tmp_path), limit=1).where("length = 3").first()["md5"] is None
+    assert digests[0] == "d41d8cd98f00b204e9800998ecf8427e"
     (tmp_path / "study.json").write_text('{"studyId": "x"}')
     assert readers.read_study(spark, str(tmp_path / "study.json")).first()["allSampleCount"] == 411
 
@@ -139,3 +139,26 @@ def test_incremental_run_takes_new_files_once(spark, tmp_path):
     make(4).write.mode("append").parquet(src)
     process_new_tiles(spark, src, schemas.TILES, out, ck, step)
     assert sorted(r["tile_idx"] for r in spark.read.parquet(out).collect()) == [0, 2, 4, 6]
+
+
+def test_objects_on_one_line_and_in_two_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"k": "f1", "v": 1}{"k": "f2", "v": "}{"} {"k": "f1", "v": 3}')
+    (tmp_path / "b.json").write_text('{"k": "f2", "v": 9}\n{"k": "f3",\n "v": 4}\n')
+    got = readers.read_concatenated_json(spark, str(tmp_path), "k STRING, v STRING", "k")
+    assert {r["k"]: r["v"] for r in got.collect()} == {"f1": "1", "f2": "}{", "f3": "4"}
+
+
+def test_long_lines_keep_distinct_positions(spark, tmp_path):
+    (tmp_path / "list.txt").write_text(" ".join(f"w{i}" for i in range(100_005)) + "\nlast one")
+    got = [r["pos"] for r in readers.read_tokens(spark, str(tmp_path / "list.txt")).collect()]
+    assert sorted(got) == list(range(100_007))
+
+
+def test_checkpoints_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from slidegrid import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
