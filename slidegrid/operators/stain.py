@@ -6,6 +6,9 @@ pixels themselves are only scanned again to apply a handful of numbers per tile.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -90,23 +93,34 @@ def mean_scale(px: DataFrame, by: list[str], target: dict[str, float] = CHANNEL_
     return joined.withColumns(scaled).select(*px.columns, "r2", "g2", "b2")
 
 
-def _two_channel_quantiles(px: DataFrame, by: list[str], first: str, second: str, probs: dict[str, float]) -> DataFrame:
-    """Quantiles of two columns in one go: (by, <column>_<name>...)."""
+def _two_channel_quantiles(
+    px: DataFrame, by: list[str], first: str, second: str, probs: dict[str, float], weight: str
+) -> DataFrame:
+    """Quantiles of two columns in one go, rows counting by ``weight``: (by, <column>_<name>...)."""
     long = px.select(
-        *by, F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(c).alias("v")) for c in (first, second)])).alias("p")
-    ).select(*by, "p.ch", "p.v")
-    q = group_quantiles(long, [*by, "ch"], "v", probs)
+        *by, weight, F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(c).alias("v")) for c in (first, second)])).alias("p")
+    ).select(*by, weight, "p.ch", "p.v")
+    q = group_quantiles(long, [*by, "ch"], "v", probs, weight=weight)
     return q.groupBy(*by).agg(
         *[F.max(F.when(F.col("ch") == c, F.col(k))).alias(f"{c}_{k}") for c in (first, second) for k in probs]
     )
 
 
+def distinct_colours(px: DataFrame, by: list[str]) -> DataFrame:
+    """(by, r, g, b, n_px): the colours of every tile with their number of pixels, combined before the shuffle.
+
+    Stain statistics depend on colours alone, so everything after this works on a fraction of the
+    pixels, and a white background is one row per tile. Checkpointed, as it is read several times.
+    """
+    return cut_lineage(px.groupBy(*by, "r", "g", "b").agg(F.count("*").alias("n_px")))
+
+
 def stain_percentile(px: DataFrame, by: list[str], low: float = 1.0, high: float = 99.0) -> DataFrame:
     """Unmix into stains, stretch haematoxylin and eosin to their percentile range, mix back."""
     h, e, d = color.unmix(F.col("r"), F.col("g"), F.col("b"))
-    stained = px.select(*by, h.alias("h"), e.alias("e"))
+    stained = distinct_colours(px, by).select(*by, "n_px", h.alias("h"), e.alias("e"))
     probs = {"lo": low / 100, "hi": high / 100}
-    joined = copies_join(px, _two_channel_quantiles(stained, by, "h", "e", probs), by, salt_on=_places(px, by))
+    joined = copies_join(px, _two_channel_quantiles(stained, by, "h", "e", probs, "n_px"), by, salt_on=_places(px, by))
 
     def stretched(x: Column, s: str) -> Column:
         lo, hi = F.col(f"{s}_lo"), F.col(f"{s}_hi")
@@ -139,25 +153,29 @@ def stain_vectors(
     """Per tile: haematoxylin and eosin vectors (h1..h3, e1..e3), the least-squares solver built from them
     (u0..u2, w0..w2), and 99th percentile concentrations (max_h, max_e).
 
-    Covariances are Spark aggregates; only their 3 by 3 eigenproblem runs in Arrow batches, one row
-    per tile. Angles and concentrations are exact quantiles. Pixels are scanned several times but not
-    shuffled: what travels is a few numbers per tile. Tiles with too few dense pixels are left out.
+    Pixels are read once, for the distinct colours of each tile; all that follows weighs colours by
+    their pixels. Covariances are Spark aggregates; only their 3 by 3 eigenproblem runs in Arrow batches,
+    one row per tile. Angles and concentrations are exact quantiles. Tiles with too few dense pixels
+    are left out.
     """
     od = [color.optical_density(F.col(c), io) for c in "rgb"]
-    work = px.select(*by, *[od[i].alias(f"d{i}") for i in range(3)])
+    work = distinct_colours(px, by).select(*by, "n_px", *[od[i].alias(f"d{i}") for i in range(3)])
     dense = work.where(F.least("d0", "d1", "d2") >= beta)
     pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+    n, weighed = F.col("__n"), lambda *d: F.sum(reduce(mul, (F.col(f"d{i}") for i in d), F.col("n_px")))
     moments = dense.groupBy(*by).agg(
-        F.count("*").alias("__n"), *[F.covar_samp(f"d{i}", f"d{j}").alias(f"__c{i}{j}") for i, j in pairs]
-    ).where(F.col("__n") >= min_px)
+        F.sum("n_px").alias("__n"), *[weighed(i).alias(f"__s{i}") for i in range(3)], *[weighed(i, j).alias(f"__p{i}{j}") for i, j in pairs]
+    ).where(n >= min_px).withColumns(
+        {f"__c{i}{j}": (F.col(f"__p{i}{j}") - F.col(f"__s{i}") * F.col(f"__s{j}") / n) / F.nullif(n - 1, F.lit(0)) for i, j in pairs}
+    )
     axes = moments.select(*by, _plane(*[F.col(f"__c{i}{j}") for i, j in pairs]).alias("axes")).where(F.col("axes").isNotNull())
     axes = cut_lineage(axes)
 
     def along(k: int) -> Column:
         return sum((F.col(f"d{i}") * F.get("axes", F.lit(3 * k + i)) for i in range(3)), F.lit(0.0))
 
-    turned = copies_join(dense, axes, by).select(*by, F.atan2(along(1), along(0)).alias("phi"))
-    angles = group_quantiles(turned, by, "phi", {"phi_lo": alpha / 100, "phi_hi": 1 - alpha / 100}).drop("n")
+    turned = copies_join(dense, axes, by, salt_on=["d0", "d1", "d2"]).select(*by, "n_px", F.atan2(along(1), along(0)).alias("phi"))
+    angles = group_quantiles(turned, by, "phi", {"phi_lo": alpha / 100, "phi_hi": 1 - alpha / 100}, weight="n_px").drop("n")
     both = angles.join(axes, by)
 
     def vector(phi: str, i: int) -> Column:
@@ -171,8 +189,8 @@ def stain_vectors(
             *[F.when(low_first, vector("phi_hi", i)).otherwise(vector("phi_lo", i)).alias(f"e{i + 1}") for i in range(3)],
         ).withColumns(_solver())
     )
-    amounts = copies_join(work, vectors, by).withColumns(_concentrations())
-    tops = _two_channel_quantiles(amounts, by, "conc_h", "conc_e", {"top": 0.99})
+    amounts = copies_join(work, vectors, by, salt_on=["d0", "d1", "d2"]).withColumns(_concentrations())
+    tops = _two_channel_quantiles(amounts, by, "conc_h", "conc_e", {"top": 0.99}, "n_px")
     floor = F.lit(1e-6)
     return vectors.join(tops, by).withColumns(
         {"max_h": F.greatest("conc_h_top", floor), "max_e": F.greatest("conc_e_top", floor)}

@@ -75,6 +75,72 @@ def slide_index(spark, d):
     return readers.read_slide_index(spark, path)
 
 
+@query("entity_files", "SRC1 SRC2", """SELECT 's' || (o_custkey % 50) AS folder, 'p' || o_orderkey AS sampleId, CAST(o_custkey AS INTEGER) AS entrezGeneId, o_totalprice AS value FROM orders""")
+def entity_files(spark, d):
+    """One JSON array of measures per folder, read back with the declared schema."""
+    path = scratch_folder(spark)
+    k = (F.col("o_custkey") % 50).cast("string")
+    rows = F.struct(
+        F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("sampleId"), F.lit("x").alias("patientId"),
+        F.col("o_custkey").cast("int").alias("entrezGeneId"), F.col("o_totalprice").alias("value"),
+    )
+    made = table(spark, d, "orders").groupBy(F.concat(F.lit("s"), k).alias("folder")).agg(F.to_json(F.collect_list(rows)).alias("value"))
+
+    def write(batches):
+        """One file per folder, through the file system of the shared folder."""
+        from pyarrow import fs
+
+        where = path if "://" in path or path.startswith("file:") else "file://" + path
+        system, base = fs.FileSystem.from_uri(where)
+        for pdf in batches:
+            for folder, value in zip(pdf["folder"], pdf["value"]):
+                system.create_dir(f"{base}/{folder}")
+                with system.open_output_stream(f"{base}/{folder}/{folder}_expression.json") as out:
+                    out.write(value.encode())
+            yield pdf[["folder"]]
+
+    made.mapInPandas(write, "folder string").write.format("noop").mode("overwrite").save()
+    good, _ = readers.read_entity_json(spark, path, "expression", "FGFR3", folders="s*")
+    return good.select("folder", "sampleId", "entrezGeneId", "value")
+
+
+@query("token_files", "SRC6", "SELECT DISTINCT 'slide_' || o_orderkey || '.svs' AS token FROM orders")
+def token_files(spark, d):
+    path = scratch_folder(spark)
+    table(spark, d, "orders").select(F.concat(F.lit("slide_"), F.col("o_orderkey").cast("string"), F.lit(".svs")).alias("value")).write.text(path)
+    return readers.read_tokens(spark, path).select("token").distinct()
+
+
+@query("manifest_round_trip", "SNK4", """SELECT 'f' || o_orderkey AS id, 'slide_' || o_orderkey || '.svs' AS filename, md5(CAST(o_orderkey AS VARCHAR)) AS md5, CAST(floor(o_totalprice) AS BIGINT) AS size, 'released' AS state FROM orders""")
+def manifest_round_trip(spark, d):
+    path, k = scratch_folder(spark), F.col("o_orderkey").cast("string")
+    remote = table(spark, d, "orders").select(
+        F.concat(F.lit("f"), k).alias("file_id"), F.concat(F.lit("slide_"), k, F.lit(".svs")).alias("file_name"), F.md5(k).alias("md5"),
+        F.floor("o_totalprice").cast("long").alias("size"), F.lit(None).cast("string").alias("state"),
+    )
+    sinks.write_manifest(remote, path)
+    return spark.read.option("header", True).option("sep", "\t").schema("id STRING, filename STRING, md5 STRING, size LONG, state STRING").csv(path)
+
+
+@query("patch_store", "SNK6", """SELECT event_type AS slide, event_id AS patch_id, [CAST(event_id % 256 AS INTEGER), 1] AS raw, [CAST(event_id % 16 AS INTEGER), 2] AS normalized FROM events""")
+def patch_store(spark, d):
+    path, k = scratch_folder(spark), F.col("event_id")
+    sinks.write_patches(table(spark, d, "events").select(
+        F.col("event_type").alias("slide"), k.alias("patch_id"), F.array((k % 256).cast("int"), F.lit(1)).alias("raw"), F.array((k % 16).cast("int"), F.lit(2)).alias("normalized"),
+    ), path)
+    return spark.read.schema("patch_id LONG, raw ARRAY<INT>, normalized ARRAY<INT>, slide STRING").parquet(path).select("slide", "patch_id", "raw", "normalized")
+
+
+@query("record_round_trip", "SNK7 SRC4", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, CAST(411 AS INTEGER) AS samples FROM orders")
+def record_round_trip(spark, d):
+    path = scratch_folder(spark)
+    record = table(spark, d, "orders").agg(F.struct(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).alias("orders"))
+    sinks.write_record(record, path)
+    study = readers.read_study(spark, path).select("allSampleCount")
+    back = spark.read.schema("orders STRUCT<n: LONG, total: DOUBLE>").json(path).select("orders.*")
+    return back.withColumn("samples", study.scalar())
+
+
 @query("table_files", "SRC9")
 def table_files(spark, d):
     """Names and sizes of the given tables' files, listed by tasks without reading them."""

@@ -173,7 +173,8 @@ def stain_by_hand(img, io=240.0, alpha=1.0, beta=0.15):
     top = np.maximum(np.percentile(conc, 99, axis=1), 1e-6)
     scaled = conc / (top / np.array(stain.MAX_C_REFERENCE))[:, None]
     out = io * np.exp(-np.array(stain.HE_REFERENCE) @ scaled)
-    return he, top, np.where(out > 255, 254, out).T.astype(np.uint8)
+    alone = [io * np.exp(-np.outer(np.array(stain.HE_REFERENCE)[:, s], scaled[s])) for s in (0, 1)]
+    return he, top, *[np.where(x > 255, 254, x).T.astype(np.uint8) for x in (out, *alone)]
 
 
 def tissue(seed, size=24):
@@ -185,13 +186,14 @@ def tissue(seed, size=24):
 
 def test_stain_vectors_match_numpy(spark):
     img = tissue(1)
-    he, top, out = stain_by_hand(img)
+    he, top, out, only_h, only_e = stain_by_hand(img)
     px = long(spark, img)
     got = stain.stain_vectors(px, ["slide"]).first()
     assert np.allclose([[got[f"h{i}"], got[f"e{i}"]] for i in (1, 2, 3)], he, atol=1e-8)
     assert np.allclose([got["max_h"], got["max_e"]], top, atol=1e-8)
     full = stain.separate_stains(px, ["slide"], components=True).toPandas().sort_values(["y", "x"])
-    assert np.abs(full[["r2", "g2", "b2"]].to_numpy().astype(int) - out.astype(int)).max() <= 1
+    for names, want in ((["r2", "g2", "b2"], out), (["h_r", "h_g", "h_b"], only_h), (["e_r", "e_g", "e_b"], only_e)):
+        assert np.abs(full[names].to_numpy().astype(int) - want.astype(int)).max() <= 1
 
 
 def test_blank_tile_passes_through(spark):
