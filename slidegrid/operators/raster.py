@@ -9,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.functions import color
-from slidegrid.operators.skew import copies_join, spread_join
+from slidegrid.operators.skew import spread_join
 from slidegrid.session import cut_lineage
 
 
-def otsu_bins(df: DataFrame, by: list[str], value: Column, bins: int = 256, top: float = 255.0) -> DataFrame:
-    """Histogram counts per group and bin over [0, top], last bin closed."""
+def otsu_bins(counted: DataFrame, by: list[str], bins: int = 256, top: float = 255.0) -> DataFrame:
+    """Histogram of counted values (__v, __w) per group and bin over [0, top], last bin closed."""
+    v = F.col("__v")
     return (
-        df.where((value >= 0) & (value <= top))
-        .groupBy(*by, F.least(F.floor(value * bins / top), F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"))
+        counted.where((v >= 0) & (v <= top))
+        .groupBy(*by, F.least(F.floor(v * bins / top), F.lit(bins - 1)).cast("int").alias("bin"))
+        .agg(F.sum("__w").alias("n"))
     )
 
 
@@ -26,9 +27,11 @@ def otsu(df: DataFrame, by: list[str], value: Column, bins: int = 256, strict_ab
     """Threshold per group by greatest between-class variance.
 
     When more than ``strict_above`` of a group lies under the threshold, the whole-number mean is used
-    instead. Windows run over at most ``bins`` rows per group. Returns (by, threshold, fraction).
+    instead. Pixels are read once, to count the values of each group; threshold and both shares follow from
+    the counts. Windows run over at most ``bins`` rows per group. Returns (by, threshold, fraction).
     """
-    counts = otsu_bins(df, by, value, bins)
+    counted = cut_lineage(df.where(value.isNotNull()).groupBy(*by, value.alias("__v")).agg(F.count("*").alias("__w")))
+    counts = otsu_bins(counted, by, bins)
     upto = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     moment = F.col("n") * F.col("bin")
@@ -42,23 +45,15 @@ def otsu(df: DataFrame, by: list[str], value: Column, bins: int = 256, strict_ab
     gap = F.col("mu_t") * F.col("omega") - F.col("mu")
     sigma = gap * gap / F.greatest(F.col("omega") * (F.lit(1.0) - F.col("omega")), F.lit(1e-9))
     best = spread.groupBy(*by).agg(F.min_by("bin", F.struct(-sigma, F.col("bin"))).alias("otsu_bin"))
-    valued = df.withColumn("__v", value)
-    graded = copies_join(valued, best, by) if by else valued.withColumn("otsu_bin", best.scalar())
+    rows, below = F.sum("__w"), lambda edge: F.sum(F.when(F.col("__v") < F.col(edge), F.col("__w")).otherwise(0)) / F.sum("__w")
+    graded = counted.join(best, by) if by else counted.withColumn("otsu_bin", best.scalar())
     shares = graded.groupBy(*by).agg(
-        F.max("otsu_bin").alias("otsu_bin"),
-        F.avg((F.col("__v") < F.col("otsu_bin")).cast("double")).alias("__f"),
-        F.floor(F.avg("__v")).cast("int").alias("__mean"),
+        F.max("otsu_bin").alias("otsu_bin"), below("otsu_bin").alias("__f"), F.floor(F.sum(F.col("__v") * F.col("__w")) / rows).cast("int").alias("__mean")
     )
     strict = F.col("__f") > strict_above
     picked = shares.select(*by, F.when(strict, F.col("__mean")).otherwise(F.col("otsu_bin")).cast("int").alias("threshold"), strict.alias("degenerate"))
-    final = copies_join(valued, picked, by) if by else valued.withColumns(
-        {c: picked.select(c).scalar() for c in ("threshold", "degenerate")}
-    )
-    return final.groupBy(*by).agg(
-        F.max("threshold").alias("threshold"),
-        F.max("degenerate").alias("degenerate"),
-        F.avg((F.col("__v") < F.col("threshold")).cast("double")).alias("fraction"),
-    )
+    final = counted.join(picked, by) if by else counted.withColumns({c: picked.select(c).scalar() for c in ("threshold", "degenerate")})
+    return final.groupBy(*by).agg(F.max("threshold").alias("threshold"), F.max("degenerate").alias("degenerate"), below("threshold").alias("fraction"))
 
 
 def mask_fraction(mask: DataFrame, by: list[str], v: str = "v") -> DataFrame:
