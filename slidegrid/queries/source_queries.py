@@ -90,8 +90,7 @@ def entity_files(spark, d):
         """One file per folder, through the file system of the shared folder."""
         from pyarrow import fs
 
-        where = path if "://" in path or path.startswith("file:") else "file://" + path
-        system, base = fs.FileSystem.from_uri(where)
+        system, base = fs.FileSystem.from_uri(readers.as_uri(path))
         for pdf in batches:
             for folder, value in zip(pdf["folder"], pdf["value"]):
                 system.create_dir(f"{base}/{folder}")
@@ -141,6 +140,17 @@ def record_round_trip(spark, d):
     return back.withColumn("samples", study.scalar())
 
 
+@query("file_listing", "SRC9", """SELECT 'g=' || (o_custkey // 10) AS folder, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 1) AS BIGINT) AS length,
+ md5(string_agg(CAST(o_orderkey AS VARCHAR) || chr(10), '' ORDER BY o_orderkey)) AS md5 FROM orders GROUP BY o_custkey // 10""")
+def file_listing(spark, d):
+    """Orders written as one list per ten customers; the files are listed and hashed by tasks."""
+    path = scratch_folder(spark)
+    lines = table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 10).alias("g"), "o_orderkey")
+    lines.repartition("g").sortWithinPartitions("g", "o_orderkey").select("g", F.col("o_orderkey").cast("string").alias("value")).write.partitionBy("g").text(path)
+    found = readers.file_digests(spark, path, "part-*")
+    return found.select(readers.folder_of(F.col("path")).alias("folder"), "length", "md5")
+
+
 @query("table_files", "SRC9")
 def table_files(spark, d):
     """Names and sizes of the given tables' files, listed by tasks without reading them."""

@@ -37,6 +37,11 @@ def folder_of(path: Column) -> Column:
     return F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
 
 
+def as_uri(path: str) -> str:
+    """The path with scheme and authority; a path without one is local."""
+    return path if "://" in path else "file://" + path.removeprefix("file:")
+
+
 def file_inventory(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """(path, name, folder, length, modificationTime) of every file below ``root``; contents stay unread.
 
@@ -47,7 +52,7 @@ def file_inventory(spark: SparkSession, root: str, glob: str | None = None) -> D
 
     from pyarrow import fs
 
-    where = root if "://" in root else "file://" + root
+    where = as_uri(root)
     system, base = fs.FileSystem.from_uri(where)
     top = system.get_file_info(fs.FileSelector(base, recursive=False))
     todo = [(i.path, i.type == fs.FileType.Directory) for i in top]
@@ -82,7 +87,7 @@ def file_digests(spark: SparkSession, root: str, glob: str | None = None, chunk:
 
     from pyarrow import fs
 
-    where = root if "://" in root else "file://" + root
+    where = as_uri(root)
 
     def run(batches):
         reach, _ = fs.FileSystem.from_uri(where)
