@@ -153,7 +153,7 @@ def plan(rows: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_b
     for r in sources.select("number", "blocks").collect():
         quotas[r["number"]] = r["blocks"]
     shards = max(1, math.ceil(int(quotas.sum()) / shard_blocks))
-    bits = max(4, min(20, (rows.count() // 50_000).bit_length() + 4))
+    bits = min(20, (rows.count() // 50_000).bit_length() + 8)  # hundreds of buckets, so a source with most rows spreads evenly
     known = rows.withColumnRenamed("source", "__source").join(F.broadcast(sources), F.col("__source").eqNullSafe(F.col("source"))).drop("__source")
     in_order = known.withColumn(BUCKET, F.shiftright(F.col("place"), 64 - bits))
     upto = running_totals(in_order, ["number"], ["place", "row"], {"__upto": F.col("size")}).drop(BUCKET)

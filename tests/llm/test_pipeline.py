@@ -1,10 +1,11 @@
 """The pipeline against the stages' rules applied one by one in plain Python, and the contract of the queries."""
 
 import os
+import random
 import re
 
 import pytest
-from helpers import documents, prose
+from helpers import PROSE, documents
 from test_quality import plain as plain_quality
 from test_simhash import plain_classes, plain_fingerprint
 
@@ -15,6 +16,11 @@ from slidegrid.llm import quality, segmentation
 pytestmark = pytest.mark.skipif(not os.path.exists(segmentation.VOCABULARY), reason="the vocabulary is not here")
 
 
+def prose(lang, k):
+    """Words in random order: few windows of three occur twice."""
+    return " ".join(random.Random(f"{lang}{k}").choices(PROSE[lang].split(), k=120))
+
+
 def corpus(spark):
     rows = [(i, prose(lang, i), lang, "abc"[i % 3]) for i, lang in enumerate(["en", "de", "fr"] * 14)]
     rows += [(200 + i, prose("en", 3), "en", "a") for i in range(5)] + [(210, prose("de", 4) + " neu", "de", "b"), (220, "zu kurz", "de", "b"), (221, None, None, None), (3, prose("en", 3), "en", "a")]
