@@ -45,37 +45,47 @@ class SortedProjections:
         self.sorted = np.take_along_axis(places.T, self.order, axis=1)
         self.flat = self.order.ravel()
 
-    def nearest(self, query: np.ndarray, k: int, skip: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and inner products of the k nearest found, nearest first; ``skip`` is the query's own position or -1."""
+    def nearest(self, queries: np.ndarray, k: int, skip: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query, positions and inner products of the k nearest found, nearest first.
+
+        ``skip`` is each query's own position or -1. Windows of all queries grow together, one search per projection
+        and round; collisions are counted per query.
+        """
         m, n = self.order.shape
-        centre = self.directions[:, :-1] @ query
+        centre = queries @ self.directions[:, :-1].T
         threshold = math.ceil(SHARE * m)
-        counts = np.zeros(n, dtype=np.int64)
-        open_ = np.ones(n, dtype=bool)
-        if skip >= 0:
-            open_[skip] = False
+        counts = np.zeros((len(queries), n), dtype=np.int16)
+        closed = np.zeros((len(queries), n), dtype=bool)
+        closed[np.flatnonzero(skip >= 0), skip[skip >= 0]] = True
         base = np.arange(m) * n
-        low = np.array([np.searchsorted(self.sorted[j], centre[j]) for j in range(m)])
+        low = np.stack([np.searchsorted(self.sorted[j], centre[:, j]) for j in range(m)], axis=1)
         high = low.copy()
-        found, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        radius, square = FIRST_RADIUS * self.top, float(query @ query) + self.top ** 2
-        while open_.any():
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(queries)
+        square = (queries ** 2).sum(axis=1) + self.top ** 2
+        active = np.flatnonzero(~closed.all(axis=1))
+        radius = FIRST_RADIUS * self.top
+        while len(active):
             half = WIDTH * radius / 2
-            new_low = np.array([np.searchsorted(self.sorted[j], centre[j] - half, side="left") for j in range(m)])
-            new_high = np.array([np.searchsorted(self.sorted[j], centre[j] + half, side="right") for j in range(m)])
-            counts += np.bincount(self.flat[_ranges(np.r_[base + new_low, base + high], np.r_[low - new_low, new_high - high])], minlength=n)
-            low, high = new_low, new_high
-            fresh = np.flatnonzero(open_ & (counts >= threshold))
-            if len(fresh):
-                open_[fresh] = False
-                found = np.r_[found, fresh]
-                scores = np.r_[scores, (self.vectors[fresh] * query).sum(axis=1)]
-                best = np.lexsort((ids[found], -scores))[:k]
-                found, scores = found[best], scores[best]
-            if len(found) == k and square - 2 * scores[-1] <= radius * radius:
-                break
+            new_low = np.stack([np.searchsorted(self.sorted[j], centre[active, j] - half, side="left") for j in range(m)], axis=1)
+            new_high = np.stack([np.searchsorted(self.sorted[j], centre[active, j] + half, side="right") for j in range(m)], axis=1)
+            more = np.ones(len(active), dtype=bool)
+            for r, q in enumerate(active.tolist()):
+                at = _ranges(np.r_[base + new_low[r], base + high[q]], np.r_[low[q] - new_low[r], new_high[r] - high[q]])
+                counts[q] += np.bincount(self.flat[at], minlength=n).astype(np.int16)
+                fresh = np.flatnonzero((counts[q] >= threshold) & ~closed[q])
+                found, scores = out[q]
+                if len(fresh):
+                    closed[q, fresh] = True
+                    found = np.r_[found, fresh]
+                    scores = np.r_[scores, (self.vectors[fresh] * queries[q]).sum(axis=1)]
+                    best = np.lexsort((ids[found], -scores))[:k]
+                    found, scores = out[q] = found[best], scores[best]
+                near = len(found) == k and square[q] - 2 * scores[-1] <= radius * radius
+                more[r] = not near and not closed[q].all()
+            low[active], high[active] = new_low, new_high
+            active = active[more]
             radius *= GROWTH
-        return found, scores
+        return out
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -103,8 +113,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
             matrix = _matrix(data)
             ids, own = data["id"].to_numpy(), {r: i for i, r in enumerate(data["row"].to_pylist())}
             index = SortedProjections(matrix, top, seed)
-            for row, query_id, query in zip(asked["row"].to_pylist(), asked["id"].to_pylist(), _matrix(asked), strict=True):
-                found, scores = index.nearest(query, k, own.get(row, -1), ids)
+            rows = asked["row"].to_pylist()
+            skip = np.array([own.get(row, -1) for row in rows])
+            for row, query_id, (found, scores) in zip(rows, asked["id"].to_pylist(), index.nearest(_matrix(asked), k, skip, ids), strict=True):
                 out["query_row"] += [row] * len(found)
                 out["query_id"] += [query_id] * len(found)
                 out["vec_id"] += ids[found].tolist()
