@@ -31,7 +31,7 @@ from slidegrid.session import cut_lineage
 PROJECTIONS, SHARE, WIDTH, GROWTH = 64, 0.55, 2.0, 1.2
 #: First radius as a part of the largest norm.
 FIRST_RADIUS = 0.1
-BLOCK_ROWS, GROUP_QUERIES = 4096, 1024
+BLOCK_ROWS, GROUP_QUERIES = 16384, 512
 
 
 class SortedProjections:
