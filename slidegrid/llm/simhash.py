@@ -56,26 +56,26 @@ def _text_parts(data: bytes) -> Iterator[bytes]:
     yield data[start:]
 
 
-def shingle_hashes(data: bytes) -> Iterator[np.ndarray]:
-    """Hashes of all shingles of a text, in arrays of bounded size. ``bytes.lower`` and ``bytes.split`` know ASCII only."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of all shingles (``shingle`` words) of a text, in arrays of bounded size. ``bytes.lower`` and ``bytes.split`` know ASCII only."""
     before: list[bytes] = []
     seen = 0
     for part in _text_parts(data):
         fresh = part.lower().split()
         words = before + fresh
         seen += len(fresh)
-        if len(words) >= SHINGLE:
+        if len(words) >= shingle:
             joined = b" ".join(words)
             sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
             stops = np.cumsum(sizes + 1) - 1
             starts = stops - sizes
             hashed = xxhash.xxh64_intdigest
             yield np.array(
-                [hashed(joined[a:b], 42) for a, b in zip(starts[: 1 - SHINGLE].tolist(), stops[SHINGLE - 1:].tolist(), strict=True)],
+                [hashed(joined[a:b], 42) for a, b in zip(starts[: len(words) + 1 - shingle].tolist(), stops[shingle - 1:].tolist(), strict=True)],
                 dtype=np.uint64,
             )
-        before = words[1 - SHINGLE:]
-    if 0 < seen < SHINGLE:
+        before = words[max(0, len(words) + 1 - shingle):]
+    if 0 < seen < shingle:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(before), 42)], dtype=np.uint64)
 
 
