@@ -103,8 +103,14 @@ class Searcher:
         found = set()
         for k, stretches in self.windows(text).items():
             for begin, end in stretches:
-                for m in self.patterns[k].finditer(text, begin, end):
+                todo = [(begin, end)]
+                while todo:
+                    low, high = todo.pop()
+                    m = self.patterns[k].search(text, low, high)
+                    if m is None:
+                        continue
                     a, b = m.span()
+                    todo += [(low, a), (b, high)]  # the best match of the stretch comes first; others may stand on both sides
                     while a < b and text[a] == " ":
                         a += 1
                     while b > a and text[b - 1] == " ":

@@ -51,3 +51,10 @@ def test_edited_notices_are_found_and_clean_text_is_not():
     assert N.scan_text(f"{before} {after}".encode())[1:] == (0, None, None, "", "", 0.0, [])
     gpl = N.scan_text(b"This work is licensed under the GNU General Public License, version 3.")
     assert gpl[5] == "gpl-3" and gpl[6] == 1.0
+
+
+def test_an_edited_notice_before_a_better_one_is_found():
+    same = N.scan_text(b"licensed under tha mit license and licensed under the mit license")
+    assert [(x["label"], x["first_word"], x["edits"]) for x in same[7]] == [("mit", 0, 1), ("mit", 6, 0)]
+    other = N.scan_text(b"licensed under the gnu gemeral publik license version 2 licensed under the gnu general public license version 3")
+    assert [(x["label"], x["edits"]) for x in other[7]] == [("gpl-2", 2), ("gpl-3", 0)] and other[5] == "gpl-2,gpl-3"
