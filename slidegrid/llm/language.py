@@ -33,6 +33,8 @@ MOST_LANGUAGES = 10_000
 #: Characters whose n-grams are counted together.
 CHUNK = 1 << 18
 UNKNOWN = "und"
+#: Cosines of unrelated texts deviate by 1/32; six deviations are above their largest over all languages.
+LEAST, FEW_GRAMS = 6 / DIMENSIONS ** 0.5, 32
 
 
 class Encoder:
@@ -166,14 +168,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
     return {r["lang"]: np.array([p["x"] for p in r["v"]], dtype=np.float64) for r in sorted(whole, key=lambda r: r["lang"])}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, gram: int = GRAM, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and the cosine with its prototype (0 at least); these columns must be new."""
-    if {pred, score} & set(docs.columns):
-        raise ValueError(f"columns {pred} or {score} exist")
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, gram: int = GRAM, pred: str = "lang_pred", score: str = "score", size: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language, the cosine with its prototype (0 at least) and, if named, the number of n-grams; these columns must be new."""
+    if {pred, score, size} & set(docs.columns):
+        raise ValueError(f"columns {pred}, {score} or {size} exist")
     names = sorted(prototypes)
     table = np.stack([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-300) for n in names]) if names else None
     shared = docs.sparkSession.sparkContext.broadcast((names, table))
-    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType()), *([T.StructField(size, T.LongType())] if size else [])])
 
     def predicted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(dimensions, gram)
@@ -190,7 +192,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                     for k in np.flatnonzero(sizes > 0).tolist():
                         langs[k] = names[best[k]]
                         scores[k] = min(1.0, max(0.0, float(cosine[k, best[k]])))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores), *([pa.array(sizes)] if size else [])], names=schema.names)
 
     return docs.mapInArrow(predicted, schema)
 
@@ -202,8 +204,12 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return predict(narrow.select(key, "held_out", "text"), prototypes).select(key, "held_out", "lang_pred", "score")
 
 
-def keep(docs: DataFrame, least: float = 0.02, key: str = "doc_id", text: str = "text", lang: str = "lang", by: int = 4, at: int = 2) -> DataFrame:
-    """The rows of ``docs`` in a known language: not ``und``, and with a cosine of at least ``least``."""
+def keep(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text", lang: str = "lang", by: int = 4, at: int = 2) -> DataFrame:
+    """The rows of ``docs`` in a known language: not ``und``, and with a cosine of at least ``least``.
+
+    A text of under ``FEW_GRAMS`` n-grams scores low in its own language too and says too little against it; it stays.
+    """
     prototypes = learn(docs.where(~is_held_out(key, by, at)), text, lang)
-    judged = predict(docs, prototypes, text, pred="__lang_pred", score="__score")
-    return judged.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    judged = predict(docs, prototypes, text, pred="__lang_pred", score="__score", size="__grams")
+    known = (F.col("__score") >= least) | (F.col("__grams") < FEW_GRAMS)
+    return judged.where((F.col("__lang_pred") != UNKNOWN) & known).select(*docs.columns)

@@ -1,5 +1,7 @@
 """op4: held-out accuracy, the algebra of the vectors, and awkward texts."""
 
+import random
+
 import numpy as np
 from helpers import PROSE, documents, prose
 
@@ -46,3 +48,15 @@ def test_keep_returns_the_rows(spark):
     assert kept.schema == docs.schema
     ids = [r["doc_id"] for r in kept.collect()]
     assert set(range(42)) <= set(ids) and not {100, 101, 102, 103} & set(ids) and ids.count(106) == 2
+
+
+def test_keep_drops_unlearned_languages_and_random_letters(spark):
+    rng = random.Random(1)
+    clean = [(i, prose(lang, i), lang, "a") for i, lang in enumerate(["en", "de", "fr"] * 14)] + [(50, "Von.", "de", "a")]
+    words = "nie jest to si\u0119 na w z do \u017ce jak ale po co tak za od jego by\u0142 tylko przez dla s\u0105 czy ju\u017c mo\u017ce dom rzeka ludzie droga morze stary".split()
+    foreign = [(100 + i, " ".join(rng.choices(words, k=100)), None, "a") for i in range(20)]
+    for k, (first, n) in enumerate([(97, 26), (0x430, 32), (0x4E00, 4096), (0x3B1, 25)]):
+        letters = [chr(first + i) for i in range(n)]
+        foreign += [(200 + 20 * k + i, " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(100)), None, "a") for i in range(20)]
+    kept = {r["doc_id"] for r in H.keep(documents(spark, clean + foreign)).collect()}
+    assert kept == {r[0] for r in clean}
