@@ -75,26 +75,37 @@ def slide_index(spark, d):
     return readers.read_slide_index(spark, path)
 
 
+#: Rows of one file of measures, by expectation.
+ENTITY_ROWS = 10_000
+
+
+def entity_parts(orders):
+    """``orders`` with ``part``: each folder's rows are dealt by key into as many parts as its row count needs."""
+    counts = orders.groupBy("folder").agg(F.ceil(F.count("*") / ENTITY_ROWS).alias("parts"))
+    return orders.join(F.broadcast(counts), "folder").withColumn("part", F.pmod(F.xxhash64("o_orderkey"), "parts"))
+
+
 @query("entity_files", "SRC1 SRC2", """SELECT 's' || (o_custkey % 50) AS folder, 'p' || o_orderkey AS sampleId, CAST(o_custkey AS INTEGER) AS entrezGeneId, o_totalprice AS value FROM orders""")
 def entity_files(spark, d):
-    """One JSON array of measures per folder, read back with the declared schema."""
+    """JSON arrays of measures in folders, read back with the declared schema; no file holds much more than ``ENTITY_ROWS`` rows."""
     path = scratch_folder(spark)
     k = (F.col("o_custkey") % 50).cast("string")
     rows = F.struct(
         F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("sampleId"), F.lit("x").alias("patientId"),
         F.col("o_custkey").cast("int").alias("entrezGeneId"), F.col("o_totalprice").alias("value"),
     )
-    made = table(spark, d, "orders").groupBy(F.concat(F.lit("s"), k).alias("folder")).agg(F.to_json(F.collect_list(rows)).alias("value"))
+    orders = table(spark, d, "orders").withColumn("folder", F.concat(F.lit("s"), k))
+    made = entity_parts(orders).groupBy("folder", "part").agg(F.to_json(F.collect_list(rows)).alias("value"))
 
     def write(batches):
-        """One file per folder, through the file system of the shared folder."""
+        """One file per folder and part, through the file system of the shared folder."""
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(readers.as_uri(path))
         for pdf in batches:
-            for folder, value in zip(pdf["folder"], pdf["value"]):
+            for folder, part, value in zip(pdf["folder"], pdf["part"], pdf["value"]):
                 system.create_dir(f"{base}/{folder}")
-                with system.open_output_stream(f"{base}/{folder}/{folder}_expression.json") as out:
+                with system.open_output_stream(f"{base}/{folder}/{folder}-{part}_expression.json") as out:
                     out.write(value.encode())
             yield pdf[["folder"]]
 

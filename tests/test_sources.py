@@ -162,3 +162,15 @@ def test_checkpoints_need_a_shared_folder(spark):
     context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077")
     with pytest.raises(RuntimeError, match="checkpoint"):
         session.shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_entity_files_bound_rows_per_file(spark, tmp_path, monkeypatch):
+    """A hot customer's rows are dealt into several files, and all come back."""
+    from slidegrid.queries import source_queries
+
+    monkeypatch.setattr(source_queries, "ENTITY_ROWS", 100)
+    spark.range(2000).selectExpr("id AS o_orderkey", "IF(id % 3 = 0, 7L, id) AS o_custkey", "CAST(id AS DOUBLE) AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    folders = spark.read.parquet(f"{tmp_path}/orders.parquet").selectExpr("*", "concat('s', o_custkey % 50) AS folder")
+    assert max(r["count"] for r in source_queries.entity_parts(folders).groupBy("folder", "part").count().collect()) < 200
+    got = source_queries.entity_files(spark, str(tmp_path)).collect()
+    assert sorted((r["folder"], r["sampleId"]) for r in got) == sorted((r["folder"], f"p{r['o_orderkey']}") for r in folders.collect())
