@@ -116,10 +116,16 @@ def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, d, "documents").select("doc_id", "text", "source"))
 
 
-def _rules_case(column: str) -> str:
+#: The five rules as the contract words them (verdict, host, path), longest first; written out so that the SQL does not rest on urls.RULES.
+_CONTRACT_RULES = (
+    ("block", "example.org", "/en/1"), ("block", "example.org", "/es/"), ("block", "com", "/de/"), ("allow", "com", "/fr/"), ("allow", "org", "/"),
+)
+
+
+def _rules_case(verdict: bool) -> str:
     cases = [
-        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, column)}'"
-        for r in sorted(urls.RULES, key=lambda r: (-len(r.text), r.text))
+        f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{says if verdict else host + path}'"
+        for says, host, path in _CONTRACT_RULES
     ]
     return "CASE " + " ".join(cases) + " END"
 
@@ -130,8 +136,8 @@ URLS_SQL = f"""WITH parts AS (
     translate(regexp_extract(coalesce(url, ''), '{_PARTS_SQL}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '{_PARTS_SQL}', 2) AS path FROM pages),
 listed AS (SELECT DISTINCT host || path AS k FROM parts WHERE contains(u, 'utm_source=') AND host || path <> '')
-SELECT page_id, host, path, {_rules_case('text')} AS rule,
-  coalesce({_rules_case('verdict')}, CASE WHEN host <> '' AND host || path IN (SELECT k FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, {_rules_case(False)} AS rule,
+  coalesce({_rules_case(True)}, CASE WHEN host <> '' AND host || path IN (SELECT k FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts"""
 
 

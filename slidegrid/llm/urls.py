@@ -40,7 +40,7 @@ class Rule:
 
 
 RULES = (
-    Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("allow", "example.org", "/en/1"),
+    Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
     Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"),
 )
 

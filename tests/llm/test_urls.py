@@ -19,7 +19,7 @@ def test_parts_and_rules(spark):
     assert [g[0] for g in got] == ["", "", "", "", "www.example.org", "example.org", "example.org", "a.com", "com", "b.com", "c.net", "notorg", "org", "org", "c.net", "\u00c9.org"]
     assert [g[1] for g in got] == ["", "", "", "", "/es/1", "/en/12", "/en/2", "/fr/", "/de/9", "", "/a", "/x", "/", "", "/a", "/\u00e9"]
     assert [g[2] for g in got] == [None] * 4 + ["example.org/es/", "example.org/en/1", "org/", "com/fr/", "com/de/", None, None, None, "org/", None, None, "org/"]
-    assert [g[3] for g in got] == ["allow"] * 4 + ["block", "allow", "allow", "allow", "block", "allow", "block", "allow", "allow", "allow", "block", "allow"]
+    assert [g[3] for g in got] == ["allow"] * 4 + ["block", "block", "allow", "allow", "block", "allow", "block", "allow", "allow", "allow", "block", "allow"]
 
 
 def test_cascade_is_exact(spark):
@@ -34,4 +34,20 @@ def test_cascade_is_exact(spark):
 
 def test_nothing_listed(spark):
     assert {g[3] for g in judged(spark, ["http://a.net/x", None], [])} == {"allow"}
-    assert judged(spark, [], []) == [] if spark.createDataFrame([], "page_id long, url string").count() else True
+    assert judged(spark, [], []) == []
+
+
+def test_contract_rules_literally():
+    """The five rules as the contract words them."""
+    assert {(r.verdict, r.host, r.path) for r in U.RULES} == {
+        ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+    }
+
+
+def test_repeats_clashing_columns_and_long_urls(spark):
+    long = "http://a.example.org/en/1" + "x" * 200_000 + "?q"
+    rows = [(i, u, "mine", "theirs") for i, u in enumerate([long, long, "http://b.net/k", "http://b.net/k", None])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, key string")
+    got = sorted(U.judge(pages, spark.createDataFrame([("b.net/k",), ("b.net/k",)], "key string")).collect())
+    assert [(g[3], g[4]) for g in got] == [("example.org/en/1", "block")] * 2 + [(None, "block")] * 2 + [(None, "allow")]
+    assert len(got[0][2]) == 200_005
