@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slidegrid.llm import attribution, language, likelihood, mixing, neighbours, notices, quality, segmentation, simhash, urls
+from slidegrid.llm import attribution, language, likelihood, mixing, neighbours, notices, quality, segmentation, simhash, tries, urls
 from slidegrid.queries.registry import Query
 from slidegrid.session import table
 
@@ -146,3 +146,39 @@ def op8_urls(spark: SparkSession, d: str) -> DataFrame:
     """Pages judged by the rules; else blocked if their host and path are among those reached with a campaign parameter."""
     pages = table(spark, d, "pages").select("page_id", "url")
     return urls.judge(pages, urls.tracked_keys(pages))
+
+
+#: CRC-32 of the decimal digits of ``c``, bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce(
+    list_concat([CAST(4294967295 AS UBIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+    lambda s, b: list_reduce(
+      list_concat([xor(s, b)], list_transform(range(8), lambda i: CAST(i AS UBIGINT))), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))))"""
+TRIE_SQL = f"""WITH said AS (
+  SELECT conv_id AS c, turn, length(coalesce("text", '')) AS n_chars,
+    sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce("text", '')) AS d
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, n_chars, d, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) AS pos FROM said),
+convs AS (SELECT c, c - c % 100 AS base, {_CRC_SQL} % 6 AS h FROM (SELECT DISTINCT c FROM said)),
+parts AS (
+  SELECT v.c, 0 AS part, o.pos, o.d, o.n_chars FROM convs v JOIN own o ON o.c = v.base AND o.pos <= v.h
+  UNION ALL SELECT v.c, 1, o.pos, o.d, o.n_chars FROM convs v JOIN own o ON o.c = v.c AND o.pos > v.h),
+placed AS (
+  SELECT c, n_chars, row_number() OVER w AS depth, string_agg(d, '') OVER w AS p FROM parts
+  WINDOW w AS (PARTITION BY c ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+members AS (SELECT c, 0 AS depth, '' AS p, 0 AS n_chars FROM convs UNION ALL SELECT c, depth, p, n_chars FROM placed),
+nodes AS (SELECT p, any_value(depth) AS depth, min(c) AS c, count(*) AS n_convs, any_value(n_chars) AS n_chars FROM members GROUP BY p),
+kids AS (SELECT left(p, length(p) - 64) AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.p = n.p),
+above AS (
+  SELECT left(p, 64 * j) AS p, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum((n_convs - 1) * n_chars) AS saved
+  FROM whole, LATERAL (SELECT unnest(range(depth + 1)) AS j) GROUP BY 1),
+lasts AS (SELECT c, arg_max(p, depth) AS p FROM members GROUP BY c),
+ends AS (SELECT p, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM lasts GROUP BY p)
+SELECT w.c AS conv_id, w.depth AS depth, u.c AS parent_conv_id, w.n_convs, w.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves,
+  CAST(a.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM whole w JOIN above a ON a.p = w.p LEFT JOIN whole u ON w.depth > 0 AND u.p = left(w.p, length(w.p) - 64) LEFT JOIN ends e ON e.p = w.p"""
+
+
+@register("op11_trie", TRIE_SQL)
+def op11_trie(spark: SparkSession, d: str) -> DataFrame:
+    return tries.rebuilt_trie(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
