@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slidegrid.llm import attribution, language, likelihood, mixing, neighbours, notices, quality, segmentation, simhash, tries, urls
+from slidegrid.llm import attribution, extraction, language, likelihood, mixing, neighbours, notices, quality, search, segmentation, simhash, tries, urls
 from slidegrid.queries.registry import Query
 from slidegrid.session import table
 
@@ -182,3 +182,31 @@ FROM whole w JOIN above a ON a.p = w.p LEFT JOIN whole u ON w.depth > 0 AND u.p
 @register("op11_trie", TRIE_SQL)
 def op11_trie(spark: SparkSession, d: str) -> DataFrame:
     return tries.rebuilt_trie(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+_TERMS_SQL = "regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SEARCH_SQL = f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL.format(t='"text"')} AS ts FROM documents),
+held AS (SELECT r, doc_id, ts, len(ts) AS n FROM docs WHERE len(ts) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS words FROM held),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM held) GROUP BY r, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+items AS (SELECT row_number() OVER () AS i, item_id, {_TERMS_SQL.format(t='"text"')} AS ts FROM (SELECT DISTINCT item_id, "text" FROM benchmark)),
+asked AS (SELECT i, item_id, t, count(*) AS times FROM (SELECT i, item_id, unnest(ts) AS t FROM items) GROUP BY ALL),
+weighed AS (
+  SELECT a.*, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM asked a JOIN df USING (t), totals),
+scored AS (
+  SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // words))))) AS BIGINT) AS score
+  FROM weighed JOIN tf USING (t) JOIN held USING (r), totals GROUP BY i, r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+
+@register("op12_search", SEARCH_SQL)
+def op12_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.search(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+
+
+@register("op13_extraction")
+def op13_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.extract(table(spark, d, "pages").select("page_id", "url", "html"))
