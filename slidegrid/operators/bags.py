@@ -7,15 +7,17 @@ score an Arrow batch in one pass, and only a batch's extreme tiles per slide and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from slidegrid.operators.ordered import first_by_index, top_n
-from slidegrid.session import cut_lineage
+from slidegrid.session import cut_lineage, scratch_folder
 
 HIDDEN, HEAD = 128, (128, 64)
 MODEL_BYTES_LIMIT = 1 << 30
@@ -130,7 +132,7 @@ def top_tiles(scores: DataFrame, k: int, by: list[str] = ("slide",)) -> DataFram
     return extremes(scores, k, by)
 
 
-def _batch_extremes(bags: DataFrame, models: list[BagModel], with_emb: bool) -> DataFrame:
+def _batch_extremes(bags: DataFrame, models: list[BagModel]) -> DataFrame:
     """Score every tile under every model, passing on only each batch's extremes per slide and model.
 
     A tile among a slide's n extremes is among the n extremes of its batch, so nothing is lost, and a
@@ -153,14 +155,10 @@ def _batch_extremes(bags: DataFrame, models: list[BagModel], with_emb: bool) ->
                     down = rows[np.lexsort((tiles[rows], -s[rows]))[:n]]
                     up = rows[np.lexsort((tiles[rows], s[rows]))[:n]]
                     for side, sel in ((0, down), (1, up)):
-                        out = {"model": i, "slide": slide, "side": side, "tile_idx": tiles[sel], "score": s[sel]}
-                        if with_emb:
-                            out["emb"] = list(x[sel])
-                        yield pd.DataFrame(out)
+                        yield pd.DataFrame({"model": i, "slide": slide, "side": side, "tile_idx": tiles[sel], "score": s[sel]})
 
     schema = f"model int, slide {kinds['slide']}, side int, tile_idx {kinds['tile_idx']}, score double"
-    cols = ["slide", "tile_idx", "emb"]
-    return bags.select(*cols).mapInPandas(run, schema + (", emb array<double>" if with_emb else ""))
+    return bags.select("slide", "tile_idx", "emb").mapInPandas(run, schema)
 
 
 def _final_extremes(local: DataFrame, models: list[BagModel]) -> DataFrame:
@@ -175,7 +173,7 @@ def _final_extremes(local: DataFrame, models: list[BagModel]) -> DataFrame:
 
 def slide_probabilities(bags: DataFrame, models: list[BagModel]) -> DataFrame:
     """(slide, repeat, fold, prob) for every slide and model: one pass over the tiles."""
-    picked = _final_extremes(_batch_extremes(bags, models, False), models)
+    picked = _final_extremes(_batch_extremes(bags, models), models)
     vectors = extreme_vector(picked, ["model", "slide"])
     shared = bags.sparkSession.sparkContext.broadcast(models)
     kinds = dict(bags.dtypes)
@@ -206,75 +204,161 @@ def _unpack(flat: np.ndarray, like: dict[str, np.ndarray], names: list[str]) ->
     return out
 
 
-def bag_gradient(model: BagModel, emb: np.ndarray, label: float, pos_weight: float) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss and gradient of one slide from its 2n selected tiles (top block first).
+HEAD_WEIGHTS, TILE_WEIGHTS = ("bh1", "bh2", "bh3", "h1", "h2", "h3"), ("bw1", "bw2", "w1", "w2")
+#: Numbers of a gradient that are summed as one row.
+SEGMENT = 1 << 15
 
-    Tiles that were not selected have no influence on the output, so they need no gradient.
-    """
+
+def head_gradient(model: BagModel, s: np.ndarray, label: np.ndarray, pos_weight: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Losses of slides from their 2n scores each, the head's summed gradient, and the losses' slopes in the scores."""
     w = model.w
-    hidden = _sig(emb @ w["w1"] + w["bw1"])
-    s = (hidden @ w["w2"] + w["bw2"])[:, 0][None, :]
-    logit, (s0, a1, a2) = model.head(s)
-    z = float(logit[0])
+    z, (s0, a1, a2) = model.head(s)
     loss = label * pos_weight * np.logaddexp(0, -z) + (1 - label) * np.logaddexp(0, z)
-    p = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
-    dz = np.array([[label * pos_weight * (p - 1) + (1 - label) * p]])
-    g = {"h3": a2.T @ dz, "bh3": dz[0]}
+    p = _sig(z)
+    dz = (label * pos_weight * (p - 1) + (1 - label) * p)[:, None]
     d2 = (dz @ w["h3"].T) * a2 * (1 - a2)
-    g |= {"h2": a1.T @ d2, "bh2": d2[0]}
     d1 = (d2 @ w["h2"].T) * a1 * (1 - a1)
-    g |= {"h1": s0.T @ d1, "bh1": d1[0]}
-    ds = (d1 @ w["h1"].T).T
-    g |= {"w2": hidden.T @ ds, "bw2": ds.sum(0)}
+    g = {"h3": a2.T @ dz, "bh3": dz.sum(0), "h2": a1.T @ d2, "bh2": d2.sum(0), "h1": s0.T @ d1, "bh1": d1.sum(0)}
+    return loss, g, d1 @ w["h1"].T
+
+
+def tile_gradient(model: BagModel, emb: np.ndarray, slope: np.ndarray) -> dict[str, np.ndarray]:
+    """The scorer's summed gradient from tiles and the losses' slopes in their scores."""
+    w, ds = model.w, slope[:, None]
+    hidden = _sig(emb @ w["w1"] + w["bw1"])
     dh = (ds @ w["w2"].T) * hidden * (1 - hidden)
-    g |= {"w1": emb.T @ dh, "bw1": dh.sum(0)}
-    return float(loss), g
+    return {"w2": hidden.T @ ds, "bw2": ds.sum(0), "w1": emb.T @ dh, "bw1": dh.sum(0)}
+
+
+def bag_gradient(model: BagModel, emb: np.ndarray, label: float, pos_weight: float) -> tuple[float, dict[str, np.ndarray]]:
+    """Loss and gradient of one slide from its 2n selected tiles (top block first).
 
+    Tiles that were not selected have no influence on the output, so they need no gradient.
+    """
+    loss, g, slope = head_gradient(model, model.score(emb)[None, :], np.array([label]), np.array([pos_weight]))
+    return float(loss[0]), g | tile_gradient(model, emb, slope[0])
 
-def ensemble_gradients(bags: DataFrame, targets: DataFrame, models: list[BagModel], chunks: int = 16) -> dict[int, tuple[float, int, np.ndarray]]:
-    """Summed loss and gradient per model over its training slides.
 
-    ``targets`` has (model, slide, label, pos_weight). Slides are dealt into ``chunks`` groups per
-    model and summed in two steps; one gradient per model reaches the driver, its size set by the
-    network alone and not by the data.
+def store_bags(bags: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The bags as a table on shared storage, bucketed and sorted by slide and tile.
+
+    Training reads it in every epoch: a join on slide and tile then moves the other side only, and the tiles of a
+    large slide lie in many buckets.
+    """
+    spark = bags.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    name = f"slidegrid_bags_{uuid.uuid4().hex}"
+    writer = bags.select("slide", "tile_idx", "emb").repartition(n, "slide", "tile_idx").write.bucketBy(n, "slide", "tile_idx").sortBy("slide", "tile_idx")
+    writer.option("path", scratch_folder(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
+class _Sums:
+    """Gradients added up in a task, one vector per model; leave it as bounded segments."""
+
+    def __init__(self, part: int):
+        self.part, self.held = part, {}
+
+    def add(self, model: int, loss: float, n: int, flat: np.ndarray) -> None:
+        held = self.held.setdefault(model, [0.0, 0, 0.0])
+        held[0] += loss
+        held[1] += n
+        held[2] = held[2] + flat
+
+    def rows(self) -> Iterator[dict]:
+        for model, (loss, n, flat) in self.held.items():
+            for k in range(0, len(flat), SEGMENT):
+                yield {"model": model, "part": self.part, "seg": k // SEGMENT, "loss": 0.0 if k else loss, "n": 0 if k else n, "grad": flat[k : k + SEGMENT]}
+
+
+_SUMS = "model int, part int, seg int, loss double, n long, grad array<double>"
+
+
+def head_pass(bags: DataFrame, targets: DataFrame, models: list[BagModel]) -> DataFrame:
+    """Forward and backward through the heads: rows of selected tiles with their slopes, and rows of summed gradients.
+
+    Only scores are shuffled: n highest and lowest per slide and model, then 2n numbers per slide and model.
     """
-    names = sorted(models[0].w)
     shared = bags.sparkSession.sparkContext.broadcast(models)
-    picked = _final_extremes(_batch_extremes(bags, models, True), models)
-    joined = picked.join(targets, ["model", "slide"]).withColumn("chunk", F.pmod(F.xxhash64("slide"), F.lit(chunks)).cast("int"))
-    per_slide = joined.groupBy("model", "chunk", "slide").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("side", "rank", "emb"))), lambda t: t["emb"]).alias("tiles"),
-        F.max("label").alias("label"), F.max("pos_weight").alias("pos_weight"),
-    )
+    kinds = dict(bags.dtypes)
+    picked = _final_extremes(_batch_extremes(bags, models), models).join(targets, ["model", "slide"])
+    one = F.struct("side", "rank", "tile_idx", "score")
+    per = picked.groupBy("model", "slide").agg(
+        F.array_sort(F.collect_list(one)).alias("t"), F.max("label").alias("label"), F.max("pos_weight").alias("pos_weight")
+    ).select("model", "slide", F.col("t.tile_idx").alias("tiles"), F.col("t.score").alias("scores"), "label", "pos_weight")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {}
+        sums = _Sums(0)
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                model = shared.value[int(row.model)]
-                loss, g = bag_gradient(model, np.stack(row.tiles).astype(float), float(row.label), float(row.pos_weight))
-                held = sums.setdefault(int(row.model), [0.0, 0, 0.0])
-                held[0] += loss
-                held[1] += 1
-                held[2] = held[2] + _pack(g, names)
-        for i, (loss, n, flat) in sums.items():
-            yield pd.DataFrame({"model": [i], "loss": [loss], "n": [n], "grad": [flat.tolist()]})
+            for i, rows in pdf.groupby("model"):
+                model = shared.value[int(i)]
+                s = np.stack(rows["scores"].to_numpy()).astype(float)
+                loss, g, slope = head_gradient(model, s, rows["label"].to_numpy(float), rows["pos_weight"].to_numpy(float))
+                sums.add(int(i), float(loss.sum()), len(rows), _pack(g, HEAD_WEIGHTS))
+                found = {"model": int(i), "slide": rows["slide"].to_numpy(), "tiles": rows["tiles"].to_numpy(), "slopes": list(slope)}
+                yield pd.DataFrame(found).assign(part=None, seg=None, loss=None, n=None, grad=None)
+        done = pd.DataFrame(list(sums.rows()), columns=["model", "part", "seg", "loss", "n", "grad"])
+        yield done.assign(slide=None, tiles=None, slopes=None)
+
+    return per.mapInPandas(run, f"slide {kinds['slide']}, tiles array<{kinds['tile_idx']}>, slopes array<double>, {_SUMS}")
+
+
+def tile_pass(bags: DataFrame, selected: DataFrame, models: list[BagModel]) -> DataFrame:
+    """Summed gradients of the tile scorers: selected tiles (slide, tile_idx, model, slope) go to where the embeddings lie.
+
+    ``bags`` comes from ``store_bags``: the join moves the narrow side alone.
+    """
+    shared = bags.sparkSession.sparkContext.broadcast(models)
+    narrow = selected.groupBy("slide", "tile_idx").agg(F.collect_list("model").alias("of"), F.collect_list("slope").alias("slopes"))  # at most one per model
+    met = bags.join(narrow, ["slide", "tile_idx"]).select("emb", "of", "slopes")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = _Sums(1)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["emb"].to_numpy()).astype(np.float64)
+            row = np.repeat(np.arange(len(pdf)), pdf["of"].map(len).to_numpy())
+            of, slope = np.concatenate(pdf["of"].to_numpy()), np.concatenate(pdf["slopes"].to_numpy())
+            for i in np.unique(of).tolist():
+                mine = of == i
+                sums.add(i, 0.0, 0, _pack(tile_gradient(shared.value[i], x[row[mine]], slope[mine]), TILE_WEIGHTS))
+        yield pd.DataFrame(list(sums.rows()), columns=["model", "part", "seg", "loss", "n", "grad"])
+
+    return met.mapInPandas(run, _SUMS)
+
+
+def _selected(first: DataFrame) -> DataFrame:
+    both = F.explode(F.arrays_zip("tiles", "slopes")).alias("t")
+    return first.where(F.col("tiles").isNotNull()).select("slide", "model", both).select("slide", "model", F.col("t.tiles").alias("tile_idx"), F.col("t.slopes").alias("slope"))
+
+
+def ensemble_gradients(bags: DataFrame, targets: DataFrame, models: list[BagModel]) -> dict[int, tuple[float, int, np.ndarray]]:
+    """Summed loss and gradient per model over its training slides, in two passes over the stored bags.
+
+    ``targets`` has (model, slide, label, pos_weight). The first pass sends scores, the second one number per
+    selected tile; embeddings stay where they are stored. Task sums meet per model and segment, and what reaches the driver is
+    one gradient per model, its size set by the network alone.
+    """
+    first = cut_lineage(head_pass(bags, targets, models))
+    sums = first.where(F.col("grad").isNotNull()).select("model", "part", "seg", "loss", "n", "grad").unionByName(tile_pass(bags, _selected(first), models))
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {}
+        held: dict[tuple, list] = {}
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                held = sums.setdefault(int(row.model), [0.0, 0, 0.0])
-                held[0] += row.loss
-                held[1] += row.n
-                held[2] = held[2] + np.asarray(row.grad)
-        for i, (loss, n, flat) in sums.items():
-            yield pd.DataFrame({"model": [i], "loss": [loss], "n": [n], "grad": [flat.tolist()]})
-
-    schema = "model int, loss double, n long, grad array<double>"
-    parts = per_slide.repartition(chunks, "model", "chunk").mapInPandas(run, schema)
-    whole = parts.repartition("model").mapInPandas(add_up, schema)
-    return {r["model"]: (r["loss"], r["n"], np.asarray(r["grad"])) for r in whole.toLocalIterator()}
+                one = held.setdefault((int(row.model), int(row.part), int(row.seg)), [0.0, 0, 0.0])
+                one[0] += row.loss
+                one[1] += row.n
+                one[2] = one[2] + np.asarray(row.grad)
+        yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=["model", "part", "seg", "loss", "n", "grad"])
+
+    found = sorted((r["model"], r["part"], r["seg"], r["loss"], r["n"], r["grad"]) for r in sums.repartition("model", "part", "seg").mapInPandas(add_up, _SUMS).toLocalIterator())
+    out = {}
+    for i, rows in groupby(found, key=lambda r: r[0]):
+        rows = list(rows)
+        out[i] = (sum(r[3] for r in rows), sum(r[4] for r in rows), np.concatenate([np.asarray(r[5]) for r in rows]))
+    return out
 
 
 def train_ensemble(
@@ -282,8 +366,8 @@ def train_ensemble(
 ) -> tuple[list[BagModel], list[float]]:
     """Adam on weighted cross-entropy, all models advancing together; (models, mean loss per epoch).
 
-    ``train`` has (repeat, fold, slide, label) of the slides each model may see. The step is over the
-    full batch, so an epoch is one Spark job and the driver only holds weights.
+    ``bags`` comes from ``store_bags``. ``train`` has (repeat, fold, slide, label) of the slides each model may see. The step is over
+    the full batch, so an epoch is two Spark jobs and the driver only holds weights.
     """
     keys = F.create_map(*[v for i, m in enumerate(models) for v in (F.lit(f"{m.repeat}:{m.fold}"), F.lit(i))])
     seen = train.withColumn("model", keys[F.concat_ws(":", "repeat", "fold")]).where(F.col("model").isNotNull())
@@ -291,7 +375,7 @@ def train_ensemble(
         (F.count_if(F.col("label") == 0) / F.greatest(F.count_if(F.col("label") == 1), F.lit(1))).alias("pos_weight")
     )
     targets = cut_lineage(seen.join(F.broadcast(ratio), "model").select("model", "slide", "label", "pos_weight"))
-    names = sorted(models[0].w)
+    names = [*HEAD_WEIGHTS, *TILE_WEIGHTS]
     moments = {i: (np.zeros(1), np.zeros(1)) for i in range(len(models))}
     history = []
     for step in range(1, epochs + 1):

@@ -48,7 +48,7 @@ def train_and_report(
 
     ``max_tiles`` bounds the tiles of a slide that the models are fitted on; predictions come from all tiles.
     """
-    tiles = cut_lineage(bags.load_bags(embeddings, labels, max_tiles)[0])  # read in every epoch
+    tiles = bags.store_bags(bags.load_bags(embeddings, labels, max_tiles)[0])  # read in every epoch
     everything, _ = bags.load_bags(embeddings, labels, None)
     n = bags.shrink_extremes(tiles, n_extreme).first()["n_extreme"]
     k = fd.fold_count(labels, fd.fold_units(labels), splits)

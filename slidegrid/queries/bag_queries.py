@@ -102,25 +102,23 @@ def slide_probabilities(spark, d):
     return rounded(bags.slide_probabilities(bag_rows(spark, d), formula_models()), "prob")
 
 
-def _trained(spark, d, epochs=2):
+def _trained(spark, d):
     labels = bag_labels(spark, d).withColumn("patient", F.col("slide"))
-    return workflows.train_and_report(
-        bag_rows(spark, d), labels, splits=2, repeats=1, epochs=epochs, lr=0.05, n_extreme=5, hidden=8, head=(6, 4)
-    )
+    return workflows.train_and_report(bag_rows(spark, d), labels, splits=2, repeats=1)
 
 
 @query("trained_ensemble", "ML4")
 def trained_ensemble(spark, d):
-    """Two epochs over two patient-grouped folds: slide probabilities of the trained models."""
+    """The default network and epochs over two patient-grouped folds: slide probabilities of the trained models."""
     return rounded(_trained(spark, d)[1], "prob")
 
 
 @query("training_manifest", "ML7 TG7")
 def training_manifest(spark, d):
     labels = bag_labels(spark, d).withColumn("patient", F.col("slide"))
-    models, _, _, _ = _trained(spark, d, epochs=1)
+    models, _, _, history = _trained(spark, d)
     folds = fd.make_folds(labels, 2, 1)
-    return bags.train_manifest(bags.models_frame(spark, models), folds, 1, 0.05).withColumn("models", F.to_json("models"))
+    return bags.train_manifest(bags.models_frame(spark, models), folds, len(history), 1e-3).withColumn("models", F.to_json("models"))
 
 
 @query("tile_embedding", "ML6", "SELECT user_id AS slide, event_id AS tile_idx, list_value(CAST(length(event_type) AS FLOAT), CAST(length(props) AS FLOAT)) AS emb FROM events")

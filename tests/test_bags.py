@@ -1,5 +1,7 @@
 """Bag scoring, gradients, training, codebooks, attention, tile hooks."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -76,6 +78,39 @@ def test_gradient_against_finite_differences():
             assert g[name].reshape(-1)[i] == pytest.approx((out[0] - out[1]) / (2 * h), abs=1e-6)
 
 
+def test_two_pass_gradients_equal_whole_bags(spark, monkeypatch):
+    """Summed over slides, the two passes give what each slide's selected tiles give by themselves; segments are put together."""
+    monkeypatch.setattr(bags, "SEGMENT", 7)
+    df, rows = bag_frame(spark, [9, 4, 30, 12])
+    models = [small_model(), small_model(1, seed=2, fold=1)]
+    targets = spark.createDataFrame([(0, "s00", 1, 2.0), (0, "s02", 0, 2.0), (0, "s01", 1, 2.0), (1, "s03", 1, 0.5), (1, "s02", 0, 0.5)], "model int, slide string, label int, pos_weight double")
+    got = bags.ensemble_gradients(bags.store_bags(df), targets, models)
+    for i, model in enumerate(models):
+        loss, n, flat = 0.0, 0, 0.0
+        for t in targets.where(F.col("model") == i).collect():
+            x = np.array([r[2] for r in rows if r[0] == t["slide"]], dtype=np.float32).astype(float)
+            one, g = bags.bag_gradient(model, x[by_hand(model, x)[1]], t["label"], t["pos_weight"])
+            loss, n, flat = loss + one, n + 1, flat + bags._pack(g, [*bags.HEAD_WEIGHTS, *bags.TILE_WEIGHTS])
+        assert got[i][1] == n and got[i][0] == pytest.approx(loss) and np.allclose(got[i][2], flat)
+
+
+def test_no_epoch_shuffles_embeddings(spark):
+    """Bags beyond the size of a broadcast: only the narrow side moves."""
+    df, _ = bag_frame(spark, [9, 4, 30, 12])
+    stored, models = bags.store_bags(df, 4), [small_model()]
+    targets = spark.createDataFrame([(0, "s00", 1, 2.0)], "model int, slide string, label int, pos_weight double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = bags.head_pass(stored, targets, models)
+        for plan in (first, bags.tile_pass(stored, bags._selected(first), models)):
+            text = plan._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            moved = re.findall(r"\) (?:Broadcast)?Exchange\nInput[^\n]*\n", text)
+            assert moved and not any("emb#" in m for m in moved)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_training_separates_shifted_bags(spark):
     sizes = [20, 24, 28, 20, 24, 28, 20, 24]
     df, _ = bag_frame(spark, sizes, shift=[0.0] * 4 + [1.5] * 4)
