@@ -180,76 +180,108 @@ def group_quantiles(
     bounded: bool = False,
     splits: list[float] | None = None,
     weight: str | None = None,
-    accuracy: int = 2000,
+    most: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group: (by..., n, one column per entry of ``probs``).
 
-    By default a mergeable summary first brackets each quantile, then rows below the bracket are counted
-    and only rows inside it are ordered: two scans and almost no shuffle. ``bounded`` (few distinct
+    By default each rank is selected: counts at the points of mergeable summaries shrink an interval around it until at most
+    ``most`` rows are left to order, so no task orders more, whatever the group's size. ``bounded`` (few distinct
     values, as 8-bit channels), ``weight`` or ``splits`` choose counting of distinct values instead,
-    which orders all of them in buckets.
+    which orders all of them in buckets. Groups without a value are left out; without groups, no value gives n 0 and null.
     """
     live = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     if bounded or weight or splits is not None:
         return _counted_quantiles(live, by, col, probs, bounded, splits, weight)
-    return _bracketed_quantiles(live.select(*by, F.col(col).cast("double").alias("__v")), by, probs, accuracy)
+    return _selected_quantiles(live.select(*by, F.col(col).cast("double").alias("__v")), by, probs, most or ORDERED_ROWS)
 
 
 def _interpolated(wide: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
     low, high, t = ({k: F.col(f"__{part}_{k}") for k in probs} for part in ("lo", "hi", "t"))
-    return wide.select(*by, "n", *[(low[k] + (high[k] - low[k]) * t[k]).alias(k) for k in probs])
+    return wide.select(*by, "n", *[F.when(low[k] == high[k], low[k]).otherwise(low[k] + (high[k] - low[k]) * t[k]).alias(k) for k in probs])
 
 
-def _bracketed_quantiles(live: DataFrame, by: list[str], probs: dict[str, float], accuracy: int) -> DataFrame:
-    """Quantiles through brackets [p - 2/accuracy, p + 2/accuracy] of an approximate summary.
+#: Rows of a target that are ordered in one task, and points of the summary that splits the rest.
+ORDERED_ROWS, SUMMARY_POINTS = 20_000, 200
 
-    The summary is off by at most n / accuracy ranks, half the bracket's margin; a group of up to
-    4 * accuracy rows is bracketed whole. The summary is checkpointed, so that both scans use the same
-    brackets even when a task is retried. A bracket that misses its rank stops the job.
+
+def _selected_quantiles(live: DataFrame, by: list[str], probs: dict[str, float], most: int) -> DataFrame:
+    """Quantiles by selection: an open interval per group and rank shrinks by exact counts until few rows are left.
+
+    A round takes an approximate summary of the rows inside an interval, chooses two of its points around the
+    wanted rank, and counts rows below, at and between them. The counts tell where the rank lies: at a point (then
+    its value is known), between them, or outside (a summary that was off costs one more round, nothing else). Intervals of
+    at most ``most`` rows are ordered; no other rows are. States are checkpointed, so retried tasks see the same points.
     """
-    margin = 2.0 / accuracy
-    points = [x for p in probs.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
-    summary = live.groupBy(*by).agg(F.percentile_approx("__v", points, accuracy).alias("__q"), F.count("*").alias("__n"))
-    whole = F.col("__n") <= 4 * accuracy
-    edges = {}
-    for i, p in enumerate(probs.values()):
-        edges[f"__a{i}"] = F.when(whole | F.lit(p - margin <= 0), F.lit(float("-inf"))).otherwise(F.get("__q", F.lit(2 * i)))
-        edges[f"__z{i}"] = F.when(whole | F.lit(p + margin >= 1), F.lit(float("inf"))).otherwise(F.get("__q", F.lit(2 * i + 1)))
-    brackets = cut_lineage(summary.withColumns(edges).drop("__q"))
-    if by:
-        seen = copies_join(live, brackets, by, salt_on=["__v"])
-    else:
-        one = brackets.select(F.struct(*brackets.columns)).scalar()
-        seen = live.withColumn("__k", one).select("__v", "__k.*")
-    v = F.col("__v")
-    below = seen.groupBy(*by).agg(
-        F.max("__n").alias("n"), *[F.count_if(v < F.col(f"__a{i}")).alias(f"__b{i}") for i in range(len(probs))]
-    )
-    which = F.array_compact(F.array(*[F.when(v.between(F.col(f"__a{i}"), F.col(f"__z{i}")), F.lit(i)) for i in range(len(probs))]))
-    inside = seen.select(*by, "__v", which.alias("__w")).where(F.size("__w") > 0).select(*by, "__v", F.explode("__w").alias("__i"))
-    counts = inside.groupBy(*by, "__i", "__v").agg(F.count("*").alias("__c"))
-    upto = Window.partitionBy(*by, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__cum", F.sum("__c").over(upto))
-    if by:
-        ranked = ranked.join(below, by)
-    else:
-        ranked = ranked.withColumn("__k", below.select(F.struct(*below.columns)).scalar()).select("__i", "__v", "__c", "__cum", "__k.*")
-    aggs = []
+    ranks = {f"{end}{i}": fn(F.lit(float(p)) * (F.col("n") - 1)) for i, p in enumerate(probs.values()) for end, fn in (("lo", F.floor), ("hi", F.ceil))}
+    inside = {t: F.col(f"__v_{t}").isNull() & (F.col(f"__a_{t}").isNull() | (F.col("__v") > F.col(f"__a_{t}"))) & (F.col(f"__z_{t}").isNull() | (F.col("__v") < F.col(f"__z_{t}"))) for t in ranks}
+    points = [i / SUMMARY_POINTS for i in range(SUMMARY_POINTS + 1)]
+    summary = F.percentile_approx("__v", points, 10 * SUMMARY_POINTS)
+    unknown = F.lit(None).cast("double")
+    state = live.groupBy(*by).agg(F.count("*").alias("n"), summary.alias("__q"))
+    for t in ranks:
+        state = state.withColumns({f"__a_{t}": unknown, f"__z_{t}": unknown, f"__v_{t}": unknown, f"__b_{t}": F.lit(0).cast("long"), f"__m_{t}": F.col("n"), f"__q_{t}": F.col("__q")})
+    state = cut_lineage(state.drop("__q"))
+    while (state.agg(F.max(F.greatest(*[F.when(F.col(f"__v_{t}").isNull(), F.col(f"__m_{t}")).otherwise(0) for t in [*ranks, *ranks]]))).first()[0] or 0) > most:
+        open_ = {t: F.col(f"__v_{t}").isNull() & (F.col(f"__m_{t}") > most) for t in ranks}
+        chosen = {}
+        for t, rank in ranks.items():
+            at = F.floor((rank - F.col(f"__b_{t}")) * SUMMARY_POINTS / F.col(f"__m_{t}")).cast("int")
+            for end, k in (("x", at - 1), ("y", at + 2)):
+                chosen[f"__{end}_{t}"] = F.when(open_[t], F.get(f"__q_{t}", F.greatest(F.least(k, F.lit(SUMMARY_POINTS)), F.lit(0))))
+        asked = state.withColumns(chosen).drop(*[f"__q_{t}" for t in ranks])
+        counts = []
+        for t in ranks:
+            x, y, v = F.col(f"__x_{t}"), F.col(f"__y_{t}"), F.col("__v")
+            counts += [F.count_if(inside[t] & test).alias(f"__{name}_{t}") for name, test in (("lx", v < x), ("ex", v <= x), ("ly", v < y), ("ey", v <= y))]
+        state = _joined_groups(asked, _with_groups(live, asked, by).groupBy(*by).agg(*counts), by)
+        for t, rank in ranks.items():
+            r = rank - F.col(f"__b_{t}")
+            lx, ex, ly, ey = (F.col(f"__{name}_{t}") for name in ("lx", "ex", "ly", "ey"))
+            a, z, b, m, x, y = (F.col(f"__{name}_{t}") for name in "azbmxy")
+
+            def case(*values: Column, t: str = t, r: Column = r, lx: Column = lx, ex: Column = ex, ly: Column = ly, ey: Column = ey) -> Column:
+                old, below, at_x, between, at_y, above = values
+                return F.when(~open_[t], old).when(r < lx, below).when(r < ex, at_x).when(r < ly, between).when(r < ey, at_y).otherwise(above)
+
+            value = F.col(f"__v_{t}")
+            state = state.withColumns({
+                f"__a_{t}": case(a, a, a, x, a, y), f"__z_{t}": case(z, x, z, y, z, z), f"__v_{t}": case(value, unknown, x, unknown, y, unknown),
+                f"__b_{t}": case(b, b, b, b + ex, b, b + ey), f"__m_{t}": case(m, lx, m, ly - ex, m, m - ey),
+            })
+        state = cut_lineage(state.drop(*[f"__{name}_{t}" for t in ranks for name in ("x", "y", "lx", "ex", "ly", "ey")]))
+        again = _with_groups(live, state, by).groupBy(*by).agg(*[
+            F.percentile_approx(F.when(inside[t] & open_[t], F.col("__v")), points, 10 * SUMMARY_POINTS).alias(f"__q_{t}") for t in ranks])
+        state = cut_lineage(_joined_groups(state, again, by))
+    state = state.drop(*[f"__q_{t}" for t in ranks])
+    which = F.array_compact(F.array(*[F.when(inside[t], F.lit(t)) for t in ranks]))
+    left = _with_groups(live, state, by).select(*by, "__v", which.alias("__t")).where(F.size("__t") > 0).select(*by, "__v", F.explode("__t").alias("__t"))
+    counted = left.groupBy(*by, "__t", "__v").agg(F.count("*").alias("__c"))
+    upto = Window.partitionBy(*by, "__t").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _with_groups(counted.withColumn("__cum", F.sum("__c").over(upto)), state, by)
+    found = ranked.groupBy(*by).agg(*[
+        F.max(F.when((F.col("__t") == t) & (F.col(f"__b_{t}") + F.col("__cum") - F.col("__c") <= rank) & (rank < F.col(f"__b_{t}") + F.col("__cum")), F.col("__v"))).alias(f"__f_{t}")
+        for t, rank in ranks.items()
+    ])
+    wide = _joined_groups(state, found, by)
+    ends = {}
     for i, (name, p) in enumerate(probs.items()):
         spot = F.lit(float(p)) * (F.col("n") - 1)
-        upper = F.col("__cum") + F.col(f"__b{i}")
-
-        def at(position: Column, i: int = i, upper: Column = upper) -> Column:
-            return F.max(F.when((F.col("__i") == i) & (upper - F.col("__c") <= position) & (position < upper), v))
-
-        aggs += [at(F.floor(spot)).alias(f"__lo_{name}"), at(F.ceil(spot)).alias(f"__hi_{name}"), F.max(spot - F.floor(spot)).alias(f"__t_{name}")]
-    wide = ranked.groupBy(*by).agg(*aggs, F.max("n").alias("n"))
-    hit = {
-        c: F.coalesce(F.col(c), F.raise_error(F.lit("a quantile bracket missed its rank; pass splits to order all values")).cast("double"))
-        for name in probs
-        for c in (f"__lo_{name}", f"__hi_{name}")
-    }
-    return _interpolated(wide.withColumns(hit), by, probs)
+        ends |= {f"__lo_{name}": F.coalesce(f"__v_lo{i}", f"__f_lo{i}"), f"__hi_{name}": F.coalesce(f"__v_hi{i}", f"__f_hi{i}"), f"__t_{name}": spot - F.floor(spot)}
+    return _interpolated(wide.withColumns(ends), by, probs)
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Every row with the numbers of its group, or of the one group there is."""
+    if by:
+        return copies_join(rows, groups, by, salt_on=["__v"])
+    return rows.withColumn("__g", groups.select(F.struct(*groups.columns)).scalar()).select(*rows.columns, "__g.*")
+
+
+def _joined_groups(groups: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
+    """Two tables of one row per group; ``more`` may lack groups."""
+    if by:
+        return groups.join(more, by, "left")
+    return groups.withColumn("__g", more.select(F.struct(*more.columns)).scalar()).select(*groups.columns, "__g.*")
 
 
 def _counted_quantiles(

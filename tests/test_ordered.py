@@ -39,19 +39,40 @@ def test_quantiles_match_numpy_for_any_bucket_count(hot_frame, buckets):
         assert np.allclose(got.loc[g, ["a", "m", "z"]].astype(float), np.percentile(part["v"], [1, 50, 99]))
 
 
-def test_bracketed_quantiles_are_exact(spark, hot_frame):
-    """Tight brackets (groups larger than 4 * accuracy), ties at the bracket edge, and no group at all."""
+@pytest.mark.parametrize("most", [9, 20_000])
+def test_selected_quantiles_are_exact(spark, hot_frame, most):
+    """Several rounds of selection, ties at the points, far outliers, infinities, and no group at all."""
     rng = np.random.default_rng(9)
     n = 30_000
-    v = np.where(rng.random(n) < 0.35, 2.0, rng.normal(0, 3, n))
-    pdf = pd.DataFrame({"g": np.where(np.arange(n) % 3 == 0, 1, rng.integers(2, 400, n)), "v": v})
+    v = np.where(rng.random(n) < 0.35, 2.0, rng.normal(0, 3, n) * 10.0 ** rng.integers(-30, 30, n))
+    pdf = pd.DataFrame({"g": np.where(np.arange(n) % 3 == 0, 1, rng.integers(2, 40, n)), "v": v})
     df = spark.createDataFrame(pdf).repartition(6)
-    probs = {"a": 0.01, "m": 0.5, "z": 0.99, "top": 1.0}
-    got = od.group_quantiles(df, ["g"], "v", probs, accuracy=100).toPandas().set_index("g")
+    probs = {"a": 0.01, "m": 0.5, "z": 0.99, "top": 1.0, "least": 0.0}
+    q = [1, 50, 99, 100, 0]
+    got = od.group_quantiles(df, ["g"], "v", probs, most=most).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
-        assert np.allclose(got.loc[g, list(probs)].astype(float), np.percentile(part["v"], [1, 50, 99, 100]))
-    one = od.group_quantiles(df, [], "v", probs, accuracy=100).first()
-    assert np.allclose([one[k] for k in probs], np.percentile(v, [1, 50, 99, 100])) and one["n"] == n
+        assert np.allclose(got.loc[g, list(probs)].astype(float), np.percentile(part["v"], q))
+    one = od.group_quantiles(df, [], "v", probs, most=most).first()
+    assert np.allclose([one[k] for k in probs], np.percentile(v, q)) and one["n"] == n
+    far = spark.createDataFrame([(x,) for x in [float("inf")] * 30 + [float("-inf")] * 30 + [1.5] * 9 + [float("nan")]] + [(None,)], "v double")
+    row = od.group_quantiles(far, [], "v", {"lo": 0.0, "m": 34 / 68, "hi": 1.0}, most=most).first()
+    assert row["n"] == 69 and row["lo"] == float("-inf") and row["m"] == 1.5 and row["hi"] == float("inf")
+
+
+def test_selection_orders_few_rows(spark):
+    """Over a million distinct values the rows that are left to order are under one percent, and the median is exact."""
+    df = spark.range(1_000_000, numPartitions=8).selectExpr("cast(pmod(xxhash64(id), 1000000007) as double) AS v")
+    row = od.group_quantiles(df, [], "v", {"m": 0.5}).first()
+    v = np.sort(df.toPandas()["v"].to_numpy())
+    assert row["m"] == np.median(v) and od.ORDERED_ROWS <= 0.02 * len(v)
+    assert od.group_quantiles(df, [], "v", {"m": 0.5}, most=2000).first()["m"] == np.median(v)
+
+
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([], "g int, v double")
+    assert od.group_quantiles(none, ["g"], "v", {"m": 0.5}).count() == 0
+    row = od.group_quantiles(none, [], "v", {"m": 0.5}).first()
+    assert row["n"] == 0 and row["m"] is None
 
 
 def test_quantiles_with_weights_and_bounded_domain(spark):
