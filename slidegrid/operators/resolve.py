@@ -7,6 +7,7 @@ import fnmatch
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.operators.ordered import dense_positions, index_bucket
+from slidegrid.operators.prefixes import prefix_join
 from slidegrid.operators.skew import spread_join
 from slidegrid.session import cut_lineage
 
@@ -21,48 +22,22 @@ def resolve_tokens(tokens: DataFrame, index: DataFrame, barcode_prefix: str = "T
     """Resolve (pos, token) against (file_name, sample, patient): (matches, unresolved).
 
     The first tier with a match wins for a token: exact name, stem, sample, patient, then any-case
-    prefix. A file is reported once, for the earliest token that names it. Every tier is an equi-join:
-    the prefix tier meets the leading characters of each stem only at lengths that tokens have.
+    prefix. A file is reported once, for the earliest token that names it. The first four tiers are one equi-join; the
+    prefix tier is a sweep over tokens and stems in sorted order (``prefix_join``).
     """
     wanted = tokens.where(F.trim("token") != "").groupBy(F.trim("token").alias("token")).agg(F.min("pos").alias("pos"))
-    barcode = F.upper("token").startswith(barcode_prefix.upper())
-    # A token longer than every stem is a prefix of none.
-    longest = index.agg(F.max(F.length(file_stem(F.col("file_name"))))).first()[0] or 0
-    lengths = [
-        r[0]
-        for r in wanted.where(barcode).select(F.length("token").alias("n")).where(F.col("n") <= longest).distinct().collect()
-    ]
-    asked = wanted.select(
-        "token",
-        "pos",
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(t).alias("tier"), F.col("token").alias("key")) for t in range(4)],
-                F.struct(F.lit(4).alias("tier"), F.when(barcode, F.upper("token")).alias("key")),
-            )
-        ).alias("k"),
-    ).select("token", "pos", "k.tier", "k.key")
+    asked = wanted.select("token", "pos", F.explode(F.array(*[F.lit(t) for t in range(4)])).alias("tier"), F.col("token").alias("key"))
     files = index.groupBy("file_name").agg(F.min(F.struct("sample", "patient")).alias("i")).select("file_name", "i.*")
     stem = file_stem(F.col("file_name"))
+    names = [F.col("file_name"), stem, F.col("sample"), F.col("patient")]
     offered = files.select(
-        "file_name",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("tier"), F.col("file_name").alias("key")),
-                F.struct(F.lit(1).alias("tier"), stem.alias("key")),
-                F.struct(F.lit(2).alias("tier"), F.col("sample").alias("key")),
-                F.struct(F.lit(3).alias("tier"), F.col("patient").alias("key")),
-                *[
-                    F.struct(F.lit(4).alias("tier"), F.when(F.length(stem) >= n, F.upper(F.substring(stem, 1, n))).alias("key"))
-                    for n in sorted(lengths)
-                ],
-            )
-        ).alias("k"),
+        "file_name", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), name.alias("key")) for t, name in enumerate(names)])).alias("k")
     ).select("file_name", "k.tier", "k.key").where(F.nullif(F.col("key"), F.lit("")).isNotNull())
+    exact = spread_join(offered, asked, ["tier", "key"], salt_on=["file_name"]).select("token", "pos", "tier", "file_name")
+    barcodes = wanted.where(F.upper("token").startswith(barcode_prefix.upper())).withColumn("__prefix", F.upper("token"))
+    begun = prefix_join(files.select("file_name", F.upper(stem).alias("__stem")), "__stem", barcodes, "__prefix")
     # Read three times below, so it is kept: its size is that of the matches.
-    hits = cut_lineage(
-        spread_join(offered, asked, ["tier", "key"], salt_on=["file_name"]).select("token", "pos", "tier", "file_name")
-    )
+    hits = cut_lineage(exact.unionByName(begun.select("token", "pos", F.lit(4).alias("tier"), "file_name")))
     best = hits.groupBy("token").agg(F.min("tier").alias("tier"))
     matches = (
         spread_join(hits, best, ["token", "tier"], salt_on=["file_name"])
