@@ -6,12 +6,17 @@ score with cumulative positives and negatives, built by bucketed prefix sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.functions.barcode import patient_or_stem
 from slidegrid.functions.hashing import hash_bucket, seeded_key, uniform_int
 from slidegrid.operators.ordered import BUCKET, dense_positions, running_totals, split_points, value_bucket
 from slidegrid.operators.skew import copies_join
+from slidegrid.session import cut_lineage
 
 
 def ensemble_mean(preds: DataFrame) -> DataFrame:
@@ -223,35 +228,114 @@ def resample_weights(units: DataFrame, key: str, n_repeats: int, seed: int = 0)
 METRICS = ["auc", "average_precision", "threshold", "sensitivity", "specificity", "ppv", "npv"]
 
 
-def resample_metrics(units: DataFrame, key: str, n_repeats: int = 1000, seed: int = 0, target: float = 0.92) -> DataFrame:
-    """Every metric per resample; resamples with a single class are left out. No driver loop."""
-    splits = split_points(units, "score")
-    drawn = resample_weights(units.select(key, "label", "score"), key, n_repeats, seed)
-    table = score_table(drawn, ["rep"], splits=splits, weight="w")
-    live = table.where((F.col("total_tp") > 0) & (F.col("total_fp") > 0))
-    reached = F.col("tp") / F.col("total_tp") >= target
-    p, n = F.max("total_tp"), F.max("total_fp")
-    per = live.groupBy("rep").agg(
-        (F.sum(F.col("neg") * (F.col("tp") * 2 - F.col("pos"))).cast("double") / (p * n * 2)).alias("auc"),
-        (F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / p).alias("average_precision"),
-        F.max(F.when(reached, F.col("score"))).alias("threshold"),
-        F.min(F.when(reached, F.col("tp"))).alias("__tp"),
-        F.min(F.when(reached, F.col("fp"))).alias("__fp"),
-        p.alias("__p"), n.alias("__n"),
+#: Distinct scores of one bucket, and numbers that a bucket draws at a time.
+CELL_BUCKET, DRAWN_AT_ONCE = 4096, 1 << 22
+
+
+class _Tree:
+    """How many of ``n`` draws with replacement fall into each bucket of units, in every resample.
+
+    Buckets are the leaves of a binary tree; a node hands its draws to its halves by one binomial draw per resample, from
+    a generator seeded with the node alone. A bucket thus learns its own draws by walking down from the root, wherever it is computed.
+    """
+
+    def __init__(self, sizes: list[int], n_repeats: int, seed: int):
+        self.before, self.n_repeats, self.seed = np.concatenate([[0], np.cumsum(sizes)]), n_repeats, seed
+
+    def generator(self, low: int, high: int) -> np.random.Generator:
+        return np.random.Generator(np.random.Philox(key=(self.seed % (1 << 64)) << 64 | low << 32 | high))
+
+    def draws(self, leaf: int) -> np.ndarray:
+        low, high = 0, len(self.before) - 1
+        drawn = np.full(self.n_repeats, self.before[-1], dtype=np.int64)
+        while high - low > 1:
+            middle = (low + high) // 2
+            share = (self.before[middle] - self.before[low]) / (self.before[high] - self.before[low])
+            first = self.generator(low, high).binomial(drawn, share)
+            low, high, drawn = (low, middle, first) if leaf < middle else (middle, high, drawn - first)
+        return drawn
+
+    def counts(self, leaf: int, pos: np.ndarray, neg: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first resample, positives, negatives drawn per resample and score): multinomial counts of the bucket's draws."""
+        held = np.concatenate([pos, neg])
+        drawn, rng = self.draws(leaf), self.generator(leaf, leaf + 1)
+        step = max(1, DRAWN_AT_ONCE // len(held))
+        for k in range(0, self.n_repeats, step):
+            some = rng.multinomial(drawn[k : k + step], held / held.sum())
+            yield k, some[:, : len(pos)], some[:, len(pos) :]
+
+
+def resample_metrics(units: DataFrame, n_repeats: int = 1000, seed: int = 0, target: float = 0.92) -> DataFrame:
+    """Every metric per resample with replacement; resamples with a single class are left out.
+
+    Units are counted per distinct score first, and scores dealt into buckets. A resample is one multinomial draw over those counts,
+    taken bucket by bucket (``_Tree``) inside tasks, so its cost follows the distinct scores and no unit is ever
+    repeated. A first pass gives positives and negatives per bucket and resample; their running totals go back to the buckets, which
+    draw the same counts again and return their share of every metric.
+    """
+    live = units.where(F.col("label").isNotNull() & F.col("score").isNotNull())
+    cells = cut_lineage(live.groupBy(F.col("score").cast("double").alias("score")).agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")))
+    buckets = max(1, min(4096, -(-cells.count() // CELL_BUCKET)))
+    dealt = value_bucket(cells, "score", split_points(cells, "score", buckets))
+    sizes = [tuple(r) for r in dealt.groupBy(BUCKET).agg(F.sum(F.col("pos") + F.col("neg"))).orderBy(F.col(BUCKET).desc()).collect()]  # at most 4096
+    tree, leaves = _Tree([n for _, n in sizes], n_repeats, seed), {b: i for i, (b, _) in enumerate(sizes)}
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.stack([p.sum(axis=1), n.sum(axis=1)]) for _, p, n in tree.counts(leaves[pdf[BUCKET].iat[0]], *_ordered(pdf))]
+        both = np.concatenate(parts, axis=1)
+        return pd.DataFrame({BUCKET: pdf[BUCKET].iat[0], "rep": np.arange(n_repeats), "pos": both[0], "neg": both[1]})
+
+    first = dealt.groupBy(BUCKET).applyInPandas(totals, f"{BUCKET} int, rep long, pos long, neg long")
+    above = Window.partitionBy("rep").orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("rep")
+    offsets = first.select(
+        BUCKET, "rep", F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("fp"),
+        F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
+
+    def shares(pdf: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        score, at, out = np.sort(pdf["score"].to_numpy())[::-1], at.sort_values("rep"), []
+        for k, pos, neg in tree.counts(leaves[pdf[BUCKET].iat[0]], *_ordered(pdf)):
+            tp0, fp0, p, n = (at[c].to_numpy()[k : k + len(pos), None] for c in ("tp", "fp", "p", "n"))
+            tp, fp = tp0 + pos.cumsum(axis=1), fp0 + neg.cumsum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                precision = np.where(pos > 0, pos * tp / np.maximum(tp + fp, 1), 0.0).sum(axis=1)
+                reached = (tp / p >= target) & (pos + neg > 0)
+            some, here = reached.any(axis=1), reached.argmax(axis=1)
+            row = np.arange(len(pos))
+            out.append(pd.DataFrame({
+                "rep": np.arange(k, k + len(pos)), "area": (neg * (2 * tp - pos)).sum(axis=1), "steps": precision,
+                "threshold": np.where(some, score[here], np.nan), "tp": np.where(some, tp[row, here], -1), "fp": np.where(some, fp[row, here], -1), "p": p[:, 0], "n": n[:, 0]}))
+        return pd.concat(out)
+
+    second = dealt.groupBy(BUCKET).cogroup(offsets.groupBy(BUCKET)).applyInPandas(
+        shares, "rep long, area long, steps double, threshold double, tp long, fp long, p long, n long")
+    p, n = F.max("p"), F.max("n")
+    drawn = F.col("tp") >= 0
+    per = second.where("p > 0 AND n > 0").groupBy("rep").agg(
+        (F.sum("area").cast("double") / (p * n * 2)).alias("auc"), (F.sum("steps") / p).alias("average_precision"),
+        F.max(F.when(drawn, F.col("threshold"))).alias("threshold"),
+        F.min(F.when(drawn, F.col("tp"))).alias("__tp"), F.min(F.when(drawn, F.col("fp"))).alias("__fp"), p.alias("__p"), n.alias("__n"),
     )
     tp, fp = F.col("__tp"), F.col("__fp")
     rates = _rates(F.col("__n") - fp, fp, F.col("__p") - tp, tp)
     return per.withColumns({k: rates[k] for k in METRICS if k in rates}).select("rep", *METRICS)
 
 
+def _ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Positives and negatives per score, highest score first."""
+    pdf = pdf.sort_values("score", ascending=False)
+    return pdf["pos"].to_numpy(), pdf["neg"].to_numpy()
+
+
 def bootstrap_ci(
-    units: DataFrame, key: str, n_repeats: int = 1000, seed: int = 0, target: float = 0.92, level: float = 0.95
+    units: DataFrame, n_repeats: int = 1000, seed: int = 0, target: float = 0.92, level: float = 0.95
 ) -> DataFrame:
     """(metric, n_valid, median, lower, upper) over the valid resamples.
 
     The last percentile runs over one number per resample, a fixed count chosen by the caller.
     """
-    per = resample_metrics(units, key, n_repeats, seed, target)
+    per = resample_metrics(units, n_repeats, seed, target)
     pairs = ", ".join(f"'{m}', {m}" for m in METRICS)
     tail = (1 - level) / 2
     return (
@@ -267,30 +351,45 @@ def bootstrap_ci(
     )
 
 
-def metrics_record(units: DataFrame, key: str, target: float = 0.92, n_repeats: int = 0, seed: int = 0, eval_mode: str = "out_of_fold") -> DataFrame:
-    """One nested row: sizes, ranking metrics, threshold, confusion, and the bootstrap table as a map."""
-    splits = split_points(units, "score")
-    table = score_table(units, [], splits=splits)
-    point = threshold_from(table, [], target)
-    at_point = confusion(units, point.select("threshold"))
-    half = confusion(units, 0.5).select("accuracy")
-    record = (
-        ranking_metrics(table)
-        .withColumns({"threshold": point.select("threshold").scalar(), "accuracy_at_half": half.scalar()})
-        .withColumn("__at", at_point.select(F.struct(*at_point.columns)).scalar())
-        .select("n_pos", "n_neg", "auc", "average_precision", "threshold", "accuracy_at_half", "__at.*")
-        .select(
-            (F.col("n_pos") + F.col("n_neg")).alias("n_units"), "n_pos", "n_neg", F.lit(eval_mode).alias("eval_mode"),
-            F.struct("auc", "average_precision").alias("ranking"),
-            F.struct(F.lit("target_sensitivity").alias("mode"), F.col("threshold").alias("value"), F.lit(target).alias("target")).alias("threshold"),
-            F.struct(
-                F.struct("tn", "fp", "fn", "tp").alias("confusion_matrix"),
-                "accuracy", "accuracy_at_half", "sensitivity", "specificity", "ppv", "npv",
-            ).alias("report"),
-        )
+def metrics_record(
+    units: DataFrame, target: float = 0.92, n_repeats: int = 0, seed: int = 0, eval_mode: str = "out_of_fold", threshold: float | None = None
+) -> DataFrame:
+    """One nested row: sizes, ranking metrics, threshold, confusion, ROC point, and the bootstrap table as a map.
+
+    Everything but the bootstrap is one aggregate over one score table. The operating point is the highest score that reaches the
+    ``target`` sensitivity, or the given ``threshold``; with a single class and none given it is 0.5.
+    """
+    p, n, pos, neg, score = F.max("total_tp"), F.max("total_fp"), F.col("pos"), F.col("neg"), F.col("score")
+    reached = F.col("tp") / F.nullif(F.col("total_tp"), F.lit(0)) >= target
+    from_cut = lambda count, cut: F.coalesce(F.sum(F.when(score >= cut, count)), F.lit(0))
+    whole = score_table(units).agg(
+        p.alias("n_pos"), n.alias("n_neg"),
+        F.try_divide(F.sum(neg * (F.col("tp") * 2 - pos)).cast("double"), (p * n * 2).cast("double")).alias("auc"),
+        F.when(n > 0, F.try_divide(F.sum(pos * F.col("tp") / (F.col("tp") + F.col("fp"))), p.cast("double"))).alias("average_precision"),
+        F.max(F.when(reached, score)).alias("__cut"), F.min(F.when(reached, F.col("tp"))).alias("__tp"), F.min(F.when(reached, F.col("fp"))).alias("__fp"),
+        from_cut(pos, 0.5).alias("__tp_half"), from_cut(neg, 0.5).alias("__fp_half"),
+        *([from_cut(pos, threshold).alias("__tp_given"), from_cut(neg, threshold).alias("__fp_given")] if threshold is not None else []),
+    )
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    if threshold is not None:
+        cut, tp, fp, mode = F.lit(float(threshold)), F.col("__tp_given"), F.col("__fp_given"), F.lit("given")
+    else:
+        cut, mode = F.when(both, F.col("__cut")).otherwise(0.5), F.lit("target_sensitivity")
+        tp, fp = F.when(both, F.col("__tp")).otherwise(F.col("__tp_half")), F.when(both, F.col("__fp")).otherwise(F.col("__fp_half"))
+    at = whole.withColumns({"value": cut, "mode": mode, "tp": tp, "fp": fp}).withColumns({"tn": F.col("n_neg") - F.col("fp"), "fn": F.col("n_pos") - F.col("tp")})
+    half = _rates(F.col("n_neg") - F.col("__fp_half"), F.col("__fp_half"), F.col("n_pos") - F.col("__tp_half"), F.col("__tp_half"))["accuracy"]
+    at = at.withColumns(_rates(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp")) | {"accuracy_at_half": half})
+    record = at.select(
+        (F.col("n_pos") + F.col("n_neg")).alias("n_units"), "n_pos", "n_neg", F.lit(eval_mode).alias("eval_mode"),
+        F.struct("auc", "average_precision").alias("ranking"),
+        F.struct("mode", "value", F.lit(target).alias("target")).alias("threshold"),
+        F.struct(
+            F.struct("tn", "fp", "fn", "tp").alias("confusion_matrix"), "accuracy", "accuracy_at_half", "sensitivity", "specificity", "ppv", "npv",
+        ).alias("report"),
+        F.struct((1 - F.col("specificity")).alias("fpr"), F.col("sensitivity").alias("tpr")).alias("roc_point"),
     )
     if n_repeats:
-        boot = bootstrap_ci(units, key, n_repeats, seed, target).agg(
+        boot = bootstrap_ci(units, n_repeats, seed, target).agg(
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.struct("median", "lower", "upper"))))).alias("bootstrap")
         )
         record = record.withColumn("bootstrap", boot.scalar())

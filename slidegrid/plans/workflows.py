@@ -33,11 +33,20 @@ def tile_plan(
     return grid.plan_blocks(chosen, step, block)
 
 
-def score_report(preds: DataFrame, slide_folds: DataFrame, labels: DataFrame, target: float = 0.92, n_repeats: int = 0) -> DataFrame:
-    """Out-of-fold patient metrics from per-model predictions as one nested record."""
-    slides = evaluate.out_of_fold(preds, slide_folds).join(labels, "slide").withColumn("pos", F.col("slide"))
+def score_report(
+    preds: DataFrame, slide_folds: DataFrame, labels: DataFrame, target: float = 0.92, n_repeats: int = 0,
+    eval_mode: str = "out_of_fold", threshold: float | None = None,
+) -> DataFrame:
+    """Patient metrics from per-model predictions as one nested record.
+
+    ``eval_mode`` is "out_of_fold" (each slide by the models that never saw it) or "ensemble" (new slides, by all models).
+    """
+    if eval_mode not in ("out_of_fold", "ensemble"):
+        raise ValueError(f"unknown evaluation mode {eval_mode}")
+    scored = evaluate.out_of_fold(preds, slide_folds) if eval_mode == "out_of_fold" else evaluate.ensemble_mean(preds)
+    slides = scored.join(labels, "slide").withColumn("pos", F.col("slide"))
     units = evaluate.aggregate_units(slides).select("unit", "label", F.col("prob").alias("score"))
-    return evaluate.metrics_record(units, "unit", target, n_repeats)
+    return evaluate.metrics_record(units, target, n_repeats, eval_mode=eval_mode, threshold=threshold)
 
 
 def train_and_report(

@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as hs
 from pyspark.sql import functions as F
 
 from slidegrid.operators import evaluate as ev, folds as fd
+from slidegrid.plans import workflows
 
 
 def brute_auc(y, s):
@@ -71,26 +72,91 @@ def test_units_take_first_label_and_flag_conflicts(spark):
     assert {r["slides"] for r in ev.joined_members(preds).collect()} == {"TCGA-AA-0001-01Z;TCGA-AA-0001-11A", "other.svs"}
 
 
-def test_bootstrap(spark):
-    rng = np.random.default_rng(2)
-    y = np.r_[np.ones(15), np.zeros(45)].astype(int)
-    s = np.round(rng.normal(y * 1.0, 1.0), 3)
-    units = spark.createDataFrame([(f"u{i}", int(a), float(b)) for i, (a, b) in enumerate(zip(y, s))], "unit string, label int, score double")
+def test_draw_lists(spark):
+    units = spark.createDataFrame([(f"u{i}",) for i in range(60)], "unit string")
     w = ev.resample_weights(units, "unit", 30, 3).toPandas()
     assert (w.groupby("rep")["w"].sum() == 60).all()
-    per = ev.resample_metrics(units, "unit", 30, 3).toPandas().set_index("rep")
-    lookup = units.toPandas().set_index("unit")
-    for rep, part in list(w.groupby("rep"))[:4]:
-        idx = np.repeat(part["unit"].to_numpy(), part["w"])
-        yy, ss = lookup.loc[idx, "label"].to_numpy(), lookup.loc[idx, "score"].to_numpy()
-        assert per.loc[rep, "auc"] == pytest.approx(brute_auc(yy, ss))
+
+
+def test_tree_draws_are_multinomial():
+    """Every resample draws n units; means, variances and covariances of the counts are those of drawing with replacement."""
+    rng = np.random.default_rng(1)
+    cells = [(rng.integers(0, 6, 5), rng.integers(0, 9, 5)) for _ in range(7)]
+    sizes = [int(p.sum() + n.sum()) for p, n in cells]
+    reps, total = 20_000, sum(sizes)
+    tree = ev._Tree(sizes, reps, 5)
+    drawn = np.concatenate([np.concatenate([np.concatenate([p, n], axis=1) for _, p, n in tree.counts(i, *cells[i])]) for i in range(7)], axis=1)
+    held = np.concatenate([np.concatenate(c) for c in cells])
+    assert drawn.shape == (reps, 70) and (drawn.sum(axis=1) == total).all()
+    share = held / total
+    assert np.abs(drawn.mean(axis=0) - held).max() < 5 * np.sqrt(held.max() / reps)
+    want = total * (np.diag(share) - np.outer(share, share))
+    assert np.abs(np.cov(drawn.T) - want).max() < 0.05 * held.max()
+    again = np.concatenate([np.concatenate([p, n], axis=1) for _, p, n in ev._Tree(sizes, reps, 5).counts(3, *cells[3])])
+    assert (again == drawn[:, 30:40]).all() and (drawn != ev._Tree(sizes, reps, 6).counts(0, *cells[0]).__next__()[1].sum()).any()
+
+
+@pytest.mark.parametrize("bucket", [4096, 6])
+def test_resample_metrics_equal_brute_force(spark, monkeypatch, bucket):
+    """Metrics of every resample against its counts written out, in one bucket and in many."""
+    monkeypatch.setattr(ev, "CELL_BUCKET", bucket)
+    monkeypatch.setattr(ev, "DRAWN_AT_ONCE", 300)
+    rng = np.random.default_rng(2)
+    y = np.r_[np.ones(15), np.zeros(45)].astype(int)
+    s = np.round(rng.normal(y * 1.0, 1.0), 1)
+    units = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "label int, score double")
+    drawn: dict = {}
+    splits = [] if bucket > 6 else [-1.0, -0.4, 0.1, 0.2, 1.1]
+    monkeypatch.setattr(ev, "split_points", lambda df, col, n: splits)
+    per = ev.resample_metrics(units, 30, 3).toPandas().set_index("rep")
+    cells = pd.DataFrame({"score": s, "y": y}).groupby("score")["y"].agg(pos="sum", n="size").reset_index()
+    cells["neg"] = cells["n"] - cells["pos"]
+    cells["b"] = np.searchsorted(splits, cells["score"], side="right")
+    groups = [g.sort_values("score", ascending=False) for _, g in sorted(cells.groupby("b"), key=lambda x: -x[0])]
+    tree = ev._Tree([int(g["n"].sum()) for g in groups], 30, 3)
+    for leaf, g in enumerate(groups):
+        for k, p, n in tree.counts(leaf, g["pos"].to_numpy(), g["neg"].to_numpy()):
+            for r in range(len(p)):
+                for j, score in enumerate(g["score"]):
+                    drawn.setdefault(k + r, []).extend([(1, score)] * int(p[r, j]) + [(0, score)] * int(n[r, j]))
+    assert len(groups) > 3 or bucket > 6
+    for rep, rows in drawn.items():
+        yy, ss = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        assert len(rows) == 60 and per.loc[rep, "auc"] == pytest.approx(brute_auc(yy, ss)) and per.loc[rep, "average_precision"] == pytest.approx(brute_ap(yy, ss))
         t = brute_threshold(yy, ss, 0.92)
-        assert per.loc[rep, "threshold"] == t
-        assert per.loc[rep, "specificity"] == pytest.approx((ss[yy == 0] < t).mean())
-    ci = {r["metric"]: r for r in ev.bootstrap_ci(units, "unit", 30, 3).collect()}
-    assert ci["auc"]["lower"] <= ci["auc"]["median"] <= ci["auc"]["upper"]
-    record = ev.metrics_record(units, "unit", n_repeats=10).first()
-    assert record["n_units"] == 60 and record["report"]["confusion_matrix"]["tp"] >= 14
+        assert per.loc[rep, "threshold"] == t and per.loc[rep, "specificity"] == pytest.approx((ss[yy == 0] < t).mean())
+        assert per.loc[rep, "sensitivity"] == pytest.approx((ss[yy == 1] >= t).mean())
+
+
+def test_intervals_like_plain_resampling(spark):
+    rng = np.random.default_rng(4)
+    y = np.r_[np.ones(40), np.zeros(80)].astype(int)
+    s = np.round(rng.normal(y * 1.0, 1.0), 2)
+    units = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "label int, score double")
+    ci = {r["metric"]: r for r in ev.bootstrap_ci(units, 2000, 3).collect()}
+    plain = [brute_auc(y[i], s[i]) for i in rng.integers(0, 120, (2000, 120))]
+    for name, q in (("lower", 2.5), ("median", 50), ("upper", 97.5)):
+        assert ci["auc"][name] == pytest.approx(np.percentile(plain, q), abs=0.012)
+    one = spark.createDataFrame([(1, 0.5)] * 5, "label int, score double")
+    assert ev.bootstrap_ci(one, 20).count() == 0  # a single class has no valid resample
+    assert ev.bootstrap_ci(one.where("label = 0"), 20).count() == 0
+
+
+def test_record_modes(spark):
+    units = spark.createDataFrame([(1, 0.9), (1, 0.6), (0, 0.7), (0, 0.2), (0, 0.1)], "label int, score double")
+    record = ev.metrics_record(units, n_repeats=10).first()
+    assert record["threshold"]["value"] == 0.6 and record["report"]["confusion_matrix"].asDict() == {"tn": 2, "fp": 1, "fn": 0, "tp": 2}
+    assert record["roc_point"]["fpr"] == pytest.approx(1 / 3) and record["roc_point"]["tpr"] == 1.0 and record["report"]["accuracy_at_half"] == 0.8 and record["bootstrap"]
+    given = ev.metrics_record(units, threshold=0.8, eval_mode="ensemble").first()
+    assert given["threshold"]["mode"] == "given" and given["eval_mode"] == "ensemble" and given["report"]["confusion_matrix"].asDict() == {"tn": 3, "fp": 0, "fn": 1, "tp": 1}
+    single = ev.metrics_record(units.where("label = 1")).first()
+    assert single["threshold"]["value"] == 0.5 and single["report"]["confusion_matrix"]["tp"] == 2 and single["ranking"]["auc"] is None
+    preds = spark.createDataFrame([("a", 0, 0, 0.9), ("a", 0, 1, 0.7), ("b", 0, 0, 0.2), ("b", 0, 1, 0.4)], "slide string, repeat int, fold int, prob double")
+    folds = spark.createDataFrame([("a", 0, 0), ("b", 0, 1)], "slide string, repeat int, fold int")
+    labels = spark.createDataFrame([("a", 1), ("b", 0)], "slide string, label int")
+    for mode, threshold in (("out_of_fold", 0.9), ("ensemble", 0.8)):
+        got = workflows.score_report(preds, folds, labels, eval_mode=mode).first()
+        assert got["eval_mode"] == mode and got["threshold"]["value"] == pytest.approx(threshold)
 
 
 def slides(spark, sizes):
