@@ -6,12 +6,11 @@ pixels themselves are only scanned again to apply a handful of numbers per tile.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import mul
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from slidegrid.functions import color
 from slidegrid.operators.ordered import group_quantiles
@@ -137,14 +136,62 @@ def drop_transparent(px: DataFrame, by: list[str], beta: float = 0.15, io: float
     return copies_join(px, kept, by, salt_on=_places(px, by)).where((F.col("__dense") < min_px) | dense).drop("__dense")
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _plane(rr: pd.Series, rg: pd.Series, rb: pd.Series, gg: pd.Series, gb: pd.Series, bb: pd.Series) -> pd.Series:
-    """Two leading eigenvectors (second largest, largest) of 3 by 3 covariances, one row per tile."""
-    m = np.stack([rr, rg, rb, rg, gg, gb, rb, gb, bb], axis=1).reshape(-1, 3, 3).astype(float)
-    ok = np.isfinite(m).all(axis=(1, 2))
-    vectors = np.linalg.eigh(np.where(ok[:, None, None], m, np.eye(3)))[1]
-    flat = vectors[:, :, 1:].transpose(0, 2, 1).reshape(-1, 6)
-    return pd.Series([row.tolist() if good else None for row, good in zip(flat, ok)])
+def _cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[(i + 1) % 3] * b[(i + 2) % 3] - a[(i + 2) % 3] * b[(i + 1) % 3] for i in range(3)]
+
+
+def _inner(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _named(name: str, values: list[Column]) -> dict[str, Column]:
+    return {f"{name}{i}": v for i, v in enumerate(values)}
+
+
+def _vector(name: str) -> list[Column]:
+    return [F.col(f"{name}{i}") for i in range(3)]
+
+
+def stain_axes(moments: DataFrame, by: list[str]) -> DataFrame:
+    """(by, second, largest): unit eigenvectors of the two largest eigenvalues of symmetric 3 by 3 matrices c00, c01, c02, c11, c12, c22.
+
+    Closed form: the eigenvalue that stands farthest from the others, from the angle of the scaled determinant; its
+    eigenvector as the longest cross product of two rows of the shifted matrix (a coordinate axis if all three eigenvalues agree);
+    and in the plane at right angles to it the half-angle formula for the other two. Every axis points where its components add up
+    to no less than zero. Of a repeated eigenvalue any axis is as good.
+    """
+    c = [[F.col(f"c{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
+    q, p = F.col("__q"), F.col("__p")
+    own = [[c[i][j] - q if i == j else c[i][j] for j in range(3)] for i in range(3)]
+    out = moments.withColumn("__q", (c[0][0] + c[1][1] + c[2][2]) / 3)
+    out = out.withColumns({"__p": F.sqrt(sum((own[i][j] * own[i][j] for i in range(3) for j in range(3)), F.lit(0.0)) / 6), "__det": _inner(own[0], _cross(own[1], own[2]))})
+    half = F.least(F.greatest(F.try_divide(F.col("__det"), 2 * p * p * p), F.lit(-1.0)), F.lit(1.0))
+    out = out.withColumn("__half", F.coalesce(F.when(p > 0, half), F.lit(0.0)))
+    top = F.col("__half") >= 0  # the largest eigenvalue stands apart; else the least does
+    out = out.withColumn("__root", q + 2 * p * F.cos(F.acos("__half") / 3 + F.when(top, 0.0).otherwise(2 * math.pi / 3)))
+    rows = [[c[i][j] - F.col("__root") if i == j else c[i][j] for j in range(3)] for i in range(3)]
+    for k, (i, j) in enumerate([(0, 1), (0, 2), (1, 2)]):
+        out = out.withColumns(_named(f"__x{k}_", _cross(rows[i], rows[j])))
+    out = out.withColumns({f"__n{k}": _inner(_vector(f"__x{k}_"), _vector(f"__x{k}_")) for k in range(3)})
+    longest = F.greatest("__n0", "__n1", "__n2")
+    pick = [F.when(F.col("__n0") == longest, F.col(f"__x0_{i}")).when(F.col("__n1") == longest, F.col(f"__x1_{i}")).otherwise(F.col(f"__x2_{i}")) for i in range(3)]
+    out = out.withColumns(_named("__v", [F.when(longest > 0, x / F.sqrt(longest)).otherwise(float(i == 2)) for i, x in enumerate(pick)]))
+    v = _vector("__v")
+    size = [F.abs(x) for x in v]
+    far = F.when(size[0] <= F.least(size[1], size[2]), 0).when(size[1] <= size[2], 1).otherwise(2)
+    out = out.withColumns(_named("__y", _cross(v, [F.when(far == i, 1.0).otherwise(0.0) for i in range(3)])))
+    y = _vector("__y")
+    out = out.withColumns(_named("__u", [x / F.sqrt(_inner(y, y)) for x in y]))
+    u = _vector("__u")
+    out = out.withColumns(_named("__w", _cross(v, u)))
+    w = _vector("__w")
+    image = lambda a: [_inner(c[i], a) for i in range(3)]
+    out = out.withColumn("__angle", F.atan2(2 * _inner(u, image(w)), _inner(u, image(u)) - _inner(w, image(w))) / 2)
+    along = [F.cos("__angle") * a + F.sin("__angle") * b for a, b in zip(u, w)]  # the larger of the other two
+    across = [F.cos("__angle") * b - F.sin("__angle") * a for a, b in zip(u, w)]
+    out = out.withColumns(_named("__s", [F.when(top, a).otherwise(b) for a, b in zip(along, across)]) | _named("__a", [F.when(top, a).otherwise(b) for a, b in zip(v, along)]))
+    up = lambda v: [F.when(v[0] + v[1] + v[2] < 0, -x).otherwise(x) for x in v]
+    return out.select(*by, F.array(*up(_vector("__s"))).alias("second"), F.array(*up(_vector("__a"))).alias("largest"))
 
 
 def stain_vectors(
@@ -154,9 +201,8 @@ def stain_vectors(
     (u0..u2, w0..w2), and 99th percentile concentrations (max_h, max_e).
 
     Pixels are read once, for the distinct colours of each tile; all that follows weighs colours by
-    their pixels. Covariances are Spark aggregates; only their 3 by 3 eigenproblem runs in Arrow batches,
-    one row per tile. Angles and concentrations are exact quantiles. Tiles with too few dense pixels
-    are left out.
+    their pixels. Covariances are aggregates, their 3 by 3 eigenproblem is column arithmetic (``stain_axes``),
+    angles and concentrations are exact quantiles. Tiles with too few dense pixels are left out.
     """
     od = [color.optical_density(F.col(c), io) for c in "rgb"]
     work = distinct_colours(px, by).select(*by, "n_px", *[od[i].alias(f"d{i}") for i in range(3)])
@@ -166,10 +212,10 @@ def stain_vectors(
     moments = dense.groupBy(*by).agg(
         F.sum("n_px").alias("__n"), *[weighed(i).alias(f"__s{i}") for i in range(3)], *[weighed(i, j).alias(f"__p{i}{j}") for i, j in pairs]
     ).where(n >= min_px).withColumns(
-        {f"__c{i}{j}": (F.col(f"__p{i}{j}") - F.col(f"__s{i}") * F.col(f"__s{j}") / n) / F.nullif(n - 1, F.lit(0)) for i, j in pairs}
+        {f"c{i}{j}": (F.col(f"__p{i}{j}") - F.col(f"__s{i}") * F.col(f"__s{j}") / n) / F.nullif(n - 1, F.lit(0)) for i, j in pairs}
     )
-    axes = moments.select(*by, _plane(*[F.col(f"__c{i}{j}") for i, j in pairs]).alias("axes")).where(F.col("axes").isNotNull())
-    axes = cut_lineage(axes)
+    known = moments.select(*by, *[f"c{i}{j}" for i, j in pairs]).where(F.col("c00").isNotNull())
+    axes = cut_lineage(stain_axes(known, by).select(*by, F.concat("second", "largest").alias("axes")))
 
     def along(k: int) -> Column:
         return sum((F.col(f"d{i}") * F.get("axes", F.lit(3 * k + i)) for i in range(3)), F.lit(0.0))

@@ -146,21 +146,76 @@ def colour_transfer(spark, d):
     return out.groupBy("tile").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 1).alias(c) for c in ("lab_l", "lab_a", "lab_b")])
 
 
-@query("stain_scaling", "AG29 PR22")
+#: Stain vectors for unmixing, reference stain matrix and top amounts.
+_STAINS = ((0.65, 0.70, 0.29), (0.07, 0.99, 0.11), (0.27, 0.57, 0.78))
+_REFERENCE, _TOPS = ((0.5626, 0.2159), (0.7201, 0.8012), (0.4062, 0.5581)), (1.9705, 1.0308)
+
+_LENGTHS = [f"sqrt({' + '.join(f'{v} * {v}' for v in row)})" for row in _STAINS]
+_U = [[f"CAST({v} AS DOUBLE) / {length}" for v in row] for row, length in zip(_STAINS, _LENGTHS)]
+_COFACTOR = lambda i, j: f"(m{(i + 1) % 3}{(j + 1) % 3} * m{(i + 2) % 3}{(j + 2) % 3} - m{(i + 1) % 3}{(j + 2) % 3} * m{(i + 2) % 3}{(j + 1) % 3})"
+_UNMIXED_CTES = f"""m AS (SELECT {', '.join(f'{_U[i][j]} AS m{i}{j}' for i in range(3) for j in range(3))}),
+inv AS (SELECT *, {', '.join(f"{_COFACTOR(j, i)} / (m00 * {_COFACTOR(0, 0)} + m01 * {_COFACTOR(0, 1)} + m02 * {_COFACTOR(0, 2)}) AS i{i}{j}" for i in range(3) for j in range(3))} FROM m),
+den AS (SELECT *, {', '.join(f"ln(greatest({c} / 255.0::DOUBLE, 1e-6)) / ln(1e-6::DOUBLE) AS d{k}" for k, c in enumerate('rgb'))} FROM px),
+st AS (SELECT *, {', '.join(f"greatest(d0 * i0{s} + d1 * i1{s} + d2 * i2{s}, 0) AS s{s}" for s in range(3))} FROM den, inv),
+qs AS (SELECT tile, {', '.join(f"quantile_cont(s{s}, 0.01) AS lo{s}, quantile_cont(s{s}, 0.99) AS hi{s}" for s in range(2))} FROM st GROUP BY tile),
+str AS (SELECT st.*, {', '.join(f"CASE WHEN hi{s} > lo{s} THEN least(greatest((s{s} - lo{s}) / (hi{s} - lo{s}), 0), 1) ELSE s{s} END AS t{s}" for s in range(2))}, s2 AS t2 FROM st JOIN qs USING (tile))"""
+_REMIXED = lambda k: f"floor(least(greatest(exp((t0 * m0{k} + t1 * m1{k} + t2 * m2{k}) * ln(1e-6::DOUBLE)) * 255, 0), 255))"
+
+
+@query("stain_scaling", "AG29 PR22", f"WITH {PIXELS_CTE}, {_UNMIXED_CTES} SELECT tile, count(*) AS n, {', '.join(f'CAST(sum({_REMIXED(k)}) AS BIGINT) AS {c}2' for k, c in enumerate('rgb'))} FROM str GROUP BY tile")
 def stain_scaling(spark, d):
     return _digest(stain.stain_percentile(pixels(spark, d), ["tile"]), ["r2", "g2", "b2"])
 
 
-@query("stain_vectors", "AG30")
+_ROW = lambda i, root: "array_value(" + ", ".join(f"c{min(i, j)}{max(i, j)} - {root}" if i == j else f"c{min(i, j)}{max(i, j)}" for j in range(3)) + ")"
+_PRODUCT = lambda i, j, root: f"array_cross_product({_ROW(i, root)}, {_ROW(j, root)})"
+_OUTER = lambda name, root: (
+    f"{_PRODUCT(0, 1, root)} AS x0_{name}, {_PRODUCT(0, 2, root)} AS x1_{name}, {_PRODUCT(1, 2, root)} AS x2_{name}, "
+    + ", ".join(f"array_inner_product(x{k}_{name}, x{k}_{name}) AS n{k}_{name}" for k in range(3))
+    + f", CASE WHEN n0_{name} >= greatest(n1_{name}, n2_{name}) THEN x0_{name} WHEN n1_{name} >= n2_{name} THEN x1_{name} ELSE x2_{name} END AS x_{name}, greatest(n0_{name}, n1_{name}, n2_{name}) AS n_{name}"
+)
+_UP = lambda v: ", ".join(f"{v}[{i}] * (CASE WHEN {v}[1] + {v}[2] + {v}[3] < 0 THEN -1 ELSE 1 END) AS {v}{i}" for i in (1, 2, 3))
+_ALONG = lambda a: f"d0 * {a}1 + d1 * {a}2 + d2 * {a}3"
+_TURNED = lambda phi, i: f"(second{i} * cos({phi}) + largest{i} * sin({phi}))"
+_VECTOR_CTES = f"""od AS (SELECT *, {', '.join(f"-log10(({c} + 1) / 240.0::DOUBLE) AS d{k}" for k, c in enumerate('rgb'))} FROM px),
+dn AS (SELECT * FROM od WHERE least(d0, d1, d2) >= 0.15),
+cv AS (SELECT tile, {', '.join(f"covar_samp(d{i}, d{j}) AS c{i}{j}" for i in range(3) for j in range(i, 3))} FROM dn GROUP BY tile HAVING count(*) >= 10),
+ew AS (SELECT *, (c00 + c11 + c22) / 3 AS q, sqrt(((c00 - q) ** 2 + (c11 - q) ** 2 + (c22 - q) ** 2 + 2 * (c01 * c01 + c02 * c02 + c12 * c12)) / 6) AS p,
+  ((c00 - q) * ((c11 - q) * (c22 - q) - c12 * c12) - c01 * (c01 * (c22 - q) - c12 * c02) + c02 * (c01 * c12 - (c11 - q) * c02)) / (p * p * p) / 2 AS half,
+  acos(least(greatest(half, -1), 1)) / 3 AS turn, q + 2 * p * cos(turn) AS root_a, q + 2 * p * cos(turn + 2 * pi() / 3) AS root_z FROM cv),
+ev AS (SELECT *, {_OUTER('a', 'root_a')}, {_OUTER('z', 'root_z')} FROM ew),
+ax AS (SELECT tile, array_value(x_a[1] / sqrt(n_a), x_a[2] / sqrt(n_a), x_a[3] / sqrt(n_a)) AS largest,
+  array_cross_product(array_value(x_z[1] / sqrt(n_z), x_z[2] / sqrt(n_z), x_z[3] / sqrt(n_z)), largest) AS second FROM ev),
+ay AS (SELECT tile, {_UP('largest')}, {_UP('second')} FROM ax),
+an AS (SELECT tile, quantile_cont(atan2({_ALONG('largest')}, {_ALONG('second')}), 0.01) AS plo, quantile_cont(atan2({_ALONG('largest')}, {_ALONG('second')}), 0.99) AS phi FROM dn JOIN ay USING (tile) GROUP BY tile),
+hv AS (SELECT tile, {', '.join(f"CASE WHEN {_TURNED('plo', 1)} > {_TURNED('phi', 1)} THEN {_TURNED('plo', i)} ELSE {_TURNED('phi', i)} END AS h{i}" for i in (1, 2, 3))},
+  {', '.join(f"CASE WHEN {_TURNED('plo', 1)} > {_TURNED('phi', 1)} THEN {_TURNED('phi', i)} ELSE {_TURNED('plo', i)} END AS e{i}" for i in (1, 2, 3))} FROM an JOIN ay USING (tile)),
+so AS (SELECT *, h1 * h1 + h2 * h2 + h3 * h3 AS hh, e1 * e1 + e2 * e2 + e3 * e3 AS ee, h1 * e1 + h2 * e2 + h3 * e3 AS he, hh * ee - he * he AS det FROM hv),
+am AS (SELECT od.*, {', '.join(f"(ee * ({_ALONG('h')}) - he * ({_ALONG('e')})) / det AS ch, (hh * ({_ALONG('e')}) - he * ({_ALONG('h')})) / det AS ce" for _ in (0,))} FROM od JOIN so USING (tile)),
+tp AS (SELECT tile, greatest(quantile_cont(ch, 0.99), 1e-6) AS max_h, greatest(quantile_cont(ce, 0.99), 1e-6) AS max_e FROM am GROUP BY tile)"""
+
+
+@query("stain_vectors", "AG30", f"WITH {PIXELS_CTE}, {_VECTOR_CTES} SELECT tile, {', '.join(f'round({v}, 6) AS {v}' for v in ('h1', 'h2', 'h3', 'e1', 'e2', 'e3', 'max_h', 'max_e'))} FROM hv JOIN tp USING (tile)")
 def stain_vectors(spark, d):
     out = stain.stain_vectors(pixels(spark, d), ["tile"])
     return out.select("tile", *[F.round(c, 6).alias(c) for c in ("h1", "h2", "h3", "e1", "e2", "e3", "max_h", "max_e")])
 
 
-@query("stain_normalisation", "AG30 SNK6")
+_PAINTED = lambda i, parts: (
+    f"round(avg(CASE WHEN max_h IS NULL THEN px.{'rgb'[i]} ELSE floor(CASE WHEN {_GLOW(i, parts)} > 255 THEN 254 ELSE {_GLOW(i, parts)} END) END), 1)")
+_GLOW = lambda i, parts: f"(240 * exp(-({' + '.join(f'{_REFERENCE[i][s]}::DOUBLE * ({c} / (max_{c[1]} / {_TOPS[s]}::DOUBLE))' for s, c in parts)})))"
+_BOTH, _ONLY_H, _ONLY_E = ((0, "ch"), (1, "ce")), ((0, "ch"),), ((1, "ce"),)
+
+
+@query("stain_normalisation", "AG30 SNK6", f"""WITH {PIXELS_CTE}, {_VECTOR_CTES},
+al AS (SELECT px.*, {', '.join(f"-log10((px.{c} + 1) / 240.0::DOUBLE) AS d{k}" for k, c in enumerate('rgb'))}, so.* EXCLUDE (tile), max_h, max_e,
+  (ee * ({_ALONG('h')}) - he * ({_ALONG('e')})) / det AS ch, (hh * ({_ALONG('e')}) - he * ({_ALONG('h')})) / det AS ce FROM px LEFT JOIN so USING (tile) LEFT JOIN tp USING (tile))
+SELECT tile, count(*) AS n, {', '.join(f"{_PAINTED(i, parts)} AS {name.format('rgb'[i])}" for name, parts in (('{}2', _BOTH), ('h_{}', _ONLY_H), ('e_{}', _ONLY_E)) for i in range(3))} FROM al px GROUP BY tile""")
 def stain_normalisation(spark, d):
+    """Mean bytes of a tile in the normalised picture and the two single-stain pictures; bytes at a rounding edge may differ by one."""
     out = stain.separate_stains(pixels(spark, d), ["tile"], components=True)
-    return _digest(out, ["r2", "g2", "b2", "h_r", "h_g", "h_b", "e_r", "e_g", "e_b"])
+    names = ["r2", "g2", "b2", "h_r", "h_g", "h_b", "e_r", "e_g", "e_b"]
+    return out.groupBy("tile").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 1).alias(c) for c in names])
 
 
 @query("full_tile_quality", "FL2 AG24 AG25")

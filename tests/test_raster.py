@@ -196,6 +196,27 @@ def test_stain_vectors_match_numpy(spark):
         assert np.abs(full[names].to_numpy().astype(int) - want.astype(int)).max() <= 1
 
 
+def test_axes_match_numpy(spark):
+    """Random covariances, tiny and huge ones, planes, repeated eigenvalues and multiples of the identity."""
+    rng = np.random.default_rng(6)
+    turned = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    cases = [np.cov(rng.normal(size=(3, 20)) * rng.uniform(0.1, 3, (3, 1))) * scale for scale in (1, 1e-8, 1e8) for _ in range(20)]
+    cases += [turned @ np.diag(d) @ turned.T for d in ([0, 1, 4], [0, 0, 2], [1, 3, 3], [1, 1, 3], [2, 2, 2], [0, 0, 0])] + [np.diag([3.0, 1.0, 2.0]), np.eye(3)]
+    names = ["c00", "c01", "c02", "c11", "c12", "c22"]
+    rows = [(i, *[float(m[int(c[1]), int(c[2])]) for c in names]) for i, m in enumerate(cases)]
+    got = stain.stain_axes(spark.createDataFrame(rows, ["i", *names]), ["i"]).orderBy("i").collect()
+    for row, m in zip(got, cases):
+        second, largest = np.array(row["second"]), np.array(row["largest"])
+        values, vectors = np.linalg.eigh(m)
+        size = max(abs(values).max(), 1e-300)
+        assert abs(second @ largest) < 1e-7 and abs(second @ second - 1) < 1e-7 and abs(largest @ largest - 1) < 1e-9
+        assert np.abs(m @ largest - values[2] * largest).max() < 1e-6 * size and np.abs(m @ second - values[1] * second).max() < 1e-6 * size
+        assert second.sum() >= -1e-12 and largest.sum() >= -1e-12
+        gaps = np.diff(values) / size
+        if gaps.min() > 1e-2:
+            assert np.allclose(np.abs(second @ vectors[:, 1]), 1, atol=1e-10) and np.allclose(np.abs(largest @ vectors[:, 2]), 1, atol=1e-10)
+
+
 def test_blank_tile_passes_through(spark):
     px = long(spark, np.full((5, 5, 3), 250, np.uint8))
     assert {tuple(r) for r in stain.separate_stains(px, ["slide"]).select("r2", "g2", "b2").collect()} == {(250, 250, 250)}
