@@ -6,6 +6,8 @@ are safe however many rows a slide has in total.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.functions import color
@@ -199,16 +201,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (id, label), label being the least id of the component.
 
     Every round takes the least label among neighbours, then jumps to the label's own label, so long
-    thin shapes settle in few rounds. Rounds go on until nothing changes; each is checkpointed.
+    thin shapes settle in few rounds. Rounds go on until nothing changes; each step is checkpointed.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
     both = cut_lineage(both)
     labels = nodes.select("id", F.col("id").alias("label"))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("__near"))
-        hooked = labels.join(near, "id", "left").select(
+        hooked = cut_lineage(labels.join(near, "id", "left").select(
             "id", F.col("label").alias("__old"), F.least("label", F.coalesce("__near", F.col("label"))).alias("__mid")
-        )
+        ))
         jump = hooked.select(F.col("id").alias("__mid"), F.col("__mid").alias("__up"))
         stepped = spread_join(hooked, jump, ["__mid"], "left", salt_on=["id"]).select(
             "id", "__old", F.least("__mid", F.coalesce("__up", F.col("__mid"))).alias("label")
@@ -219,31 +221,94 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def remove_small(mask: DataFrame, min_area: int, by: list[str] = ("slide",)) -> DataFrame:
-    """Set pixels of 4-connected objects larger than ``min_area``.
+def _labelled_runs(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Horizontal runs (y, first x, last x) of a block's pixels and, for each, the first run of its 4-connected object."""
+    order = np.lexsort((x, y))
+    y, x = y[order], x[order]
+    fresh = np.r_[True, (np.diff(y) != 0) | (np.diff(x) > 1)]
+    first = np.flatnonzero(fresh)
+    ry, x0, x1 = y[first], x[first], x[np.r_[first[1:] - 1, len(x) - 1]]
+    up = list(range(len(ry)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    line = {int(v): (int(a), int(b)) for v, a, b in zip(*_line_bounds(ry))}
+    for v, (i, end) in line.items():
+        j, stop = line.get(v - 1, (0, 0))
+        while i < end and j < stop:
+            if x0[i] <= x1[j] and x0[j] <= x1[i]:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+            if x1[i] < x1[j]:
+                i += 1
+            else:
+                j += 1
+    return ry, x0, x1, np.array([find(i) for i in range(len(ry))])
+
+
+def _line_bounds(ry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lines, begin = np.unique(ry, return_index=True)
+    return lines, begin, np.r_[begin[1:], len(ry)]
+
 
-    Pixels are first joined into horizontal runs, so the graph that is iterated over has one node per
-    run and one edge per pair of touching runs.
+#: Lines and columns of a block whose objects are found in one task.
+BLOCK_LINES, BLOCK_COLUMNS = 512, 2048
+
+
+def labelled_runs(mask: DataFrame, by: list[str] = ("slide",), lines: int = BLOCK_LINES, columns: int = BLOCK_COLUMNS) -> DataFrame:
+    """(by, y, x0, x1, id): horizontal runs of set pixels, and the object of their block (named by its first run).
+
+    Blocks are bounded, so their union-find runs in tasks of bounded memory, and a pixel is shuffled once.
     """
     by = list(by)
-    line = Window.partitionBy(*by, "y").orderBy("x")
-    lit = mask.where("v > 0").select(*by, "x", "y")
-    starts = F.when(F.col("x") - F.lag("x").over(line) == 1, 0).otherwise(1)
-    runs = (
-        lit.withColumn("__s", starts)
-        .withColumn("__k", F.sum("__s").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__x0", F.min("x").over(Window.partitionBy(*by, "y", "__k")))
-        .select(*by, "x", "y", F.struct(*by, "y", F.col("__x0").alias("x0")).alias("run"))
-    )
-    runs = cut_lineage(runs)
-    above = runs.select(*by, "x", (F.col("y") + 1).alias("y"), F.col("run").alias("up"))
-    edges = runs.join(above, [*by, "x", "y"]).select(F.col("run").alias("a"), F.col("up").alias("b")).distinct()
-    sizes = runs.groupBy(F.col("run").alias("id")).agg(F.count("*").alias("n"))
-    labels = components(sizes.select("id"), edges)
-    grouped = labels.join(sizes, "id")
+    block = [F.floor(F.col("y") / lines).alias("__by"), F.floor(F.col("x") / columns).alias("__bx")]
+    lit = mask.where("v > 0").select(*by, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).select("*", *block)
+    kinds = dict(lit.dtypes)
+
+    def label(key: tuple, table: pa.Table) -> pa.Table:
+        ry, x0, x1, root = _labelled_runs(table.column("y").to_numpy(), table.column("x").to_numpy())
+        names = [*by, "y", "x0", "x1", "ly", "lx"]
+        fixed = [pa.array([k.as_py()] * len(ry), k.type) for k in key[: len(by)]]
+        return pa.table([*fixed, *[pa.array(v, pa.int64()) for v in (ry, x0, x1, ry[root], x0[root])]], names=names)
+
+    runs = lit.groupBy(*by, "__by", "__bx").applyInArrow(label, ", ".join(f"{c} {kinds[c]}" for c in by) + ", y long, x0 long, x1 long, ly long, lx long")
+    return runs.select(*by, "y", "x0", "x1", F.struct(*by, F.col("ly").alias("y"), F.col("lx").alias("x0")).alias("id"))
+
+
+def border_edges(runs: DataFrame, by: list[str], lines: int = BLOCK_LINES, columns: int = BLOCK_COLUMNS) -> DataFrame:
+    """(a, b): objects of neighbouring blocks that touch across the border; only pixels on borders are looked at."""
+    by = list(by)
+    here = runs.where((F.col("y") + 1) % lines == 0).select(*by, (F.col("y") + 1).alias("y"), F.explode(F.sequence("x0", "x1")).alias("x"), F.col("id").alias("a"))
+    below = runs.where(F.col("y") % lines == 0).select(*by, "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.col("id").alias("b"))
+    left = runs.where((F.col("x1") + 1) % columns == 0).select(*by, "y", (F.col("x1") + 1).alias("x"), F.col("id").alias("a"))
+    right = runs.where(F.col("x0") % columns == 0).select(*by, "y", F.col("x0").alias("x"), F.col("id").alias("b"))
+    ends = [here.join(below, [*by, "y", "x"]).select("a", "b"), left.join(right, [*by, "y", "x"]).select("a", "b")]
+    return ends[0].unionByName(ends[1]).distinct()
+
+
+def remove_small(mask: DataFrame, min_area: int, by: list[str] = ("slide",), lines: int = BLOCK_LINES, columns: int = BLOCK_COLUMNS) -> DataFrame:
+    """Set pixels of 4-connected objects larger than ``min_area``: (by, x, y, area).
+
+    Two levels: objects inside blocks first, then components of the objects that touch across borders. Objects that
+    touch no border are finished at the first level and take no part in the second.
+    """
+    by = list(by)
+    runs = cut_lineage(labelled_runs(mask, by, lines, columns))
+    sizes = runs.groupBy("id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
+    edges = cut_lineage(border_edges(runs, by, lines, columns))
+    if edges.isEmpty():
+        grouped = sizes.withColumn("label", F.col("id"))
+    else:
+        ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        grouped = cut_lineage(sizes.join(components(ends, edges), "id", "left").withColumn("label", F.coalesce("label", "id")))
     large = grouped.groupBy("label").agg(F.sum("n").alias("area")).where(F.col("area") > min_area)
-    keep = spread_join(grouped, large, ["label"], salt_on=["id"]).select(F.col("id").alias("run"), "area")
-    return runs.join(keep, "run").select(*by, "x", "y", "area")
+    keep = spread_join(grouped, large, ["label"], salt_on=["id"]).select("id", "area")
+    kept = spread_join(runs, keep, ["id"], salt_on=["y", "x0"])
+    return kept.select(*by, F.explode(F.sequence(F.col("x0").cast("int"), F.col("x1").cast("int"))).alias("x"), F.col("y").cast("int").alias("y"), "area")
 
 
 def compare_rasters(a: DataFrame, b: DataFrame, by: list[str], min_ncc: float = 0.85, every: int = 1) -> DataFrame:

@@ -90,6 +90,29 @@ def test_components_of_a_long_snake(spark):
     assert len(got) == img.sum() and set(got["area"]) == {img.sum()}
 
 
+@pytest.mark.parametrize("lines,columns", [(3, 4), (2, 100), (100, 100)])
+def test_objects_across_blocks(spark, lines, columns):
+    """A spiral through every block, random specks, and an object on both sides of a corner, against a flood fill."""
+    spiral = np.zeros((21, 21), int)
+    top, left, bottom, right = 0, 0, 20, 20
+    while top <= bottom and left <= right:
+        spiral[top, max(left - 2, 0):right + 1] = 1
+        spiral[top:bottom + 1, right] = 1
+        spiral[bottom, left:right + 1] = 1
+        spiral[top + 2:bottom + 1, left] = 1
+        top, left, bottom, right = top + 2, left + 2, bottom - 2, right - 2
+    specks = (np.random.default_rng(4).random((17, 23)) < 0.55).astype(int)
+    corner = np.zeros((9, 9), int)
+    corner[2, 3] = corner[3, 4] = 1
+    for img, least in ((spiral, 0), (specks, 0), (specks, 6), (corner, 0)):
+        lab = flood(img)
+        area = np.bincount(lab.ravel())
+        want = {(int(y), int(x), int(area[lab[y, x]])) for y, x in zip(*np.nonzero(img)) if area[lab[y, x]] > least}
+        both = long(spark, img).unionByName(long(spark, img, slide="t"))
+        got = [tuple(r) for r in raster.remove_small(both, least, lines=lines, columns=columns).select("slide", "y", "x", "area").collect()]
+        assert len(got) == 2 * len(want) and {g[1:] for g in got if g[0] == "s"} == {g[1:] for g in got if g[0] == "t"} == want
+
+
 @pytest.mark.parametrize("step,scale", [(7, 2.0), (5, 1.7), (9, 3.1), (1, 2.5), (2, 3.0)])
 def test_coverage_methods_agree_with_slices(spark, step, scale):
     rng = np.random.default_rng(7)
