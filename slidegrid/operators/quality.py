@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.operators import raster
 from slidegrid.functions import color
-from slidegrid.operators.ordered import BUCKET, index_bucket, running_totals
+from slidegrid.operators.ordered import BUCKET, index_bucket
+from slidegrid.operators.skew import copies_join
+from slidegrid.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -68,12 +70,21 @@ def tile_qc(px: DataFrame, by: list[str], rules: TileRules = TileRules(), polari
 
 
 def accept_until(df: DataFrame, by: list[str], index: str, accepted: Column, n: int, block: int = 1 << 16) -> DataFrame:
-    """Rows in scan order up to and including the n-th accepted one; accepted rows get ``new_id`` from 0."""
-    ranked = running_totals(
-        df.withColumn(BUCKET, index_bucket(F.col(index), block)), by, [index], {"__acc": accepted.cast("int")}
-    ).drop(BUCKET)
-    inside = (F.col("__acc") < n) | ((F.col("__acc") == n) & accepted)
-    return ranked.where(inside).withColumn("new_id", F.when(accepted, F.col("__acc") - 1).cast("long")).drop("__acc")
+    """Rows in scan order up to and including the n-th accepted one; accepted rows get ``new_id`` from 0.
+
+    Accepted rows are counted per block of the index; only the block in which a group's n-th lies, and the accepted rows before it, are
+    ranked, on the key columns alone. Whole rows meet one cut per group and take part in no window. ``index`` is unique in a group.
+    """
+    hits = df.where(accepted).select(*by, F.col(index).alias("__at"), index_bucket(F.col(index), block).alias(BUCKET))
+    before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hits.groupBy(*by, BUCKET).agg(F.count("*").alias("__c"))
+    needed = sizes.withColumn("__o", F.coalesce(F.sum("__c").over(before), F.lit(0))).where(F.col("__o") < n).drop("__c")
+    rank = F.col("__o") + F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy("__at"))
+    placed = cut_lineage(hits.join(needed, [*by, BUCKET]).withColumn("__rank", rank).where(F.col("__rank") <= n).select(*by, "__at", "__rank"))
+    cut = placed.where(F.col("__rank") == n).select(*by, F.col("__at").alias("__cut"))
+    scanned = copies_join(df, cut, by, "left", salt_on=[index]).where(F.col("__cut").isNull() | (F.col(index) <= F.col("__cut"))).drop("__cut")
+    ids = placed.select(*by, F.col("__at").alias(index), (F.col("__rank") - 1).cast("long").alias("new_id"))
+    return scanned.join(ids, [*by, index], "left").select(*df.columns, "new_id")
 
 
 def run_stats(df: DataFrame, by: list[str] = ()) -> DataFrame:

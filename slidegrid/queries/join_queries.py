@@ -192,9 +192,9 @@ def assembled(spark, d):
         F.col("o_orderkey").alias("slide"), F.col("o_orderkey").alias("sample"), F.col("o_custkey").alias("patient")
     )
     li = table(spark, d, "lineitem")
-    v = variants(spark, d).drop("patient").where("tumorRefCount < 25")
-    profiled = li.where("l_linenumber < 6").select(F.col("l_orderkey").alias("sample"))
-    measured = li.where("l_linenumber = 1").select(
+    v = variants(spark, d).drop("patient")
+    profiled = li.select(F.col("l_orderkey").alias("sample"))
+    measured = li.select(
         F.col("l_orderkey").alias("sample"), "l_extendedprice", "l_partkey",
         F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate").alias("pos"),
     )
@@ -207,10 +207,10 @@ def assembled(spark, d):
     return cohort.assemble_slides(o, profiled, v, expr, cna, load, clinical)
 
 
-_ASSEMBLED_SQL = f"""WITH {CLASSIFIED_CTE.replace('FROM lineitem)', 'FROM lineitem WHERE l_partkey % 50 < 25)', 1)},
+_ASSEMBLED_SQL = f"""WITH {CLASSIFIED_CTE},
 e AS (SELECT l_orderkey AS sample, arg_min(l_extendedprice, k) AS expression, CAST(arg_min(l_partkey, k) % 5 - 2 AS INTEGER) AS cna FROM
- (SELECT *, (l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS k FROM lineitem WHERE l_linenumber = 1) GROUP BY 1),
-b AS (SELECT l_orderkey AS sample, count(*) AS total_mutation_count, count(*) FILTER (l_linenumber < 6) AS np FROM lineitem GROUP BY 1),
+ (SELECT *, (l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS k FROM lineitem) GROUP BY 1),
+b AS (SELECT l_orderkey AS sample, count(*) AS total_mutation_count, count(*) AS np FROM lineitem GROUP BY 1),
 j AS (SELECT o_orderkey AS slide, o_custkey AS patient, CASE WHEN np > 0 OR c.sample IS NOT NULL THEN coalesce(n_variants, 0) END AS n_variants,
  CASE WHEN np > 0 OR c.sample IS NOT NULL THEN coalesce(n_activating, 0) END AS n_activating, coalesce({ALIAS_SQL('hit_pc')}, any_pc) AS hotspot,
  expression, cna, total_mutation_count, c_mktsegment AS stage FROM orders LEFT JOIN classified c ON c.sample = o_orderkey

@@ -85,17 +85,16 @@ def entity_parts(orders):
     return orders.join(F.broadcast(counts), "folder").withColumn("part", F.pmod(F.xxhash64("o_orderkey"), "parts"))
 
 
-@query("entity_files", "SRC1 SRC2", """SELECT 's' || (o_custkey % 50) AS folder, 'p' || o_orderkey AS sampleId, CAST(o_custkey AS INTEGER) AS entrezGeneId, o_totalprice AS value FROM orders""")
-def entity_files(spark, d):
-    """JSON arrays of measures in folders, read back with the declared schema; no file holds much more than ``ENTITY_ROWS`` rows."""
-    path = scratch_folder(spark)
-    k = (F.col("o_custkey") % 50).cast("string")
+def _entity_folders(spark, d, path, spoiled=None):
+    """JSON arrays of measures in folders; the files of folders that ``spoiled`` names (a column over folder) are cut short."""
     rows = F.struct(
         F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("sampleId"), F.lit("x").alias("patientId"),
         F.col("o_custkey").cast("int").alias("entrezGeneId"), F.col("o_totalprice").alias("value"),
     )
-    orders = table(spark, d, "orders").withColumn("folder", F.concat(F.lit("s"), k))
+    orders = table(spark, d, "orders").withColumn("folder", F.concat(F.lit("s"), (F.col("o_custkey") % 50).cast("string")))
     made = entity_parts(orders).groupBy("folder", "part").agg(F.to_json(F.collect_list(rows)).alias("value"))
+    if spoiled is not None:
+        made = made.withColumn("value", F.when(spoiled, F.expr("substring(value, 1, length(value) - 9)")).otherwise(F.col("value")))
 
     def write(batches):
         """One file per folder and part, through the file system of the shared folder."""
@@ -110,10 +109,44 @@ def entity_files(spark, d):
             yield pdf[["folder"]]
 
     made.mapInPandas(write, "folder string").write.format("noop").mode("overwrite").save()
+
+
+@query("entity_files", "SRC1", """SELECT 's' || (o_custkey % 50) AS folder, 'p' || o_orderkey AS sampleId, CAST(o_custkey AS INTEGER) AS entrezGeneId, o_totalprice AS value FROM orders""")
+def entity_files(spark, d):
+    """JSON arrays of measures in folders, read back with the declared schema; no file holds much more than ``ENTITY_ROWS`` rows."""
+    path = scratch_folder(spark)
+    _entity_folders(spark, d, path)
     good, _ = readers.read_entity_json(spark, path, "expression", "FGFR3", folders="s*")
     return good.select("folder", "sampleId", "entrezGeneId", "value")
 
 
+@query("quarantined_files", "SRC2", """SELECT 's' || (o_custkey % 50) AS folder, CASE WHEN o_custkey % 50 % 7 = 3 THEN 'quarantine' ELSE 'read' END AS state,
+ CASE WHEN o_custkey % 50 % 7 <> 3 THEN count(*) END AS n, CASE WHEN o_custkey % 50 % 7 <> 3 THEN round(sum(o_totalprice), 2) END AS total FROM orders GROUP BY o_custkey % 50""")
+def quarantined_files(spark, d):
+    """Files of every seventh folder are cut short: their rows go to quarantine with the text, all others are read."""
+    path = scratch_folder(spark)
+    number = F.substring("folder", 2, 2).cast("int")
+    _entity_folders(spark, d, path, number % 7 == 3)
+    good, bad = readers.read_entity_json(spark, path, "expression", "FGFR3", folders="s*")
+    none = F.lit(None)
+    read = good.groupBy("folder").agg(F.lit("read").alias("state"), F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return read.unionByName(bad.where(F.length("text") > 0).select(
+        readers.folder_of(F.col("path")).alias("folder"), F.lit("quarantine").alias("state"), none.cast("long").alias("n"), none.cast("double").alias("total")).distinct())
+
+
+@query("broken_objects", "SRC8", """SELECT CAST(o_orderkey AS VARCHAR) AS file_id, CASE WHEN o_orderkey % 5 = 2 THEN 'broken' ELSE o_orderstatus END AS state FROM orders""")
+def broken_objects(spark, d):
+    """One object per order, every fifth of them cut short: the others are read, and the broken stretches kept."""
+    path = scratch_folder(spark)
+    key = F.col("o_orderkey").cast("string")
+    whole = F.to_json(F.struct(F.struct(key.alias("file_id"), F.col("o_orderstatus").alias("state")).alias("data")))
+    cut = F.concat(F.lit('{"data":{"file_id":"'), key, F.lit('",}}'))
+    table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 5 == 2, cut).otherwise(whole).alias("value")).write.text(path)
+    good = readers.read_concatenated_json(spark, path, "data STRUCT<file_id: STRING, state: STRING>", "file_id")
+    bad = readers.concatenated_quarantine(spark, path).select(F.regexp_extract("text", '"file_id":"([0-9]+)"', 1).alias("file_id"), F.lit("broken").alias("state"))
+    return good.select("file_id", "state").unionByName(bad)
+
+
 @query("token_files", "SRC6", "SELECT DISTINCT 'slide_' || o_orderkey || '.svs' AS token FROM orders")
 def token_files(spark, d):
     path = scratch_folder(spark)

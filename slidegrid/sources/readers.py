@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slidegrid import schemas
@@ -211,29 +213,33 @@ def read_tokens(spark: SparkSession, path: str, is_folder: bool = False) -> Data
     return read_positions(words).select("pos", "token")
 
 
-def split_objects(text: str) -> list[str]:
-    """JSON values written one after another, on one line or many; what follows a broken value is left out."""
+def split_objects(text: str) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+    """(values, broken) of JSON values written one after another, on one line or many, each with its offset.
+
+    After a broken value reading goes on at the next place where an object closes and another one opens; what lies between is broken.
+    """
     import json
 
-    decoder, found, at = json.JSONDecoder(), [], 0
+    decoder, found, broken, at = json.JSONDecoder(), [], [], 0
     while True:
         while at < len(text) and (text[at].isspace() or text[at] == "\ufeff"):
             at += 1
         if at == len(text):
-            return found
+            return found, broken
         try:
             _, stop = decoder.raw_decode(text, at)
+            found.append((at, text[at:stop]))
         except ValueError:
-            return found
-        found.append(text[at:stop])
+            again = re.compile(r"\}\s*(?=\{)").search(text, at)
+            stop = again.end() if again else len(text)
+            broken.append((at, text[at:stop]))
         at = stop
 
 
-def read_concatenated_json(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """Objects written one after another without an enclosing array, one row per ``key``.
+def _concatenated(spark: SparkSession, path: str) -> DataFrame:
+    """(path, place, json, broken): every value of the files with its offset, and the stretches that are no JSON.
 
-    Of several objects with one key the first counts, in the order of (path, place in the file). A file
-    is one text row here, so it must fit Spark's 2 GB row limit; many such files spread over tasks.
+    A file is one text row here, so it must fit Spark's 2 GB row limit; many such files spread over tasks.
     """
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
@@ -242,16 +248,31 @@ def read_concatenated_json(spark: SparkSession, path: str, schema: str, key: str
 
         for pdf in batches:
             for name, value in zip(pdf["path"], pdf["value"]):
-                parts = split_objects(value)
-                yield pd.DataFrame({"path": name, "place": range(len(parts)), "json": pd.Series(parts, dtype="object")})
+                for is_broken, parts in enumerate(split_objects(value)):
+                    places, texts = [p for p, _ in parts], pd.Series([t for _, t in parts], dtype="object")
+                    yield pd.DataFrame({"path": name, "place": pd.Series(places, dtype="int64"), "json": texts, "broken": bool(is_broken)})
+
+    return text.mapInPandas(run, "path string, place long, json string, broken boolean")
+
 
-    objects = text.mapInPandas(run, "path string, place long, json string").select(F.struct("path", "place").alias("pos"), "json")
+def read_concatenated_json(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Objects written one after another without an enclosing array, one row per ``key``.
+
+    Of several objects with one key the first counts, in the order of (path, place in the file). What cannot be read is left to
+    ``concatenated_quarantine``; objects after it are read.
+    """
+    objects = _concatenated(spark, path).where("NOT broken").select(F.struct("path", "place").alias("pos"), "json")
     parsed = objects.select("pos", F.from_json("json", schema).alias("o")).select("pos", "o.*")
     flat = parsed.select("pos", "data.*") if "data" in parsed.columns else parsed
     rest = [c for c in flat.columns if c != key]
     return flat.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), "pos").alias("r")).select(key, "r.*").drop("pos")
 
 
+def concatenated_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """(path, place, text): the stretches of such files that are no JSON, with their offset."""
+    return _concatenated(spark, path).where("broken").select("path", "place", F.col("json").alias("text"))
+
+
 def read_npy_features(spark: SparkSession, root: str, glob: str = "*.npy") -> DataFrame:
     """(slide, tile_idx, level, x, y, emb) from NumPy files of float rows [level, x, y, embedding...].
 

@@ -174,3 +174,10 @@ def test_entity_files_bound_rows_per_file(spark, tmp_path, monkeypatch):
     assert max(r["count"] for r in source_queries.entity_parts(folders).groupBy("folder", "part").count().collect()) < 200
     got = source_queries.entity_files(spark, str(tmp_path)).collect()
     assert sorted((r["folder"], r["sampleId"]) for r in got) == sorted((r["folder"], f"p{r['o_orderkey']}") for r in folders.collect())
+
+
+def test_reading_goes_on_after_a_broken_object():
+    found, broken = readers.split_objects('\ufeff{"a":1} {"b":{"c":2}}{"d":,}{"e":"}{"}\n[3] {"f"')
+    assert [t for _, t in found] == ['{"a":1}', '{"b":{"c":2}}', '{"e":"}{"}', "[3]"] and [t for _, t in broken] == ['{"d":,}', '{"f"']
+    assert all(isinstance(p, int) for p, _ in found + broken) and broken[0][0] == 22
+    assert readers.split_objects(" ") == ([], []) and readers.split_objects("no")[1] == [(0, "no")]
