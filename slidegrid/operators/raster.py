@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.functions import color
-from slidegrid.operators.skew import spread_join
+from slidegrid.operators.skew import copies_join, spread_join
 from slidegrid.session import cut_lineage
 
 
@@ -132,6 +132,129 @@ def _chosen(patch: Column, footprint: list[bool]) -> Column:
     return F.filter(keep, lambda x: x.isNotNull())
 
 
+def _running(a: np.ndarray, width: int, pick: np.ufunc, axis: int) -> np.ndarray:
+    """Minimum or maximum of every window of ``width`` along an axis: forward and backward scans of blocks of that width."""
+    a = np.moveaxis(a, axis, -1)
+    n = a.shape[-1]
+    pad = -n % width
+    worst = a.max() if pick is np.minimum else a.min()
+    blocks = np.concatenate([a, np.full((*a.shape[:-1], pad), worst, a.dtype)], axis=-1).reshape(*a.shape[:-1], -1, width)
+    forward = pick.accumulate(blocks, axis=-1).reshape(*a.shape[:-1], -1)
+    backward = pick.accumulate(blocks[..., ::-1], axis=-1)[..., ::-1].reshape(*a.shape[:-1], -1)
+    out = pick(backward[..., : n - width + 1], forward[..., width - 1 : n])
+    return np.moveaxis(out, -1, axis)
+
+
+def _line_widths(footprint: list[bool], r: int) -> list[int] | None:
+    """Half width of every line of a footprint whose lines are centred runs (a square, a disk); -1 for an empty line, None for other shapes."""
+    widths = []
+    for line in np.array(footprint, dtype=bool).reshape(2 * r + 1, 2 * r + 1):
+        on = np.flatnonzero(line)
+        w = (len(on) - 1) // 2 if len(on) else -1
+        if len(on) and not (len(on) == 2 * w + 1 and on[0] == r - w and on[-1] == r + w):
+            return None
+        widths.append(w)
+    return widths
+
+
+def _line_sums(a: np.ndarray, widths: list[int], r: int) -> np.ndarray:
+    """Sum over a footprint of every inner pixel, by differences of running sums of lines."""
+    h, w = a.shape[0] - 2 * r, a.shape[1] - 2 * r
+    run = np.concatenate([np.zeros((a.shape[0], 1), a.dtype), a.cumsum(axis=1)], axis=1)
+    if len(set(widths)) == 1:  # a rectangle: running sums of sums
+        k = widths[0]
+        both = np.concatenate([np.zeros((1, run.shape[1]), a.dtype), run.cumsum(axis=0)])
+        wide = both[:, r + k + 1 : r + k + 1 + w] - both[:, r - k : r - k + w]
+        return wide[2 * r + 1 :][:h] - wide[:h]
+    out = np.zeros((h, w), a.dtype)
+    for d, k in enumerate(widths):
+        if k >= 0:
+            out += run[d : d + h, r + k + 1 : r + k + 1 + w] - run[d : d + h, r - k : r - k + w]
+    return out
+
+
+def _block_values(a: np.ndarray, known: np.ndarray, how: str, widths: list[int], r: int) -> np.ndarray:
+    """The stencil of every inner pixel of a block with its margin; ``known`` marks pixels that count."""
+    h, w = a.shape[0] - 2 * r, a.shape[1] - 2 * r
+    if how in ("min", "max"):
+        pick = np.minimum if how == "min" else np.maximum
+        a = np.where(known, a, a[known].max() if how == "min" else a[known].min())
+        out = None
+        for k in sorted(set(widths) - {-1}):
+            run = _running(a[:, r - k : a.shape[1] - r + k], 2 * k + 1, pick, 1)
+            for d in [d for d, x in enumerate(widths) if x == k]:
+                out = run[d : d + h] if out is None else pick(out, run[d : d + h])
+        return out
+    n = _line_sums(known.astype(np.int64), widths, r)
+    if how == "mean":
+        return _line_sums(np.where(known, a, 0).astype(np.float64), widths, r) / n
+    # The median: the least value that more than half of the window's pixels do not exceed.
+    out, need = np.zeros((h, w), a.dtype), n // 2
+    left = np.ones((h, w), dtype=bool)
+    for v in np.unique(a[known]):
+        below = _line_sums((known & (a <= v)).astype(np.int64), widths, r) > need
+        out[left & below] = v
+        left &= ~below
+        if not left.any():
+            break
+    return out
+
+
+#: Side of a block of a large stencil.
+BLOCK_SIDE = 256
+_PADDING = {"reflect101": "reflect", "reflect": "symmetric", "replicate": "edge"}
+
+
+def blocked_stencil(
+    grid: DataFrame, how: str, r: int, footprint: list[bool] | None = None, border: str = "reflect101", by: list[str] = ("slide",), v: str = "v", side: int = BLOCK_SIDE
+) -> DataFrame:
+    """``stencil`` for large kernels: mean, median, min or max over a square or a disk.
+
+    Every block of pixels goes to a task with a margin of ``r``, so a pixel is shuffled once, and again only near block edges. Costs do not
+    grow with the kernel's area: extremes by running scans, means and medians by differences of running sums (a median takes one pass per
+    value that occurs). The raster must be dense, and no smaller than ``r`` + 1 in either direction unless the border is ``clip``.
+    """
+    by, side = list(by), max(side, r + 1)
+    widths = _line_widths(footprint or [True] * (2 * r + 1) ** 2, r)
+    if how not in ("mean", "median", "min", "max") or widths is None or border not in (*_PADDING, "clip"):
+        raise ValueError("a large stencil is the mean, median, min or max over a centred shape")
+    rest = [c for c in grid.columns if c not in {*by, "x", "y", v}]
+    if rest:
+        raise ValueError(f"columns besides the pixel: {rest}")
+    lasts = grid.groupBy(*by).agg(F.max("x").cast("long").alias("__w"), F.max("y").cast("long").alias("__h"))
+    near = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / side) for d in (-r, 0, r)])))
+    dealt = grid.select(*by, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), v).withColumn("__bx", near("x")).withColumn("__by", near("y"))
+    placed = copies_join(dealt, lasts, by, salt_on=["x", "y"]).where(
+        (F.col("__bx") >= 0) & (F.col("__by") >= 0) & (F.col("__bx") * side <= F.col("__w")) & (F.col("__by") * side <= F.col("__h")))
+    kinds = dict(grid.dtypes)
+    kind = "double" if how == "mean" else kinds[v]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bx, by_ = key[len(by)].as_py(), key[len(by) + 1].as_py()
+        x, y, value = (table.column(c).to_numpy() for c in ("x", "y", v))
+        last_x, last_y = table.column("__w")[0].as_py(), table.column("__h")[0].as_py()
+        x0, y0 = max(bx * side - r, 0), max(by_ * side - r, 0)
+        x1, y1 = min((bx + 1) * side - 1 + r, last_x), min((by_ + 1) * side - 1 + r, last_y)
+        a, seen = np.zeros((y1 - y0 + 1, x1 - x0 + 1), value.dtype), np.zeros((y1 - y0 + 1, x1 - x0 + 1), dtype=bool)
+        a[y - y0, x - x0], seen[y - y0, x - x0] = value, True
+        if not seen.all():
+            raise ValueError("the raster has a hole; fill it first")
+        # What the block lacks of its margin lies beyond the picture.
+        beyond = [(max(0, r - by_ * side), max(0, (by_ + 1) * side - 1 + r - last_y)), (max(0, r - bx * side), max(0, (bx + 1) * side - 1 + r - last_x))]
+        pads = [(lo, min(hi, r)) for lo, hi in beyond]
+        known = np.pad(seen, pads, constant_values=border != "clip")
+        a = np.pad(a, pads, mode="edge" if border == "clip" else _PADDING[border])
+        out = _block_values(a, known, how, widths, r)
+        h, w = out.shape
+        yy, xx = np.mgrid[by_ * side : by_ * side + h, bx * side : bx * side + w]
+        fixed = [pa.array([k.as_py()] * out.size, k.type) for k in key[: len(by)]]
+        return pa.table([*fixed, pa.array(xx.ravel(), pa.int64()), pa.array(yy.ravel(), pa.int64()), pa.array(out.ravel())], names=[*by, "x", "y", v])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", x long, y long, {v} {kind}"
+    out = placed.groupBy(*by, "__bx", "__by").applyInArrow(run, schema)
+    return out.select(*[F.col(c).cast(kinds[c]) if c in ("x", "y") else F.col(c) for c in grid.columns])
+
+
 def stencil(
     grid: DataFrame,
     how: str,
@@ -142,8 +265,10 @@ def stencil(
     by: list[str] = ("slide",),
     v: str = "v",
 ) -> DataFrame:
-    """Replace ``v`` by mean, weighted, median, min or max of its neighbourhood."""
+    """Replace ``v`` by mean, weighted, median, min or max of its neighbourhood; from r = 4 on see ``blocked_stencil``."""
     foot = footprint or [True] * (2 * r + 1) ** 2
+    if r >= 4 and how != "weighted" and set(grid.columns) == {*by, "x", "y", v} and _line_widths(foot, r) is not None:
+        return blocked_stencil(grid, how, r, foot, border, by, v)
     df = neighbourhood(grid, r, border, by, v)
     patch = F.col("patch")
     if how == "weighted":
@@ -185,10 +310,28 @@ def close_(grid: DataFrame, r: int = 1, **kw) -> DataFrame:
     return erode(dilate(grid, r, **kw), r, **kw)
 
 
-def denoise(grid: DataFrame, r: int = 1, **kw) -> DataFrame:
-    """Gaussian, then median (which repeats the edge, as median filters do), then opening."""
-    blurred = stencil(grid, "weighted", 1, weights=GAUSSIAN_3, **kw).withColumn("v", F.round("v").cast("int"))
-    return open_(stencil(blurred, "median", 1, **{**kw, "border": "replicate"}), r, **kw)
+def gaussian_weights(size: int) -> list[float]:
+    """Square Gaussian kernel of an odd size: binomial lines up to 5, else sigma = 0.3 * ((size - 1) / 2 - 1) + 0.8."""
+    if size % 2 == 0:
+        raise ValueError("a kernel has an odd size")
+    if size <= 5:
+        line = np.array({1: [1], 3: [1, 2, 1], 5: [1, 4, 6, 4, 1]}[size], dtype=float)
+    else:
+        at = np.arange(size) - size // 2
+        line = np.exp(-(at ** 2) / (2 * (0.3 * ((size - 1) * 0.5 - 1) + 0.8) ** 2))
+    line /= line.sum()
+    return np.outer(line, line).ravel().tolist()
+
+
+def denoise(grid: DataFrame, r: int = 1, gaussian: int = 3, median: int = 3, **kw) -> DataFrame:
+    """Gaussian, then median (which repeats the edge, as median filters do), then opening with a disk of radius ``r``.
+
+    ``gaussian`` and ``median`` are odd kernel sizes; even ones count as the next odd one, and 1 leaves that step out.
+    """
+    gaussian, median = gaussian | 1, median | 1
+    blurred = grid if gaussian == 1 else stencil(grid, "weighted", gaussian // 2, weights=gaussian_weights(gaussian), **kw).withColumn("v", F.round("v").cast("int"))
+    calm = blurred if median == 1 else stencil(blurred, "median", median // 2, **{**kw, "border": "replicate"})
+    return open_(calm, r, **kw) if r else calm
 
 
 def focus_scores(grid: DataFrame, by: list[str]) -> DataFrame:

@@ -68,12 +68,29 @@ def morphology_close(spark, d):
     return raster.close_(grey_grid(spark, d))
 
 
-@query("denoised_raster", "WN8")
+@query("denoised_raster", "WN8", f"""WITH {_GRID}, {_NEAR}, b AS (SELECT slide, x, y, CAST(round(sum(v * power(2, 2 - abs(dx) - abs(dy))) / 16) AS INTEGER) AS v FROM nb GROUP BY 1, 2, 3),
+md AS (SELECT a.slide, a.x, a.y, CAST(quantile_disc(n.v, 0.5) AS INTEGER) AS v FROM b a, off JOIN b n ON n.slide = a.slide AND n.x = least(greatest(a.x + dx, 0), 63) AND n.y = least(greatest(a.y + dy, 0), 63) GROUP BY 1, 2, 3),
+er AS ({_CROSS('md', 'min')}) {_CROSS('er', 'max')}""")
 def denoised_raster(spark, d):
-    """Blur, median and opening in a row; the three steps have their own SQL checks."""
+    """Blur, median and opening in a row."""
     return raster.denoise(grey_grid(spark, d))
 
 
+_WIDE = "off9 AS (SELECT CAST(a AS INTEGER) AS dx, CAST(b AS INTEGER) AS dy FROM (SELECT unnest(range(-4, 5)) AS a), (SELECT unnest(range(-4, 5)) AS b))"
+
+
+@query("wide_stencils", "WN8", f"""WITH {_GRID}, {_WIDE}, nb AS (SELECT g.slide, g.x, g.y, dx, dy, n.v, g.x + dx BETWEEN 0 AND 63 AND g.y + dy BETWEEN 0 AND 63 AS inside FROM g, off9 JOIN g n ON n.slide = g.slide AND n.x = {_R101('g.x + dx')} AND n.y = {_R101('g.y + dy')})
+SELECT slide, x, y, round(avg(v), 6) AS mean, CAST(quantile_disc(v, 0.5) AS INTEGER) AS median, min(v) FILTER (inside AND dx * dx + dy * dy <= 16) AS eroded, max(v) FILTER (inside AND dx * dx + dy * dy <= 16) AS dilated FROM nb GROUP BY 1, 2, 3""")
+def wide_stencils(spark, d):
+    """Kernels of radius 4: mean and median over a square with mirrored borders, erosion and dilation over a disk inside the picture."""
+    g = grey_grid(spark, d)
+    named = lambda df, name: df.withColumnRenamed("v", name)
+    out = named(rounded(raster.stencil(g, "mean", 4), "v"), "mean")
+    for name, df in (("median", raster.stencil(g, "median", 4)), ("eroded", raster.erode(g, 4)), ("dilated", raster.dilate(g, 4))):
+        out = out.join(named(df, name), ["slide", "x", "y"])
+    return out
+
+
 @query("large_objects", "WN9", f"""WITH RECURSIVE {MASK_CTE}, p AS (SELECT slide, mx AS x, my AS y, slide * 4096 + my * 64 + mx AS id FROM mask WHERE val > 60),
 e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.slide = b.slide AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
 r(id, root) AS (SELECT id, id FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE e.b > r.root), m AS (SELECT id, min(root) AS root FROM r GROUP BY id), s AS (SELECT root, count(*) AS area FROM m GROUP BY root HAVING count(*) > 5)

@@ -42,6 +42,51 @@ def test_stencils_against_padded_windows(spark, border, mode):
     assert np.allclose(dense(raster.stencil(df, "weighted", 2, weights=list(w), border=border)), (windows.reshape(7, 9, 25) * w).sum(-1))
 
 
+@pytest.mark.parametrize("border,mode", [("reflect101", "reflect"), ("reflect", "symmetric"), ("replicate", "edge"), ("clip", None)])
+@pytest.mark.parametrize("r,side", [(15, 16), (4, 5), (6, 100)])
+def test_large_stencils_against_padded_windows(spark, border, mode, r, side):
+    """Kernels that span several blocks, on two pictures of unlike size."""
+    k = 2 * r + 1
+    foot = np.array(raster.disk(r)).reshape(k, k)
+    pictures = {"s": np.random.default_rng(3).integers(0, 50, (37, 22)), "t": np.random.default_rng(4).integers(-9, 9, (17, 40))}
+    df = long(spark, pictures["s"]).unionByName(long(spark, pictures["t"], slide="t"))
+    wanted = {}
+    for name, img in pictures.items():
+        if mode:
+            windows = np.lib.stride_tricks.sliding_window_view(np.pad(img, r, mode=mode), (k, k)).reshape(*img.shape, -1).astype(float)
+        else:
+            windows = np.lib.stride_tricks.sliding_window_view(np.pad(img.astype(float), r, constant_values=np.nan), (k, k)).reshape(*img.shape, -1)
+        n = (~np.isnan(windows)).sum(-1)
+        wanted[name] = {
+            "mean": np.nanmean(windows, -1), "median": np.take_along_axis(np.sort(windows, -1), (n // 2)[..., None], -1)[..., 0],
+            "min": np.nanmin(windows[..., foot.ravel()], -1), "max": np.nanmax(windows[..., foot.ravel()], -1)}
+    for how in ("mean", "median", "min", "max"):
+        got = raster.blocked_stencil(df, how, r, raster.disk(r) if how in ("min", "max") else None, border, side=side)
+        assert got.columns == df.columns
+        for name in pictures:
+            assert np.allclose(dense(got.where(F.col("slide") == name)), wanted[name][how])
+
+
+def test_large_stencil_refuses_what_it_cannot_do(spark):
+    df = long(spark, np.zeros((20, 20), int))
+    with pytest.raises(Exception, match="hole"):
+        raster.stencil(df.where("x != 3"), "mean", 5).collect()
+    with pytest.raises(ValueError, match="centred"):
+        raster.blocked_stencil(df, "min", 1, [True] + [False] * 8)
+    assert raster.stencil(df, "median", 9).count() == 400
+
+
+def test_denoising_sizes(spark):
+    img = np.random.default_rng(8).integers(0, 255, (20, 20))
+    line = np.array([1, 4, 6, 4, 1]) / 16
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(img, 2, mode="reflect"), (5, 5))
+    blurred = np.floor((windows * np.outer(line, line)).sum((2, 3)) + 0.5)
+    calm = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(blurred, 4, mode="edge"), (9, 9)), axis=(2, 3))
+    assert (dense(raster.denoise(long(spark, img), 0, gaussian=4, median=9)) == calm).all()
+    assert (dense(raster.denoise(long(spark, img), 0, gaussian=1, median=1)) == img).all()
+    assert sum(raster.gaussian_weights(9)) == pytest.approx(1.0)
+
+
 def test_open_close_clip_border(spark):
     img = np.zeros((6, 6), int)
     img[1:4, 1:4] = 9
