@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from slidegrid.functions import vectors as vx
-from slidegrid.functions.hashing import seeded_key
+from slidegrid.functions.hashing import seeded_key, uniform_int
 from slidegrid.operators import raster
 from slidegrid.session import cut_lineage
 
@@ -84,27 +84,75 @@ def logit_spread(df: DataFrame, q: str, k: str) -> DataFrame:
 def fit_codebook(df: DataFrame, size: int, seed: int = 0, vec: str = "vec", key: str = "id", rounds: int = 20, restarts: int = 3):
     """(codes, vectors): cosine k-means, with codes that catch nothing restarted on poorly served rows.
 
-    Each round is one pass: rows meet the broadcast codebook in Arrow batches, which pass on only a sum
-    per code. Restart vectors are the ``n_dead`` least similar rows, so the driver never sees more
-    than a codebook.
+    Starts from ``seed_codebook``. Each round is one job with one pass: rows meet the broadcast codebook in Arrow batches, which pass
+    on only a sum per code. It ends early when no vector moves. Restart vectors are the ``n_dead`` least similar rows, so the driver
+    never sees more than a few codebooks.
     """
-    start = df.select(vec).orderBy(seeded_key(seed, key)).limit(size).collect()
-    book = np.array([r[0] for r in start], dtype=np.float64)
+    book = seed_codebook(df, size, seed, vec, key)
     size = len(book)
     for turn in range(rounds + restarts):
-        sums, counts = _code_sums(df, vec, book)
+        sums, counts = np.zeros_like(book), np.zeros(size)
+        for r in code_sums(df, book, vec).collect():  # one row per code
+            sums[r["code"]], counts[r["code"]] = r["s"], r["n"]
         dead = np.flatnonzero(counts == 0)
-        book = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], book)
+        moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], book)
+        still = np.array_equal(moved, book)
+        book = moved
         if len(dead) and turn < rounds:
             worst = vq_assign(df.select(key, vec), np.arange(size), book, vec).orderBy("similarity", key).limit(len(dead))
             for slot, row in zip(dead, worst.select(vec).collect()):
                 book[slot] = row[0]
+        elif still:
+            break
     return np.arange(size), book
 
 
-def _code_sums(df: DataFrame, vec: str, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def seed_codebook(df: DataFrame, size: int, seed: int = 0, vec: str = "vec", key: str = "id", passes: int = 3, oversample: float = 2.0) -> np.ndarray:
+    """Oversampled parallel seeding: ``size`` start vectors (all rows, if fewer).
+
+    From one row on, every pass takes each row with a chance in proportion to its distance from the vectors taken so far, about
+    ``oversample * size`` rows a pass. Chances come from a seeded hash of the key, so a retried task takes the same rows. The candidates,
+    weighted by the rows nearest to them, are thinned on the driver by the usual one-at-a-time seeding: there are at most
+    some ``passes * oversample * size`` of them, whatever the number of rows.
+    """
+    first = df.select(vec).orderBy(seeded_key(seed, key), key).limit(1).collect()
+    taken = np.array([r[0] for r in first], dtype=np.float64)
+    if not len(taken):
+        return taken
+    for turn in range(passes):
+        far = vq_assign(df.select(key, vec), np.arange(len(taken)), taken, vec).withColumn("__d", F.greatest(1 - F.col("similarity"), F.lit(0.0)))
+        total = far.agg(F.sum("__d")).first()[0] or 0.0
+        if total <= 0:
+            break
+        draw = uniform_int(seeded_key(f"{seed}:{turn}", key), 1 << 30) / float(1 << 30)
+        fresh = far.where(draw < F.col("__d") * F.lit(oversample * size / total)).select(key, vec)
+        found = sorted(fresh.collect(), key=lambda r: r[key])  # about oversample * size rows
+        taken = np.concatenate([taken, np.array([r[vec] for r in found], dtype=np.float64).reshape(-1, taken.shape[1])])
+    weight = np.zeros(len(taken))
+    for r in code_sums(df, taken, vec).collect():
+        weight[r["code"]] = r["n"]
+    if len(taken) <= size:  # few distinct rows: the first ones fill up
+        more = np.array([r[0] for r in df.select(vec).orderBy(seeded_key(seed, key), key).limit(size).collect()], dtype=np.float64)
+        return more if len(more) < size else np.concatenate([taken, more])[:size]
+    unit = taken / (np.linalg.norm(taken, axis=1, keepdims=True) + 1e-8)
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(taken), p=weight / weight.sum()))]
+    gap = 1 - unit @ unit[chosen[0]]
+    while len(chosen) < size:
+        chance = np.maximum(gap, 0) * np.maximum(weight, 1e-9)
+        chosen.append(int(rng.choice(len(taken), p=chance / chance.sum())) if chance.sum() > 0 else next(i for i in range(len(taken)) if i not in chosen))
+        gap = np.minimum(gap, 1 - unit @ unit[chosen[-1]])
+    return taken[chosen]
+
+
+def code_sums(df: DataFrame, book: np.ndarray, vec: str = "vec") -> DataFrame:
+    """(code, n, s): rows nearest to each codeword and the sum of their unit vectors; codes without rows are left out.
+
+    One pass: a task sums what its rows add to every code, and those sums meet per code.
+    """
     unit = book / (np.linalg.norm(book, axis=1, keepdims=True) + 1e-8)
     shared = df.sparkSession.sparkContext.broadcast(unit)
+    schema = "code long, n double, s array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value
@@ -119,15 +167,16 @@ def _code_sums(df: DataFrame, vec: str, book: np.ndarray) -> tuple[np.ndarray, n
         live = np.flatnonzero(counts)
         yield pd.DataFrame({"code": live, "n": counts[live], "s": list(sums[live])})
 
-    parts = df.select(vec).mapInPandas(run, "code long, n double, s array<double>")
-    flat = parts.select("code", "n", F.posexplode("s").alias("k", "v")).groupBy("code", "k").agg(F.sum("v").alias("v"))
-    sizes = {r["code"]: r["n"] for r in parts.groupBy("code").agg(F.sum("n").alias("n")).collect()}
-    sums, counts = np.zeros_like(book), np.zeros(len(book))
-    for r in flat.collect():
-        sums[r["code"], r["k"]] = r["v"]
-    for code, n in sizes.items():
-        counts[code] = n
-    return sums, counts
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                one = held.setdefault(int(row.code), [0.0, 0.0])
+                one[0] += row.n
+                one[1] = one[1] + np.asarray(row.s)
+        yield pd.DataFrame([(c, n, s) for c, (n, s) in held.items()], columns=["code", "n", "s"])
+
+    return df.select(vec).mapInPandas(run, schema).repartition("code").mapInPandas(add_up, schema)
 
 
 def residual_vq(grid: DataFrame, codes: np.ndarray, book: np.ndarray, by: list[str], side: int = 14, scales: list[int] = SCALES) -> DataFrame:

@@ -177,10 +177,22 @@ def logit_spread(spark, d):
     return rounded(cb.logit_spread(pair, "q", "k"), "std_raw", "std_scaled")
 
 
+_UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda v: v / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8))"
+
+
+@query("codebook_round", "VQ2", f"""WITH {_ASSIGN}, w AS (SELECT code, {_UNIT} AS u FROM q JOIN embeddings USING (vec_id))
+SELECT code, CAST(count(*) AS BIGINT) AS n, round(avg(u[1]), 6) AS m1, round(avg(u[2]), 6) AS m2, round(avg(u[64]), 6) AS m64 FROM w GROUP BY code""")
+def codebook_round(spark, d):
+    """One round of fitting: rows per codeword and the means that become its next vector (first, second and last component)."""
+    _, book = cb.fetch_codebook(codebook(spark, d))
+    sums = cb.code_sums(table(spark, d, "embeddings").select(F.col("embedding").alias("vec")), book)
+    return sums.select("code", F.col("n").cast("long").alias("n"), *[r6(F.get("s", F.lit(i - 1)) / F.col("n")).alias(f"m{i}") for i in (1, 2, 64)])
+
+
 @query("codebook_fitting", "VQ2")
 def codebook_fitting(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    codes, book = cb.fit_codebook(rows, 12, seed=1, rounds=4, restarts=1)
+    codes, book = cb.fit_codebook(rows, 12, seed=1)
     return rounded(cb.vq_assign(rows, codes, book).groupBy("code").agg(F.count("*").alias("n"), F.avg("similarity").alias("similarity")), "similarity")
 
 

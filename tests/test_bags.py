@@ -152,6 +152,20 @@ def test_fit_codebook_restarts_dead_codes(spark):
     assert got.select("code").distinct().count() == 4 and got.agg(F.min("similarity")).first()[0] > 0.98
 
 
+def test_seeding_finds_far_groups(spark):
+    """Seven tight groups, one with nearly all rows: parallel seeding starts with a row of each; fewer rows than codes are all taken."""
+    rng = np.random.default_rng(5)
+    centres = np.linalg.qr(rng.normal(size=(8, 8)))[0][:7]
+    x = np.concatenate([np.repeat(centres[:1], 400, axis=0), np.repeat(centres[1:], 3, axis=0)]) + rng.normal(0, 0.005, (418, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vec array<double>").repartition(3)
+    start = cb.seed_codebook(df, 7, seed=4)
+    assert sorted((start @ centres.T).argmax(axis=1)) == list(range(7))
+    assert (start == cb.seed_codebook(df.repartition(5), 7, seed=4)).all()
+    assert len(cb.seed_codebook(df.limit(3), 7)) == 3 and len(cb.seed_codebook(df.limit(0), 7)) == 0
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(9)], "id int, vec array<double>")
+    assert cb.seed_codebook(same, 4).tolist() == [[1.0, 0.0]] * 4
+
+
 def test_residual_error_falls_with_scales(spark):
     rng = np.random.default_rng(1)
     side = 4
