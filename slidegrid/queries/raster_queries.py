@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slidegrid.operators import quality, raster, stain
+from slidegrid.operators import foreground, quality, raster, stain
 from slidegrid.queries.grid_queries import MASK_CTE, mask, raster_values
 from slidegrid.queries.registry import query, rounded
 from slidegrid.queries.scalar_queries import LAB_CTES, PIXELS_CTE, pixels
@@ -243,3 +243,58 @@ def full_tile_quality(spark, d):
     return quality.tile_qc(px.drop("v"), ["slide"]).select(
         "slide", "n", "is_valid", F.array_join("reasons", "; ").alias("reasons"), F.round("tissue_percentage", 4).alias("tissue_percentage"), F.round("focus_score", 4).alias("focus_score")
     )
+
+
+# ---- foreground ------------------------------------------------------------------------------------
+
+
+def colour_grid(spark, d):
+    """The rasters as tiles with a colour cast; values spread over the byte range."""
+    v = F.least(F.col("v") * 3, F.lit(255))
+    return grey_grid(spark, d).withColumns({"r": v, "g": F.greatest(v - 40, F.lit(0)), "b": F.least(v + 20, F.lit(255))}).drop("v")
+
+
+_COLOURS = "px AS (SELECT slide, x, y, r, greatest(r - 40, 0) AS g, least(r + 20, 255) AS b FROM (SELECT slide, x, y, least(v * 3, 255) AS r FROM g)), gr AS (SELECT *, CAST(round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) AS INTEGER) AS v FROM px)"
+_OTSU = """hb AS (SELECT slide, CAST(least(255, floor(v * 256 / 255.0)) AS INTEGER) AS bin, count(*) AS n FROM gr GROUP BY 1, 2),
+hw AS (SELECT slide, bin, sum(n) OVER u / CAST(sum(n) OVER (PARTITION BY slide) AS DOUBLE) AS o, sum(n * bin) OVER u / CAST(sum(n) OVER (PARTITION BY slide) AS DOUBLE) AS m, sum(n * bin) OVER (PARTITION BY slide) / CAST(sum(n) OVER (PARTITION BY slide) AS DOUBLE) AS t FROM hb WINDOW u AS (PARTITION BY slide ORDER BY bin)),
+ot AS (SELECT slide, arg_min(bin, (-((t * o - m) * (t * o - m) / greatest(o * (1.0 - o), 1e-9)), bin)) AS cut FROM hw GROUP BY slide)"""
+_DISK2 = lambda src, f: f"SELECT a.slide, a.x, a.y, {f}(n.v) AS v FROM {src} a, off2 JOIN {src} n ON n.slide = a.slide AND n.x = {_R101('a.x + dx')} AND n.y = {_R101('a.y + dy')} GROUP BY 1, 2, 3"
+
+
+@query("foreground_mask", "AG25 WN8 WN9")
+def foreground_mask(spark, d):
+    """Otsu, inverted, closed with a disk of 2, objects of up to 50 pixels removed."""
+    return foreground.foreground_mask(colour_grid(spark, d), ["slide"])
+
+
+@query("otsu_mask", "AG25 WN8", f"""WITH {_GRID}, {_COLOURS}, {_OTSU}, off2 AS (SELECT CAST(a AS INTEGER) AS dx, CAST(b AS INTEGER) AS dy FROM (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-2, 3)) AS b) WHERE a * a + b * b <= 4),
+bi AS (SELECT gr.slide, x, y, CAST(v <= cut AS INTEGER) AS v FROM gr JOIN ot USING (slide)), di AS ({_DISK2('bi', 'max')}) {_DISK2('di', 'min')}""")
+def otsu_mask(spark, d):
+    """Grey against each tile's Otsu threshold, inverted, and closed with a disk of radius 2."""
+    return raster.close_(foreground.binary(colour_grid(spark, d), ["slide"]), 2, border="reflect101")
+
+
+_G11 = "exp(-(({d}) * ({d})) / 8.0::DOUBLE)"
+
+
+@query("adaptive_mask", "AG25 WN8", f"""WITH {_GRID}, {_COLOURS}, w AS (SELECT CAST(a AS INTEGER) AS dx, CAST(b AS INTEGER) AS dy, {_G11.format(d='a')} * {_G11.format(d='b')} AS w FROM (SELECT unnest(range(-5, 6)) AS a), (SELECT unnest(range(-5, 6)) AS b)),
+mn AS (SELECT a.slide, a.x, a.y, any_value(a.v) AS v, sum(n.v * w) / sum(w) AS mean FROM gr a, w JOIN gr n ON n.slide = a.slide AND n.x = least(greatest(a.x + dx, 0), 63) AND n.y = least(greatest(a.y + dy, 0), 63) GROUP BY 1, 2, 3)
+SELECT slide, x, y, CAST(NOT v > floor(mean + 0.5) - 2 AS INTEGER) AS v FROM mn""")
+def adaptive_mask(spark, d):
+    """Grey against its Gaussian mean over 11 by 11 pixels less 2, inverted."""
+    return foreground.binary(colour_grid(spark, d), ["slide"], "adaptive")
+
+
+@query("saturation_mask", "PR22", f"""WITH {_GRID}, {_COLOURS} SELECT slide, x, y, CAST(round(CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE 255.0::DOUBLE * (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) END) > 30 AS INTEGER) AS v FROM px""")
+def saturation_mask(spark, d):
+    """Saturation above 30."""
+    return foreground.binary(colour_grid(spark, d), ["slide"], "saturation", invert=False)
+
+
+@query("processed_tiles", "FL2 WN8 WN9 AG26 AG31")
+def processed_tiles(spark, d):
+    """The whole chain: judged, denoised, freed of background and normalised; sums of the bytes of every tile."""
+    rules = quality.TileRules(min_tissue_percent=0.0, check_focus=False, saturation=(-1.0, 256.0), value=(-1.0, 256.0))
+    px, tiles = foreground.process_tiles(colour_grid(spark, d), ["slide"], rules)
+    sums = px.groupBy("slide").agg(F.count("*").alias("n"), F.count_if(F.col("mask") > 0).alias("n_foreground"), *[F.sum(c).cast("long").alias(c) for c in ("r2", "g2", "b2")])
+    return rounded(tiles.select("slide", "is_valid", "foreground_percentage").join(sums, "slide", "left"), "foreground_percentage")
