@@ -219,10 +219,17 @@ def _selected_quantiles(live: DataFrame, by: list[str], probs: dict[str, float],
     unknown = F.lit(None).cast("double")
     state = live.groupBy(*by).agg(F.count("*").alias("n"), summary.alias("__q"))
     for t in ranks:
-        state = state.withColumns({f"__a_{t}": unknown, f"__z_{t}": unknown, f"__v_{t}": unknown, f"__b_{t}": F.lit(0).cast("long"), f"__m_{t}": F.col("n"), f"__q_{t}": F.col("__q")})
-    state = cut_lineage(state.drop("__q"))
-    while (state.agg(F.max(F.greatest(*[F.when(F.col(f"__v_{t}").isNull(), F.col(f"__m_{t}")).otherwise(0) for t in [*ranks, *ranks]]))).first()[0] or 0) > most:
+        state = state.withColumns({f"__a_{t}": unknown, f"__z_{t}": unknown, f"__v_{t}": unknown, f"__b_{t}": F.lit(0).cast("long"), f"__m_{t}": F.col("n")})
+    state = cut_lineage(state)
+    largest = F.greatest(*[F.when(F.col(f"__v_{t}").isNull(), F.col(f"__m_{t}")).otherwise(0) for t in [*ranks, *ranks]])
+    while (state.agg(F.max(largest)).first()[0] or 0) > most:
         open_ = {t: F.col(f"__v_{t}").isNull() & (F.col(f"__m_{t}") > most) for t in ranks}
+        if "__q" in state.columns:  # first round: one summary of everything serves all ranks
+            state = state.withColumns({f"__q_{t}": F.col("__q") for t in ranks}).drop("__q")
+        else:
+            again = _with_groups(live, state, by).groupBy(*by).agg(*[
+                F.percentile_approx(F.when(inside[t] & open_[t], F.col("__v")), points, 10 * SUMMARY_POINTS).alias(f"__q_{t}") for t in ranks])
+            state = cut_lineage(_joined_groups(state, again, by))
         chosen = {}
         for t, rank in ranks.items():
             at = F.floor((rank - F.col(f"__b_{t}")) * SUMMARY_POINTS / F.col(f"__m_{t}")).cast("int")
@@ -249,10 +256,7 @@ def _selected_quantiles(live: DataFrame, by: list[str], probs: dict[str, float],
                 f"__b_{t}": case(b, b, b, b + ex, b, b + ey), f"__m_{t}": case(m, lx, m, ly - ex, m, m - ey),
             })
         state = cut_lineage(state.drop(*[f"__{name}_{t}" for t in ranks for name in ("x", "y", "lx", "ex", "ly", "ey")]))
-        again = _with_groups(live, state, by).groupBy(*by).agg(*[
-            F.percentile_approx(F.when(inside[t] & open_[t], F.col("__v")), points, 10 * SUMMARY_POINTS).alias(f"__q_{t}") for t in ranks])
-        state = cut_lineage(_joined_groups(state, again, by))
-    state = state.drop(*[f"__q_{t}" for t in ranks])
+    state = state.drop("__q")
     which = F.array_compact(F.array(*[F.when(inside[t], F.lit(t)) for t in ranks]))
     left = _with_groups(live, state, by).select(*by, "__v", which.alias("__t")).where(F.size("__t") > 0).select(*by, "__v", F.explode("__t").alias("__t"))
     counted = left.groupBy(*by, "__t", "__v").agg(F.count("*").alias("__c"))
