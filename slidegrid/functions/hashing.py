@@ -16,6 +16,14 @@ def hash_bucket(key: Column, digits: int = 2) -> Column:
     return F.substring(key, 1, digits)
 
 
+def hash_digits(rows: int, per_bucket: int = 4096) -> int:
+    """How many leading hex digits cut a group of ``rows`` into buckets of about ``per_bucket`` rows; 1 to 15."""
+    digits = 1
+    while digits < 15 and rows > per_bucket * 16**digits:
+        digits += 1
+    return digits
+
+
 def uniform_int(key: Column, n: Column | int) -> Column:
     """A whole number in ``[0, n)`` from the first 15 hex digits of ``key``."""
     return F.pmod(F.conv(F.substring(key, 1, 15), 16, 10).cast("long"), (n if isinstance(n, Column) else F.lit(n)).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from slidegrid.functions.barcode import patient_or_stem
-from slidegrid.functions.hashing import hash_bucket, seeded_key
+from slidegrid.functions.hashing import hash_bucket, hash_digits, seeded_key
 from slidegrid.operators.ordered import BUCKET, running_totals
 from slidegrid.operators.skew import spread_join
 
@@ -37,16 +37,18 @@ def make_folds(labels: DataFrame, splits: int = 5, repeats: int = 1, unit: str =
 
     Inside a class, units are ordered by slide count (largest first) and a hash seeded by the repeat,
     then dealt to the folds back and forth, which balances classes to one unit and slides closely.
-    The numbering is a bucketed prefix sum, so a class of any size is spread over the cluster.
+    The numbering is a bucketed prefix sum, with as many buckets as the largest class needs, so a class of any size is spread
+    over the cluster.
     """
     units = fold_units(labels, unit)
     k = k or fold_count(labels, units, splits)
     keyed = units.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn(
         "__key", F.md5(F.concat_ws(":", F.col("repeat").cast("string"), F.col("unit").cast("string")))
     )
+    digits = hash_digits(units.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
     size_rank = F.lpad((F.lit((1 << 63) - 1) - F.col("n_slides")).cast("string"), 19, "0")
     placed = running_totals(
-        keyed.withColumn(BUCKET, F.concat(size_rank, hash_bucket(F.col("__key")))),
+        keyed.withColumn(BUCKET, F.concat(size_rank, hash_bucket(F.col("__key"), digits))),
         ["repeat", "label"],
         [F.col("n_slides").desc(), F.col("__key"), F.col("unit")],
         {"__rank": F.lit(1)},

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from slidegrid.functions.hashing import hash_bucket, seeded_key, spread
+from slidegrid.functions.hashing import hash_bucket, hash_digits, seeded_key, spread
 from slidegrid.operators.skew import copies_join
 from slidegrid.session import cut_lineage, prefix_buckets, salt_count
 
@@ -109,8 +109,12 @@ def read_positions(df: DataFrame, out: str = "pos") -> DataFrame:
     ).drop("__id", "__part", "__o")
 
 
-def sample_cap(df: DataFrame, by: list[str], key: list[str], n: int, seed: int = 0, digits: int = 2) -> DataFrame:
-    """At most ``n`` rows per group, chosen uniformly without replacement by a seeded hash."""
+def sample_cap(df: DataFrame, by: list[str], key: list[str], n: int, seed: int = 0, digits: int | None = None) -> DataFrame:
+    """At most ``n`` rows per group, chosen uniformly without replacement by a seeded hash.
+
+    Groups are cut into buckets by leading hash digits, as many as the largest group needs; the choice does not depend on them.
+    """
+    digits = digits or hash_digits(df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
     place = F.struct(seeded_key(seed, *by, *key).alias("h"), *key)
     narrow = df.select(*by, *key, place.alias("__h")).withColumn(BUCKET, hash_bucket(F.col("__h.h"), digits))
     return _up_to(df.withColumn("__h", place), narrow, by, "__h", n).drop("__h")

@@ -90,6 +90,9 @@ def test_dense_positions_and_sample_cap(hot_frame):
     assert (sizes == np.minimum(pdf.groupby("g").size(), 25)).all()
     again = od.sample_cap(df.repartition(2), ["g"], ["i"], 25, seed=4).toPandas()
     assert set(capped["i"]) == set(again["i"])
+    for digits in (1, 4):
+        assert set(capped["i"]) == set(od.sample_cap(df, ["g"], ["i"], 25, seed=4, digits=digits).toPandas()["i"])
+    assert [od.hash_digits(n) for n in (0, 16 * 4096, 16 * 4096 + 1, 10**12)] == [1, 1, 2, 7]
     assert set(capped["i"]) != set(od.sample_cap(df, ["g"], ["i"], 25, seed=5).toPandas()["i"])
 
 
