@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slidegrid.queries.registry import SLIDES_CTE, query, slides
 from slidegrid.session import scratch_folder, table
-from slidegrid.sources import readers, sinks
+from slidegrid.sources import ranges, readers, sinks
 
 
 @query("csv_round_trip", "SNK1 SRC5", """SELECT item_id, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars, '["' || item_id || '","x"]' AS tags FROM benchmark
@@ -147,6 +147,42 @@ def broken_objects(spark, d):
     return good.select("file_id", "state").unionByName(bad)
 
 
+@query("npy_features", "SRC10", """SELECT vec_id, CAST(label AS INTEGER) AS level, CAST(len(embedding) AS INTEGER) AS dims, CAST(embedding[1] AS DOUBLE) AS first_part,
+ CAST(embedding[len(embedding)] AS DOUBLE) AS last_part FROM embeddings WHERE len(embedding) > 0""")
+def npy_feature_files(spark, d):
+    """Embeddings written as NumPy files, one for the vectors of a width in an Arrow batch; every third also has a twin that is cut short and must go to quarantine."""
+    path, k = scratch_folder(spark), F.col("vec_id")
+    rows = table(spark, d, "embeddings").where(F.size("embedding") > 0).select(
+        F.concat(F.array(F.col("label").cast("float"), F.floor(k / 4096).cast("float"), F.pmod(k, F.lit(4096)).cast("float")), "embedding").alias("numbers")
+    )
+
+    def write(batches):
+        import io
+
+        import numpy as np
+        from pyspark import TaskContext
+
+        system, base = ranges.reachable(path)
+        for b, pdf in enumerate(batches):
+            for width, own in pdf["numbers"].groupby(pdf["numbers"].map(len)):
+                held = io.BytesIO()
+                np.save(held, np.array(own.tolist(), dtype=np.float32))
+                name = f"p{TaskContext.get().partitionId()}-{b}-{width}"
+                system.create_dir(f"{base}/whole")
+                with system.open_output_stream(f"{base}/whole/{name}.npy") as out:
+                    out.write(held.getvalue())
+                if b % 3 == 0:
+                    with system.open_output_stream(f"{base}/whole/{name}-cut.npy") as out:
+                        out.write(held.getvalue()[:-1])
+            yield pdf[[]].assign(done=True)
+
+    rows.mapInPandas(write, "done boolean").write.format("noop").mode("overwrite").save()
+    part = lambda at: F.element_at("emb", at).cast("double")
+    return readers.read_npy_features(spark, path).select(
+        (F.col("x").cast("long") * 4096 + F.col("y")).alias("vec_id"), "level", F.size("emb").alias("dims"), part(1).alias("first_part"), part(-1).alias("last_part")
+    )
+
+
 @query("token_files", "SRC6", "SELECT DISTINCT 'slide_' || o_orderkey || '.svs' AS token FROM orders")
 def token_files(spark, d):
     path = scratch_folder(spark)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from slidegrid import schemas
 from slidegrid.operators.ordered import read_positions
 from slidegrid.operators.resolve import resolve_columns
+from slidegrid.sources.ranges import json_values, npy_features, npy_files
 
 # File name endings of the per-slide folders.
 KINDS = {
@@ -236,32 +237,13 @@ def split_objects(text: str) -> tuple[list[tuple[int, str]], list[tuple[int, str
         at = stop
 
 
-def _concatenated(spark: SparkSession, path: str) -> DataFrame:
-    """(path, place, json, broken): every value of the files with its offset, and the stretches that are no JSON.
-
-    A file is one text row here, so it must fit Spark's 2 GB row limit; many such files spread over tasks.
-    """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for name, value in zip(pdf["path"], pdf["value"]):
-                for is_broken, parts in enumerate(split_objects(value)):
-                    places, texts = [p for p, _ in parts], pd.Series([t for _, t in parts], dtype="object")
-                    yield pd.DataFrame({"path": name, "place": pd.Series(places, dtype="int64"), "json": texts, "broken": bool(is_broken)})
-
-    return text.mapInPandas(run, "path string, place long, json string, broken boolean")
-
-
 def read_concatenated_json(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Objects written one after another without an enclosing array, one row per ``key``.
 
     Of several objects with one key the first counts, in the order of (path, place in the file). What cannot be read is left to
     ``concatenated_quarantine``; objects after it are read.
     """
-    objects = _concatenated(spark, path).where("NOT broken").select(F.struct("path", "place").alias("pos"), "json")
+    objects = json_values(spark, path).where("NOT broken").select(F.struct("path", "place").alias("pos"), "json")
     parsed = objects.select("pos", F.from_json("json", schema).alias("o")).select("pos", "o.*")
     flat = parsed.select("pos", "data.*") if "data" in parsed.columns else parsed
     rest = [c for c in flat.columns if c != key]
@@ -269,42 +251,22 @@ def read_concatenated_json(spark: SparkSession, path: str, schema: str, key: str
 
 
 def concatenated_quarantine(spark: SparkSession, path: str) -> DataFrame:
-    """(path, place, text): the stretches of such files that are no JSON, with their offset."""
-    return _concatenated(spark, path).where("broken").select("path", "place", F.col("json").alias("text"))
+    """(path, place, text): the stretches of such files that are no JSON, with their offset in bytes."""
+    return json_values(spark, path).where("broken").select("path", "place", F.col("json").alias("text"))
 
 
 def read_npy_features(spark: SparkSession, root: str, glob: str = "*.npy") -> DataFrame:
-    """(slide, tile_idx, level, x, y, emb) from NumPy files of float rows [level, x, y, embedding...].
+    """(slide, tile_idx, level, x, y, emb) from NumPy files of number rows [level, x, y, embedding...], in any byte order and layout.
 
-    The slide is the folder's name when the file is called ``features.npy``, else the file's own.
+    The slide is the folder's name when the file is called ``features.npy``, else the file's own. Files without a proper header
+    or shorter than it says are left to ``npy_quarantine``.
     """
-    import io
+    return npy_features(spark, root, glob)
 
-    import numpy as np
-    import pandas as pd
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-
-    def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows = np.load(io.BytesIO(content), allow_pickle=False)
-                parts = path.rstrip("/").split("/")
-                slide = parts[-2] if parts[-1] == "features.npy" else parts[-1].removesuffix(".npy")
-                for at in range(0, len(rows), 4096):
-                    cut = rows[at : at + 4096]
-                    yield pd.DataFrame(
-                        {
-                            "slide": slide,
-                            "tile_idx": np.arange(at, at + len(cut), dtype=np.int32),
-                            "level": cut[:, 0].astype(np.int32),
-                            "x": cut[:, 1].astype(np.int32),
-                            "y": cut[:, 2].astype(np.int32),
-                            "emb": list(cut[:, 3:].astype(np.float32)),
-                        }
-                    )
-
-    return files.select("path", "content").mapInPandas(run, schemas.EMBEDDINGS)
+def npy_quarantine(spark: SparkSession, root: str, glob: str = "*.npy") -> DataFrame:
+    """(path, reason) of the NumPy files that cannot be read; empty files are not listed."""
+    return npy_files(spark, root, glob).where("wrong IS NOT NULL").select("path", F.col("wrong").alias("reason"))
 
 
 def model_keys(df: DataFrame, path: str) -> DataFrame:
