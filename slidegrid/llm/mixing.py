@@ -1,16 +1,23 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Every source has a target number of words: its share by weight, at most ``most`` times its size, the excess reshared by weight.
-Its documents stand in a seeded order, again and again if the target exceeds its size; the stretch nearest to the target is
-taken and cut into blocks of about ``block_words`` words. That gives every source a quota of whole blocks. The output shards
-are the leaves of a binary tree. Each node splits its quotas between its halves by one multivariate hypergeometric draw seeded
-by the node, so every shard gets an exact number of blocks of each source, as if all blocks had been dealt from one shuffled
-deck. A leaf finds its quotas by walking down from the root: shards need no common state and no driver. It then takes the next
-so many blocks of each source in a seeded permutation (a Feistel network), so blocks of different shards are disjoint, and the
-documents of a shard are shuffled within it.
+Its documents stand in a seeded order, which is cut into blocks of about ``block_words`` words; a document belongs to the block
+it begins in. A seeded permutation (a Feistel network) puts the blocks of each pass over the source in an order of drawing; the
+number of blocks drawn before the target is met is the source's quota. The last block drawn gives only the documents that bring
+the words nearest to the target.
+
+The output shards are the leaves of a binary tree. Each node splits its quotas between its halves by one multivariate
+hypergeometric draw seeded by the node, so every shard gets an exact number of blocks of each source, as if all blocks had been
+dealt from one shuffled deck. A leaf finds its quotas by walking down from the root and takes the next so many drawn blocks of
+each source: blocks of different shards are disjoint, and shards need no common state. A document is taken as often as a shard
+holds its block. The documents of a shard are shuffled within it.
+
+Sources come in groups of ``GROUP_SOURCES``. A node first splits the totals of the groups, then each group's share among its
+sources; a task works on the sources of one group and a stretch of shards. What reaches a task as a whole is one number per
+group and those of one group's sources.
 
 Sizes are sums over all documents. Prefix sums go by buckets of the seeded order, so a source with most rows is spread over
-them. What reaches tasks as a whole is one line per source (``MOST_SOURCES`` at most, checked).
+them. Blocks grow beyond ``block_words`` where a mix would have more than ``MOST_BLOCKS`` of them; targets hold at any size.
 
 Null texts have size 0. Documents of size 0 are taken no times; everything else is taken zero to ``most`` times. A null source
 is a source of its own, last in order. Repeated rows are separate rows. Order and draws depend on seed and content alone.
@@ -26,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slidegrid.llm.words import whole_text, word_count
-from slidegrid.operators.ordered import BUCKET, dense_positions, running_totals
+from slidegrid.operators.ordered import BUCKET, dense_positions, running_totals, split_points, value_bucket
+from slidegrid.operators.skew import copies_join
 from slidegrid.session import cut_lineage, prefix_buckets, scratch_folder
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
 BLOCK_WORDS, SHARD_BLOCKS = 20_000, 50
-#: Blocks of a mix; numpy draws from fewer than 10^9. Blocks get larger beyond that.
+#: Blocks of a mix; numpy draws from fewer than 10^9.
 MOST_BLOCKS = 100_000_000
-MOST_SOURCES = 100_000
+#: Sources whose quotas a task splits together, shards it splits them over, and blocks it numbers.
+GROUP_SOURCES, TASK_SHARDS, TASK_BLOCKS = 4096, 512, 1 << 16
 ROW = "__row"
 
 
@@ -49,7 +58,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     """(source, number, source_size, target) of every source in ``sized`` (source, size).
 
     Sources in the order of their code points, null last, weigh ``weights`` in turn. Targets are min(most * size, level *
-    weight); the level rises until they sum to ``share`` of all words. Only the level travels to the driver.
+    weight); the level is where they sum to ``share`` of all words. In the order of most * size / weight a source is full if
+    the level at its own ratio would not yet use all words; prefix sums tell that for all at once.
     """
     spark = sized.sparkSession
     sums = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
@@ -57,18 +67,17 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     ranged = cut_lineage(sums.repartitionByRange(prefix_buckets(spark), order).withColumn(BUCKET, F.spark_partition_id()))
     placed = dense_positions(ranged, [], [order], F.col(BUCKET), out="number")
     turn = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
-    table = cut_lineage(placed.withColumn("weight", turn).withColumn("cap", F.col("source_size").cast("double") * most))
+    table = cut_lineage(placed.withColumn("weight", turn).withColumn("cap", F.col("source_size").cast("double") * most).withColumn("ratio", F.col("cap") / F.col("weight")))
     budget = share * (table.agg(F.sum("source_size")).first()[0] or 0)
-    level = 0.0
-    while True:
-        full = F.col("cap") <= level * F.col("weight")
-        row = table.agg(
-            F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)).alias("used"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("open")
-        ).first()
-        risen = max(level, (budget - row["used"]) / row["open"]) if row["open"] else level
-        if risen == level:
-            break
-        level = risen
+    upto = running_totals(
+        value_bucket(table, "ratio", split_points(table, "ratio")), [], ["ratio", "number"], {"caps": F.col("cap"), "weights": F.col("weight")}, with_total=True
+    )
+    full = F.col("caps") + F.col("ratio") * (F.col("total_weights") - F.col("weights")) <= budget
+    row = upto.agg(
+        F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)).alias("used"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("open"),
+        F.coalesce(F.max("ratio"), F.lit(0.0)).alias("top"),
+    ).first()
+    level = (budget - row["used"]) / row["open"] if row["open"] else row["top"]
     return table.select("source", "number", "source_size", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
 
 
@@ -98,76 +107,113 @@ def _node_key(seed: int, low: int, high: int) -> int:
     return ((seed * 0x9E3779B97F4A7C15 + low) * 0xBF58476D1CE4E5B9 + high) % (1 << 127)
 
 
-def shard_quotas(quotas: np.ndarray, shards: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For shards ``first`` to ``last`` (not included): (shard, blocks before it of each source, its blocks of each source)."""
-    blocks = int(quotas.sum())
+def shard_quotas(quotas: np.ndarray, shards: int, first: int, last: int, seed: int, groups: np.ndarray | None = None, group: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For shards ``first`` to ``last`` (not included): (shard, blocks before it of each source, its blocks of each source).
+
+    ``quotas`` are those of the sources of one group, ``groups`` the sums of all groups.
+    """
+    groups = np.array([quotas.sum()]) if groups is None else groups
+    blocks = int(groups.sum())
     upto = lambda shard: blocks * shard // shards
-    stack = [(0, shards, quotas, np.zeros_like(quotas))]
+    stack = [(0, shards, groups, quotas, np.zeros_like(quotas))]
     while stack:
-        low, high, here, before = stack.pop()
+        low, high, sums, here, before = stack.pop()
         if high <= first or low >= last:
             continue
         if high - low == 1:
             yield low, before, here
             continue
         middle = (low + high) // 2
-        rng = np.random.Generator(np.random.Philox(key=_node_key(seed, low, high)))
-        left = rng.multivariate_hypergeometric(here, upto(middle) - upto(low), method="marginals") if here.sum() else here
-        stack.append((middle, high, here - left, before + left))
-        stack.append((low, middle, left, before))
+        left = _drawn(sums, upto(middle) - upto(low), _node_key(seed, low, high))
+        own = _drawn(here, int(left[group]), _node_key(seed + 1 + group, low, high))
+        stack.append((middle, high, sums - left, here - own, before + own))
+        stack.append((low, middle, left, own, before))
 
 
-def _dealt(spark, quotas: np.ndarray, shards: int, seed: int) -> DataFrame:
-    """(number, block, shard) of every block: leaves of the splitting tree take permuted blocks."""
+def _drawn(quotas: np.ndarray, n: int, key: int) -> np.ndarray:
+    rng = np.random.Generator(np.random.Philox(key=key))
+    return rng.multivariate_hypergeometric(quotas, n, method="marginals") if n else np.zeros_like(quotas)
 
-    def leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            if not len(ids):
-                continue
-            for shard, before, own in shard_quotas(quotas, shards, int(ids[0]), int(ids[-1]) + 1, seed):
-                for number in np.flatnonzero(own).tolist():
-                    blocks = permuted(np.arange(before[number], before[number] + own[number]), int(quotas[number]), _node_key(seed, number, -1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(blocks), number)), pa.array(blocks), pa.array(np.full(len(blocks), shard))], names=["number", "block", "shard"]
-                    )
 
-    return spark.range(shards).mapInArrow(leaves, "number long, block long, shard long")
+def _in_order(sources: DataFrame, most: int, seed: int) -> DataFrame:
+    """(number, at, block, pass): the blocks of every source (number, blocks) in the order of drawing, ``most`` passes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, n, first in zip(*(batch.column(c).to_pylist() for c in ("number", "blocks", "first")), strict=True):
+                at = np.arange(first, min(first + TASK_BLOCKS, most * n))
+                block = np.empty_like(at)
+                for k in range(first // n, int(at[-1]) // n + 1):
+                    own = at // n == k
+                    block[own] = permuted(at[own] - k * n, n, _node_key(seed, number, -1 - k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), pa.array(at), pa.array(block), pa.array(at // n)], names=["number", "at", "block", "pass"])
+
+    cut = sources.select("number", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") * most - 1, F.lit(TASK_BLOCKS).cast("long"))).alias("first"))
+    return cut.repartition(prefix_buckets(sources.sparkSession), "number", "first").mapInArrow(run, "number long, at long, block long, pass long")
+
+
+def _dealt(quotas: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
+    """(number, at, shard) of every block drawn: leaves of the splitting tree take the next blocks of each source (number, quota)."""
+    grouped = quotas.withColumn("group", F.floor(F.col("number") / GROUP_SOURCES))
+    sums = grouped.groupBy("group").agg(F.sum("quota").alias("n")).collect()
+    totals = np.zeros(1 + max((r["group"] for r in sums), default=0), dtype=np.int64)
+    for r in sums:
+        totals[r["group"]] = r["n"]
+    shards = max(1, math.ceil(int(totals.sum()) / shard_blocks))
+
+    def leaves(table: pa.Table) -> pa.Table:
+        group, first = table["group"][0].as_py(), table["first"][0].as_py()
+        numbers, own = table["number"].to_numpy(), table["quota"].to_numpy()
+        order = np.argsort(numbers)
+        numbers, own = numbers[order], own[order]
+        out: list[list[np.ndarray]] = [[], [], []]
+        for shard, before, here in shard_quotas(own, shards, first, min(first + TASK_SHARDS, shards), seed, totals, group):
+            for i in np.flatnonzero(here).tolist():
+                at = np.arange(before[i], before[i] + here[i])
+                for column, values in zip(out, (np.full(len(at), numbers[i]), at, np.full(len(at), shard)), strict=True):
+                    column.append(values)
+        return pa.table({c: pa.array(np.concatenate([np.zeros(0, np.int64), *v])) for c, v in zip(("number", "at", "shard"), out, strict=True)})
+
+    stretches = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"), F.lit(TASK_SHARDS).cast("long")))
+    return grouped.withColumn("first", stretches).groupBy("group", "first").applyInArrow(leaves, "number long, at long, shard long")
 
 
 def plan(rows: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, **shares) -> DataFrame:
     """The plan of a mix of ``rows`` (row, source, size, place): each row with source_size, target, and one shard per copy.
 
     ``rows`` must give the same rows whenever it is read (a checkpoint or written table). ``place`` is a seeded hash of
-    the row's content; it orders the rows of a source. Adds source_size, target, shard_1 ... shard_most (null: not taken).
+    the row's content; it orders the rows of a source. Adds block, source_size, target, shard_1 ... shard_most (null: not taken).
     """
-    spark = rows.sparkSession
     most = shares.get("most", MOST)
     sources = source_targets(rows.select("source", "size"), **shares)
-    totals = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("words")).first()
-    if totals["n"] > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    width = max(block_words, math.ceil(totals["words"] / MOST_BLOCKS))
-    sources = cut_lineage(sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("target") / width))))
-    quotas = np.zeros(totals["n"], dtype=np.int64)
-    for r in sources.select("number", "blocks").collect():
-        quotas[r["number"]] = r["blocks"]
-    shards = max(1, math.ceil(int(quotas.sum()) / shard_blocks))
+    words = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    width = max(block_words, math.ceil(words * most / MOST_BLOCKS))
+    sources = cut_lineage(sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / width)).cast("long")))
     bits = min(20, (rows.count() // 50_000).bit_length() + 8)  # hundreds of buckets, so a source with most rows spreads evenly
-    known = rows.withColumnRenamed("source", "__source").join(F.broadcast(sources), F.col("__source").eqNullSafe(F.col("source"))).drop("__source")
+    named = lambda df: df.withColumn("__key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    known = copies_join(named(rows), named(sources).drop("source"), ["__key"], salt_on=["row"]).drop("__key")
     in_order = known.withColumn(BUCKET, F.shiftright(F.col("place"), 64 - bits))
-    upto = running_totals(in_order, ["number"], ["place", "row"], {"__upto": F.col("size")}).drop(BUCKET)
-    start = F.col("__upto") - F.col("size")
-    taken = upto
-    for k in range(most):
-        begin = start + F.lit(k) * F.col("source_size")
-        inside = (F.col("size") > 0) & (begin + F.col("size") / 2 <= F.col("target"))
-        taken = taken.withColumn(f"__block_{k + 1}", F.when(inside, F.least(F.floor(begin / width), F.col("blocks") - 1)))
-    dealt = cut_lineage(_dealt(spark, quotas, shards, seed)) if len(quotas) else spark.createDataFrame([], "number long, block long, shard long")
-    for k in range(1, most + 1):
-        own = dealt.select(F.col("number").alias("__number"), F.col("block").alias("__block"), F.col("shard").alias(f"shard_{k}"))
-        taken = taken.join(own, (F.col("number") == F.col("__number")) & (F.col(f"__block_{k}") == F.col("__block")), "left").drop("__number", "__block")
-    return taken.drop("__upto", "number", "blocks", *[f"__block_{k + 1}" for k in range(most)])
+    upto = running_totals(in_order, ["number"], ["place", "row"], {"__start": F.col("size")}).drop(BUCKET).withColumn("__start", F.col("__start") - F.col("size"))
+    begun = F.least(F.floor(F.col("__start") / width), F.col("blocks") - 1)
+    placed = cut_lineage(upto.withColumn("block", F.when(F.col("size") > 0, begun)).drop("blocks"))
+
+    sizes = placed.where("block IS NOT NULL").groupBy("number", "block").agg(F.sum("size").alias("words"), F.min("__start").alias("__first"))
+    ranked = _in_order(sources.select("number", "blocks"), most, seed).join(sizes, ["number", "block"], "left").withColumn("words", F.coalesce("words", F.lit(0)))
+    summed = running_totals(ranked.withColumn(BUCKET, F.floor(F.col("at") / TASK_BLOCKS)), ["number"], ["at"], {"__upto": F.col("words")}).drop(BUCKET)
+    drawn = cut_lineage(
+        copies_join(summed, sources.select("number", "target"), ["number"], salt_on=["at"]).withColumn("room", F.col("target") - (F.col("__upto") - F.col("words"))).where("room > 0")
+        .select("number", "at", "block", "pass", "room", "__first")
+    )
+    quotas = drawn.groupBy("number").agg(F.count("*").alias("quota"))
+    held = drawn.where("__first IS NOT NULL").join(_dealt(quotas, shard_blocks, seed), ["number", "at"])
+    wide = held.groupBy("number", "block").agg(F.first("__first").alias("__first"), *[
+        F.max(F.when(F.col("pass") == k, F.col(c))).alias(f"__{c}_{k + 1}") for k in range(most) for c in ("shard", "room")
+    ])
+    taken = placed.join(wide, ["number", "block"], "left")
+    middle = F.col("__start") - F.col("__first") + F.col("size") / 2
+    return taken.select(*rows.columns, "block", "source_size", "target", *[
+        F.when(middle <= F.col(f"__room_{k + 1}"), F.col(f"__shard_{k + 1}")).alias(f"shard_{k + 1}") for k in range(most)
+    ])
 
 
 def copies(most: int = MOST) -> Column:
@@ -191,6 +237,7 @@ def mix_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, with_place: bool = True, **shares) -> DataFrame:
     """The mix itself: every copy taken of every row, in shards, shuffled within each.
 
+    A partition holds whole shards, one after another, each in its shuffled order: written files are the shards.
     With ``with_place`` the columns shard and place_in_shard follow those of ``docs`` and must be new.
     """
     if with_place and {"shard", "place_in_shard"} & set(docs.columns):
@@ -205,7 +252,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         F.when(F.col(f"shard_{k}").isNotNull(), F.struct(F.col(f"shard_{k}").alias("shard"), _place(seed + k, F.col("place"), F.col(f"shard_{k}")).alias("at"))) for k in range(1, most + 1)
     ]))).alias("copy")).select(F.col("row").alias("__copy_of"), F.col("copy.shard").alias("__shard"), F.col("copy.at").alias("__at"))
     if not with_place:
-        return rows.join(each, F.col(ROW) == F.col("__copy_of")).select(*docs.columns)
+        copied = rows.join(each, F.col(ROW) == F.col("__copy_of")).repartition("__shard").sortWithinPartitions("__shard", "__at", "__copy_of")
+        return copied.select(*docs.columns)
     order = Window.partitionBy("__shard").orderBy("__at", "__copy_of")
     told = each.withColumn("__place", F.row_number().over(order) - 1)
     return rows.join(told, F.col(ROW) == F.col("__copy_of")).select(*docs.columns, F.col("__shard").alias("shard"), F.col("__place").cast("long").alias("place_in_shard"))
