@@ -25,8 +25,12 @@ def ensemble_mean(preds: DataFrame) -> DataFrame:
 
 
 def out_of_fold(preds: DataFrame, slide_folds: DataFrame) -> DataFrame:
-    """Mean of the models that never saw the slide: per repeat first, then over repeats."""
-    held = preds.join(slide_folds, ["slide", "repeat", "fold"])
+    """Mean of the models that never saw the slide: per repeat first, then over repeats.
+
+    The join is a sort-merge join by hint: both sides have a row per slide and more, and the optimizer, which does not count what an
+    explode adds, would send millions of them to the driver for a broadcast.
+    """
+    held = preds.join(slide_folds.hint("merge"), ["slide", "repeat", "fold"])
     per_repeat = held.groupBy("slide", "repeat").agg(F.avg("prob").alias("prob"))
     return per_repeat.groupBy("slide").agg(F.avg("prob").alias("prob"), F.count("*").alias("n_repeats"))
 
@@ -35,10 +39,10 @@ def out_of_fold_guards(preds: DataFrame, slide_folds: DataFrame) -> DataFrame:
     """(problem, slide, repeat, fold) rows that make an out-of-fold report untrustworthy.
 
     unseen slide: scored but in no fold; missing model: a fold without predictions; never held out:
-    a slide of the split whose own fold's models did not score it.
+    a slide of the split whose own fold's models did not score it. No table of slides is broadcast (see ``out_of_fold``).
     """
     null_int = F.lit(None).cast("int")
-    unseen = preds.select("slide").distinct().join(slide_folds, "slide", "left_anti").select(
+    unseen = preds.select("slide").distinct().join(slide_folds.hint("merge"), "slide", "left_anti").select(
         F.lit("unseen slide").alias("problem"), F.col("slide").cast("string").alias("slide"), null_int.alias("repeat"), null_int.alias("fold")
     )
     have = preds.select("repeat", "fold").distinct()
@@ -46,8 +50,8 @@ def out_of_fold_guards(preds: DataFrame, slide_folds: DataFrame) -> DataFrame:
         F.lit("missing model").alias("problem"), F.lit(None).cast("string").alias("slide"), F.col("repeat").cast("int"), F.col("fold").cast("int")
     )
     scored = preds.select("slide").distinct()
-    held = preds.join(slide_folds, ["slide", "repeat", "fold"], "left_semi").select("slide").distinct()
-    never = scored.join(slide_folds.select("slide").distinct(), "slide", "left_semi").join(held, "slide", "left_anti").select(
+    held = preds.join(slide_folds.hint("merge"), ["slide", "repeat", "fold"], "left_semi").select("slide").distinct()
+    never = scored.join(slide_folds.select("slide").distinct().hint("merge"), "slide", "left_semi").join(held.hint("merge"), "slide", "left_anti").select(
         F.lit("never held out").alias("problem"), F.col("slide").cast("string").alias("slide"), null_int.alias("repeat"), null_int.alias("fold")
     )
     return unseen.unionByName(missing).unionByName(never)

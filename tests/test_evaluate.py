@@ -197,3 +197,17 @@ def test_out_of_fold(spark):
     assert [(r["slide"], round(r["prob"], 6)) for r in ev.out_of_fold(preds, held).collect()] == [("s1", 0.3)]
     problems = {(r["problem"], r["slide"]) for r in ev.out_of_fold_guards(preds, held).collect()}
     assert ("unseen slide", "s2") in problems and ("missing model", None) in problems
+
+
+def test_no_table_of_slides_is_broadcast(spark):
+    """Both sides of the out-of-fold join look small to the optimizer, which does not count what an explode adds."""
+    slides = spark.range(40).select(F.col("id").alias("slide"))
+    preds = slides.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("prob", F.col("fold") / 10.0)
+    held = slides.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("fold", (F.col("slide") % 3).cast("int"))
+    for found in (ev.out_of_fold(preds, held), ev.out_of_fold_guards(preds, held)):
+        found.collect()
+        text = found._jdf.queryExecution().executedPlan().toString()
+        sides = [line for line in text.splitlines() if "BroadcastHashJoin" in line and "slide" in line]
+        assert not sides and "SortMergeJoin" in text
+    got = {r.slide: (r.prob, r.n_repeats) for r in ev.out_of_fold(preds, held).collect()}
+    assert got == {i: (i % 3 / 10.0, 2) for i in range(40)}
