@@ -165,7 +165,8 @@ def code_sums(df: DataFrame, book: np.ndarray, vec: str = "vec") -> DataFrame:
                 np.add.at(sums, best, x)
                 counts += np.bincount(best, minlength=len(words))
         live = np.flatnonzero(counts)
-        yield pd.DataFrame({"code": live, "n": counts[live], "s": list(sums[live])})
+        if len(live):  # a task without rows has no lists to pass on, and Arrow takes an empty column of lists for numbers
+            yield pd.DataFrame({"code": live, "n": counts[live], "s": list(sums[live])})
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
@@ -174,7 +175,8 @@ def code_sums(df: DataFrame, book: np.ndarray, vec: str = "vec") -> DataFrame:
                 one = held.setdefault(int(row.code), [0.0, 0.0])
                 one[0] += row.n
                 one[1] = one[1] + np.asarray(row.s)
-        yield pd.DataFrame([(c, n, s) for c, (n, s) in held.items()], columns=["code", "n", "s"])
+        if held:
+            yield pd.DataFrame([(c, n, s) for c, (n, s) in held.items()], columns=["code", "n", "s"])
 
     return df.select(vec).mapInPandas(run, schema).repartition("code").mapInPandas(add_up, schema)
 

@@ -216,3 +216,14 @@ def test_tile_hooks(spark):
     moved = df.withColumn("x", F.when(F.col("tile_idx") == 5, 99).otherwise(F.col("x")))
     assert tiles.embed_stale(df, cached, loader).count() == 6
     assert tiles.embed_stale(moved, cached, loader).where("x = 99").count() == 1
+
+
+def test_codebook_with_tasks_without_rows(spark):
+    """A task that gets no rows passes nothing on; more tasks than rows give the same sums as one."""
+    rows = spark.range(6).select("id", F.array(*[(F.col("id") % 3 + i).cast("float") for i in range(4)]).alias("vec"))
+    book = np.eye(4)[:2]
+    read = lambda df: sorted((r.code, r.n, [round(x, 9) for x in r.s]) for r in cb.code_sums(df, book).collect())
+    assert read(rows.repartition(16)) == read(rows.coalesce(1)) != []
+    assert read(rows.where("id < 0")) == []
+    codes, fitted = cb.fit_codebook(rows.repartition(16), 2, rounds=2, restarts=1)
+    assert len(codes) == 2 and np.isfinite(fitted).all()
