@@ -43,14 +43,27 @@ def gene_symbol(nested: Column, flat: Column, gene_id: Column) -> Column:
 
 
 def human_bytes(size: Column) -> Column:
-    """``512B``, ``1.5KB`` … ``PB``."""
+    """``512B``, ``1.5KB`` … ``PB``; one digit of the exact binary value, a tie goes to the even digit."""
     value = size.cast("double")
-    out = F.when(F.abs(value) < 1024, F.concat(value.cast("long").cast("string"), F.lit("B")))
+    out = F.when(value.isNull(), F.lit(None).cast("string")).when(F.abs(value) < 1024, F.concat(value.cast("long").cast("string"), F.lit("B")))
     for power, unit in enumerate(["KB", "MB", "GB", "TB"], start=1):
-        out = out.when(
-            F.abs(value) < 1024.0 ** (power + 1), F.concat(F.format_string("%.1f", value / 1024.0**power), F.lit(unit))
-        )
-    return out.otherwise(F.concat(F.format_string("%.1f", value / 1024.0**5), F.lit("PB")))
+        out = out.when(F.abs(value) < 1024.0 ** (power + 1), F.concat(_one_digit(value / 1024.0**power), F.lit(unit)))
+    return out.otherwise(F.concat(_one_digit(value / 1024.0**5), F.lit("PB")))
+
+
+def _one_digit(x: Column) -> Column:
+    """``%.1f`` as C has it, for values of one and more in size: Java's rounds the shortest decimal form, and ties away from zero.
+
+    The fraction of such a double is a whole number of 2^-52, so its tenths are integer arithmetic; no such size comes near 2^62 PB.
+    """
+    size, half = F.abs(x), F.lit(1 << 51)
+    whole = F.floor(size)
+    parts = ((size - whole) * float(1 << 52)).try_cast("long") * 10
+    tenths, rest = F.shiftright(parts, 52), F.pmod(parts, F.lit(1 << 52))
+    digit = tenths + ((rest > half) | ((rest == half) & (tenths % 2 == 1))).cast("long")
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    text = F.concat(sign, (whole + F.when(digit == 10, 1).otherwise(0)).cast("string"), F.lit("."), (digit % 10).cast("string"))
+    return F.when(size < float(1 << 62), text).otherwise(F.format_string("%.1f", x))
 
 
 def padded(number: Column, width: int = 6) -> Column:
