@@ -216,17 +216,24 @@ def resample_weights(units: DataFrame, key: str, n_repeats: int, seed: int = 0)
     A draw is a hash of (seed, resample, draw number), so it can be recomputed anywhere. Draws are
     counted before they meet the units.
     """
+    numbered = _numbered(units, key)
+    return _draws(numbered, units, n_repeats, seed).groupBy("rep", "__idx").agg(F.count("*").alias("w")).join(numbered, "__idx").drop("__idx")
+
+
+def _numbered(units: DataFrame, key: str) -> DataFrame:
+    """``units`` with their place ``__idx`` in the order of a hash of the key."""
     hashed = units.withColumn("__h", F.md5(F.col(key).cast("string")))
-    numbered = dense_positions(hashed, [], ["__h", key], hash_bucket(F.col("__h")), "__idx").drop("__h")
+    return dense_positions(hashed, [], ["__h", key], hash_bucket(F.col("__h")), "__idx").drop("__h")
+
+
+def _draws(numbered: DataFrame, units: DataFrame, n_repeats: int, seed: int) -> DataFrame:
+    """(rep, __idx): as many draws of a place as there are units, in every resample."""
     size = units.agg(F.count("*").alias("__n")).scalar()
-    draws = (
-        numbered.select("__idx", size.alias("__n"))
+    return (
+        numbered.select("__idx").repartition(4 * units.sparkSession.sparkContext.defaultParallelism, "__idx").select("__idx", size.alias("__n"))
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
         .select("rep", uniform_int(seeded_key(seed, "rep", "__idx"), F.col("__n")).alias("__idx"))
-        .groupBy("rep", "__idx")
-        .agg(F.count("*").alias("w"))
     )
-    return draws.join(numbered, "__idx").drop("__idx")
 
 
 METRICS = ["auc", "average_precision", "threshold", "sensitivity", "specificity", "ppv", "npv"]
@@ -314,12 +321,33 @@ def resample_metrics(units: DataFrame, n_repeats: int = 1000, seed: int = 0, tar
 
     second = dealt.groupBy(BUCKET).cogroup(offsets.groupBy(BUCKET)).applyInPandas(
         shares, "rep long, area long, steps double, threshold double, tp long, fp long, p long, n long")
+    return _resampled(second.where("p > 0 AND n > 0"), F.col("tp") >= 0)
+
+
+def drawn_metrics(units: DataFrame, key: str, n_repeats: int = 1000, seed: int = 0, target: float = 0.92) -> DataFrame:
+    """``resample_metrics`` with draws that can be repeated anywhere: each is a hash of (seed, resample, draw number), as in ``resample_weights``.
+
+    A row per draw meets its unit once and goes to its resample's bucket of scores once; all that follows works on those buckets.
+    """
+    held = cut_lineage(units.select(key, "label", "score"))
+    numbered = cut_lineage(_numbered(held, key))
+    edges = split_points(held, "score", max(1, min(4096, -(-held.count() // CELL_BUCKET))))
+    cells = value_bucket(numbered.where(F.col("label").isNotNull() & F.col("score").isNotNull()), "score", edges).select("__idx", "label", "score", BUCKET)
+    met = _draws(numbered, held, n_repeats, seed).join(cells, "__idx").select("rep", BUCKET, "score", "label").repartition("rep", BUCKET)
+    counts = met.groupBy("rep", BUCKET, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
+    table = running_totals(counts, ["rep"], [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True, with_total=True)
+    live = table.where("total_tp > 0 AND total_fp > 0").withColumns({"p": F.col("total_tp"), "n": F.col("total_fp"), "threshold": F.col("score")}).withColumns({
+        "area": F.col("neg") * (F.col("tp") * 2 - F.col("pos")), "steps": F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))})
+    return _resampled(live, F.col("tp") / F.col("p") >= target)
+
+
+def _resampled(shares: DataFrame, reached: Column) -> DataFrame:
+    """(rep, METRICS) from rows that add up to a resample's area and steps; the operating point is the highest score that ``reached`` holds for."""
     p, n = F.max("p"), F.max("n")
-    drawn = F.col("tp") >= 0
-    per = second.where("p > 0 AND n > 0").groupBy("rep").agg(
+    per = shares.groupBy("rep").agg(
         (F.sum("area").cast("double") / (p * n * 2)).alias("auc"), (F.sum("steps") / p).alias("average_precision"),
-        F.max(F.when(drawn, F.col("threshold"))).alias("threshold"),
-        F.min(F.when(drawn, F.col("tp"))).alias("__tp"), F.min(F.when(drawn, F.col("fp"))).alias("__fp"), p.alias("__p"), n.alias("__n"),
+        F.max(F.when(reached, F.col("threshold"))).alias("threshold"),
+        F.min(F.when(reached, F.col("tp"))).alias("__tp"), F.min(F.when(reached, F.col("fp"))).alias("__fp"), p.alias("__p"), n.alias("__n"),
     )
     tp, fp = F.col("__tp"), F.col("__fp")
     rates = _rates(F.col("__n") - fp, fp, F.col("__p") - tp, tp)
@@ -333,13 +361,15 @@ def _ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bootstrap_ci(
-    units: DataFrame, n_repeats: int = 1000, seed: int = 0, target: float = 0.92, level: float = 0.95
+    units: DataFrame, n_repeats: int = 1000, seed: int = 0, target: float = 0.92, level: float = 0.95, key: str | None = None
 ) -> DataFrame:
     """(metric, n_valid, median, lower, upper) over the valid resamples.
 
-    The last percentile runs over one number per resample, a fixed count chosen by the caller.
+    With a ``key`` of the units the draws are hashes (``drawn_metrics``), which others can repeat; without one they come from seeded
+    generators (``resample_metrics``), whose cost follows the distinct scores. The last percentile runs over one number per resample, a
+    fixed count chosen by the caller.
     """
-    per = resample_metrics(units, n_repeats, seed, target)
+    per = drawn_metrics(units, key, n_repeats, seed, target) if key else resample_metrics(units, n_repeats, seed, target)
     pairs = ", ".join(f"'{m}', {m}" for m in METRICS)
     tail = (1 - level) / 2
     return (

@@ -199,22 +199,14 @@ def resample_weights(spark, d):
     return evaluate.resample_weights(units(spark, d).select("unit"), "unit", 20, 11).select(F.col("rep").cast("long").alias("rep"), "unit", "w")
 
 
-_POINTS_SQL = f"""SELECT {_AUC} AS auc, {_AP} AS average_precision, {_THR} AS threshold, min(tp) FILTER (tp / CAST(p AS DOUBLE) >= 0.92) AS tp0, min(fp) FILTER (tp / CAST(p AS DOUBLE) >= 0.92) AS fp0, max(p) AS p, max(n) AS n FROM c"""
-
-
-@query("bootstrap_intervals", "AG23 SL6", f"""WITH {_UNITS}, src AS (SELECT 0 AS g, unit, CAST(n_slides % 3 = 0 AS INTEGER) AS label, round(prob, 6) AS score FROM units), {_AUC_CTES}, m AS ({_POINTS_SQL}),
+@query("bootstrap_intervals", "AG23 SL6", f"""WITH {_BOOT.format(n=1000)}, t AS (SELECT rep AS g, score, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS neg FROM wt JOIN u USING (idx) GROUP BY 1, 2),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY g) AS p, sum(neg) OVER (PARTITION BY g) AS n FROM t WINDOW w AS (PARTITION BY g ORDER BY score DESC)),
+m AS (SELECT g, {_AUC} AS auc, {_AP} AS average_precision, {_THR} AS threshold, min(tp) FILTER (tp / CAST(p AS DOUBLE) >= 0.92) AS tp0, min(fp) FILTER (tp / CAST(p AS DOUBLE) >= 0.92) AS fp0, max(p) AS p, max(n) AS n FROM c GROUP BY g HAVING max(p) > 0 AND max(n) > 0),
 l AS (SELECT 'auc' AS metric, auc AS v FROM m UNION ALL SELECT 'average_precision', average_precision FROM m UNION ALL SELECT 'threshold', threshold FROM m UNION ALL SELECT 'sensitivity', tp0 / CAST(p AS DOUBLE) FROM m
  UNION ALL SELECT 'specificity', (n - fp0) / CAST(n AS DOUBLE) FROM m UNION ALL SELECT 'ppv', tp0 / nullif(CAST(tp0 + fp0 AS DOUBLE), 0) FROM m UNION ALL SELECT 'npv', (n - fp0) / nullif(CAST(n - fp0 + p - tp0 AS DOUBLE), 0) FROM m)
-SELECT metric, CAST(1000 AS BIGINT) AS n_valid, round(v, 5) AS point, true AS between_bounds, true AS ordered FROM l""")
+SELECT metric, count(*) AS n_valid, round(quantile_cont(v, 0.5), 5) AS median, round(quantile_cont(v, 0.025), 5) AS lower, round(quantile_cont(v, 0.975), 5) AS upper FROM l WHERE v IS NOT NULL GROUP BY metric""")
 def bootstrap_intervals(spark, d):
-    """The figure of all units for every metric, and whether the interval of 1,000 resamples holds it.
-
-    Resamples are drawn by a seeded generator, which SQL cannot repeat; tests/test_evaluate.py compares their distribution.
-    """
-    u = units(spark, d).select((F.col("n_slides") % 3 == 0).cast("int").alias("label"), F.round("prob", 6).alias("score"))
-    bounds = evaluate.bootstrap_ci(u, 1000, 11)
-    whole = evaluate.metrics_record(u).select("ranking.*", F.col("threshold.value").alias("threshold"), "report.sensitivity", "report.specificity", "report.ppv", "report.npv")
-    points = whole.selectExpr(f"stack({len(evaluate.METRICS)}, {', '.join(f"'{m}', {m}" for m in evaluate.METRICS)}) AS (metric, point)")
-    return bounds.join(points, "metric").select(
-        "metric", "n_valid", F.round("point", 5).alias("point"), F.col("point").between(F.col("lower"), F.col("upper")).alias("between_bounds"),
-        F.col("median").between(F.col("lower"), F.col("upper")).alias("ordered"))
+    """Median and 95 % interval of every metric over 1,000 resamples of the units."""
+    u = units(spark, d).select("unit", (F.col("n_slides") % 3 == 0).cast("int").alias("label"), F.round("prob", 6).alias("score"))
+    out = evaluate.bootstrap_ci(u, 1000, 11, key="unit")
+    return out.select("metric", "n_valid", *[F.round(c, 5).alias(c) for c in ("median", "lower", "upper")])

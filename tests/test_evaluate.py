@@ -1,5 +1,7 @@
 """ROC, thresholds, bootstrap and folds against brute force."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slidegrid.operators import evaluate as ev, folds as fd
 from slidegrid.plans import workflows
+from slidegrid.queries import REGISTRY
 
 
 def brute_auc(y, s):
@@ -211,3 +214,26 @@ def test_no_table_of_slides_is_broadcast(spark):
         assert not sides and "SortMergeJoin" in text
     got = {r.slide: (r.prob, r.n_repeats) for r in ev.out_of_fold(preds, held).collect()}
     assert got == {i: (i % 3 / 10.0, 2) for i in range(40)}
+
+
+@pytest.mark.parametrize("bucket", [3, 4096])
+def test_hashed_resamples_equal_brute_force(spark, monkeypatch, bucket):
+    """Every metric of every resample from draws repeated in plain Python, and the interval query gives intervals."""
+    monkeypatch.setattr(ev, "CELL_BUCKET", bucket)
+    rows = [(i, i % 3 % 2, round((i * 37 % 11) / 11, 3)) for i in range(23)]
+    per = ev.drawn_metrics(spark.createDataFrame(rows, "unit long, label int, score double"), "unit", 25, 5).toPandas().set_index("rep")
+    place = sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0]))
+    seen = 0
+    for rep in range(25):
+        drawn = [place[int(hashlib.md5(f"5:{rep}:{i}".encode()).hexdigest()[:15], 16) % 23] for i in range(23)]
+        pos, neg = [s for _, y, s in drawn if y == 1], [s for _, y, s in drawn if y == 0]
+        if not pos or not neg:
+            assert rep not in per.index
+            continue
+        seen += 1
+        auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+        cut = max(c for c in {*pos, *neg} if sum(a >= c for a in pos) / len(pos) >= 0.92)
+        assert per.loc[rep, "auc"] == pytest.approx(auc) and per.loc[rep, "threshold"] == cut
+        assert per.loc[rep, "specificity"] == pytest.approx(sum(b < cut for b in neg) / len(neg))
+    assert seen == len(per)
+    assert {"median", "lower", "upper"} <= set(REGISTRY["bootstrap_intervals"].run(spark, "/root/testdata/sf0.001").columns)
