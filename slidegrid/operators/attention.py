@@ -8,7 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from slidegrid.operators.ordered import dense_positions, index_bucket
+from slidegrid.operators.skew import copies_join
+
+#: Tiles of a piece before a bag is cut further, pieces of a bag, and tiles of a piece (in expectation) beyond which there are more pieces.
+SMALL_PIECE, PIECES, PIECE_ROWS = 64, 4, 32768
 
 
 def bag_attention(
@@ -17,53 +20,46 @@ def bag_attention(
 ) -> DataFrame:
     """(by, index, out, weight_sum): softmax(QK'/sqrt(d)) V per bag, ``weight_sum`` being 1 per head.
 
-    Exact for bags of any size without ever making tile pairs: tiles are packed into blocks of
-    ``block``; a block of queries meets a block of keys in one matrix product and leaves a running
-    maximum, a weight total and a weighted sum per query, and these partial results are merged.
-    Work is spread over (bag, query block, key block), so a very large bag uses many tasks.
+    Exact for bags of any size without ever making tile pairs: the tiles of a bag are dealt by a hash into pieces, and a piece of queries
+    meets a piece of keys in one task, ``block`` queries at a time, leaving a running maximum, a weight total and a weighted sum per query;
+    these partial results are merged. A bag has at most ``PIECES`` pieces until they would hold more than ``PIECE_ROWS`` tiles, so what is
+    shuffled grows as the tiles do; beyond that a piece keeps its size, which bounds a task's memory, and the shuffle grows with the pieces.
     """
     d = wq.shape[1]
     dh = d // heads
     shared = df.sparkSession.sparkContext.broadcast((wq, wk, wv, wo))
     kinds = dict(df.dtypes)
-    placed = dense_positions(df.select(by, index, vec), [by], [index], index_bucket(F.col(index), 4096), "__pos")
-    packed = (
-        placed.withColumn("__blk", F.floor(F.col("__pos") / block).cast("int"))
-        .groupBy(by, "__blk")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(vec).alias("v")))).alias("rows"))
-    )
-    counts = packed.groupBy(by).agg((F.max("__blk") + 1).alias("__n"))
-    keys = packed.select(by, F.col("__blk").alias("__kb"), F.transform("rows", lambda r: r["v"]).alias("kv"))
-    asks = (
-        packed.join(counts, by)
-        .withColumn("__kb", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-        .select(by, "__blk", "__kb", F.transform("rows", lambda r: r["i"]).alias("qi"), F.transform("rows", lambda r: r["v"]).alias("qv"))
-    )
-    met = asks.join(keys, [by, "__kb"])
+    n = F.col("__n")
+    pieces = F.greatest(F.least(F.ceil(n / SMALL_PIECE), F.lit(PIECES)), F.ceil(n / PIECE_ROWS)).cast("int")
+    sizes = df.groupBy(by).agg(F.count("*").alias("__n")).select(by, pieces.alias("__pieces"))
+    dealt = copies_join(df.select(by, index, vec), sizes, [by], salt_on=[index]).withColumn("__own", F.pmod(F.xxhash64(index), F.col("__pieces")).cast("int"))
+    places = F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(0), F.col("__pieces") - 1),
+        lambda k: F.array(F.struct(F.col("__own").alias("q"), k.alias("k")), F.struct(k.alias("q"), F.col("__own").alias("k"))),
+    )))
+    met = dealt.select(by, index, vec, "__own", F.explode(places).alias("__at")).select(by, index, vec, "__own", "__at.q", "__at.k")
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         q_w, k_w, v_w, _ = shared.value
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                bag, qi = row[0], row.qi
-                q = np.stack(row.qv).astype(np.float64) @ q_w
-                kv = np.stack(row.kv).astype(np.float64)
-                k, v = kv @ k_w, kv @ v_w
-                top, total, mix = [], [], []
-                for h in range(heads):
-                    cut = slice(h * dh, (h + 1) * dh)
-                    logits = q[:, cut] @ k[:, cut].T / np.sqrt(dh)
-                    m = logits.max(axis=1)
-                    e = np.exp(logits - m[:, None])
-                    top.append(m)
-                    total.append(e.sum(axis=1))
-                    mix.append(e @ v[:, cut])
-                yield pd.DataFrame(
-                    {by: bag, index: qi, "m": list(np.stack(top, 1)), "s": list(np.stack(total, 1)), "o": list(np.concatenate(mix, 1))}
-                )
+        asks, keys = pdf[pdf["__own"] == pdf["q"]], pdf[pdf["__own"] == pdf["k"]]
+        if not len(asks) or not len(keys):
+            return pd.DataFrame({by: pdf[by].iloc[:0], index: pdf[index].iloc[:0], **{c: pd.Series([], dtype=object) for c in "mso"}})
+        kv = np.stack(keys[vec].to_numpy()).astype(np.float64)
+        k, v = kv @ k_w, kv @ v_w
+        x = np.stack(asks[vec].to_numpy()).astype(np.float64) @ q_w
+        top, total, mix = np.zeros((len(x), heads)), np.zeros((len(x), heads)), np.zeros((len(x), d))
+        for begin in range(0, len(x), block):
+            some = slice(begin, begin + block)
+            for h in range(heads):
+                cut = slice(h * dh, (h + 1) * dh)
+                logits = x[some, cut] @ k[:, cut].T / np.sqrt(dh)
+                top[some, h] = logits.max(axis=1)
+                e = np.exp(logits - top[some, h, None])
+                total[some, h], mix[some, cut] = e.sum(axis=1), e @ v[:, cut]
+        return pd.DataFrame({by: asks[by].to_numpy(), index: asks[index].to_numpy(), "m": list(top), "s": list(total), "o": list(mix)})
 
     schema = f"{by} {kinds[by]}, {index} {kinds[index]}, m array<double>, s array<double>, o array<double>"
-    parts = met.select(by, "qi", "qv", "kv").mapInPandas(partial, schema)
+    parts = met.groupBy(by, "q", "k").applyInPandas(partial, schema)
     gathered = parts.groupBy(by, index).agg(F.collect_list(F.struct("m", "s", "o")).alias("p"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -197,6 +197,20 @@ def test_attention_against_numpy(spark, heads):
     assert np.allclose(mine, want)
 
 
+@pytest.mark.parametrize("most", [4, 32768])
+def test_attention_in_pieces(spark, monkeypatch, most):
+    """Whatever the pieces, the result is the same; their number does not grow until they are full, so neither does the shuffle per tile."""
+    df, _ = bag_frame(spark, [23, 5, 1], dim=4)
+    read = lambda: attention.bag_attention(df, *[np.eye(4)] * 3, block=2).toPandas().sort_values(["slide", "tile_idx"])
+    whole = read()
+    monkeypatch.setattr(attention, "SMALL_PIECE", 1)
+    monkeypatch.setattr(attention, "PIECE_ROWS", most)
+    cut = read()
+    assert np.allclose(np.stack(whole["out"].to_numpy()), np.stack(cut["out"].to_numpy())) and len(cut) == 29
+    made = attention.bag_attention(df, *[np.eye(4)] * 3, block=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(array_distinct" in made and "collect_list(struct(i" not in made
+
+
 def test_tile_hooks(spark):
     df = spark.createDataFrame([("s", i, i, 0, float(i)) for i in range(6)], "slide string, tile_idx int, x int, y int, payload double")
 
