@@ -47,6 +47,11 @@ def pick_level(levels: DataFrame, target_mpp: float, mode: str = "closest_mpp")
     ).select("slide", "p.*")
 
 
+def _dealt(slides: DataFrame) -> DataFrame:
+    """Slides over as many tasks as the cluster runs: a table of slides is a few MB and read by one task, but its cells are a thousand times as many."""
+    return slides.repartition(4 * slides.sparkSession.sparkContext.defaultParallelism)
+
+
 def overlap_grid(slides: DataFrame, patch: int = 1024, overlap: int = 128, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Overlapping grid with clipped edge tiles, over the slide or a region (x, y, w, h)."""
     step = patch - overlap
@@ -54,7 +59,7 @@ def overlap_grid(slides: DataFrame, patch: int = 1024, overlap: int = 128, roi:
     w, h = (F.lit(roi[2]), F.lit(roi[3])) if roi else (F.col("width"), F.col("height"))
     columns = F.floor((w - 1) / step).cast("int") + 1
     return (
-        slides.where((w > 0) & (h > 0))
+        _dealt(slides.where((w > 0) & (h > 0)))
         .withColumn("__row", F.explode(F.sequence(F.lit(0), F.floor((h - 1) / step).cast("int"))))
         .withColumn("__col", F.explode(F.sequence(F.lit(0), columns - 1)))
         .withColumns(
@@ -79,7 +84,7 @@ def tile_grid(slides: DataFrame, step: Column | int, edges: bool) -> DataFrame:
         across, down = F.ceil(F.col("width") / s), F.ceil(F.col("height") / s)
     nx, ny = across.cast("int"), down.cast("int")
     return (
-        slides.where((nx > 0) & (ny > 0))
+        _dealt(slides.where((nx > 0) & (ny > 0)))
         .withColumn("ty", F.explode(F.sequence(F.lit(0), ny - 1)))
         .withColumn("tx", F.explode(F.sequence(F.lit(0), nx - 1)))
         .withColumns({"tile_idx": F.col("ty") * nx + F.col("tx"), "x0": F.col("tx") * s, "y0": F.col("ty") * s})

@@ -131,3 +131,17 @@ def test_reports_fill_zeros(spark):
     assert got == [(0, 0, 0.0), (0, 0, 0.0), (1, 0, 0.0), (1, 1, 100.0)]
     assert cohort.cohort_counts(s.withColumnRenamed("sample", "patient"), None).first()["patient_share"] == pytest.approx(3 / 411)
     assert cohort.correlation(spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double"), "a", "b").first()["r"] is None
+
+
+def test_grid_cells_are_made_by_many_tasks(spark):
+    """A small table of slides in one partition is dealt before it becomes cells; the cells are those of the slides one by one."""
+    from slidegrid.operators import grid
+
+    slides = spark.createDataFrame([(i, 100 + 37 * i, 90 + 11 * i) for i in range(40)], "slide int, width int, height int").coalesce(1)
+    for edges in (True, False):
+        cells = grid.tile_grid(slides, 32, edges)
+        assert cells.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+        up = lambda a: -(-a // 32) if edges else a // 32
+        want = {(i, x, y) for i in range(40) for x in range(up(100 + 37 * i)) for y in range(up(90 + 11 * i))}
+        assert {(r.slide, r.tx, r.ty) for r in cells.collect()} == want
+    assert grid.overlap_grid(slides, 64, 16).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
