@@ -204,6 +204,36 @@ def _interpolated(wide: DataFrame, by: list[str], probs: dict[str, float]) -> Da
     return wide.select(*by, "n", *[F.when(low[k] == high[k], low[k]).otherwise(low[k] + (high[k] - low[k]) * t[k]).alias(k) for k in probs])
 
 
+def weighed_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float], weight: str) -> DataFrame:
+    """``group_quantiles`` of several columns, rows counting by ``weight``: (by, <column>_<name>...), for groups known to be of bounded size.
+
+    A group is ordered whole, once per column, after one shuffle for all columns; equal values need no combining, as each
+    row covers as many places as it weighs. ``large_groups`` tells which groups are too large for this.
+    """
+    live = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols}
+    group = Window.partitionBy(*by)
+    ranked = df.withColumns({f"__w_{c}": F.when(live[c], F.col(weight)).otherwise(0) for c in cols}).withColumns(
+        {f"__cum_{c}": F.sum(f"__w_{c}").over(group.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) for c in cols}
+        | {f"__total_{c}": F.sum(f"__w_{c}").over(group) for c in cols}
+    )
+    aggs = [F.max(f"__total_{c}").alias(f"__n_{c}") for c in cols]
+    for c in cols:
+        value, upto, total = F.col(c).cast("double"), F.col(f"__cum_{c}"), F.col(f"__total_{c}")
+        for name, p in probs.items():
+            spot = F.lit(float(p)) * (total - 1)
+            for end, place in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
+                aggs.append(F.max(F.when((upto - F.col(f"__w_{c}") <= place) & (place < upto), value)).alias(f"__{end}_{c}_{name}"))
+            aggs.append(F.max(spot - F.floor(spot)).alias(f"__t_{c}_{name}"))
+    some = F.greatest(*[F.col(f"__n_{c}") for c in [*cols, *cols]])
+    found = ranked.groupBy(*by).agg(*aggs).where(some > 0).withColumn("n", some)
+    return _interpolated(found, by, {f"{c}_{name}": p for c in cols for name, p in probs.items()}).drop("n")
+
+
+def large_groups(df: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
+    """(by): the groups of more than ``most`` rows, too large to be ordered in one task; checkpointed."""
+    return cut_lineage(df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > (most or ORDERED_ROWS)).select(*by))
+
+
 #: Rows of a target that are ordered in one task, and points of the summary that splits the rest.
 ORDERED_ROWS, SUMMARY_POINTS = 20_000, 200
 

@@ -7,13 +7,14 @@ pixels themselves are only scanned again to apply a handful of numbers per tile.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from operator import mul
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slidegrid.functions import color
-from slidegrid.operators.ordered import group_quantiles
+from slidegrid.operators.ordered import group_quantiles, large_groups, weighed_quantiles
 from slidegrid.operators.skew import copies_join
 from slidegrid.session import cut_lineage
 
@@ -92,17 +93,26 @@ def mean_scale(px: DataFrame, by: list[str], target: dict[str, float] = CHANNEL_
     return joined.withColumns(scaled).select(*px.columns, "r2", "g2", "b2")
 
 
-def _two_channel_quantiles(
-    px: DataFrame, by: list[str], first: str, second: str, probs: dict[str, float], weight: str
-) -> DataFrame:
-    """Quantiles of two columns in one go, rows counting by ``weight``: (by, <column>_<name>...)."""
-    long = px.select(
-        *by, weight, F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(c).alias("v")) for c in (first, second)])).alias("p")
-    ).select(*by, weight, "p.ch", "p.v")
-    q = group_quantiles(long, [*by, "ch"], "v", probs, weight=weight)
-    return q.groupBy(*by).agg(
-        *[F.max(F.when(F.col("ch") == c, F.col(k))).alias(f"{c}_{k}") for c in (first, second) for k in probs]
-    )
+def _colour_quantiles(colours: DataFrame, by: list[str], cols: list[str], probs: dict[str, float], large: bool) -> DataFrame:
+    """Quantiles of columns of ``distinct_colours``, colours counting by their pixels: (by, <column>_<name>...).
+
+    ``large`` tiles are ordered in buckets, others whole.
+    """
+    if not large:
+        return weighed_quantiles(colours, by, cols, probs, "n_px")
+    long = colours.select(
+        *by, "n_px", F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(c).alias("v")) for c in cols])).alias("p")
+    ).select(*by, "n_px", "p.ch", "p.v")
+    q = group_quantiles(long, [*by, "ch"], "v", probs, weight="n_px")
+    return q.groupBy(*by).agg(*[F.max(F.when(F.col("ch") == c, F.col(k))).alias(f"{c}_{k}") for c in cols for k in probs])
+
+
+def _by_size(colours: DataFrame, by: list[str], solve: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``solve(colours, large)`` of the tiles with few colours and, by itself, of those with too many for one task."""
+    large = large_groups(colours, by)
+    if large.isEmpty():
+        return solve(colours, False)
+    return solve(colours.join(large, by, "left_anti"), False).unionByName(solve(colours.join(large, by, "left_semi"), True))
 
 
 def distinct_colours(px: DataFrame, by: list[str]) -> DataFrame:
@@ -119,7 +129,8 @@ def stain_percentile(px: DataFrame, by: list[str], low: float = 1.0, high: float
     h, e, d = color.unmix(F.col("r"), F.col("g"), F.col("b"))
     stained = distinct_colours(px, by).select(*by, "n_px", h.alias("h"), e.alias("e"))
     probs = {"lo": low / 100, "hi": high / 100}
-    joined = copies_join(px, _two_channel_quantiles(stained, by, "h", "e", probs, "n_px"), by, salt_on=_places(px, by))
+    ends = _by_size(stained, by, lambda some, large: _colour_quantiles(some, by, ["h", "e"], probs, large))
+    joined = copies_join(px, ends, by, salt_on=_places(px, by))
 
     def stretched(x: Column, s: str) -> Column:
         lo, hi = F.col(f"{s}_lo"), F.col(f"{s}_hi")
@@ -202,10 +213,20 @@ def stain_vectors(
 
     Pixels are read once, for the distinct colours of each tile; all that follows weighs colours by
     their pixels. Covariances are aggregates, their 3 by 3 eigenproblem is column arithmetic (``stain_axes``),
-    angles and concentrations are exact quantiles. Tiles with too few dense pixels are left out.
+    angles and concentrations are exact quantiles. Tiles with too few dense pixels are left out. Tiles with so many
+    colours that no task should order them are dealt into salted pieces and buckets; all others are joined and ordered whole.
     """
     od = [color.optical_density(F.col(c), io) for c in "rgb"]
     work = distinct_colours(px, by).select(*by, "n_px", *[od[i].alias(f"d{i}") for i in range(3)])
+    return _by_size(work, by, lambda some, large: _solved_vectors(some, by, alpha, beta, min_px, large))
+
+
+def _solved_vectors(work: DataFrame, by: list[str], alpha: float, beta: float, min_px: int, large: bool) -> DataFrame:
+    """``stain_vectors`` from the densities d0..d2 and pixels of a tile's colours."""
+
+    def met(colours: DataFrame, numbers: DataFrame) -> DataFrame:
+        return copies_join(colours, numbers, by, salt_on=["d0", "d1", "d2"]) if large else colours.join(numbers, by)
+
     dense = work.where(F.least("d0", "d1", "d2") >= beta)
     pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
     n, weighed = F.col("__n"), lambda *d: F.sum(reduce(mul, (F.col(f"d{i}") for i in d), F.col("n_px")))
@@ -220,8 +241,8 @@ def stain_vectors(
     def along(k: int) -> Column:
         return sum((F.col(f"d{i}") * F.get("axes", F.lit(3 * k + i)) for i in range(3)), F.lit(0.0))
 
-    turned = copies_join(dense, axes, by, salt_on=["d0", "d1", "d2"]).select(*by, "n_px", F.atan2(along(1), along(0)).alias("phi"))
-    angles = group_quantiles(turned, by, "phi", {"phi_lo": alpha / 100, "phi_hi": 1 - alpha / 100}, weight="n_px").drop("n")
+    turned = met(dense, axes).select(*by, "n_px", F.atan2(along(1), along(0)).alias("phi"))
+    angles = _colour_quantiles(turned, by, ["phi"], {"lo": alpha / 100, "hi": 1 - alpha / 100}, large)
     both = angles.join(axes, by)
 
     def vector(phi: str, i: int) -> Column:
@@ -235,8 +256,8 @@ def stain_vectors(
             *[F.when(low_first, vector("phi_hi", i)).otherwise(vector("phi_lo", i)).alias(f"e{i + 1}") for i in range(3)],
         ).withColumns(_solver())
     )
-    amounts = copies_join(work, vectors, by, salt_on=["d0", "d1", "d2"]).withColumns(_concentrations())
-    tops = _two_channel_quantiles(amounts, by, "conc_h", "conc_e", {"top": 0.99}, "n_px")
+    amounts = met(work, vectors).withColumns(_concentrations()).select(*by, "n_px", "conc_h", "conc_e")
+    tops = _colour_quantiles(amounts, by, ["conc_h", "conc_e"], {"top": 0.99}, large)
     floor = F.lit(1e-6)
     return vectors.join(tops, by).withColumns(
         {"max_h": F.greatest("conc_h_top", floor), "max_e": F.greatest("conc_e_top", floor)}

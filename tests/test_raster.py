@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from slidegrid.operators import grid, quality, raster, stain
+from slidegrid.operators import grid, ordered, quality, raster, stain
 from slidegrid.plans import workflows
 
 
@@ -264,6 +264,35 @@ def test_stain_vectors_match_numpy(spark):
         assert np.abs(full[names].to_numpy().astype(int) - want.astype(int)).max() <= 1
 
 
+def test_stain_vectors_of_small_and_large_tiles_agree(spark, monkeypatch):
+    """Ordinary tiles are ordered whole, without buckets; a tile of too many colours goes through buckets to the same numbers."""
+    px = long(spark, tissue(3)).unionByName(long(spark, tissue(4, 10), "t"))
+    whole = stain.stain_vectors(px, ["slide"])
+    assert "__bucket" not in whole._jdf.queryExecution().toString()
+    names = whole.columns
+    want = whole.orderBy("slide").drop("slide").toPandas()
+    for most in (150, 20):  # one of two tiles is large, then both
+        monkeypatch.setattr(ordered, "ORDERED_ROWS", most)
+        got = stain.stain_vectors(px, ["slide"]).select(names).orderBy("slide").drop("slide").toPandas()
+        assert len(got) == 2 and np.allclose(got.to_numpy(float), want.to_numpy(float), rtol=0, atol=1e-12)
+
+
+def test_weighed_quantiles(spark):
+    """Ties, weights, nulls and NaN against numpy over repeated values; a group without a value is left out."""
+    rng, rows = np.random.default_rng(2), []
+    for g in range(4):
+        rows += [(g, float(a), float(b), int(w)) for a, b, w in zip(rng.integers(0, 9, 30), rng.normal(size=30), rng.integers(1, 5, 30))]
+    rows += [(0, None, 1.0, 3), (1, float("nan"), -1.0, 2), (8, None, float("nan"), 4), (9, None, 2.0, 1)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, w long")
+    got = {r["g"]: r for r in ordered.weighed_quantiles(df, ["g"], ["a", "b"], {"lo": 0.1, "hi": 0.9}, "w").collect()}
+    assert sorted(got) == [0, 1, 2, 3, 9]
+    for g, row in got.items():
+        for k, c in ((1, "a"), (2, "b")):
+            held = [v for r in rows if r[0] == g and r[k] is not None and r[k] == r[k] for v in [r[k]] * r[3]]
+            want = np.percentile(held, [10, 90]) if held else [None, None]
+            assert (row[f"{c}_lo"] is None) == (not held) and (not held or np.allclose([row[f"{c}_lo"], row[f"{c}_hi"]], want, atol=1e-12))
+
+
 def test_axes_match_numpy(spark):
     """Random covariances, tiny and huge ones, planes, repeated eigenvalues and multiples of the identity."""
     rng = np.random.default_rng(6)
