@@ -32,7 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 5
 #: Bytes of shingle hashes, and sets, of one block of a key; shingles that are counted at a time.
 BLOCK_BYTES, BLOCK_SETS, _COLUMNS = 2 << 20, 512, 2048
-_PART = 2048
+#: Shingles hashed together, and rows of a batch whose results are held together.
+_PART, BATCH = 512, 512
 
 
 @lru_cache(maxsize=1)
@@ -76,13 +77,15 @@ def with_sketch(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField("set", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-            found = [sketch(x.as_py(), shingle) for x in texts]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(c)) for c in rest], pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))],
-                names=schema.names,
-            )
+        for whole in batches:
+            for begin in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(begin, BATCH)
+                texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
+                found = [sketch(x.as_py(), shingle) for x in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(batch.schema.get_field_index(c)) for c in rest], pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))],
+                    names=schema.names,
+                )
 
     return docs.mapInArrow(sketched, schema)
 
@@ -93,7 +96,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) ->
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, text, own = [], None, set()
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):  # one pair of texts at a time
+                a, b = a.as_py(), b.as_py()
                 if b != text:
                     text, own = b, shingles(b, shingle)
                 good.append(similarity(shingles(a, shingle), own) >= least)
@@ -107,9 +111,11 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) ->
 def with_hashes(texts: DataFrame, shingle: int) -> DataFrame:
     """set, hashes (sorted distinct shingle hashes as bytes), size in bytes, of (set, text)."""
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(np.concatenate(list(shingle_hashes(x.as_py() or b"", shingle)) or [np.zeros(0, dtype=np.uint64)])).tobytes() for x in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["set", "hashes"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(begin, BATCH)
+                found = [np.unique(np.concatenate(list(shingle_hashes(x.as_py() or b"", shingle)) or [np.zeros(0, dtype=np.uint64)])).tobytes() for x in batch.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["set", "hashes"])
 
     return texts.select("set", "text").mapInArrow(hashed, "set long, hashes binary").withColumn("size", F.octet_length("hashes"))
 

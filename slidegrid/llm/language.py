@@ -30,8 +30,8 @@ from slidegrid.llm.words import is_held_out
 DIMENSIONS, GRAM = 1024, 3
 #: ISO 639-3 has under 8,000 languages; prototypes of so many are 40 MB.
 MOST_LANGUAGES = 10_000
-#: Characters whose n-grams are counted together.
-CHUNK = 1 << 18
+#: Characters whose n-grams are counted together, n-grams whose vectors are bound together, and rows whose vectors are held together.
+CHUNK, BOUND, ROWS = 1 << 18, 2048, 512
 UNKNOWN = "und"
 #: Cosines of unrelated texts deviate by 1/32; six deviations are above their largest over all languages.
 LEAST, FEW_GRAMS = 6 / DIMENSIONS ** 0.5, 32
@@ -114,8 +114,8 @@ class Encoder:
         known, at = np.unique(np.concatenate([c for _, c in group]), return_inverse=True)
         row = np.repeat(np.arange(len(group)), [len(c) for _, c in group])
         counts = np.bincount(row * len(known) + at, minlength=len(group) * len(known)).reshape(len(group), -1)
-        for begin in range(0, len(known), 8192):
-            some = slice(begin, begin + 8192)
+        for begin in range(0, len(known), BOUND):
+            some = slice(begin, begin + BOUND)
             added = counts[:, some].astype(np.float32) @ self.gram_vectors(known[some]).astype(np.float32)
             for r, (k, _) in enumerate(group):
                 vectors[k] += added[r]
@@ -128,11 +128,11 @@ def encoder(dimensions: int, gram: int) -> Encoder:
 
 
 def _slices(batch: pa.RecordBatch, text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with bounded text and at most 2,048 rows."""
+    """Slices of a batch with bounded text and at most ``ROWS`` rows."""
     sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
     begin, room = 0, most
     for i, size in enumerate(sizes.tolist()):
-        if i > begin and (size > room or i - begin >= 2048):
+        if i > begin and (size > room or i - begin >= ROWS):
             yield batch.slice(begin, i - begin)
             begin, room = i, most
         room -= size

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from helpers import PROSE, documents, prose
 
 from slidegrid.llm import language as H
@@ -60,3 +61,10 @@ def test_keep_drops_unlearned_languages_and_random_letters(spark):
         foreign += [(200 + 20 * k + i, " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(100)), None, "a") for i in range(20)]
     kept = {r["doc_id"] for r in H.keep(documents(spark, clean + foreign)).collect()}
     assert kept == {r[0] for r in clean}
+
+
+def test_a_worker_holds_few_rows_at_a_time():
+    """Vectors of a batch are held for at most 512 rows; the slices together are the batch."""
+    batch = pa.record_batch({"text": [f"text {k}" for k in range(3000)]})
+    parts = list(H._slices(batch, 0))
+    assert max(p.num_rows for p in parts) <= 512 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
