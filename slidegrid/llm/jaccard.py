@@ -1,11 +1,13 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
 Texts are compared as sets of their shingles of ``SHINGLE`` words (lower case, as in ``simhash``; a shorter text is one shingle).
-Each distinct set has ``BANDS`` keys, each made of ``ROWS`` of its minimum hashes. Two sets of similarity s share no key
-with probability (1 - s^ROWS)^BANDS: 1.3e-7 at 0.8, less above. Sets that share a key are candidates, and the shingles of both
-texts decide.
+Candidates come from two sides, and the shingles of both texts decide. Each distinct set has a fingerprint (the majority of its
+shingle hashes); fingerprints that differ in few bits meet at the anchors of the covering code (``simhash.links``). Sets of
+similarity 0.8 may lie farther apart than any anchor reaches, so each set also has ``BANDS`` keys, each made of ``ROWS`` of its
+minimum hashes. Two sets of similarity s share no key with probability (1 - s^ROWS)^BANDS: 1.3e-7 at 0.8, less above.
 
-Of the sets that share a key every one is first compared with the smallest. What is connected by then needs no more comparing;
+Sets of one fingerprint are compared with the smallest of them, linked fingerprints by their smallest sets, and of the sets that
+share a key every one with the smallest. What is connected by then needs no more comparing;
 keys whose sets are still apart are dealt into blocks of bounded size, and every block meets every block of its key inside a task:
 the shingles that both hold are counted for all their pairs at once, and what leaves the task is a spanning forest of the pairs that reach the
 similarity. No pair is a row, and the components are those of all candidate pairs.
@@ -24,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from slidegrid.llm import simhash
 from slidegrid.llm.simhash import _forest, components, shingle_hashes
 from slidegrid.operators.skew import spread_join
 from slidegrid.session import cut_lineage, scratch_folder
@@ -50,15 +53,16 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketch(data: bytes | None, shingle: int = SHINGLE) -> tuple[int, list[int]]:
-    """A number for the text's set of shingles, and its band keys; no keys without words."""
+def sketch(data: bytes | None, shingle: int = SHINGLE) -> tuple[int, int | None, list[int]]:
+    """A number for the text's set of shingles, its fingerprint and its band keys; neither of these without words."""
     parts = [np.unique(h) for h in shingle_hashes(data or b"", shingle)]
     hashes = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
     number = xxhash.xxh64_intdigest(hashes.tobytes(), 1)
     if not len(hashes):
-        return number - (1 << 63), []
+        return number - (1 << 63), None, []
+    printed = simhash.majority(simhash.bit_counts(hashes), len(hashes))
     bands = least_hashes(hashes).reshape(BANDS, ROWS)
-    return number - (1 << 63), [xxhash.xxh64_intdigest(bands[b].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+    return number - (1 << 63), printed, [xxhash.xxh64_intdigest(bands[b].tobytes(), b) - (1 << 63) for b in range(BANDS)]
 
 
 def shingles(text: str, shingle: int = SHINGLE) -> set[bytes]:
@@ -72,9 +76,9 @@ def similarity(left: set[bytes], right: set[bytes]) -> float:
 
 
 def with_sketch(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``docs`` without ``text``, with the number of the shingle set and its band keys."""
+    """``docs`` without ``text``, with the number of the shingle set, its fingerprint and its band keys."""
     rest = [c for c in docs.columns if c != text]
-    schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField("set", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField("set", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -83,7 +87,7 @@ def with_sketch(docs: DataFrame, text: str, shingle: int) -> DataFrame:
                 texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
                 found = [sketch(x.as_py(), shingle) for x in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(batch.schema.get_field_index(c)) for c in rest], pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))],
+                    [*[batch.column(batch.schema.get_field_index(c)) for c in rest], *[pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]],
                     names=schema.names,
                 )
 
@@ -164,20 +168,32 @@ def block_links(live: DataFrame, texts: DataFrame, least: float, shingle: int) -
     return dealt.select("key", low, high, "mine", "set", "root", "hashes").groupBy("key", "low", "high").applyInArrow(compared, "u long, v long")
 
 
+def anchored(sets: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v), u > v, of ``sets`` (set, fp): those of one fingerprint, and those whose fingerprints are linked at an anchor."""
+    printed = cut_lineage(sets.where("fp IS NOT NULL").select("set", "fp"))
+    heads = cut_lineage(printed.groupBy("fp").agg(F.min("set").alias("head")))
+    alike = spread_join(printed, heads, ["fp"], salt_on=["set"]).where("set != head").select(F.col("set").alias("u"), F.col("head").alias("v"))
+    near = simhash.links(heads.select("fp")).distinct()
+    for end in "uv":
+        near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"set_{end}")), end)
+    return alike.unionByName(near.select(F.greatest("set_u", "set_v").alias("u"), F.least("set_u", "set_v").alias("v")))
+
+
 def links(sets: DataFrame, texts_of, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """Verified links (u, v) whose components are those of all candidate pairs of ``sets`` (set, keys; distinct sets).
+    """Verified links (u, v) whose components are those of all candidate pairs of ``sets`` (set, fp, keys; distinct sets).
 
-    ``texts_of`` gives the texts (set, text) of a frame of sets; it is asked once, for the sets that share a key.
+    ``texts_of`` gives the texts (set, text) of a frame of sets; it is asked once, for the sets that meet at an anchor or share a key.
     """
+    near = cut_lineage(anchored(sets))
     rows = sets.select("set", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     live = cut_lineage(rows.join(shared, "key").select("key", "set"))
-    if live.isEmpty():
+    if live.isEmpty() and near.isEmpty():
         return live.sparkSession.createDataFrame([], "u long, v long")
-    texts = texts_of(live.select("set").distinct())
+    texts = texts_of(live.select("set").unionByName(near.select(F.explode(F.array("u", "v")).alias("set"))).distinct())
     heads = live.groupBy("key").agg(F.min("set").alias("head"))
     met = spread_join(live, heads, ["key"], salt_on=["set"]).where("set != head").select(F.greatest("set", "head").alias("u"), F.least("set", "head").alias("v"))
-    found = cut_lineage(verified(met.distinct(), texts, least, shingle))
+    found = cut_lineage(verified(near.unionByName(met).distinct(), texts, least, shingle))
     roots = components(found).select(F.col("fp").alias("set"), F.col("root").alias("__root"))
     rooted = live.join(roots, "set", "left").select("key", "set", F.coalesce("__root", "set").alias("root"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
@@ -195,7 +211,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     narrow = docs.select(F.col(key).alias("key"), mark.alias("mark"), F.col(text).alias("text"))
     printed = cut_lineage(with_sketch(narrow, "text", shingle))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("best")
-    sets = cut_lineage(printed.groupBy("set").agg(first, F.first("keys").alias("keys")))
+    sets = cut_lineage(printed.groupBy("set").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     own = docs.withColumn("__own", mark)
 
     def texts_of(some: DataFrame) -> DataFrame:
@@ -206,7 +222,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
         held.select(F.col("__set").alias("set"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["set"]).write.parquet(folder)
         return docs.sparkSession.read.parquet(folder)
 
-    roots = components(links(sets.select("set", "keys"), texts_of, least, shingle)).select(F.col("fp").alias("set"), "root")
+    roots = components(links(sets.select("set", "fp", "keys"), texts_of, least, shingle)).select(F.col("fp").alias("set"), "root")
     rooted = sets.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     chosen = cut_lineage(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("__key"), F.col("best.mark").alias("__mark")))
     counts = printed.groupBy("key", "mark").agg(F.count("*").alias("__n")).select(F.col("key").alias("__k"), F.col("mark").alias("__m"), "__n")

@@ -94,6 +94,11 @@ def fingerprint(data: bytes | None) -> int:
     for hashes in shingle_hashes(data or b""):
         counts += bit_counts(hashes)
         n += len(hashes)
+    return majority(counts, n)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The 64 bits that over half of ``n`` hashes have set, as a signed number."""
     bits = np.packbits((2 * counts > n).astype(np.uint8), bitorder="little")
     return int(bits.view(np.int64)[0])
 

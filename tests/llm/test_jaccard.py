@@ -88,3 +88,22 @@ def test_awkward_tables(spark):
     kept = J.one_of_each(docs)
     assert kept.schema == docs.schema and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 5, None]
     assert J.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_candidates_meet_at_anchors(spark):
+    """Without any band key in common, fingerprints within reach of the covering code give candidates, and the shingles decide."""
+    base = varied(4)
+    near = [*base[:-1], "other"]
+    texts = {11: " ".join(base), 12: " ".join(near), 13: " ".join([*near, "tail"]), 14: " ".join(varied(5)), 15: " ".join(varied(6)), 16: ""}
+    prints = {11: 0b1011, 12: 0b1000, 13: 0b1000, 14: 0b1011, 15: -1, 16: None}
+    sets = spark.createDataFrame([(i, prints[i], []) for i in texts], "set long, fp long, keys array<long>")
+    held = spark.createDataFrame(list(texts.items()), "set long, text string")
+    found = J.links(sets, lambda some: held.join(some, "set"))
+    assert sorted(map(tuple, found.collect())) == [(12, 11), (13, 12)]
+
+
+def test_sketch_has_the_majority_of_its_shingles():
+    text = " ".join(varied(2, 40)).encode()
+    hashes = np.unique(np.concatenate(list(J.shingle_hashes(text, 5))))
+    want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
+    assert J.sketch(text)[1] % (1 << 64) == want and J.sketch(b" ")[1:] == (None, [])
