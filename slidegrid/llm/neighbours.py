@@ -20,6 +20,7 @@ smaller id. Repeated rows are separate candidates; a row is never its own neighb
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ PROJECTIONS, SHARE, WIDTH, GROWTH = 64, 0.55, 2.0, 1.2
 #: First radius as a part of the largest norm.
 FIRST_RADIUS = 0.1
 BLOCK_ROWS, GROUP_QUERIES = 16384, 512
+#: Collisions that are counted at a time.
+_COUNTED = 1 << 16
 
 
 class SortedProjections:
@@ -41,55 +44,66 @@ class SortedProjections:
         self.directions = rng.standard_normal((projections, vectors.shape[1] + 1))
         self.vectors, self.top = vectors, top
         places = np.concatenate([vectors, lift[:, None]], axis=1) @ self.directions.T
-        self.order = np.ascontiguousarray(places.argsort(axis=0, kind="stable").T)
-        self.sorted = np.take_along_axis(places.T, self.order, axis=1)
-        self.flat = self.order.ravel()
+        order = np.ascontiguousarray(places.argsort(axis=0, kind="stable").T)
+        self.sorted = np.take_along_axis(places.T, order, axis=1)
+        self.order = list(order.astype(np.min_scalar_type(len(vectors))))
+        self.light = (vectors / top).astype(np.float32)
 
     def nearest(self, queries: np.ndarray, k: int, skip: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query, positions and inner products of the k nearest found, nearest first.
 
-        ``skip`` is each query's own position or -1. Windows of all queries grow together, one search per projection
-        and round; collisions are counted per query.
+        ``skip`` is each query's own position or -1. The windows of a round are searched for all queries at once; what a round adds
+        to the windows of a query are whole stretches of the sorted arrays, and one pass over them counts its collisions.
         """
-        m, n = self.order.shape
+        m, n = self.sorted.shape
         centre = queries @ self.directions[:, :-1].T
-        threshold = math.ceil(SHARE * m)
-        counts = np.zeros((len(queries), n), dtype=np.int16)
-        closed = np.zeros((len(queries), n), dtype=bool)
-        closed[np.flatnonzero(skip >= 0), skip[skip >= 0]] = True
-        base = np.arange(m) * n
-        low = np.stack([np.searchsorted(self.sorted[j], centre[:, j]) for j in range(m)], axis=1)
-        high = low.copy()
-        out = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(queries)
-        square = (queries ** 2).sum(axis=1) + self.top ** 2
-        active = np.flatnonzero(~closed.all(axis=1))
-        radius = FIRST_RADIUS * self.top
-        while len(active):
-            half = WIDTH * radius / 2
-            new_low = np.stack([np.searchsorted(self.sorted[j], centre[active, j] - half, side="left") for j in range(m)], axis=1)
-            new_high = np.stack([np.searchsorted(self.sorted[j], centre[active, j] + half, side="right") for j in range(m)], axis=1)
-            more = np.ones(len(active), dtype=bool)
-            for r, q in enumerate(active.tolist()):
-                at = _ranges(np.r_[base + new_low[r], base + high[q]], np.r_[low[q] - new_low[r], new_high[r] - high[q]])
-                counts[q] += np.bincount(self.flat[at], minlength=n).astype(np.int16)
-                fresh = np.flatnonzero((counts[q] >= threshold) & ~closed[q])
-                found, scores = out[q]
+        threshold, done = math.ceil(SHARE * m), -m - 1  # a vector that is done never collides often enough again
+        start = self._places(centre, "left")
+        windows: list[tuple[np.ndarray, np.ndarray]] = []
+        out = []
+        for q, query in enumerate(queries):
+            counts, left = np.zeros(n, dtype=np.int64), n
+            if skip[q] >= 0:
+                counts[skip[q]], left = done, n - 1
+            found, scores, square = np.zeros(0, dtype=np.int64), np.zeros(0), (query ** 2).sum() + self.top ** 2
+            low = high = start[q].tolist()
+            radius = FIRST_RADIUS * self.top
+            for step in count() if left else ():
+                if step == len(windows):
+                    half = WIDTH * radius / 2
+                    windows.append((self._places(centre - half, "left"), self._places(centre + half, "right")))
+                new_low, new_high = (side[q].tolist() for side in windows[step])
+                stretches = [o[a:b] for o, a, b in zip(self.order, new_low, low)] + [o[a:b] for o, a, b in zip(self.order, high, new_high)]
+                met = np.concatenate(stretches)
+                for begin in range(0, len(met), _COUNTED):
+                    counts += np.bincount(met[begin:begin + _COUNTED], minlength=n)
+                low, high = new_low, new_high
+                fresh = np.flatnonzero(counts >= threshold)
                 if len(fresh):
-                    closed[q, fresh] = True
-                    found = np.r_[found, fresh]
-                    scores = np.r_[scores, (self.vectors[fresh] * queries[q]).sum(axis=1)]
-                    best = np.lexsort((ids[found], -scores))[:k]
-                    found, scores = out[q] = found[best], scores[best]
-                near = len(found) == k and square[q] - 2 * scores[-1] <= radius * radius
-                more[r] = not near and not closed[q].all()
-            low[active], high[active] = new_low, new_high
-            active = active[more]
-            radius *= GROWTH
+                    counts[fresh] = done
+                    left -= len(fresh)
+                    found, scores = self._best(query, k, found, scores, fresh, ids)
+                if not left or len(found) == k and square - 2 * scores[-1] <= radius * radius:
+                    break
+                radius *= GROWTH
+            out.append((found, scores))
         return out
 
-
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    def _places(self, at: np.ndarray, side: str) -> np.ndarray:
+        return np.stack([np.searchsorted(line, at[:, j], side=side) for j, line in enumerate(self.sorted)], axis=1)
+
+    def _best(self, query: np.ndarray, k: int, found: np.ndarray, scores: np.ndarray, fresh: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of those found before and the fresh ones. Fresh ones that a product in single precision shows to be worse than k
+        others, by more than twice what rounding can change, get no exact score."""
+        if len(found) + len(fresh) > k:
+            rough = self.light[fresh] @ (query / self.top).astype(np.float32)
+            every = np.r_[scores / self.top / self.top, rough]
+            worst = np.partition(every, len(every) - k)[len(every) - k]
+            fresh = fresh[rough >= worst - 4 * (len(query) + 4) * np.finfo(np.float32).eps]
+        found = np.r_[found, fresh]
+        scores = np.r_[scores, (self.vectors[fresh] * query).sum(axis=1)]
+        best = np.lexsort((ids[found], -scores))[:k]
+        return found[best], scores[best]
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", seed: int = 7) -> DataFrame:

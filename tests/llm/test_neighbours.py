@@ -57,3 +57,32 @@ def test_awkward_vectors(spark):
         (20, 1, 0, 5.0), (20, 2, 3, 5.0), (20, 3, 3, 5.0), (20, 4, 8, 0.0),
     ]
     assert N.nearest(frame(spark, [])).count() == 0
+
+
+class Read:
+    """Vectors that count how many of them are read."""
+
+    def __init__(self, m):
+        self.m, self.rows = m, 0
+
+    def __getitem__(self, at):
+        self.rows += len(at)
+        return self.m[at]
+
+
+def test_few_exact_scores(monkeypatch):
+    """Only vectors that may be among the k nearest get an exact score, and the parts in which collisions are counted change nothing."""
+    rng = np.random.default_rng(9)
+    m, ids = rng.normal(size=(4000, 8)), np.arange(4000)[::-1].copy()
+    m[1000:1100] = m[:100]  # ties
+    top = float(np.sqrt((m ** 2).sum(axis=1).max())) * (1 + 1e-12)
+    index = N.SortedProjections(m, top, 7)
+    index.vectors = Read(m)
+    skip = np.where(np.arange(100) % 2, -1, np.arange(100))
+    whole = index.nearest(m[:100], 20, skip, ids)
+    assert index.vectors.rows < 100 * 4000 / 10
+    monkeypatch.setattr(N, "_COUNTED", 1000, raising=False)
+    for q, ((found, scores), (again, same)) in enumerate(zip(whole, index.nearest(m[:100], 20, skip, ids), strict=True)):
+        assert found.tolist() == again.tolist() and scores.tolist() == same.tolist() == (m[found] * m[q]).sum(axis=1).tolist()
+        assert len(found) == 20 and skip[q] not in found.tolist()
+        assert sorted(zip(-scores, ids[found])) == list(zip(-scores, ids[found]))
