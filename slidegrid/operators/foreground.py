@@ -73,11 +73,10 @@ def apply_mask(px: DataFrame, mask: DataFrame, by: list[str]) -> DataFrame:
 
 
 def denoise_colours(px: DataFrame, by: list[str], r: int = 2, gaussian: int = 3, median: int = 3) -> DataFrame:
-    """``raster.denoise`` of each channel by itself."""
-    channels = F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(c).cast("int").alias("v")) for c in "rgb"]))
-    long = px.select(*by, "x", "y", channels.alias("__c")).select(*by, "x", "y", "__c.ch", "__c.v")
-    calm = raster.denoise(long, r, gaussian, median, by=[*by, "ch"])
-    return calm.groupBy(*by, "x", "y").agg(*[F.max(F.when(F.col("ch") == c, F.col("v"))).cast("int").alias(c) for c in "rgb"])
+    """``raster.denoise`` of each channel by itself; the three channels of a pixel travel together."""
+    whole = px.select(*by, "x", "y", *[F.col(c).cast("int").alias(c) for c in "rgb"])
+    steps = raster.denoise_steps(r, gaussian | 1, median | 1)
+    return raster.chained_stencils(whole, steps, by, list("rgb")) if steps else whole
 
 
 NORMALISERS = {"percentile": stain.percentile_scale, "mean": stain.mean_scale, "stain_percentile": stain.stain_percentile, "stain": stain.separate_stains}

@@ -6,6 +6,9 @@ are safe however many rows a slide has in total.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -205,6 +208,80 @@ BLOCK_SIDE = 256
 _PADDING = {"reflect101": "reflect", "reflect": "symmetric", "replicate": "edge"}
 
 
+def _in_blocks(grid: DataFrame, by: list[str], values: list[str], r: int, side: int) -> DataFrame:
+    """Pixels with their block (__bx, __by) and their picture's last places (__w, __h); once more for every block within ``r``."""
+    lasts = grid.groupBy(*by).agg(F.max("x").cast("long").alias("__w"), F.max("y").cast("long").alias("__h"))
+    near = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / side) for d in (-r, 0, r)])))
+    dealt = grid.select(*by, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), *values).withColumn("__bx", near("x")).withColumn("__by", near("y"))
+    return copies_join(dealt, lasts, by, salt_on=["x", "y"]).where(
+        (F.col("__bx") >= 0) & (F.col("__by") >= 0) & (F.col("__bx") * side <= F.col("__w")) & (F.col("__by") * side <= F.col("__h")))
+
+
+def _step(a: np.ndarray, edges: list[tuple[bool, bool]], how: str, r: int, shape: list, border: str) -> np.ndarray:
+    """One stencil of a part of a picture, which is padded at the picture's ``edges`` and shrinks by ``r`` elsewhere."""
+    pads = [(r * first, r * last) for first, last in edges]
+    known = np.pad(np.ones(a.shape, dtype=bool), pads, constant_values=border != "clip")
+    a = np.pad(a, pads, mode="edge" if border == "clip" else _PADDING[border])
+    if how in ("min", "max"):
+        return _block_values(a, known, how, _line_widths(shape, r), r)
+    h, w = a.shape[0] - 2 * r, a.shape[1] - 2 * r
+    views = [a[dy:dy + h, dx:dx + w] for dy in range(2 * r + 1) for dx in range(2 * r + 1)]
+    if how == "median":
+        return np.partition(np.stack(views), len(views) // 2, axis=0)[len(views) // 2]
+    total = reduce(add, (view.astype(np.float64) * weight for view, weight in zip(views, shape, strict=True) if weight))
+    size = np.abs(total)
+    whole = np.floor(size)
+    return (np.sign(total) * (whole + (size - whole >= 0.5))).astype(np.int32)
+
+
+def chained_stencils(
+    grid: DataFrame, steps: list[tuple[str, int, list, str]], by: list[str] = ("slide",), values: list[str] = ("v",), side: int = BLOCK_SIDE
+) -> DataFrame:
+    """Several stencils in a row, for each of the columns ``values``: steps (how, r, weights or footprint, border).
+
+    ``how`` is weighted (rounded to whole numbers), median (over a square, with a border other than ``clip``), min or max. Every block of
+    pixels goes to one task with a margin that is enough for all steps together, so pixels are shuffled once, whatever the number of steps.
+    The raster must be dense, and every pixel has a value.
+    """
+    by, values, margin = list(by), list(values), sum(r for _, r, _, _ in steps)
+    side, kinds = max(side, margin + 1), dict(grid.dtypes)
+    whole = any(how == "weighted" for how, *_ in steps)
+    made = {c: "int" if whole else kinds[c] for c in values}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        corner = (key[len(by) + 1].as_py() * side, key[len(by)].as_py() * side)
+        ends = tuple(table.column(c)[0].as_py() for c in ("__h", "__w"))
+        first = [max(at - margin, 0) for at in corner]
+        last = [min(at + side - 1 + margin, end) for at, end in zip(corner, ends)]
+        x, y = table.column("x").to_numpy() - first[1], table.column("y").to_numpy() - first[0]
+        seen = np.zeros((last[0] - first[0] + 1, last[1] - first[1] + 1), dtype=bool)
+        seen[y, x] = True
+        if not seen.all():
+            raise ValueError("the raster has a hole; fill it first")
+        size = [min(side, end - at + 1) for at, end in zip(corner, ends)]
+        columns = []
+        for c in values:
+            if table.column(c).null_count:
+                raise ValueError("the raster has a pixel without a value; fill it first")
+            a = np.zeros(seen.shape, table.column(c).to_numpy().dtype)
+            a[y, x] = table.column(c).to_numpy()
+            low, high = list(first), list(last)
+            for how, r, shape, border in steps:
+                edges = [(lo == 0, hi == end) for lo, hi, end in zip(low, high, ends)]
+                a = _step(a, edges, how, r, shape, border)
+                low = [lo + r * (not edge[0]) for lo, edge in zip(low, edges)]
+                high = [hi - r * (not edge[1]) for hi, edge in zip(high, edges)]
+            at = [begin - lo for begin, lo in zip(corner, low)]
+            columns.append(pa.array(a[at[0]:at[0] + size[0], at[1]:at[1] + size[1]].ravel()))
+        yy, xx = np.mgrid[corner[0]:corner[0] + size[0], corner[1]:corner[1] + size[1]]
+        fixed = [pa.array([k.as_py()] * xx.size, k.type) for k in key[: len(by)]]
+        return pa.table([*fixed, pa.array(xx.ravel(), pa.int64()), pa.array(yy.ravel(), pa.int64()), *columns], names=[*by, "x", "y", *values])
+
+    schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["x long", "y long"] + [f"{c} {kind}" for c, kind in made.items()])
+    out = _in_blocks(grid, by, values, margin, side).groupBy(*by, "__bx", "__by").applyInArrow(run, schema)
+    return out.select(*[F.col(c).cast(kinds[c]) if c in ("x", "y") else F.col(c) for c in grid.columns])
+
+
 def blocked_stencil(
     grid: DataFrame, how: str, r: int, footprint: list[bool] | None = None, border: str = "reflect101", by: list[str] = ("slide",), v: str = "v", side: int = BLOCK_SIDE
 ) -> DataFrame:
@@ -221,11 +298,7 @@ def blocked_stencil(
     rest = [c for c in grid.columns if c not in {*by, "x", "y", v}]
     if rest:
         raise ValueError(f"columns besides the pixel: {rest}")
-    lasts = grid.groupBy(*by).agg(F.max("x").cast("long").alias("__w"), F.max("y").cast("long").alias("__h"))
-    near = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / side) for d in (-r, 0, r)])))
-    dealt = grid.select(*by, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), v).withColumn("__bx", near("x")).withColumn("__by", near("y"))
-    placed = copies_join(dealt, lasts, by, salt_on=["x", "y"]).where(
-        (F.col("__bx") >= 0) & (F.col("__by") >= 0) & (F.col("__bx") * side <= F.col("__w")) & (F.col("__by") * side <= F.col("__h")))
+    placed = _in_blocks(grid, by, [v], r, side)
     kinds = dict(grid.dtypes)
     kind = "double" if how == "mean" else kinds[v]
 
@@ -302,12 +375,20 @@ def dilate(grid: DataFrame, r: int = 1, border: str = "clip", **kw) -> DataFrame
     return stencil(grid, "max", r, footprint=disk(r), border=border, **kw)
 
 
-def open_(grid: DataFrame, r: int = 1, **kw) -> DataFrame:
-    return dilate(erode(grid, r, **kw), r, **kw)
+def _bare(grid: DataFrame, by: list[str] = ("slide",), v: str = "v") -> bool:
+    return set(grid.columns) == {*by, "x", "y", v}
+
 
+def open_(grid: DataFrame, r: int = 1, border: str = "clip", **kw) -> DataFrame:
+    if _bare(grid, **kw):
+        return chained_stencils(grid, [(how, r, disk(r), border) for how in ("min", "max")], kw.get("by", ("slide",)), [kw.get("v", "v")])
+    return dilate(erode(grid, r, border, **kw), r, border, **kw)
 
-def close_(grid: DataFrame, r: int = 1, **kw) -> DataFrame:
-    return erode(dilate(grid, r, **kw), r, **kw)
+
+def close_(grid: DataFrame, r: int = 1, border: str = "clip", **kw) -> DataFrame:
+    if _bare(grid, **kw):
+        return chained_stencils(grid, [(how, r, disk(r), border) for how in ("max", "min")], kw.get("by", ("slide",)), [kw.get("v", "v")])
+    return erode(dilate(grid, r, border, **kw), r, border, **kw)
 
 
 def gaussian_weights(size: int) -> list[float]:
@@ -323,12 +404,22 @@ def gaussian_weights(size: int) -> list[float]:
     return np.outer(line, line).ravel().tolist()
 
 
+def denoise_steps(r: int = 1, gaussian: int = 3, median: int = 3) -> list[tuple[str, int, list, str]]:
+    """The steps of ``denoise`` for ``chained_stencils``; sizes are odd."""
+    blur = [("weighted", gaussian // 2, gaussian_weights(gaussian), "reflect101")] if gaussian > 1 else []
+    calm = [("median", median // 2, [], "replicate")] if median > 1 else []
+    return [*blur, *calm, *([("min", r, disk(r), "clip"), ("max", r, disk(r), "clip")] if r else [])]
+
+
 def denoise(grid: DataFrame, r: int = 1, gaussian: int = 3, median: int = 3, **kw) -> DataFrame:
     """Gaussian, then median (which repeats the edge, as median filters do), then opening with a disk of radius ``r``.
 
     ``gaussian`` and ``median`` are odd kernel sizes; even ones count as the next odd one, and 1 leaves that step out.
     """
     gaussian, median = gaussian | 1, median | 1
+    if _bare(grid, kw.get("by", ("slide",))) and set(kw) <= {"by"}:
+        steps = denoise_steps(r, gaussian, median)
+        return chained_stencils(grid, steps, **kw) if steps else grid
     blurred = grid if gaussian == 1 else stencil(grid, "weighted", gaussian // 2, weights=gaussian_weights(gaussian), **kw).withColumn("v", F.round("v").cast("int"))
     calm = blurred if median == 1 else stencil(blurred, "median", median // 2, **{**kw, "border": "replicate"})
     return open_(calm, r, **kw) if r else calm

@@ -383,3 +383,35 @@ def test_median_of_denoising_repeats_the_edge(spark):
     got = raster.stencil(long(spark, img), "median", 1, border="replicate").toPandas().pivot(index="y", columns="x", values="v").to_numpy()
     windows = np.lib.stride_tricks.sliding_window_view(np.pad(img, 1, mode="edge"), (3, 3))
     assert np.allclose(got, np.median(windows, axis=(2, 3)))
+
+
+def test_chained_stencils_in_blocks(spark):
+    """Blur, median, opening and closing in one pass, in one block and in many, against the same steps one by one."""
+    rng = np.random.default_rng(4)
+    rows = [(s, x, y, *map(int, rng.integers(0, 256, 3))) for s, (w, h) in enumerate([(23, 17), (5, 40), (3, 3)]) for x in range(w) for y in range(h)]
+    px = spark.createDataFrame(rows, "slide long, x int, y int, r int, g int, b int")
+    steps = raster.denoise_steps(2, 3, 3) + [("max", 2, raster.disk(2), "reflect101"), ("min", 1, raster.disk(1), "reflect101")]
+    want = {}
+    for c in "rgb":
+        g = px.select("slide", "x", "y", F.col(c).alias("v"))
+        g = raster.stencil(g, "weighted", 1, weights=raster.GAUSSIAN_3).withColumn("v", F.round("v").cast("int"))
+        g = raster.dilate(raster.erode(raster.stencil(g, "median", 1, border="replicate"), 2), 2)
+        g = raster.erode(raster.dilate(g, 2, border="reflect101"), 1, border="reflect101")
+        want |= {(r["slide"], r["x"], r["y"], c): r["v"] for r in g.collect()}
+    for side in (4, 256):
+        out = raster.chained_stencils(px, steps, values=list("rgb"), side=side)
+        assert out.dtypes == px.dtypes
+        rows = out.collect()
+        assert len(rows) * 3 == len(want) and {(r["slide"], r["x"], r["y"], c): r[c] for r in rows for c in "rgb"} == want
+
+
+def test_a_denoised_pixel_is_shuffled_once(spark):
+    from slidegrid.operators import foreground
+
+    px = spark.createDataFrame([(0, x, y, x, y, 7) for x in range(4) for y in range(4)], "slide long, x int, y int, r int, g int, b int")
+    plan = foreground.denoise_colours(px, ["slide"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate explode(array(struct" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+    with pytest.raises(Exception, match="hole"):
+        foreground.denoise_colours(px.where("x != 1"), ["slide"]).collect()
+    with pytest.raises(Exception, match="without a value"):
+        foreground.denoise_colours(px.withColumn("g", F.nullif("g", F.lit(2))), ["slide"]).collect()
