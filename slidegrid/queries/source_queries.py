@@ -226,7 +226,7 @@ def file_listing(spark, d):
     """Orders written as one list per ten customers; the files are listed and hashed by tasks."""
     path = scratch_folder(spark)
     lines = table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 10).alias("g"), "o_orderkey")
-    lines.repartition("g").sortWithinPartitions("g", "o_orderkey").select("g", F.col("o_orderkey").cast("string").alias("value")).write.partitionBy("g").text(path)
+    sinks.write_lists(lines, path, "g", "o_orderkey")
     found = readers.file_digests(spark, path, "part-*")
     return found.select(readers.folder_of(F.col("path")).alias("folder"), "length", "md5")
 

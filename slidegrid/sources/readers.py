@@ -36,6 +36,10 @@ TOKEN_COLUMNS = [
 ]
 
 
+#: Files of a listing that a task hands on together.
+LISTED = 10_000
+
+
 def folder_of(path: Column) -> Column:
     return F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
 
@@ -64,19 +68,25 @@ def file_inventory(spark: SparkSession, root: str, glob: str | None = None) -> D
         import pandas as pd
 
         reach, _ = fs.FileSystem.from_uri(where)
+        def frame(files):
+            return pd.DataFrame(
+                {
+                    "path": pd.Series([f.path for f in files], dtype="object"),
+                    "length": [f.size for f in files],
+                    "modificationTime": pd.to_datetime([(f.mtime_ns or 0) // 1000 for f in files], unit="us", utc=True),
+                }
+            )
+
+        files = []
         for pdf in batches:
             for path, is_dir in zip(pdf["path"], pdf["is_dir"]):
                 found = reach.get_file_info(fs.FileSelector(path, recursive=True) if is_dir else [path])
-                files = [f for f in found if f.type == fs.FileType.File and (glob is None or fnmatch.fnmatch(f.base_name, glob))]
-                if not files:
-                    continue
-                yield pd.DataFrame(
-                    {
-                        "path": pd.Series([f.path for f in files], dtype="object"),
-                        "length": [f.size for f in files],
-                        "modificationTime": pd.to_datetime([(f.mtime_ns or 0) // 1000 for f in files], unit="us", utc=True),
-                    }
-                )
+                files += [f for f in found if f.type == fs.FileType.File and (glob is None or fnmatch.fnmatch(f.base_name, glob))]
+                if len(files) >= LISTED:
+                    yield frame(files)
+                    files = []
+        if files:
+            yield frame(files)
 
     pieces = max(1, min(len(todo), 4 * spark.sparkContext.defaultParallelism))
     starts = spark.createDataFrame(todo, "path string, is_dir boolean").repartition(pieces)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from slidegrid.sources.ranges import reachable
+
 NESTED = ("array", "struct", "map")
 SMALL_ROWS = 100_000
 
@@ -36,6 +38,38 @@ def write_status_lists(df: DataFrame, path: str, name: str = "slide", status: st
     lines.repartitionByRange(status, "value").sortWithinPartitions("value").write.mode(mode).partitionBy(status).text(path)
 
 
+def write_lists(df: DataFrame, path: str, folder: str, value: str) -> None:
+    """One file of lines per folder value (``folder=value/part-0``), in order of ``value``.
+
+    For many small lists: tasks write each file through the file system of the shared folder, without the steps that Spark's committer
+    takes per file. Lines are written as they come, so a list may have any length; a repeated task writes the same files again.
+    """
+
+    def write(batches):
+        system, base = reachable(path)
+        out, now = None, None
+        for batch in batches:
+            names, lines = (c.to_pylist() for c in batch.columns)
+            ends = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+            for begin, stop in zip([0, *ends], [*ends, len(names)]):
+                if begin == stop:
+                    continue
+                if out is None or names[begin] != now:
+                    if out is not None:
+                        out.close()
+                    now = names[begin]
+                    system.create_dir(f"{base}/{folder}={now}")
+                    out = system.open_output_stream(f"{base}/{folder}={now}/part-0")
+                out.write("".join(f"{line or ''}\n" for line in lines[begin:stop]).encode())
+            yield batch.slice(0, 0)
+        if out is not None:
+            out.close()
+
+    name = F.coalesce(F.col(folder).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("name")
+    dealt = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, folder).sortWithinPartitions(folder, value)
+    dealt.select(name, F.col(value).cast("string").alias("line")).mapInArrow(write, "name string, line string").write.format("noop").mode("overwrite").save()
+
+
 def download_manifest(remote: DataFrame) -> DataFrame:
     """Columns id, filename, md5, size, state."""
     return remote.select(

@@ -181,3 +181,21 @@ def test_reading_goes_on_after_a_broken_object():
     assert [t for _, t in found] == ['{"a":1}', '{"b":{"c":2}}', '{"e":"}{"}', "[3]"] and [t for _, t in broken] == ['{"d":,}', '{"f"']
     assert all(isinstance(p, int) for p, _ in found + broken) and broken[0][0] == 22
     assert readers.split_objects(" ") == ([], []) and readers.split_objects("no")[1] == [(0, "no")]
+
+
+def test_lists_are_written_whole_and_in_order(spark, tmp_path):
+    """Lists that go on over several Arrow batches, a list without a name, and a line without a value."""
+    from pyspark.sql import functions as F
+
+    from slidegrid.sources import readers, sinks
+
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.lit(3000) - F.col("id")).alias("v")).unionByName(spark.createDataFrame([(None, 5), (7, None)], "g long, v long"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        sinks.write_lists(rows, str(tmp_path / "lists"), "g", "v")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {f"g={g}": "".join(f"{v}\n" for v in sorted(3000 - i for i in range(3000) if i % 3 == g)) for g in range(3)} | {"g=__HIVE_DEFAULT_PARTITION__": "5\n", "g=7": "\n"}
+    assert {p.parent.name: p.read_text() for p in (tmp_path / "lists").glob("*/part-*")} == want
+    listed = {r["folder"]: r["length"] for r in readers.file_inventory(spark, str(tmp_path / "lists"), "part-*").collect()}
+    assert listed == {k: len(v) for k, v in want.items()}
