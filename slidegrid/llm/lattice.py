@@ -94,7 +94,7 @@ class PieceIndex:
         self.count = np.bincount(slot, minlength=1 << SLOT_BITS).astype(np.int8)
         self.layers = []
         for depth in range(int(self.count.max(initial=0))):
-            k, v = np.zeros(1 << 20, dtype=np.uint64), np.full(1 << 20, -2, dtype=np.int32)
+            k, v = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.full(1 << SLOT_BITS, -2, dtype=np.int32)
             has = np.flatnonzero(self.count > depth)
             k[has], v[has] = keys[first[has] + depth], values[first[has] + depth]
             self.layers.append((k, v))

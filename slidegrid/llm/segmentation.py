@@ -34,10 +34,10 @@ from slidegrid.llm.lattice import LITERAL, SPACE, Lattices, Vocabulary, batches_
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 RUNS = re.compile(r"\n| *[^ \n]+| +")
-#: Characters of text that are segmented together.
-CHUNK = 8 << 20
+#: Bytes of text that are segmented together, and code points of distinct runs whose lattices are held at a time.
+CHUNK, POINTS = 1 << 20, 1 << 15
 #: Runs whose N best are remembered by a worker.
-REMEMBERED = 20_000
+REMEMBERED = 5_000
 
 EDIT = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("drop", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 ENCODED = T.StructType([
@@ -109,7 +109,7 @@ class Segmenter:
     def _best(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best numbers of all runs (flat, count per run), best scores, and losses of the second choices."""
         flats, counts, bests, losses = [], [], [], []
-        for some in batches_of(runs):
+        for some in batches_of(runs, POINTS):
             lattices = Lattices(self.index, *code_points(some))
             before, size = lattices.viterbi(self.scores)
             path = lattices.best_path(size)
@@ -147,7 +147,7 @@ class Segmenter:
 
     def _searched(self, runs: list[str]) -> list[list[tuple[float, list[int]]]]:
         out = []
-        for some in batches_of(runs):
+        for some in batches_of(runs, POINTS):
             lattices = Lattices(self.index, *code_points(some))
             before, _ = lattices.viterbi(self.scores)
             for k, run in enumerate(some):

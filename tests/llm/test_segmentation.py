@@ -2,7 +2,9 @@
 
 import os
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from helpers import documents
 
@@ -82,3 +84,25 @@ def test_whole_table(spark):
     assert S.encode(documents(spark, []), n=2).count() == 0
     with pytest.raises(ValueError):
         S.decode(docs, ids="doc_id", out="text")
+
+
+def test_a_worker_holds_a_small_part_of_a_batch(monkeypatch):
+    rng, vocabulary = random.Random(1), read_vocabulary(S.VOCABULARY)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 10))) for _ in range(20_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(rng.choices(words, k=300)) for _ in range(1500)])], names=["text"])
+
+    def encoded():
+        segmenter = S.Segmenter(vocabulary, 4)
+        return [(numbers.tolist(), scores, others) for part in S._parts(batch) for numbers, scores, others in segmenter.encode(part.column(0).to_pylist()[:50])]
+
+    segmenter = S.Segmenter(vocabulary, 4)
+    tracemalloc.start()
+    for part in S._parts(batch):
+        segmenter.encode(part.column(0).to_pylist())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 << 20  # 37 MB when the whole batch was segmented together
+    small = dict(enumerate(encoded()[:50]))
+    monkeypatch.setattr(S, "CHUNK", 8 << 20)
+    monkeypatch.setattr(S, "POINTS", 1 << 17)
+    assert small == dict(enumerate(encoded()[:50]))
