@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slidegrid.functions import color
 from slidegrid.operators.ordered import group_quantiles, large_groups, weighed_quantiles
 from slidegrid.operators.skew import copies_join
-from slidegrid.session import cut_lineage
+from slidegrid.session import cut_lineage, scratch_folder
 
 # Reference stain matrix (rows r, g, b; columns haematoxylin, eosin) and top concentrations.
 HE_REFERENCE = [[0.5626, 0.2159], [0.7201, 0.8012], [0.4062, 0.5581]]
@@ -119,9 +119,12 @@ def distinct_colours(px: DataFrame, by: list[str]) -> DataFrame:
     """(by, r, g, b, n_px): the colours of every tile with their number of pixels, combined before the shuffle.
 
     Stain statistics depend on colours alone, so everything after this works on a fraction of the
-    pixels, and a white background is one row per tile. Checkpointed, as it is read several times.
+    pixels, and a white background is one row per tile. Written once as columns to the shared folder, as it is read
+    several times: rows of a checkpoint cost more to read than what is done with them.
     """
-    return cut_lineage(px.groupBy(*by, "r", "g", "b").agg(F.count("*").alias("n_px")))
+    folder, colours = f"{scratch_folder(px.sparkSession)}/colours", px.groupBy(*by, "r", "g", "b").agg(F.count("*").alias("n_px"))
+    colours.write.parquet(folder)
+    return px.sparkSession.read.schema(colours.schema).parquet(folder)
 
 
 def stain_percentile(px: DataFrame, by: list[str], low: float = 1.0, high: float = 99.0) -> DataFrame:

@@ -415,3 +415,13 @@ def test_a_denoised_pixel_is_shuffled_once(spark):
         foreground.denoise_colours(px.where("x != 1"), ["slide"]).collect()
     with pytest.raises(Exception, match="without a value"):
         foreground.denoise_colours(px.withColumn("g", F.nullif("g", F.lit(2))), ["slide"]).collect()
+
+
+def test_distinct_colours_are_read_as_columns(spark):
+    """Several passes read them: from files of columns, not as the rows of a checkpoint. Tables without pixels stay tables."""
+    px = spark.createDataFrame([(1, 5, 6, 7), (1, 5, 6, 7), (2, 5, 6, 7)], "tile long, r int, g int, b int")
+    found = stain.distinct_colours(px, ["tile"])
+    assert found.inputFiles() and found.schema.names == ["tile", "r", "g", "b", "n_px"]
+    assert sorted(map(tuple, found.collect())) == [(1, 5, 6, 7, 2), (2, 5, 6, 7, 1)]
+    assert stain.distinct_colours(px.limit(0), ["tile"]).count() == 0
+    assert stain.stain_vectors(px.limit(0), ["tile"]).count() == 0
