@@ -142,16 +142,16 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def block_links(live: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Links (u, v) of similarity ``least`` or more between sets of different roots that share a key (``live``: key, set, root)."""
-    texts = texts.join(live.select("set").distinct(), "set", "left_semi")
-    rows = cut_lineage(live.join(with_hashes(texts, shingle), "set"))
+    """Links (u, v) between the roots of sets of similarity ``least`` or more that share a key (``live``: key, set, root)."""
+    hashed = cut_lineage(with_hashes(texts.join(live.select("set").distinct(), "set", "left_semi"), shingle))
+    rows = cut_lineage(live.join(hashed.select("set", "size"), "set"))
     blocks = rows.groupBy("key").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    dealt = spread_join(rows, blocks, ["key"], salt_on=["set"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = spread_join(rows.drop("size"), blocks, ["key"], salt_on=["set"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")
 
     def compared(table: pa.Table) -> pa.Table:
-        sets, roots, mine = (table.column(c).to_numpy() for c in ("set", "root", "mine"))
+        roots, mine = (table.column(c).to_numpy() for c in ("root", "mine"))
         hashes = [np.frombuffer(h, dtype=np.uint64) for h in table.column("hashes").to_pylist()]
         first = mine == table.column("low")[0].as_py()
         second = mine == table.column("high")[0].as_py()
@@ -162,10 +162,11 @@ def block_links(live: DataFrame, texts: DataFrame, least: float, shingle: int) -
         shared = shared_counts([hashes[i] for i in a], [hashes[i] for i in b])
         near = shared >= least * (sizes[a][:, None] + sizes[b][None, :] - shared)
         i, j = np.nonzero(near & (roots[a][:, None] != roots[b][None, :]))
-        u, v = _forest(np.maximum(sets[a[i]], sets[b[j]]), np.minimum(sets[a[i]], sets[b[j]])) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        u, v = _forest(np.maximum(roots[a[i]], roots[b[j]]), np.minimum(roots[a[i]], roots[b[j]])) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return dealt.select("key", low, high, "mine", "set", "root", "hashes").groupBy("key", "low", "high").applyInArrow(compared, "u long, v long")
+    met = dealt.select("set", "key", low, high, "mine", "root").join(hashed.select("set", "hashes"), "set")
+    return met.drop("set").groupBy("key", "low", "high").applyInArrow(compared, "u long, v long")
 
 
 def anchored(sets: DataFrame) -> DataFrame:
@@ -180,7 +181,13 @@ def anchored(sets: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, texts_of, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """Verified links (u, v) whose components are those of all candidate pairs of ``sets`` (set, fp, keys; distinct sets).
+    """Links (u, v) whose components are those of all candidate pairs of ``sets`` (set, fp, keys; distinct sets)."""
+    found, _, more = first_links(sets, texts_of, least, shingle)
+    return found if more is None else found.unionByName(more)
+
+
+def first_links(sets: DataFrame, texts_of, least: float, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Verified links (u, v) of ``links``, their components (set, root), and the links between these that blocks add, if any key needs blocks.
 
     ``texts_of`` gives the texts (set, text) of a frame of sets; it is asked once, for the sets that meet at an anchor or share a key.
     """
@@ -189,16 +196,27 @@ def links(sets: DataFrame, texts_of, least: float = SIMILARITY, shingle: int = S
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     live = cut_lineage(rows.join(shared, "key").select("key", "set"))
     if live.isEmpty() and near.isEmpty():
-        return live.sparkSession.createDataFrame([], "u long, v long")
+        spark = live.sparkSession
+        return spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "set long, root long"), None
     texts = texts_of(live.select("set").unionByName(near.select(F.explode(F.array("u", "v")).alias("set"))).distinct())
     heads = live.groupBy("key").agg(F.min("set").alias("head"))
     met = spread_join(live, heads, ["key"], salt_on=["set"]).where("set != head").select(F.greatest("set", "head").alias("u"), F.least("set", "head").alias("v"))
     found = cut_lineage(verified(near.unionByName(met).distinct(), texts, least, shingle))
-    roots = components(found).select(F.col("fp").alias("set"), F.col("root").alias("__root"))
-    rooted = live.join(roots, "set", "left").select("key", "set", F.coalesce("__root", "set").alias("root"))
+    roots = components(found).select(F.col("fp").alias("set"), "root")
+    rooted = live.join(roots.withColumnRenamed("root", "__root"), "set", "left").select("key", "set", F.coalesce("__root", "set").alias("root"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     live = cut_lineage(rooted.join(apart, "key"))
-    return found if live.isEmpty() else cut_lineage(found.unionByName(block_links(live, texts, least, shingle)))
+    return found, roots, None if live.isEmpty() else cut_lineage(block_links(live, texts, least, shingle))
+
+
+def with_root(sets: DataFrame, texts_of, least: float, shingle: int) -> DataFrame:
+    """``sets`` with the root of each one's component; the components of the first links are found once, and what blocks add joins them."""
+    _, roots, more = first_links(sets.select("set", "fp", "keys"), texts_of, least, shingle)
+    rooted = sets.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    if more is None:
+        return rooted
+    tops = components(more).select(F.col("fp").alias("root"), F.col("root").alias("__top"))
+    return rooted.join(tops, "root", "left").withColumn("root", F.coalesce("__top", "root")).drop("__top")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -222,8 +240,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
         held.select(F.col("__set").alias("set"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["set"]).write.parquet(folder)
         return docs.sparkSession.read.parquet(folder)
 
-    roots = components(links(sets.select("set", "fp", "keys"), texts_of, least, shingle)).select(F.col("fp").alias("set"), "root")
-    rooted = sets.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    rooted = with_root(sets, texts_of, least, shingle)
     chosen = cut_lineage(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("__key"), F.col("best.mark").alias("__mark")))
     counts = printed.groupBy("key", "mark").agg(F.count("*").alias("__n")).select(F.col("key").alias("__k"), F.col("mark").alias("__m"), "__n")
     told = cut_lineage(chosen.join(counts, F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__m") == F.col("__mark"))).select("__key", "__mark", "__n"))
