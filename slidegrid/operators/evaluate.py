@@ -328,12 +328,13 @@ def drawn_metrics(units: DataFrame, key: str, n_repeats: int = 1000, seed: int =
     """``resample_metrics`` with draws that can be repeated anywhere: each is a hash of (seed, resample, draw number), as in ``resample_weights``.
 
     A row per draw meets its unit once and goes to its resample's bucket of scores once; all that follows works on those buckets.
+    Draws meet units in a shuffled hash join by hint: the optimizer does not count what the explode adds and would broadcast the draws.
     """
     held = cut_lineage(units.select(key, "label", "score"))
     numbered = cut_lineage(_numbered(held, key))
     edges = split_points(held, "score", max(1, min(4096, -(-held.count() // CELL_BUCKET))))
     cells = value_bucket(numbered.where(F.col("label").isNotNull() & F.col("score").isNotNull()), "score", edges).select("__idx", "label", "score", BUCKET)
-    met = _draws(numbered, held, n_repeats, seed).join(cells, "__idx").select("rep", BUCKET, "score", "label").repartition("rep", BUCKET)
+    met = _draws(numbered, held, n_repeats, seed).join(cells.hint("shuffle_hash"), "__idx").select("rep", BUCKET, "score", "label").repartition("rep", BUCKET)
     counts = met.groupBy("rep", BUCKET, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
     table = running_totals(counts, ["rep"], [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True, with_total=True)
     live = table.where("total_tp > 0 AND total_fp > 0").withColumns({"p": F.col("total_tp"), "n": F.col("total_fp"), "threshold": F.col("score")}).withColumns({

@@ -237,3 +237,13 @@ def test_hashed_resamples_equal_brute_force(spark, monkeypatch, bucket):
         assert per.loc[rep, "specificity"] == pytest.approx(sum(b < cut for b in neg) / len(neg))
     assert seen == len(per)
     assert {"median", "lower", "upper"} <= set(REGISTRY["bootstrap_intervals"].run(spark, "/root/testdata/sf0.001").columns)
+
+
+def test_draws_are_never_broadcast(spark):
+    """A row per draw looks as small as a row per unit to the optimizer, which does not count what the explode adds."""
+    units = spark.range(60).select(F.col("id").alias("unit"), (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") * 37 % 53 / 53.0).alias("score"))
+    per = ev.drawn_metrics(units, "unit", 40, 5)
+    per.collect()
+    text = per._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in text.splitlines() if "Join" in line and "__idx" in line]
+    assert met and all("ShuffledHashJoin" in line for line in met)
