@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slidegrid.operators import foreground as fg, quality, raster
+from slidegrid.queries import REGISTRY
 from test_raster import dense, flood, long, otsu_by_hand
 
 
@@ -102,3 +103,18 @@ def test_chain_keeps_valid_tiles(spark):
         got = np.zeros(scaled.shape, int)
         got[out["y"], out["x"]] = out[f"{c}2"]
         assert (got == scaled).all()
+
+
+def test_chain_query_leaves_out_rejected_tiles(spark, tmp_path):
+    """A full tile goes through the chain; one with few events is nearly black, its mean saturation is beyond the rules, and it goes no further."""
+    values = np.random.default_rng(5).exponential(50, 4096 + 300).round(2)
+    rows = [(i, float(v)) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    red = np.zeros((2, 4096))
+    red.ravel()[: len(values)] = np.minimum(np.floor(values) * 3, 255)
+    top, low = np.minimum(red + 20, 255), np.maximum(red - 40, 0)
+    saturation = (255.0 * (top - low) / top).mean(axis=1)
+    assert 10 < saturation[0] < 220 <= saturation[1]
+    full, sparse = sorted(REGISTRY["processed_tiles"].run(spark, str(tmp_path)).collect(), key=lambda r: r["slide"])
+    assert full["is_valid"] and full["n"] == 4096 and 0 < full["n_foreground"] < 4096 and full["r2"] > 0
+    assert not sparse["is_valid"] and sparse["foreground_percentage"] is None and sparse["n"] is None and sparse["r2"] is None
